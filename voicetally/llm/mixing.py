@@ -114,12 +114,12 @@ def mix(docs: DataFrame, block_words: int = 128, weights=WEIGHTS, total: float =
     plan = plan.withColumn("take", F.greatest(F.lit(0), F.least(length, F.floor("target") - start)).cast("long"))
     hits = plan.groupBy("src", "block").agg(F.sum(F.when(F.col("take") == length, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("take") < length, F.col("take"))).alias("cut"))
     used = piece.join(hits, ["src", "block"]).withColumn("words", (F.col("hi") - F.col("lo")) * F.col("full") + F.greatest(F.lit(0), F.least("hi", F.coalesce("cut", F.lit(0))) - F.col("lo")))
-    taken = used.groupBy("src", "doc_id", "mix_key", "size").agg(F.sum("words").alias("words"), F.sum(F.col("hi") - F.col("lo")).alias("held"))
-    # repeated rows (same id, source and text) share what their equal pieces got
-    per_row = taken.withColumn("copies", F.expr("held div size")).select("src", "doc_id", "mix_key", "words", "copies")
+    taken = used.groupBy("src", "doc_id", "mix_key", "size").agg(F.sum("words").alias("words"))
+    # repeated rows (same id, source and text) share what their pieces got together
+    per_row = taken.select("src", "doc_id", "mix_key", "words")
     out = sized.withColumn("src", src).join(F.broadcast(size_of) if _few(target) else size_of, "src").join(per_row, ["src", "doc_id", "mix_key"], "left")
     twin = Window.partitionBy("src", "doc_id", "mix_key").orderBy("size")
-    out = out.withColumn("i", F.row_number().over(twin))
+    out = out.withColumns({"i": F.row_number().over(twin), "copies": F.count("*").over(Window.partitionBy("src", "doc_id", "mix_key"))})
     share = F.expr("words div copies") + F.when(F.col("i") <= F.expr("words % copies"), 1).otherwise(0)
     mixed = out.select("doc_id", "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "source")
     return mixed, plan.select("slot", "src", "rank", "block", "pass", "take"), target
