@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, substring_dedup, token_store
+from . import decontamination, jaccard_join, mixing, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path, _ = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -35,6 +39,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix": op3_mix,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_store": op5_token_store,
     "op7_substring_dedup": op7_substring_dedup,
 }
