@@ -82,19 +82,26 @@ class Order:
         return np.concatenate([h[r == 0], h[late[np.argsort(r[late])]]])
 
 
-def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 17, chunk_bytes: int = 16_000_000, least: int = 4) -> np.ndarray:
-    """The corpus' most frequent shingles, rare to frequent. Every document is counted; a chunk reports what it holds `least`
+def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 17, chunk: int = 2_000_000, least: int = 4) -> np.ndarray:
+    """The corpus' most frequent shingles, rare to frequent. Every document is counted; a chunk of shingles reports what it holds `least`
     times or more, and the `most` largest sums make the order. The order is a matter of speed: any gives the same links."""
     table = W.space_words(True)
 
+    def often(parts):
+        h, c = np.unique(np.concatenate(parts), return_counts=True)
+        return _batch([as_long(h[c >= least]), c[c >= least]], ["h", "c"])
+
     def count(batches):
-        for b in text_chunks(batches, "text", chunk_bytes):
+        parts, held = [], 0
+        for b in text_chunks(batches, "text"):
             flat, _ = chunk_sets(b.column(0), n, table)
-            flat.sort()
-            new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-            c = np.diff(np.append(new, len(flat)))
-            own = c >= least
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(flat[new][own])), pa.array(c[own])], ["h", "c"])
+            parts.append(flat)
+            held += len(flat)
+            if held >= chunk:
+                yield often(parts)
+                parts, held = [], 0
+        if parts:
+            yield often(parts)
 
     top = text.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "h").limit(most).select("h").collect()
     return np.array([r[0] for r in top], np.int64).view(np.uint64)[::-1]
