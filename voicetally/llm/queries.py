@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, mixing, quality_rules, substring_dedup, token_store
+from . import decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def fold(folds: int, k: int):
+    """Whether crc32 of doc_id as text leaves k; rows without an id belong to no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == k, F.lit(False))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), fold(10, 0))
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"), fold(3, 1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -50,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_store": op5_token_store,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_lm_score": op9_lm_score,
+    "op10_lang_id": op10_lang_id,
 }
 
 ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
