@@ -139,3 +139,26 @@ def bloom_has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), bool)
     out[at] = ((bits[base[at] + (q[at] >> 3)] >> (q[at] & 7).astype(np.uint8)) & 1).astype(bool)
     return out
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """docs with the rows for which keep(texts) is true, in one pass and with all its columns, whatever their names.
+
+    keep: a function made on the worker per partition: from an Arrow column of texts without nulls to a boolean array.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        mask = keep()
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
+            flags = [mask(t.column(0)) for t in text_chunks(iter([texts]), "text")]
+            yield b.filter(pa.array(np.concatenate(flags))) if flags else b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is in gone: by broadcast up to max_broadcast ids, else by a shuffled hash join."""
+    side = F.broadcast(gone) if gone.count() <= max_broadcast else gone.hint("shuffle_hash")
+    return docs.join(side, "doc_id", "left_anti")

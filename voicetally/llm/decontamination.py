@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import binary_rows, text_chunks
+from ._io import binary_rows, drop_ids, filter_rows, text_chunks
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -108,22 +108,29 @@ def _report(s: W.Words, ids: pa.Array, hit, who, what, names) -> pa.RecordBatch:
     )
 
 
+def _parts(benchmark: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return sized, max(1, -(-int(total) // max_words))
+
+
+def _fingerprints(spark, sized: DataFrame, part: int, parts: int, window: int, k: int):
+    own = sized if parts == 1 else sized.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {part}"))
+    rows = own.collect()
+    return spark.sparkContext.broadcast(Fingerprints([r[0] for r in rows], [r[1] for r in rows], window, k))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_words: int = 20_000_000) -> DataFrame:
     """One row per document: how many of its words lie in windows of the benchmark, and in how many items.
 
     The benchmark's fingerprints are broadcast while the benchmark has at most max_broadcast_words characters. A larger
     benchmark is cut into parts of that size, each part is broadcast in turn and the findings are summed up per document.
     """
-    spark = docs.sparkSession
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // max_broadcast_words))
+    sized, parts = _parts(benchmark, max_broadcast_words)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def fingerprints(part):
-        own = sized if parts == 1 else sized.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {part}"))
-        rows = own.collect()
-        return spark.sparkContext.broadcast(Fingerprints([r[0] for r in rows], [r[1] for r in rows], window, k))
+        return _fingerprints(docs.sparkSession, sized, part, parts, window, k)
 
     if parts == 1:
         known = fingerprints(0)
@@ -165,3 +172,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     out = merged.mapInArrow(sum_up, "doc_id long, n_words long, n_hit long, items array<string>")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_words: int = 20_000_000) -> DataFrame:
+    """The documents, with all their columns, that hold no window of the benchmark."""
+    sized, parts = _parts(benchmark, max_broadcast_words)
+    if parts > 1:
+        return drop_ids(docs, decontaminate(docs, benchmark, window, k, max_broadcast_words).where("contaminated").select("doc_id"))
+    known = _fingerprints(docs.sparkSession, sized, 0, 1, window, k)
+
+    def keep():
+        table = W.alnum_words()
+
+        def mask(texts):
+            s = W.scan(texts, table)
+            _, who, _, _ = known.value.search(s)
+            return ~np.isin(np.arange(len(texts)), who)
+
+        return mask
+
+    return filter_rows(docs, keep)

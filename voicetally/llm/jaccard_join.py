@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_long, binary_rows, bloom_bits, bloom_has, materialize, runs_to_index, shuffle_parts, text_chunks
+from ._io import as_long, binary_rows, bloom_bits, bloom_has, drop_ids, materialize, runs_to_index, shuffle_parts, text_chunks
 from .components import components
 
 #: Neighbours that a member of an open group is held against in one round.
@@ -375,3 +375,17 @@ def settle(pairs: DataFrame, sets: DataFrame, order, num: int, den: int, parts:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(walk, "a long, b long")
+
+
+def one_per_group(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The documents, with all their columns, that are the least id of their group; of repeated rows one stays.
+
+    Rows without an id and documents without words are in no group and stay.
+    """
+    groups = materialize(jaccard_components(docs, n, num, den)[0], "join-groups-of-docs")
+    kept = drop_ids(docs, groups.where("doc_id != component_id").select("doc_id").distinct())
+    again = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "node").agg(F.count("*").alias("c")).where("c > 1").select("doc_id").distinct()
+    if again.isEmpty():
+        return kept
+    single = kept.join(again.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    return drop_ids(kept, again).select(*docs.columns).unionByName(single.dropDuplicates(["doc_id", "text"]))

@@ -121,9 +121,19 @@ def mix(docs: DataFrame, block_words: int = 128, weights=WEIGHTS, total: float =
     twin = Window.partitionBy("src", "doc_id", "mix_key").orderBy("size")
     out = out.withColumns({"i": F.row_number().over(twin), "copies": F.count("*").over(Window.partitionBy("src", "doc_id", "mix_key"))})
     share = F.expr("words div copies") + F.when(F.col("i") <= F.expr("words % copies"), 1).otherwise(0)
-    mixed = out.select("doc_id", "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "source")
+    mixed = out.select("doc_id", "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "source", "mix_key")
     return mixed, plan.select("slot", "src", "rank", "block", "pass", "take"), target
 
 
+def mixed_rows(docs: DataFrame, block_words: int = 128) -> DataFrame:
+    """The documents, with all their columns, each as often as the mix takes it, to the nearest whole number."""
+    mixed = mix(docs, block_words)[0].where("size > 0")
+    copies = mixed.groupBy("mix_key", "source").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("n")).where("n > 0")
+    copies = copies.select(F.col("mix_key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("n").alias("_mix_n"))
+    d = docs.withColumn("_mix_own", F.xxhash64("doc_id", "text"))
+    same = (F.col("_mix_own") == F.col("_mix_key")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+    return d.join(copies.hint("shuffle_hash"), same).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+
+
 def _few(target: DataFrame, most: int = 100_000) -> bool:
     return target.count() <= most

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, as_long, text_chunks
+from ._io import as_hash, as_long, filter_rows, text_chunks
 
 #: Closed word classes of the grammar.
 NEGATION = "not no never nobody nothing isn aren wasn weren don doesn didn won nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split()
@@ -225,3 +225,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(rate, RESULT)
+
+
+def clean(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score under the threshold."""
+    grammar = learn(docs, labels, held_out, max_rows)
+    if not (grammar.n[0] and grammar.n[1]):
+        return docs
+    known = docs.sparkSession.sparkContext.broadcast(grammar)
+    return filter_rows(docs, lambda: lambda texts: known.value.probability(known.value.matches(texts)) < threshold)
