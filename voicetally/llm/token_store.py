@@ -12,6 +12,7 @@ Null text is written as the end id alone.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +32,31 @@ END_ID = 2
 MANIFEST = "shard string, first_id long, last_id long, n_docs long, n_tokens long, width int"
 LOCATED = "doc_id long, occurrence int, shard string, shard_start long, n_tokens long, ids_crc32 long"
 
-#: Byte-level BPE splits texts by this public pattern before merging, so pieces can be encoded once each.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts of these characters alone split alike in both regex engines; other texts are encoded whole.
-UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
+#: Byte-level BPE splits texts by a public pattern before merging, so pieces can be encoded once each. This is that pattern
+#: with the letters and numbers up to U+024F written out; texts with other characters are encoded whole.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
+SPACED = re.compile(rf" [{_L}]+")
+
+
+class _Known(dict):
+    """Piece -> number; a new piece gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
 
 
 class Encoder:
     """tokenizers' byte-level BPE with its results kept per piece (a bounded cache)."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
@@ -52,20 +67,36 @@ class Encoder:
         self._empty()
 
     def _empty(self):
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.flat, self.begin, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int32)
-        self.used = 0
+        self.used = self.done = 0
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and lengths of pieces that begin with a space, in one call: the library splits their joint text back."""
+        e = self.lib.encode("".join(pieces), add_special_tokens=False)
+        words = np.array(e.word_ids, np.int64)
+        lens = np.bincount(words, minlength=len(pieces))
+        return (np.array(e.ids, np.uint32), lens) if len(lens) == len(pieces) and lens.all() else None
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.lib.encode_batch(pieces, add_special_tokens=False)):
-            k, ids = len(self.known), e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if k >= len(self.size):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        """Encode the new pieces, numbered from self.done on."""
+        n = len(pieces)
+        while self.done + n > len(self.size):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        spaced = np.array([SPACED.fullmatch(p) is not None for p in pieces], bool)
+        for own in (np.flatnonzero(spaced), np.flatnonzero(~spaced)):
+            part = [pieces[i] for i in own]
+            got = self._together(part) if len(part) and spaced[own[0]] else None
+            if got is None:
+                rows = [e.ids for e in self.lib.encode_batch(part, add_special_tokens=False)]
+                got = np.array([x for r in rows for x in r], np.uint32), np.array([len(r) for r in rows], np.int64)
+            ids, lens = got
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.known[piece], self.used = k, self.used + len(ids)
+            self.begin[self.done + own], self.size[self.done + own] = self.used + np.cumsum(lens) - lens, lens
+            self.used += len(ids)
+        self.done += n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, bounds by text)."""
@@ -76,11 +107,10 @@ class Encoder:
         split = PIECES.findall
         pieces = [[] if i in apart else split(t) for i, t in enumerate(texts)]
         flat = [p for row in pieces for p in row]
-        known = self.known
-        missing = list(dict.fromkeys(p for p in flat if p not in known))
-        if missing:
-            self._learn(missing)
-        index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            self._learn(new)
         lens = self.size[index]
         ids = self.flat[runs_to_index(self.begin[index], lens)]
         per_piece = np.concatenate([[0], np.cumsum(lens)])
