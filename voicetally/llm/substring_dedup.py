@@ -2,7 +2,10 @@
 
 Windows are `window` words of one document. Each takes the least k-gram hash within it (winnowing) as its anchor, so equal
 windows have equal anchors, and only windows whose anchor occurs twice can repeat. Consecutive windows of one anchor form a
-run. Runs equal as a whole repeat as a whole; the others are settled window by window against the distinct runs.
+run. The corpus' most repeated runs are the reference: suffix automata of its shards are broadcast (of bounded size), and
+the documents are streamed past them for matching statistics; every window found is removed. A reference of all repeated
+text would grow with the corpus, so the other runs are joined instead: runs equal as a whole repeat as a whole, and the
+rest is settled window by window against the distinct runs.
 
 Null text has no words; a document of fewer than `window` words keeps them all; repeated rows repeat each other; an empty
 table gives an empty result; other columns are not read.
@@ -11,6 +14,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, cell_values, materialize, runs_to_index, text_chunks
+from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, cell_values, materialize, most_frequent, runs_to_index, text_chunks
+from .suffix_automaton import SuffixAutomaton, known_windows
 
+#: Of the reference: anchors, runs, and words in a shard, at most.
+HEAD_ANCHORS, HEAD_RUNS, SHARD_WORDS = 4096, 2048, 50_000
+#: Places at which an anchor of the reference stands, at least.
+HEAD_PLACES = 16
 #: Windows in a run at most, so that a run of one anchor in periodic text stays a small row.
 RUN = 512
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -48,40 +57,82 @@ def _runs(s: W.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return at[first], lens, anchor[first]
 
 
+def _digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of consecutive pieces of n items each."""
+    if not len(flat):
+        return flat
+    scaled = flat * (runs_to_index(np.zeros_like(n), n).astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+    return W.mix(np.add.reduceat(scaled, np.cumsum(n) - n) + n.astype(np.uint64))
+
+
+def reference(text: DataFrame, anchors: DataFrame, window: int, k: int) -> list[SuffixAutomaton]:
+    """Automata of the most repeated runs. anchors: (anchor, n), their places in the corpus."""
+    table = W.space_words(False)
+    hot = most_frequent(anchors.where(F.col("n") >= HEAD_PLACES), "n", HEAD_ANCHORS).select("anchor").toArrow()
+    if not hot.num_rows:
+        return []
+    top = text.sparkSession.sparkContext.broadcast(np.sort(as_hash(hot.column(0))))
+
+    def contents(batches):
+        for b in text_chunks(batches, "text"):
+            s = W.scan(b.column(0), table)
+            first, n, anchor = _runs(s, window, k)
+            own = np.isin(anchor, top.value)
+            first, n = first[own], n[own] + window - 1
+            digest = _digests(s.hash[runs_to_index(first, n)], n)
+            digest, at, places = np.unique(digest, return_index=True, return_counts=True)
+            first, n = first[at], n[at]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(digest)), pa.array(places), binary_rows(s.hash[runs_to_index(first, n)], np.concatenate([[0], np.cumsum(n)]))], ["run", "places", "words"])
+
+    runs = text.select("text").mapInArrow(contents, "run long, places long, words binary").groupBy("run").agg(F.sum("places").alias("places"), F.max("words").alias("words")).where("places > 1")
+    rows = iter(sorted((r["run"], r["words"]) for r in most_frequent(materialize(runs, "dedup-reference"), "places", HEAD_RUNS).collect()))
+    shards: list[SuffixAutomaton] = []
+    while part := list(islice(rows, SHARD_WORDS // (window + k))):
+        shards.append(SuffixAutomaton(np.frombuffer(w, np.uint64) for _, w in part))
+    return shards
+
+
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
-    """row_id-free spans: (doc_id, first, count): windows first..first+count of the document start elsewhere too."""
+    """Spans (doc_id, first, n): the document's windows first..first+n start elsewhere too."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = W.space_words(False)
 
     def anchors(batches):
         for b in text_chunks(batches, "text"):
-            s = W.scan(b.column(1), table)
+            s = W.scan(b.column(0), table)
             chosen, _, _ = _anchors(s, window, k)
             g, n = np.unique(W.ngram_hash(s.hash, k)[chosen] if len(s.hash) else s.hash, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(n)], ["anchor", "n"])
 
-    twice = text.select("doc_id", "text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    bits = text.sparkSession.sparkContext.broadcast(bloom_bits(twice, "anchor", log2_bits))
+    twice = materialize(text.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "dedup-anchors")
+    context = text.sparkSession.sparkContext
+    shards = context.broadcast(reference(text, twice, window, k))
+    bits = context.broadcast(bloom_bits(twice, "anchor", log2_bits))
 
     def runs(batches):
         for b in text_chunks(batches, "text"):
             s = W.scan(b.column(1), table)
+            doc = s.doc
+            known = known_windows(shards.value, s.hash, doc, window)
             first, n, anchor = _runs(s, window, k)
-            own = np.flatnonzero(bloom_has(bits.value, anchor))
+            hits = np.concatenate([[0], np.cumsum(known)])
+            # runs that the reference holds whole need no join
+            own = np.flatnonzero((hits[first + n] - hits[first] < n) & bloom_has(bits.value, anchor))
             first, n = first[own], n[own]
-            win = W.ngram_hash(s.hash, window)
-            flat = win[runs_to_index(first, n)]
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            with np.errstate(over="ignore"):
-                digest = np.add.reduceat(flat * (runs_to_index(np.zeros_like(n), n).astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)), bounds[:-1]) if len(flat) else flat
-            digest = W.mix(digest + n.astype(np.uint64))
-            doc = s.doc[first] if len(first) else first
-            local = first - s.at[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(digest)), b.column(0).take(pa.array(doc, pa.int64())), pa.array(local.astype(np.int32)), pa.array(n.astype(np.int32)), binary_rows(flat, bounds)], ["run", "doc_id", "first", "n", "wins"])
-
-    found = materialize(text.mapInArrow(runs, "run long, doc_id long, first int, n int, wins binary"), "dedup-runs")
+            flat = W.ngram_hash(s.hash, window)[runs_to_index(first, n)]
+            digest = _digests(flat, n)
+            # stretches of windows found in the reference, as rows without windows
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
+            a, z = edge[::2], edge[1::2]
+            at, count = np.concatenate([first, a]), np.concatenate([n, z - a])
+            row = doc[at]
+            bounds = np.concatenate([[0], np.cumsum(n), np.full(len(a), int(n.sum()))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([as_long(digest), np.zeros(len(a), np.int64)])), b.column(0).take(pa.array(row, pa.int64())), pa.array((at - s.at[row]).astype(np.int32)), pa.array(count.astype(np.int32)), binary_rows(flat, bounds), pa.array(np.arange(len(at)) >= len(n))], ["run", "doc_id", "first", "n", "wins", "known"])
+
+    both = materialize(text.mapInArrow(runs, "run long, doc_id long, first int, n int, wins binary, known boolean"), "dedup-runs")
+    found = both.where("not known")
     # a run's content is found once, with the number of places it stands at
-    distinct = found.groupBy("run").agg(F.count("*").alias("places"), F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("wins").alias("wins"))
+    distinct = found.groupBy("run").agg(F.count("*").alias("places"), F.min("doc_id").alias("doc_id"), F.min_by("first", "doc_id").alias("first"), F.max("wins").alias("wins"))
     distinct = materialize(distinct, "dedup-distinct")
 
     def windows(batches):
@@ -95,7 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int
     again = each.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win")
     alone = each.where("places = 1").join(again, "win", "left_semi").select("doc_id", "first", F.lit(1).alias("n"))
     whole = found.select("run", "doc_id", "first", "n").join(distinct.where("places > 1").select("run"), "run", "left_semi").select("doc_id", "first", "n")
-    return alone.unionByName(whole)
+    return alone.unionByName(whole).unionByName(both.where("known").select("doc_id", "first", "n"))
 
 
 def dedup(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
