@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
         one = text.mapInArrow(find_part, "doc_id long, n_words long, hits binary, items array<string>")
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def sum_up(batches):
         for b in batches:

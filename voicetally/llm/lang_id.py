@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import text_chunks
+from ._io import materialize, text_chunks
 
 LOG2_CELLS = 20
 #: Multipliers of the three probes; odd and under 2**31, so that a product with a 32-bit n-gram is a positive long.
@@ -85,6 +85,7 @@ def learn(rows: DataFrame, share: float = 0.3, least: int = 2) -> tuple[list[str
             yield _counts(*merged(), names)
 
     n = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = materialize(n, "lang-grams")
     total = n.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r["lang"] for r in total.select("lang").collect())
     if not langs:

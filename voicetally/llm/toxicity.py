@@ -175,7 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000,
     """The grammar's weights from at most max_rows labelled rows (by a hash of their id) that are not held out."""
     spark = docs.sparkSession
     label = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    label = label.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    label = label.where(~held_out)
+    # about max_rows of them by a hash threshold, then exactly that many at most
+    share = min(1.0, 1.2 * max_rows / max(1, label.count()))
+    label = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(label), "doc_id").select("text", "toxic")
 
     def count(batches):
