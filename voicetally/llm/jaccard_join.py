@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_long, binary_rows, bloom_bits, bloom_has, drop_ids, materialize, runs_to_index, shuffle_parts, text_chunks
+from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, drop_ids, materialize, most_frequent, runs_to_index, shuffle_parts, text_chunks
 from .components import components
 
 #: Neighbours that a member of an open group is held against in one round.
@@ -58,6 +58,33 @@ def digests(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_sizes(n: np.ndarray) -> np.ndarray:
+    """Classes of a set of n items: a power of two with about two items in each."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+
+
+def sketches(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set how many of its items fall into each class of the hash's top bits (255 stands for 255 or more); bounds."""
+    n = np.diff(bounds)
+    k = sketch_sizes(n)
+    at = np.concatenate([[0], np.cumsum(k)])
+    row = np.repeat(np.arange(len(n)), n)
+    cell = at[row] + ((flat >> np.uint64(40)) & np.uint64((1 << 24) - 1)).astype(np.int64) * k[row] // (1 << 24)
+    return np.minimum(np.bincount(cell, minlength=int(at[-1])), 255).astype(np.uint8), at
+
+
+def may_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """The most items two sets can share by their sketches: the sum of the lesser counts, class by class."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a.reshape(-1, 2).astype(np.int64).sum(axis=1)
+        else:
+            b = b.reshape(-1, 2).astype(np.int64).sum(axis=1)
+    if len(a) and (a.max() >= 255 or b.max() >= 255):
+        return float("inf")
+    return float(np.minimum(a, b).sum())
+
+
 class Order:
     """The global order: plain shingles by hash, then the frequent ones from rare to frequent."""
 
@@ -82,7 +109,7 @@ class Order:
         return np.concatenate([h[r == 0], h[late[np.argsort(r[late])]]])
 
 
-def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 17, chunk: int = 2_000_000, least: int = 4) -> np.ndarray:
+def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 19, chunk: int = 2_000_000, least: int = 2) -> np.ndarray:
     """The corpus' most frequent shingles, rare to frequent. Every document is counted; a chunk of shingles reports what it holds `least`
     times or more, and the `most` largest sums make the order. The order is a matter of speed: any gives the same links."""
     table = W.space_words(True)
@@ -103,8 +130,10 @@ def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 17, chunk: int =
         if parts:
             yield often(parts)
 
-    top = text.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "h").limit(most).select("h").collect()
-    return np.array([r[0] for r in top], np.int64).view(np.uint64)[::-1]
+    counts = materialize(text.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 2"), "join-frequent")
+    top = most_frequent(counts, "c", most).toArrow()
+    h, c = as_hash(top.column(0)), top.column(1).to_numpy()
+    return h[np.lexsort((h, c))]
 
 
 class Trie:
@@ -174,6 +203,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     summary = materialize(text.mapInArrow(summarize, "doc_id long, n_shingles long, node long"), "join-summary")
 
+    def sketch(batches):
+        for b in text_chunks(batches, "text"):
+            flat, bounds = chunk_sets(b.column(0), n, table)
+            counts, at = sketches(flat, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(digests(flat, bounds))), pa.array(np.diff(bounds)), binary_rows(counts, at)], ["node", "size", "sketch"])
+
+
     def prefixes(batches):
         """Per chunk: node, size and ordered prefix of each set; sets met before in the task are left out."""
         met: set[int] = set()
@@ -211,23 +247,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     groups = materialize(found.mapInArrow(_shared_only, "sig long, n int, node long, pos int"), "join-groups")
 
     pairs = materialize(_sorted(groups, parts).mapInArrow(lambda it: _star(it, num, den), "a long, b long").distinct(), "join-pairs")
-    wanted = spark.sparkContext.broadcast(bloom_bits(groups.select("node").distinct(), "node", log2_bits - 2))
 
-    def emit_sets(batches):
-        met: set[int] = set()
-        for b in text_chunks(batches, "text"):
-            flat, bounds = chunk_sets(b.column(0), n, table)
-            nodes = digests(flat, bounds)
-            own = np.flatnonzero(bloom_has(wanted.value, nodes) & (np.diff(bounds) > 0))
-            if len(met) > 500_000:
-                met.clear()
-            fresh = [i for i in own.tolist() if not (int(nodes[i]) in met or met.add(int(nodes[i])))]
-            lens = np.diff(bounds)[fresh]
-            values = flat[runs_to_index(bounds[:-1][fresh], lens)]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(nodes[fresh])), binary_rows(values, np.concatenate([[0], np.cumsum(lens)]))], ["node", "items"])
-
-    sets = materialize(text.select("text").mapInArrow(emit_sets, "node long, items binary"), "join-sets")
-    links = materialize(settle(pairs, sets, order, num, den, parts), "join-links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes that a round's pairs name, from the texts again (a Bloom filter thins, joins are exact)."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = spark.sparkContext.broadcast(bloom_bits(ends, "node", log2_bits - 2))
+
+        def emit(batches):
+            met: set[int] = set()
+            for b in text_chunks(batches, "text"):
+                flat, bounds = chunk_sets(b.column(0), n, table)
+                nodes = digests(flat, bounds)
+                own = np.flatnonzero(bloom_has(wanted.value, nodes) & (np.diff(bounds) > 0))
+                if len(met) > 500_000:
+                    met.clear()
+                fresh = [i for i in own.tolist() if not (int(nodes[i]) in met or met.add(int(nodes[i])))]
+                lens = np.diff(bounds)[fresh]
+                values = flat[runs_to_index(bounds[:-1][fresh], lens)]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(nodes[fresh])), binary_rows(values, np.concatenate([[0], np.cumsum(lens)]))], ["node", "items"])
+
+        # tasks may each have sent a copy
+        return text.select("text").mapInArrow(emit, "node long, items binary").dropDuplicates(["node"])
+
+    def links_among(pairs: DataFrame) -> DataFrame:
+        near = materialize(_sketched(pairs, known, num, den), "join-near")
+        return materialize(settle(near, materialize(sets_of(near), "join-sets"), order, num, den, parts), "join-links")
+
+    ends = groups.select("node").distinct()
+    known = text.select("text").mapInArrow(sketch, "node long, size long, sketch binary").where("size > 0").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    known = materialize(known, "join-sketches")
+    links = links_among(pairs)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     done = 0
     while True:
@@ -241,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
             if rest.where(f"size > {done + REACH + 1}").isEmpty():
                 break
         else:
-            links = links.unionByName(materialize(settle(more, sets, order, num, den, parts), "join-links"))
+            links = links.unionByName(links_among(more))
             label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
         done += REACH
     classes = summary.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -341,6 +390,21 @@ def _neighbours(batches, done, num, den):
         tail = [r[-(done + REACH) :] for r in rows]
 
 
+def _sketched(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their sketches do not rule out. Sketches are about a sixteenth of the sets."""
+    a, b = (known.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+
+    def check(batches):
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            need = overlap_needed(n_a, n_b, num, den)
+            ok = [may_overlap(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) >= k for x, y, k in zip(batch.column(3), batch.column(5), need.tolist())]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def settle(pairs: DataFrame, sets: DataFrame, order, num: int, den: int, parts: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose sets link.
 
