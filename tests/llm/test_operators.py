@@ -1,0 +1,468 @@
+import hashlib
+import math
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+from data import SCHEMA, documents, frame  # noqa: E402
+
+from voicetally.llm import _words as W  # noqa: E402
+from voicetally.llm import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store, toxicity  # noqa: E402
+from voicetally.llm.components import components  # noqa: E402
+from voicetally.llm.queries import fold  # noqa: E402
+from voicetally.llm.suffix_automaton import SuffixAutomaton, known_windows  # noqa: E402
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).repartition(5).cache()
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- words and hashes ---
+
+
+def test_scan_finds_the_same_words():
+    texts = [r[1] or "" for r in documents()] + ["\x00a b", "a\x0bb\x1cc"]
+    col = pa.array(texts, pa.large_string())
+    for table, pattern, lower in ((W.space_words(False), SPACED, False), (W.alnum_words(), ALNUM, True)):
+        s = W.scan(col, table)
+        hashes = defaultdict(set)
+        for i, t in enumerate(texts):
+            words = pattern.findall(low(t) if lower else t)
+            assert s.at[i + 1] - s.at[i] == len(words)
+            for w, h in zip(words, s.hash[s.at[i] : s.at[i + 1]].tolist()):
+                hashes[w].add(h)
+        assert all(len(h) == 1 for h in hashes.values()) and len(set().union(*hashes.values())) == len(hashes)
+
+
+def test_winnowing_keeps_one_of_every_window():
+    rng = np.random.default_rng(0)
+    at = np.array([0, 50, 50, 57, 200])
+    h = rng.integers(0, 9, 200).astype(np.uint64)
+    gram, ok = W.ngram_hash(W.mix(h), 3), W.valid(at, 3)
+    chosen, least, whole = W.winnow(gram, ok, at, 5)
+    for a, z in zip(at[:-1], at[1:]):
+        for s in range(a, z - 7 + 1):
+            assert whole[s] and chosen[s : s + 5].any() and least[s] == gram[s : s + 5].min()
+    assert not whole[51:57].any() or whole[50]
+
+
+# --- 1: decontamination ---
+
+
+def bench_rows(seed=1):
+    text = [r[1] for r in documents(seed)]
+    return [(1, " ".join(text[7].split()[-40:])), (2, "Four words, ARE here!"), (10, "one"), (3, None), (4, "..."), (5, " ".join(text[70 % len(text)].split()[:12]) if text[70 % len(text)] else "zz"), (6, "nothing like this occurs in any of the documents at all")]
+
+
+def expected_hits(docs, bench):
+    windows = defaultdict(set)
+    for i, t in bench:
+        w = ALNUM.findall(low(t))
+        n = min(10, len(w))
+        for j in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[j : j + n])].add(str(i))
+    out = []
+    for r in docs:
+        w, items = ALNUM.findall(low(r[1])), set()
+        hit = [0] * len(w)
+        for n in {len(k) for k in windows}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    items |= windows[tuple(w[j : j + n])]
+                    hit[j : j + n] = [1] * n
+        out.append((r[0], len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), sum(hit) > 0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [20_000_000, 150])
+def test_decontamination(spark, docs, most):
+    bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
+    got = decontamination.decontaminate(docs, bench, max_broadcast_words=most)
+    want = expected_hits(documents(), bench_rows())
+    # a benchmark in parts gathers the rows of an id
+    assert sorted(map(tuple, got.collect())) == (want if most > 1000 else sorted(set(want)))
+    kept = decontamination.clean(docs, bench, max_broadcast_words=most)
+    assert set(kept.columns) == set(docs.columns)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in want if not r[5])
+    assert decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
+    assert decontamination.decontaminate(empty(spark), bench).count() == 0
+
+
+# --- 2: quality rules ---
+
+
+def test_quality_rules(spark, docs):
+    con = duckdb.connect()
+    table = pa.table({"doc_id": [r[0] for r in documents()], "text": [r[1] for r in documents()]})
+    con.register("documents_all", table)
+    con.sql("create view documents as select distinct on (doc_id) * from documents_all")
+    book = quality_rules.apply_policy(quality_rules.ledger(docs.dropDuplicates(["doc_id"])))
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept"]
+    got = sorted(tuple(r[c] for c in cols) for r in book.collect())
+    assert got == sorted(tuple(dict(zip(q.columns, r))[c] for c in cols) for q in [con.sql(quality_rules.SQL)] for r in q.fetchall())
+    rows = book.select("failed").collect()
+    m = quality_rules.mask("v2")
+    for r in quality_rules.ablation(book).collect():
+        bit = 1 << list(quality_rules.RULES).index(r["rule"])
+        assert r["n_failed"] == sum(1 for x in rows if x["failed"] & m & bit)
+        assert r["n_failed_alone"] == sum(1 for x in rows if x["failed"] & m == bit)
+        assert r["n_kept_without"] == sum(1 for x in rows if not x["failed"] & m & ~bit)
+    assert quality_rules.ledger(empty(spark)).count() == 0
+    assert not [x for x in ("Python", "Pandas", "Arrow") if x in book._jdf.queryExecution().executedPlan().toString()]
+
+
+# --- 3: mixing ---
+
+
+def water(sizes):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not full:
+            return target | {s: left * weight[s] / total for s in open_}
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    return target
+
+
+def test_mixing(spark, docs):
+    mixed, plan, _ = mixing.mix(docs, block_words=16)
+    rows = mixed.collect()
+    assert len(rows) == docs.count()
+    size, taken = Counter(), Counter()
+    for r in rows:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    want = water(dict(size))
+    for r in rows:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]] and r["source_size"] == size[r["source"]]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    again = mixing.mix(docs.repartition(3), block_words=16)[0].collect()
+    key = lambda r: (r["doc_id"], r["taken"])
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    # early slots already follow the shares: low discrepancy
+    first = Counter(r["src"]["s"] for r in plan.where("slot < 64").select("src").collect())
+    total = sum(want.values())
+    assert all(abs(first[s or ""] - 64 * want[s] / total) < 6 for s in want)
+    assert mixing.mix(empty(spark))[0].count() == 0
+    assert set(mixing.mixed_rows(docs).columns) == set(docs.columns)
+
+
+# --- 4: Jaccard join ---
+
+
+def shingles(text):
+    w = SPACED.findall(low(text))
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def expected_components(rows):
+    sets, head = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(a):
+        while head[a] != a:
+            a = head[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and sets[b]:
+                head[find(a)] = find(b)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted((r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows))
+
+
+def test_jaccard_join(spark, docs):
+    got, links = jaccard_join.jaccard_components(docs)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == expected_components(documents())
+    kept = jaccard_join.one_per_group(docs)
+    assert set(kept.columns) == set(docs.columns)
+    want = {r[2] for r in expected_components(documents())}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    assert jaccard_join.jaccard_components(empty(spark))[0].count() == 0
+
+
+def test_jaccard_join_of_a_chain(spark):
+    """Neighbours link, ends do not: every member of a chain is in one component, whoever is the pivot."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60]), "en", "s", 0, "", 0, 0, 0) for i in range(80)]
+    got = jaccard_join.jaccard_components(frame(spark, rows))[0].select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == expected_components(rows)
+
+
+def test_trie_equals_set_overlap():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
+    sets += [sets[0], sets[1][:-1], sets[2]]
+    order = jaccard_join.Order(np.array([3, 17, 5], np.uint64))
+    tree = jaccard_join.Trie()
+    for i, s in enumerate(sets):
+        tree.add(order.arrange(s), i)
+    for q in sets[:20]:
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
+        assert sorted(tree.search(q, 75, 100)) == want
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(W.mix(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], W.mix(rng.integers(0, 400, rng.integers(1, 90)).astype(np.uint64))]))
+        counts, at = jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert jaccard_join.may_overlap(counts[: at[1]], counts[at[1] :]) >= len(np.intersect1d(a, b))
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5)], "u long, v long")
+    assert dict(map(tuple, components(edges).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
+
+
+# --- 5: token store ---
+
+
+def test_token_store(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = [(900, "a<|endoftext|>b", None, "s", 0, "", 0, 0, 0), (901, "日本語 text\x1c x", None, "s", 0, "", 0, 0, 0), (None, "no id", None, "s", 0, "", 0, 0, 0)]
+    every = docs.unionByName(frame(spark, odd))
+    folder, manifest = token_store.write_store(every, path, shard_tokens=500, partitions=4)
+    got = sorted(map(tuple, token_store.read_store(every, folder).collect()), key=lambda r: r[1])
+    lib, at, want = Tokenizer.from_file(path), 0, []
+    rows = sorted(documents() + odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for r in rows:
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        want.append((r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+    assert manifest.count() >= 4 and manifest.agg(F.sum("n_tokens")).first()[0] == at
+    folder, _ = token_store.write_store(empty(spark), path)
+    assert token_store.read_store(empty(spark), folder).count() == 0
+
+
+def test_perfect_hash():
+    keys = W.mix(np.arange(5000, dtype=np.uint64))
+    h = token_store.PerfectHash.build(keys)
+    assert sorted(h.slots(keys).tolist()) == list(range(5000))
+    assert token_store.PerfectHash.build(keys[:0]).slots(keys[:3]).tolist() == [-1, -1, -1]
+
+
+# --- 6: transcripts ---
+
+
+def test_transcripts(spark):
+    turns = [(c, t, ["user", "assistant"][t % 2], f"{'What is it' if t % 2 == 0 else 'It is so'} {c}?\nsecond line") for c in range(40) for t in range(6)]
+    turns += [(50, 0, None, None), (51, 0, "user", ""), (None, 0, "user", "no id")]
+    conv = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.recover(spark, conv, F.col("conv_id") % 4 == 0).collect()}
+    assert len(got) == 43 and sum(r["n_right"] for r in got.values()) >= 0.98 * sum(r["n_known"] for r in got.values())
+    assert got[3]["roles"] == "uauaua" and got[3]["n_lines"] == 12
+    want = "".join(f"<|{'user' if t % 2 == 0 else 'assistant'}|>\n{'What is it' if t % 2 == 0 else 'It is so'} 3?\nsecond line\n<|end|>\n" for t in range(6))
+    assert got[3]["rendered_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert chat_format.recover(spark, conv.where("false"), F.lit(False)).count() == 0
+
+
+def test_viterbi_finds_the_best_path():
+    rng = np.random.default_rng(2)
+    m = chat_format.Model(["a", "b"], rng.integers(0, 9, 4), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 2)), rng.integers(0, 9, (4, 2)))
+    obs = [rng.integers(0, k, 6) for k in (4, 4, 2, 2)]
+    e = m.emit(*obs)
+    import itertools
+
+    def value(p):
+        return m.start[p[0]] + sum(e[s, t] for t, s in enumerate(p)) + sum(m.step[a, b] for a, b in zip(p, p[1:]))
+
+    best = max(itertools.product(range(4), repeat=6), key=value)
+    assert abs(value(m.decode(e, None)[0]) - value(best)) < 1e-9
+
+
+def test_long_transcripts_are_settled_in_parts(spark, monkeypatch):
+    turns = [(1, t, ["user", "assistant"][t % 2], "words of this turn") for t in range(300)]
+    conv = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    lines = chat_format.transcripts(conv)
+    model = chat_format.train(lines, F.lit(False))
+    whole = chat_format._Transcript(1, model)
+    parts = chat_format._Transcript(1, model)
+    rows = [tuple(r[c] for c in ("mark", "len", "asks", "blank", "body", "role")) for r in chat_format.observe(lines).orderBy("turn", "k").collect()]
+    for r in rows:
+        whole.add(r)
+    monkeypatch.setattr(chat_format, "LAG", 20)
+    for r in rows:
+        parts.add(r)
+    assert whole.close() == parts.close()
+
+
+# --- 7: substring dedup ---
+
+
+def expected_dedup(rows, n=35):
+    words = [SPACED.findall(r[1] or "") for r in rows]
+    count = Counter(tuple(w[j : j + n]) for w in words for j in range(len(w) - n + 1))
+    out = []
+    for r, w in zip(rows, words):
+        gone = [0] * len(w)
+        for j in range(len(w) - n + 1):
+            if count[tuple(w[j : j + n])] > 1:
+                gone[j : j + n] = [1] * n
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((r[0], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_substring_dedup(spark, docs):
+    one = docs.dropDuplicates(["doc_id"])
+    rows = list({r[0]: r for r in documents()}.values())
+    assert sorted(map(tuple, substring_dedup.dedup(one).drop("kept_text").collect())) == expected_dedup(rows)
+    assert substring_dedup.dedup(empty(spark)).count() == 0
+
+
+def test_substring_dedup_by_automata(spark, docs, monkeypatch):
+    """With a low bar for the reference its automata find most, and the whole result is the same."""
+    monkeypatch.setattr(substring_dedup, "HEAD_PLACES", 2)
+    one = docs.dropDuplicates(["doc_id"])
+    rows = list({r[0]: r for r in documents()}.values())
+    assert sorted(map(tuple, substring_dedup.dedup(one).drop("kept_text").collect())) == expected_dedup(rows)
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        seqs = [rng.integers(0, 3, rng.integers(1, 12)).astype(np.uint64) for _ in range(4)]
+        known = {tuple(s[a:z]) for s in seqs for a in range(len(s)) for z in range(a + 1, len(s) + 1)}
+        doc = rng.integers(0, 4, 60).astype(np.uint64)
+        want = [max([n for n in range(1, i + 2) if tuple(doc[i + 1 - n : i + 1]) in known], default=0) for i in range(len(doc))]
+        auto = SuffixAutomaton(seqs)
+        assert auto.statistics(doc).tolist() == want
+        split = np.repeat([0, 1], 30)
+        got = known_windows([auto], doc, split, 3)
+        assert got.tolist() == [i + 3 <= len(doc) and split[i] == split[i + 2] and tuple(doc[i : i + 3]) in known if i + 3 <= len(doc) else False for i in range(len(doc))]
+
+
+# --- 8: toxicity ---
+
+
+def toxic_rows():
+    rows = []
+    for i, r in enumerate(documents(seed=4, n=200)[:200]):
+        bad = i % 4 == 0
+        rows.append((i, (f"{r[1]}. you are a {'blorker' if i % 8 else 'Zarplish'} indeed. " if bad else r[1]), int(bad)))
+    return rows
+
+
+def test_toxicity(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(901, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, fold(5, 0)).collect()}
+    assert len(got) == 202 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held)
+    kept = toxicity.clean(docs, labels, fold(5, 0))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
+    assert {r["score"] for r in toxicity.score(docs, labels.where("false"), fold(5, 0)).collect()} == {0.0}
+    assert toxicity.score(docs.where("false"), labels, fold(5, 0)).count() == 0
+
+
+def test_toxicity_grammar_tells_settings():
+    words = ["idiot"]
+    key = W.scan(pa.array(words, pa.large_string()), toxicity._letters()).hash
+    g = toxicity.Grammar(key, np.array([50]), np.array([0]), 100, 100)
+    texts = ["an idiot here", "you are an idiot", "not an idiot", "he said idiot", "I will kill you", "no. idiot", "I will. kill"]
+    m = g.matches(pa.array(texts, pa.large_string())) > 0
+    settings = [np.flatnonzero(r).tolist() for r in m]
+    assert settings == [[toxicity.PLAIN], [toxicity.AT_TARGET], [toxicity.NEGATED], [toxicity.REPORT], [toxicity.MENACE], [toxicity.PLAIN], []]
+
+
+# --- 9: language model ---
+
+
+def test_lm_score(spark, docs):
+    one = docs.dropDuplicates(["doc_id"])
+    rows = list({r[0]: r for r in documents()}.values())
+    tokens = {r[0]: [*SPACED.findall(low(r[1])), None] for r in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = Counter(w for i, t in tokens.items() if not out[i] for w in t)
+    total, v = sum(c.values()), len(c)
+    for most in (1 << 20, 30):  # with few words held, counts of the others are joined in
+        got = {r["doc_id"]: r for r in lm_score.score(one, fold(10, 0), max_words=most).collect()}
+        for i, t in tokens.items():
+            base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in t)
+            r = got[i]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(t), sum(c[w] > 0 for w in t), total)
+            assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] <= 0
+    assert lm_score.score(empty(spark), fold(10, 0)).count() == 0
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    texts = ["a b c a b d", "a b c", "b c a b c", "c c a b d"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, _ = lm_score.train(df)
+    words = ["a", "b", "c", "d"]
+    h = W.scan(pa.array(words, pa.large_string()), W.space_words(True)).hash
+    for before in ([], ["a"], ["a", "b"], ["d"], ["c", "c"], ["zz"]):
+        ctx = W.scan(pa.array([" ".join(before)], pa.large_string()), W.space_words(True)).hash
+        total = 0.0
+        for last in [*h, lm_score.END]:
+            t = np.append(ctx, last)
+            total += 10 ** model.score(t, np.array([0, len(t)]))[1][-1]
+        # the unknown word has the rest: the failure arcs' weight times its unigram share
+        t = np.append(ctx, np.uint64(12345))
+        total += 10 ** (model.score(t, np.array([0, len(t)]))[1][-1] + float(model.unigram(0)))
+        assert abs(total - 1) < 1e-9
+
+
+# --- 10: language ---
+
+
+def test_lang_id(spark, docs):
+    got = lang_id.identify(docs.dropDuplicates(["doc_id"]), fold(3, 1)).collect()
+    rows = {r[0]: r for r in documents()}
+    for r in got:
+        text, lang = rows[r["doc_id"]][1], rows[r["doc_id"]][2]
+        if not text or not any(ch.isalpha() for ch in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] in ("de", "en") and 0 <= r["score"] <= 1
+            if lang and r["held_out"] and len(text.split()) > 8 and r["doc_id"] < 60 and r["doc_id"] % 10 != 9:
+                assert r["lang_pred"] == lang
+    assert {r["lang_pred"] for r in lang_id.identify(docs.withColumn("lang", F.lit(None).cast("string")), fold(3, 1)).collect()} == {"und"}
+    assert lang_id.identify(empty(spark), fold(3, 1)).count() == 0
+
+
+def test_bit_sliced_filters_give_all_languages():
+    cells = np.zeros(1 << lang_id.LOG2_CELLS, np.uint64)
+    grams = np.array([1, 2, 3], np.uint32)
+    for g, mask in zip(grams.tolist(), (1, 2, 3)):
+        for a in lang_id.PROBES:
+            cells[((g * a) & 0xFFFFFFFF) >> (32 - lang_id.LOG2_CELLS)] |= np.uint64(mask)
+    assert lang_id.languages_of(grams, cells).tolist() == [1, 2, 3]
