@@ -278,21 +278,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     known = materialize(known, "join-sketches")
     links = links_among(pairs)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    done = 0
+    done, settled = 0, None
     while True:
         named = groups.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where(f"lo != hi and size > {done + 1}").select("sig", "size")
-        rest = materialize(named.join(open_, "sig").select("sig", "n", "node", "pos", "c", "size"), "join-open")
-        more = rest.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node").mapInArrow(lambda it, done=done: _neighbours(it, done, num, den), "a long, b long").distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "join-more")
+        per = named.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"))
+        # minor: members outside the group's largest component
+        per = per.select("sig", F.col("top.c").alias("major"), (F.col("size") - F.col("top.m")).cast("int").alias("minor"), "size")
+        open_ = per.where(f"minor > 0 and (minor <= {REACH} or size > {done + 1})")
+        if settled is not None:
+            open_ = open_.join(settled, "sig", "left_anti")
+        rest = materialize(named.join(open_, "sig").select("sig", F.expr("cast(c = major as int)").alias("in_major"), "n", "node", "pos", "c", "minor"), "join-open")
+        if rest.isEmpty():
+            break
+        few = rest.where(f"minor <= {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "in_major", "n", "node")
+        many = rest.where(f"minor > {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
+        more = few.select("sig", "n", "node", "pos", "c", "minor").mapInArrow(lambda it: _minor_pairs(it, num, den), "a long, b long")
+        more = more.unionByName(many.select("sig", "n", "node", "pos", "c").mapInArrow(lambda it, done=done: _neighbours(it, done, num, den), "a long, b long"))
+        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "join-more")
         pairs = pairs.unionByName(more)
-        if more.isEmpty():
-            if rest.where(f"size > {done + REACH + 1}").isEmpty():
-                break
-        else:
+        now = rest.where(f"minor <= {REACH}").select("sig").distinct()
+        settled = now if settled is None else settled.unionByName(now)
+        done += REACH
+        if not more.isEmpty():
             links = links.unionByName(links_among(more))
             label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
-        done += REACH
     classes = summary.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # empty sets stay apart: their class is the row itself
     least = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -371,6 +380,39 @@ def _star(batches, num, den):
         pivot = [r[own[-1] : own[-1] + 1] for r in rows]
 
 
+def _minor_pairs(batches, num, den):
+    """Of rows sorted by (sig, in_major): pairs of each row with its group's first rows, those outside the largest component,
+    where components differ. A group has REACH such rows at most."""
+    head = None
+    for b in batches:
+        rows = _columns(b)
+        old = 0
+        if head is not None:
+            old = len(head[0])
+            rows = [np.concatenate([h, r]) for h, r in zip(head, rows)]
+        sig, n, node, pos, c, minor = rows
+        if not len(sig):
+            continue
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        at = np.flatnonzero(new)
+        start = np.repeat(at, np.diff(np.append(at, len(sig))))
+        i = np.arange(old, len(sig))
+        for j in range(REACH):
+            i = i[j < minor[i]]
+            k = start[i] + j
+            ok = (k < i) & (c[np.minimum(k, len(sig) - 1)] != c[i])
+            x, y = k[ok], i[ok]
+            if len(x):
+                good = _may_link(n[x], pos[x], n[y], pos[y], num, den)
+                x, y = x[good], y[good]
+                # the smaller set first, as in the other rounds
+                swap = (n[x] > n[y]) | ((n[x] == n[y]) & (node[x] > node[y]))
+                yield _batch([np.where(swap, node[y], node[x]), np.where(swap, node[x], node[y])], ["a", "b"])
+        last = at[-1]
+        head = [r[last : last + min(int(minor[last]), len(sig) - last)] for r in rows]
+
+
 def _neighbours(batches, done, num, den):
     """Pairs of rows of one group, of different components, that stand done + 1 to done + REACH rows apart."""
     tail = None
