@@ -399,7 +399,7 @@ def test_toxicity_grammar_tells_settings():
     g = toxicity.Grammar(key, np.array([50]), np.array([0]), 100, 100)
     texts = ["an idiot here", "you are an idiot", "not an idiot", "he said idiot", "I will kill you", "no. idiot", "I will. kill"]
     m = g.matches(pa.array(texts, pa.large_string())) > 0
-    settings = [np.flatnonzero(r).tolist() for r in m]
+    settings = [np.flatnonzero(r[:-1]).tolist() for r in m]
     assert settings == [[toxicity.PLAIN], [toxicity.AT_TARGET], [toxicity.NEGATED], [toxicity.REPORT], [toxicity.MENACE], [toxicity.PLAIN], []]
 
 

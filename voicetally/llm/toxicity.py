@@ -31,6 +31,8 @@ OTHER, BREAK, NEG, REP, TGT, SPK, INT, THR, INS = range(9)
 SYMBOLS = 9
 #: Settings in which a match stands.
 PLAIN, AT_TARGET, NEGATED, REPORT, MENACE = range(5)
+#: Of a text: one sum per setting, and the density of all.
+FEATURES = 6
 STEMS = (4, 5, 6, 7, 8)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -109,7 +111,7 @@ class Grammar:
         self.key, self.toxic, self.clean, self.n = key, toxic, clean, (n_toxic, n_clean)
         self.least, self.ratio = least, ratio
         self.classes = _classes()
-        self.coefficients = np.zeros(6)
+        self.coefficients = np.zeros(1 + FEATURES)
 
     def weight(self, at, toxic_less=0, clean_less=0):
         """Log likelihood ratio of features; the training document itself can be left out of the counts."""
@@ -118,10 +120,13 @@ class Grammar:
         return np.where((t >= self.least) & (w >= np.log(self.ratio)), w, 0.0)
 
     def matches(self, texts: pa.Array, labels=None) -> np.ndarray:
-        """Per text the summed weights of its matches by setting. labels: of training texts, which leave themselves out."""
+        """Per text the summed weights of its matches by setting, and their sum per hundred words (of 20 at least).
+
+        labels: of training texts, which leave themselves out of the counts.
+        """
         s = W.scan(texts, _letters())
         n, words = len(texts), len(s.hash)
-        out = np.zeros((n, 5))
+        out = np.zeros((n, FEATURES))
         if not words:
             return out
         f = features(s)
@@ -154,19 +159,20 @@ class Grammar:
                     out[doc, setting] += weight[i]
                 elif PARTS[state][3] == 5 and threat != 5:
                     out[doc, REPORT if reported else NEGATED if negated else MENACE] += 3.0
+        out[:, -1] = 100 * out.sum(axis=1) / np.maximum(np.diff(s.at), 20)
         return out
 
     def probability(self, sums: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.coefficients[0] + np.log1p(sums) @ self.coefficients[1:])))
 
     def fit(self, sums: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 30) -> None:
-        """Ridge logistic regression by Newton steps; plain matches keep a positive weight by the data."""
+        """Ridge logistic regression by Newton steps; the intercept is hardly held back."""
         x = np.column_stack([np.ones(len(y)), np.log1p(sums)])
         b = np.zeros(x.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            penal = ridge * np.diag([1e-3] + [1.0] * 5)
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penal * max(1, len(y) ** 0.5) + 1e-9 * np.eye(6), x.T @ (y - p) - penal @ b * max(1, len(y) ** 0.5))
+            penal = ridge * np.diag([1e-3] + [1.0] * FEATURES)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penal * max(1, len(y) ** 0.5) + 1e-9 * np.eye(1 + FEATURES), x.T @ (y - p) - penal @ b * max(1, len(y) ** 0.5))
             b = b + np.clip(step, -2, 2)
         self.coefficients = b
 
@@ -208,11 +214,11 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000,
         for b in text_chunks(batches, "text"):
             y = b.column(1).to_numpy()
             m = sent.value.matches(b.column(0), y)
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, j]) for j in range(5)] + [pa.array(y)], [f"m{j}" for j in range(5)] + ["toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[:, j]) for j in range(FEATURES)] + [pa.array(y)], [f"m{j}" for j in range(FEATURES)] + ["toxic"])
 
     if t and c:
-        seen = rows.mapInArrow(match, ", ".join(f"m{j} double" for j in range(5)) + ", toxic int").toArrow()
-        grammar.fit(np.stack([seen.column(j).to_numpy() for j in range(5)], axis=1), seen.column(5).to_numpy())
+        seen = rows.mapInArrow(match, ", ".join(f"m{j} double" for j in range(FEATURES)) + ", toxic int").toArrow()
+        grammar.fit(np.stack([seen.column(j).to_numpy() for j in range(FEATURES)], axis=1), seen.column(FEATURES).to_numpy())
     return grammar
 
 
