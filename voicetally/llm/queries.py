@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store, toxicity
+from . import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,4 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lang_id": op10_lang_id,
 }
 
-ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": sql.DECONTAMINATION,
+    "op2_quality_rules": quality_rules.SQL,
+    "op4_jaccard_join": sql.JACCARD,
+    "op7_substring_dedup": sql.SUBSTRINGS,
+}
