@@ -22,7 +22,9 @@ from . import _words as W
 from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, drop_ids, materialize, most_frequent, runs_to_index, shuffle_parts, text_chunks
 from .components import components
 
-#: Neighbours that a member of an open group is held against in one round.
+#: Neighbours that a member of an open group is held against in the first such round; each further round reaches 16 times
+#: as far, and sizes and places rule most of those pairs out at once. Also: members outside a group's largest component
+#: that are held against the whole group.
 REACH = 64
 #: Members' sets in one prefix tree.
 TREE = 64
@@ -100,9 +102,9 @@ class Order:
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[at] == h, self.rank[at] + 1, 0)
 
-    def arrange(self, h: np.ndarray) -> np.ndarray:
-        """A sorted set in the global order."""
-        r = self.ranks(h)
+    def arrange(self, h: np.ndarray, r: np.ndarray | None = None) -> np.ndarray:
+        """A sorted set in the global order; r: its items' ranks, if known."""
+        r = self.ranks(h) if r is None else r
         late = np.flatnonzero(r)
         if not len(late):
             return h
@@ -223,7 +225,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
                 if size and node not in met:
                     met.add(node)
                     own.append(i)
-            rows = [order.value.arrange(flat[bounds[i] : bounds[i + 1]])[: lens[i] + (-num * lens[i] // den) + 1] for i in own]
+            ranks = order.value.ranks(flat)
+            rows = [order.value.arrange(flat[bounds[i] : bounds[i + 1]], ranks[bounds[i] : bounds[i + 1]])[: lens[i] + (-num * lens[i] // den) + 1] for i in own]
             size = np.array([len(r) for r in rows], np.int64)
             yield (np.concatenate(rows) if rows else flat[:0]), nodes[own], lens[own], size
 
@@ -269,16 +272,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         # tasks may each have sent a copy
         return text.select("text").mapInArrow(emit, "node long, items binary").dropDuplicates(["node"])
 
-    def links_among(pairs: DataFrame) -> DataFrame:
+    def links_among(pairs: DataFrame) -> DataFrame | None:
         near = materialize(_sketched(pairs, known, num, den), "join-near")
+        if near.isEmpty():
+            return None
         return materialize(settle(near, materialize(sets_of(near), "join-sets"), order, num, den, parts), "join-links")
 
     ends = groups.select("node").distinct()
     known = text.select("text").mapInArrow(sketch, "node long, size long, sketch binary").where("size > 0").join(ends, "node", "left_semi").dropDuplicates(["node"])
     known = materialize(known, "join-sketches")
     links = links_among(pairs)
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    done, settled = 0, None
+    if links is None:
+        links = pairs.where("false")
+    label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
+    done, reach, settled = 0, REACH, None
     while True:
         named = groups.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
         per = named.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"))
@@ -293,14 +300,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         few = rest.where(f"minor <= {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "in_major", "n", "node")
         many = rest.where(f"minor > {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
         more = few.select("sig", "n", "node", "pos", "c", "minor").mapInArrow(lambda it: _minor_pairs(it, num, den), "a long, b long")
-        more = more.unionByName(many.select("sig", "n", "node", "pos", "c").mapInArrow(lambda it, done=done: _neighbours(it, done, num, den), "a long, b long"))
+        more = more.unionByName(many.select("sig", "n", "node", "pos", "c").mapInArrow(lambda it, done=done, reach=reach: _neighbours(it, done, reach, num, den), "a long, b long"))
         more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "join-more")
         pairs = pairs.unionByName(more)
         now = rest.where(f"minor <= {REACH}").select("sig").distinct()
         settled = now if settled is None else settled.unionByName(now)
-        done += REACH
-        if not more.isEmpty():
-            links = links.unionByName(links_among(more))
+        done, reach = done + reach, 16 * reach
+        new = None if more.isEmpty() else links_among(more)
+        if new is not None:
+            links = links.unionByName(new)
             label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
     classes = summary.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # empty sets stay apart: their class is the row itself
@@ -413,8 +421,8 @@ def _minor_pairs(batches, num, den):
         head = [r[last : last + min(int(minor[last]), len(sig) - last)] for r in rows]
 
 
-def _neighbours(batches, done, num, den):
-    """Pairs of rows of one group, of different components, that stand done + 1 to done + REACH rows apart."""
+def _neighbours(batches, done, reach, num, den):
+    """Pairs of rows of one group, of different components, that stand done + 1 to done + reach rows apart."""
     tail = None
     for b in batches:
         rows = _columns(b)
@@ -423,13 +431,13 @@ def _neighbours(batches, done, num, den):
             old = len(tail[0])
             rows = [np.concatenate([t, r]) for t, r in zip(tail, rows)]
         sig, n, node, pos, c = rows[:5]
-        for d in range(done + 1, done + REACH + 1):
+        for d in range(done + 1, done + reach + 1):
             i = np.arange(max(0, old - d), len(sig) - d)
             i = i[(sig[i] == sig[i + d]) & (c[i] != c[i + d])] if len(i) else i
             if len(i):
                 i = i[_may_link(n[i], pos[i], n[i + d], pos[i + d], num, den)]
                 yield _batch([node[i], node[i + d]], ["a", "b"])
-        tail = [r[-(done + REACH) :] for r in rows]
+        tail = [r[-(done + reach) :] for r in rows]
 
 
 def _sketched(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
