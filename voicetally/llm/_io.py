@@ -117,7 +117,7 @@ def bloom_bits(df: DataFrame, key: str, log2_bits: int = 27) -> np.ndarray:
 
     hashed = df.select(F.col(key).alias("h")).repartition(BLOOM_SLICES, F.expr(f"(h >> 58) & {BLOOM_SLICES - 1}"))
     out = np.zeros((1 << log2_bits) // 8, np.uint8)
-    for r in hashed.mapInArrow(fill, "slice int, bits binary").toLocalIterator():
+    for r in hashed.mapInArrow(fill, "slice int, bits binary").collect():
         lo = r["slice"] * per // 8
         out[lo : lo + per // 8] |= np.frombuffer(r["bits"], np.uint8)
     return out
