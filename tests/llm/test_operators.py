@@ -441,6 +441,43 @@ def test_lm_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def expected_lm(tokens, out):
+    """Interpolated absolute discounting of words, pairs and triples, from all counts."""
+    words, pairs, triples = Counter(), Counter(), Counter()
+    for i, t in tokens.items():
+        if not out[i]:
+            s = ["<", *t]
+            words.update(t)
+            pairs.update(zip(s, s[1:]))
+            triples.update(zip(s, s[1:], s[2:]))
+    sums, kinds = Counter(), Counter()
+    for grams in (pairs, triples):
+        for g, n in grams.items():
+            sums[g[:-1]] += n
+            kinds[g[:-1]] += 1
+    base = sum(words.values()) + 0.1 * (len(words) + 1)
+
+    def p(g):
+        if len(g) == 1:
+            return (words[g[0]] + 0.1) / base
+        if not sums[g[:-1]]:
+            return p(g[1:])
+        n = (pairs if len(g) == 2 else triples)[g]
+        return (max(n - 0.6, 0) + 0.6 * kinds[g[:-1]] * p(g[1:])) / sums[g[:-1]]
+
+    return {i: sum(math.log10(p(tuple(["<", *t][max(0, j - 1) : j + 2]))) for j in range(len(t))) for i, t in tokens.items()}
+
+
+@pytest.mark.parametrize("parts,most", [(1, 1 << 20), (1, 0), (23, 1 << 20), (23, 30)])
+def test_lm_counts_every_ngram_whatever_the_partitioning(spark, docs, monkeypatch, parts, most):
+    monkeypatch.setattr(lm_score, "PART_WORDS", 2000)
+    rows = list({r[0]: r for r in documents()}.values())
+    tokens = {r[0]: [*SPACED.findall(low(r[1])), None] for r in rows}
+    want = expected_lm(tokens, {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens})
+    got = lm_score.score(docs.dropDuplicates(["doc_id"]).repartition(parts), fold(10, 0), max_words=most).collect()
+    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) <= 1e-9 * abs(want[r["doc_id"]]) for r in got)
+
+
 # --- 10: language ---
 
 

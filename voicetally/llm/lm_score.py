@@ -6,9 +6,12 @@ probability mass it leaves to its shorter context; the last state is the add-k u
 so each state's outgoing probabilities sum to 1. A text is scored in one pass from left to right: per token an arc of the
 longest context that has one, or failure arcs down to it.
 
-The automaton holds the n-grams counted most (at most `max_arcs` of each order; pairs are counted in chunks, and a chunk
-reports those it holds twice) and the `max_words` most frequent words, so its broadcast is bounded. All other words' exact
-counts stay distributed and are joined to the tokens that need them.
+All n-grams of the training documents are in the model, whatever their counts. Texts are packed into chunks of about
+`CHUNK_WORDS` tokens; a chunk asks for its distinct n-grams and tells how often it trains each. Parts by the hash of the
+context sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can walk.
+So memory depends on the sizes of chunks and parts, and counts not on the partitioning. Contexts that are frequent in a
+chunk are spread over all parts by the next word; only their totals (of at most `max_words` contexts) are broadcast.
+N-grams are named by 64-bit hashes.
 
 Null text is empty: its only token is the end. Repeated rows are trained on and scored each; extra columns are not read.
 """
@@ -21,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, as_long, binary_rows, cell_values, materialize, most_frequent, text_chunks
+from ._io import as_hash, binary_rows, cell_values, materialize, most_frequent, text_chunks
 
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
+#: The context of words.
+ROOT = np.uint64(0x51ED270B9F1C3A65)
 ADD = 0.1
 DISCOUNT = 0.6
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
+#: Tokens per part of the exchange of counts.
+PART_WORDS = 1_000_000
 
 
 def _streams(batches, column: int):
@@ -57,58 +64,6 @@ def _contexts(tokens: np.ndarray, bounds: np.ndarray):
     return prev, two, before, deep
 
 
-def _batch(columns, names):
-    return pa.RecordBatch.from_arrays([pa.array(as_long(c) if c.dtype == np.uint64 else c) for c in columns], names)
-
-
-def count_words(text: DataFrame) -> DataFrame:
-    def count(batches):
-        held, size = [], 0
-        for _, tokens, _ in _streams(batches, 0):
-            held.append(tokens)
-            size += len(tokens)
-            if size >= CHUNK_WORDS:
-                yield _batch(np.unique(np.concatenate(held), return_counts=True), ["h", "c"])
-                held, size = [], 0
-        if held:
-            yield _batch(np.unique(np.concatenate(held), return_counts=True), ["h", "c"])
-
-    return text.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def count_ngrams(text: DataFrame) -> DataFrame:
-    """n, key, context, lower (key of the n-gram without its first word), first, last, c: what chunks hold twice or more."""
-
-    def tally(parts):
-        tokens, prev, two, before, deep = (np.concatenate(x) for x in zip(*parts))
-        key, at, c = np.unique(two, return_index=True, return_counts=True)
-        own = c > 1
-        at2 = at[own]
-        yield _batch([np.full(len(at2), 2, np.int32), key[own], prev[at2], tokens[at2], prev[at2], tokens[at2], c[own]], NGRAM)
-        at = np.flatnonzero(deep)
-        key, first, c = np.unique(_pair(before[at], tokens[at]), return_index=True, return_counts=True)
-        own = c > 1
-        at3 = at[first[own]]
-        yield _batch([np.full(len(at3), 3, np.int32), key[own], before[at3], two[at3], prev[at3], tokens[at3], c[own]], NGRAM)
-
-    def count(batches):
-        held, size = [], 0
-        for _, tokens, bounds in _streams(batches, 0):
-            held.append((tokens, *_contexts(tokens, bounds)))
-            size += len(tokens)
-            if size >= CHUNK_WORDS:
-                yield from tally(held)
-                held, size = [], 0
-        if held:
-            yield from tally(held)
-
-    counted = text.mapInArrow(count, "n int, key long, context long, lower long, first long, last long, c long")
-    return counted.groupBy("n", "key").agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("context", "lower", "first", "last")])
-
-
-NGRAM = ["n", "key", "context", "lower", "first", "last", "c"]
-
-
 class Automaton:
     """Sorted tables: words (count, failure weight of the word as a state), pairs (arc, failure weight), triples (arc)."""
 
@@ -157,74 +112,236 @@ class Automaton:
         return count, p, missing
 
 
-def train(text: DataFrame, max_words: int = 1 << 20, max_arcs: int = 1 << 20) -> tuple[Automaton, DataFrame]:
-    """(the automaton, exact counts of the words it does not hold) from the training texts."""
-    counts = materialize(count_words(text), "lm-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    lines = text.count()
-    head = materialize(most_frequent(counts, "c", max_words), "lm-head")
-    tail = counts.join(head.select("h"), "h", "left_anti") if distinct > max_words else counts.where("false")
-    denominator = float(total + ADD * (distinct + 1))
-    uni = head.select("h", "c", ((F.col("c") + ADD) / denominator).alias("p"))
-    grams = materialize(count_ngrams(text), "lm-grams")
-    context = uni.select(F.col("h").alias("context"), F.col("c").alias("context_c")).unionByName(text.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)), lines)], "context long, context_c long"))
-    kept = F.col("c") - DISCOUNT
-    two = most_frequent(grams.where("n = 2 and c > 2"), "c", max_arcs).join(context, "context").join(uni.select(F.col("h").alias("last"), "p"), "last")
-    fail = two.groupBy("context").agg((1 - F.sum(kept) / F.max("context_c")).alias("fail"))
-    two = materialize(two.join(fail, "context").select("key", "context", "c", (kept / F.col("context_c") + F.col("fail") * F.col("p")).alias("p")), "lm-two")
-    fail = materialize(fail, "lm-fail")
-    three = grams.where("n = 3").join(two.select(F.col("key").alias("context"), F.col("c").alias("context_c")), "context")
-    three = most_frequent(materialize(three, "lm-triples"), "c", max_arcs)
-    three = three.join(two.select(F.col("key").alias("lower"), F.col("p").alias("p2")), "lower", "left").join(fail.select(F.col("context").alias("first"), F.col("fail").alias("fail1")), "first", "left").join(uni.select(F.col("h").alias("last"), F.col("p").alias("p1")), "last")
-    fail2 = three.groupBy("context").agg((1 - F.sum(kept) / F.max("context_c")).alias("fail"))
-    three = three.join(fail2, "context").select("key", (kept / F.col("context_c") + F.col("fail") * F.coalesce("p2", F.coalesce("fail1", F.lit(1.0)) * F.col("p1"))).alias("p"))
-
-    def arrays(df: DataFrame):
-        t = df.toArrow()
-        key = as_hash(t.column(0))
-        order = np.argsort(key, kind="stable")
-        return [key[order], *[t.column(i).to_numpy()[order] for i in range(1, t.num_columns)]]
-
-    words = arrays(head.join(fail.withColumnRenamed("context", "h"), "h", "left").select("h", "c", F.log10(F.coalesce("fail", F.lit(1.0)))))
-    pairs = arrays(two.join(fail2.withColumnRenamed("context", "key"), "key", "left").select("key", F.log10("p"), F.log10(F.coalesce("fail", F.lit(1.0)))))
-    triples = arrays(three.select("key", F.log10("p")))
-    begin = fail.where(F.col("context") == int(BEGIN.view(np.int64))).first()
-    return Automaton(words, pairs, triples, float(np.log10(begin["fail"])) if begin else 0.0, int(total), int(distinct)), tail
-
-
-def score(docs: DataFrame, held_out, max_words: int = 1 << 20, max_arcs: int = 1 << 20) -> DataFrame:
-    """All documents scored by the model of those that are not held out (a boolean column expression)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    model, tail = train(rows.where("not held_out").select("text"), max_words, max_arcs)
-    known = docs.sparkSession.sparkContext.broadcast(model)
+class Items:
+    """Distinct n-grams of a chunk, ordered by part and context: context (ROOT of words), last word, how often trained."""
 
-    def walk(batches):
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, trained: np.ndarray, hot: np.ndarray, parts: int):
+        prev, two, before, deep = _contexts(tokens, bounds)
+        deep = np.flatnonzero(deep)
+        n = len(tokens)
+        context = np.concatenate([np.full(n, ROOT), prev, before[deep]])
+        key = np.concatenate([_pair(np.full(n, ROOT), tokens), two, _pair(before[deep], tokens[deep])])
+        order = np.argsort(key)
+        first = np.flatnonzero(_changes(key[order]))
+        place = np.concatenate([np.arange(n), np.arange(n), deep])
+        c = np.add.reduceat(trained[place[order]].astype(np.int64), first) if n else np.zeros(0, np.int64)
+        at = order[first]
+        key, context = key[at], context[at]
+        spread = W.mix(np.where(_has(hot, context), key, context))
+        part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.lexsort((context, part))
+        at = at[order]
+        self.key, self.context, self.part, self.c = key[order], context[order], part[order].astype(np.int64), c[order]
+        self.n = np.where(at < n, 1, np.where(at < 2 * n, 2, 3))
+        self.last, self.lower = tokens[place[at]], two[place[at]]
+        self.new = _changes(self.context) | _changes(self.part)
+
+
+def _changes(a: np.ndarray) -> np.ndarray:
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return new
+
+
+def _has(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return Automaton._find(keys, q)[1]
+
+
+def _chunks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, held_out, text) packed: one row per chunk, with the contexts that are frequent in it."""
+
+    def chunk(held):
+        tokens, lens = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+        words, local = np.unique(tokens, return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        prev, two, _, _ = _contexts(tokens, bounds)
+        context, n = np.unique(np.concatenate([prev, two]), return_counts=True)
+        own = n >= max(16, len(tokens) >> 12)
+        cell = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), pa.concat_arrays([h[i] for h in held])) for i in (0, 1)]
+        packed = pa.array([pa.compress(local.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([len(tokens)]), *lists, cell(lens.astype(np.int64)), cell(words), packed, cell(context[own]), cell(n[own].astype(np.int64))], ["n", "ids", "held", "lens", "words", "tokens", "hot", "hot_n"])
+
+    def pack(batches):
+        held, n = [], 0
         for b, tokens, bounds in _streams(batches, 2):
-            count, p, missing = known.value.score(tokens, bounds)
-            here = count >= 0
-            base = np.where(here, known.value.unigram(np.maximum(count, 0)), 0.0)
-            cut = bounds[:-1]
-            rare = np.flatnonzero(~here)
-            at = np.searchsorted(rare, bounds)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(here.astype(np.int64), cut)), pa.array(np.add.reduceat(base, cut)), pa.array(np.add.reduceat(p, cut)), binary_rows(tokens[rare], at), binary_rows(missing[rare], at)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "open"],
-            )
+            held.append((b.column(0), b.column(1), tokens, np.diff(bounds)))
+            n += len(tokens)
+            if n >= size:
+                yield chunk(held)
+                held, n = [], 0
+        if held:
+            yield chunk(held)
+
+    made = rows.mapInArrow(pack, "n long, ids array<long>, held array<boolean>, lens binary, words binary, tokens binary, hot binary, hot_n binary")
+    return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+
 
-    part = rows.mapInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare binary, open binary")
-    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, bounds, which tokens are trained on) of a chunk."""
+    local = np.frombuffer(pa.decompress(row["tokens"], decompressed_size=4 * row["n"], codec="zstd", asbytes=True), np.uint32)
+    lens = np.frombuffer(row["lens"], np.int64)
+    trained = np.repeat(np.array([h is False for h in row["held"]], bool), lens)
+    return np.frombuffer(row["words"], np.uint64)[local], np.concatenate([[0], np.cumsum(lens)]), trained
 
-    def rare_tokens(batches):
+
+def _exchange(chunks: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """Per chunk and part, in the order of the chunk's Items: exact counts, and of each context its total and followers;
+    of the spread contexts, a part's share of both (chunk null, contexts in place of counts)."""
+    known = chunks.sparkSession.sparkContext.broadcast(hot)
+
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                t = Items(*_unpack(row), known.value, parts)
+                edge = np.append(np.flatnonzero(_changes(t.part)), len(t.part))
+                first = np.flatnonzero(t.new)
+                lens = np.diff(np.append(first, len(t.new)))
+                inner = np.searchsorted(first, edge)
+                # six bytes of the last word's hash tell the words after one context apart
+                last = t.last.view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
+                own = len(edge) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t.part[edge[:-1]]), pa.array(np.full(own, row["chunk"])), binary_rows(t.context[first], inner), binary_rows(lens.astype(np.uint32), inner), binary_rows(last, edge * 6), binary_rows(t.c.astype(np.uint32), edge)],
+                    ["part", "chunk", "context", "lens", "last", "c"],
+                )
+
+    def answer(table):
+        table = table.combine_chunks()
+        cell = lambda name, kind: cell_values(table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0), kind)
+        context, inner = cell("context", np.uint64)
+        lens, _ = cell("lens", np.uint32)
+        last, at6 = cell("last", np.uint8)
+        c, edge = cell("c", np.uint32)
+        wide = np.zeros((len(c), 8), np.uint8)
+        wide[:, 2:] = last.reshape(-1, 6)
+        key = _pair(np.repeat(context, lens), wide.view(np.uint64).reshape(-1))
+        order = np.argsort(key)
+        new = _changes(key[order])
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(c[order].astype(np.int64), first)
+        counts = np.empty(len(c), np.int64)
+        counts[order] = sums[np.cumsum(new) - 1]
+        names, which = np.unique(context, return_inverse=True)
+        owner = np.repeat(which, lens)[order[first]]
+        total = np.bincount(owner, sums, len(names)).astype(np.int64)
+        follow = np.bincount(owner, sums > 0, len(names)).astype(np.int64)
+        spread = _has(known.value, names)
+        part = table.column("part")[0].as_py()
+        rows = pa.Table.from_arrays([pa.array(np.full(table.num_rows, part)), table.column("chunk"), binary_rows(counts, edge), binary_rows(total[which], inner), binary_rows(follow[which], inner)], names=ANSWER)
+        share = [pa.array([a[spread].tobytes()], pa.binary()) for a in (names, total, follow)]
+        return pa.concat_tables([rows, pa.Table.from_arrays([pa.array([part]), pa.array([None], pa.int64()), *share], names=ANSWER)])
+
+    asked = chunks.mapInArrow(ask, "part long, chunk long, context binary, lens binary, last binary, c binary")
+    return materialize(asked.groupBy("part").applyInArrow(answer, "part long, chunk long, counts binary, total binary, follow binary"), "lm-answers")
+
+
+ANSWER = ["part", "chunk", "counts", "total", "follow"]
+
+
+def _flat(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells of equally many 64-bit values as rows."""
+
+    def flat(batches):
         for b in batches:
-            h, at = cell_values(b.column(1), np.uint64)
-            o, _ = cell_values(b.column(2), np.uint8)
-            row = np.repeat(b.column(0).to_numpy(), np.diff(at))
-            yield _batch([row, h, o.astype(np.int64)], ["row", "h", "open"])
-
-    rare = part.where("length(rare) > 0").select("row", "rare", "open").mapInArrow(rare_tokens, "row long, h long, open long")
-    c = F.coalesce("c", F.lit(0))
-    logp = F.log10((c + ADD) / F.lit(float(model.denominator)))
-    late = rare.join(tail, "h", "left").groupBy("row").agg(F.sum(logp).alias("more_base"), F.sum(F.col("open") * logp).alias("more"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("more_known"))
-    whole = part.drop("rare", "open").join(late, "row", "left")
-    zero = F.lit(0.0)
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"))
+            yield pa.RecordBatch.from_arrays([pa.array(cell_values(c, np.int64)[0]) for c in b.columns], columns)
+
+    return df.select(*columns).mapInArrow(flat, ", ".join(f"{c} long" for c in columns))
+
+
+def _automaton(t: Items, answers: list[dict], totals) -> Automaton:
+    """The automaton of the arcs of a chunk's n-grams, from the answers to its Items."""
+    answers = sorted(answers, key=lambda r: r["part"])
+    c, total, follow = (np.frombuffer(b"".join(r[name] for r in answers), np.int64) for name in ANSWER[2:])
+    entry = np.cumsum(t.new) - 1
+    total, follow = total[entry], follow[entry]
+    hot, hot_total, hot_follow = totals
+    at, spread = Automaton._find(hot, t.context)
+    if spread.any():
+        total, follow = np.where(spread, hot_total[at], total), np.where(spread, hot_follow[at], follow)
+    root = np.flatnonzero(hot == ROOT)
+    every, distinct = (int(hot_total[root[0]]), int(hot_follow[root[0]])) if len(root) else (0, 0)
+    model = Automaton(None, None, None, 0.0, every, distinct)
+    fail = np.where(total > 0, DISCOUNT * follow / np.maximum(total, 1), 1.0)
+    context, first = np.unique(t.context, return_index=True)
+    fail_of = fail[first]
+
+    def after(keys):
+        at, known = Automaton._find(context, keys)
+        return np.where(known, fail_of[at], 1.0)
+
+    def arcs(n, lower, lower_p):
+        own = np.flatnonzero((t.n == n) & (c > 0))
+        own = own[np.argsort(t.key[own])]
+        at, _ = Automaton._find(lower, t.last[own] if n == 2 else t.lower[own])
+        return t.key[own], (c[own] - DISCOUNT) / total[own] + fail[own] * (lower_p[at] if len(own) else np.zeros(0))
+
+    own = np.flatnonzero(t.n == 1)
+    own = own[np.argsort(t.last[own])]
+    words, counts = t.last[own], c[own]
+    two, p2 = arcs(2, words, (counts + ADD) / model.denominator)
+    three, p3 = arcs(3, two, p2)
+    model.words = [words, counts, np.log10(after(words))]
+    model.pairs = [two, np.log10(p2), np.log10(after(two))]
+    model.triples = [three, np.log10(p3)]
+    model.begin_fail = float(np.log10(after(np.array([BEGIN])))[0])
+    return model
+
+
+def _prepare(rows: DataFrame, max_words: int):
+    """(chunks, answers, spread contexts with their totals and followers, parts) of rows (doc_id, held_out, text)."""
+    chunks = _chunks(rows, CHUNK_WORDS)
+    often = _flat(chunks, ["hot", "hot_n"]).groupBy("hot").agg(F.sum("hot_n").alias("hot_n"))
+    hot = as_hash(most_frequent(materialize(often, "lm-hot"), "hot_n", max_words).select("hot").toArrow().column(0))
+    hot = np.unique(np.append(hot, ROOT))
+    parts = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
+    answers = _exchange(chunks, hot, parts)
+    share = _flat(answers.where("chunk is null"), ANSWER[2:]).groupBy("counts").agg(F.sum("total").alias("total"), F.sum("follow").alias("follow")).toArrow()
+    name = as_hash(share.column(0))
+    order = np.argsort(name)
+    totals = [name[order], *[share.column(i).to_numpy()[order].astype(np.int64) for i in (1, 2)]]
+    return chunks, answers.where("chunk is not null"), totals, (hot, parts)
+
+
+def train(text: DataFrame, max_words: int = 1 << 20) -> tuple[Automaton, int]:
+    """(the whole automaton of the training texts, tokens in them), gathered on the driver: for small tables only."""
+    rows = text.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    chunks, answers, totals, plan = _prepare(rows, max_words)
+    replies = answers.toArrow().to_pylist()
+    models = [_automaton(Items(*_unpack(r), *plan), [a for a in replies if a["chunk"] == r["chunk"]], totals) for r in chunks.toArrow().to_pylist()]
+    if not models:
+        none = np.zeros(0)
+        return Automaton([none.astype(np.uint64), none, none], [none.astype(np.uint64), none, none], [none.astype(np.uint64), none], 0.0, 0, 0), 0
+    whole = models[0]
+    for name in ("words", "pairs", "triples"):
+        tables = [np.concatenate(x) for x in zip(*[getattr(m, name) for m in models])]
+        _, at = np.unique(tables[0], return_index=True)
+        setattr(whole, name, [x[at] for x in tables])
+    return whole, whole.total
+
+
+def score(docs: DataFrame, held_out, max_words: int = 1 << 20) -> DataFrame:
+    """All documents scored by the model of those that are not held out (a boolean column expression)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    chunks, answers, totals, plan = _prepare(rows, max_words)
+    known = docs.sparkSession.sparkContext.broadcast((totals, plan))
+
+    def walk(chunk, replies):
+        totals, plan = known.value
+        out = []
+        for row in chunk.to_pylist():
+            tokens, bounds, trained = _unpack(row)
+            model = _automaton(Items(tokens, bounds, trained, *plan), replies.to_pylist(), totals)
+            count, p, _ = model.score(tokens, bounds)
+            cut = bounds[:-1]
+            n = len(cut)
+            sums = [np.diff(bounds), np.add.reduceat((count > 0).astype(np.int64), cut), np.full(n, model.total), np.add.reduceat(model.unigram(count), cut), np.add.reduceat(p, cut)]
+            out.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *[pa.array(x) for x in sums]], names=RESULT))
+        return pa.concat_tables(out)
+
+    packed = chunks.select("chunk", "n", "ids", "held", "lens", "words", "tokens")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
