@@ -322,6 +322,25 @@ def test_long_transcripts_are_settled_in_parts(spark, monkeypatch):
     assert whole.close() == parts.close()
 
 
+def test_transcripts_are_whole(spark):
+    """Over 1000 turns, over 16 roles, blank lines inside turns: all turns come out, and whole."""
+    text = lambda t: f"turn {t}\n\nafter a blank line"
+    turns = [(1, t, ["user", "assistant"][t % 2], text(t)) for t in range(1500)]
+    turns += [(2 + r, t, f"role{r:02}", "words") for r in range(20) for t in range(2)]
+    conv = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    lines = chat_format.transcripts(conv)
+    assert "blank" not in lines.columns and lines.where("role is null and line = ''").count() > 100
+    model = chat_format.train(lines, F.lit(False))
+    assert len(model.roles) == 22
+    got = sorted((r for r in chat_format.parse(lines, model).where("conv_id = 1").collect()), key=lambda r: r["turn"])
+    want = [f"<|{r}|>\n{x}\n<|end|>\n" for c, _, r, x in turns if c == 1]
+    right = sum(g["rendered"] == w for g, w in zip(got, want))
+    one = {r["conv_id"]: r for r in chat_format.recover(spark, conv, F.lit(False)).collect()}[1]
+    assert len(got) == 1500 and right >= 1490
+    assert one["n_turns"] == 1500 and one["roles"] == "ua" * 750
+    assert one["rendered_sha256"] == hashlib.sha256("".join(g["rendered"] for g in got).encode()).hexdigest()
+
+
 # --- 7: substring dedup ---
 
 

@@ -1,18 +1,22 @@
 """Transcript parsing by a hidden Markov model, and canonical rendering of the turns it finds.
 
-States are (role, first or later line of a turn); a line is seen as its speaker marker, whether a blank line stands before
-it, its length class and whether it asks. Transition and emission counts come from labelled transcripts (add-one), Viterbi
-recovers the states of a whole transcript, and turns are rendered as `<|role|>`, the lines without marker, `<|end|>`.
+States are (role, first or later line of a turn); a line is seen as its speaker marker, whether the line before it is
+blank, its length class and whether it asks. Transition and emission counts come from labelled transcripts (add-one) and all
+their roles, Viterbi recovers the states of a whole transcript, and turns are rendered as `<|role|>`, the lines without
+marker, `<|end|>`: one row per turn, uncut.
 
 Lines of a transcript are streamed in order. Up to 2 * LAG lines are decoded at once; of a longer transcript LAG lines are
-settled at a time, so memory is bounded however long one is. Blank lines belong to the turn they stand in and end no turn
-of themselves. Null lines are empty lines, a null transcript id is an id of its own, a transcript of blank lines only has
-no turns, equal positions are ordered by their text; an empty table gives an empty result.
+settled at a time, so memory depends on the length of turns only. Blank lines have no state: they belong to the turn they
+stand in (before the first turn, to that one) and end no turn of themselves; but one blank line just before the first line
+of a turn without marker parts the turns and belongs to neither. Null lines are empty lines, a null transcript id is an id
+of its own, a transcript of blank lines only has no turns (one row with a null turn), equal positions are ordered by their
+text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +31,19 @@ _NAMES = "|".join(sorted((w for ws in MARKERS.values() for w in ws), key=lambda
 MARKER = rf"(?i)^\s*(?:#+\s*|\*\*|\[|<\|?)?({_NAMES})\s*(?:\*\*)?\s*(?::|\]|\|?>)(?:\*\*)?\s*"
 LAG = 2048
 N_MARK, N_LEN = 4, 4
+TURNS = "conv_id long, turn long, role string, rendered string, n_lines long, n_known long, n_right long"
 RESULT = "conv_id long, n_lines long, n_turns long, roles string, rendered_sha256 string, n_known long, n_right long"
 
 
 def observe(lines: DataFrame) -> DataFrame:
-    """Adds to (conv_id, pos, line): mark (0 none, 1.. by MARKERS), len class, asks, and body, the line without its marker."""
+    """Adds to (conv_id, pos, line): mark (0 none, 1.. by MARKERS), len class, asks, blank, and body, the line without its marker."""
     line = F.coalesce("line", F.lit(""))
     name = F.lower(F.regexp_extract(line, MARKER, 1))
     mark: Column = F.lit(0)
     for i, words in enumerate(MARKERS.values(), 1):
         mark = F.when(name.isin(*words), i).otherwise(mark)
     n = F.length(line)
-    return lines.withColumns({"mark": mark, "len": F.when(n == 0, 0).when(n < 40, 1).when(n < 200, 2).otherwise(3), "asks": F.when(line.rlike(r"\?\s*$"), 1).otherwise(0), "body": F.regexp_replace(line, MARKER, "")})
+    return lines.withColumns({"mark": mark, "len": F.when(n == 0, 0).when(n < 40, 1).when(n < 200, 2).otherwise(3), "asks": F.when(line.rlike(r"\?\s*$"), 1).otherwise(0), "blank": F.when(line.rlike(r"^\s*$"), 1).otherwise(0), "body": F.regexp_replace(line, MARKER, "")})
 
 
 class Model:
@@ -50,11 +55,9 @@ class Model:
         self.start, self.step = log(start), log(step)
         self.mark, self.length, self.asks, self.blank = log(mark), log(length), log(asks), log(blank)
         never = -1e9
-        for r in range(len(roles)):
-            self.start[2 * r + 1] = never
-            for other in range(len(roles)):
-                if other != r:
-                    self.step[2 * r : 2 * r + 2, 2 * other + 1] = never
+        self.start[1::2] = never
+        of = np.arange(2 * len(roles)) // 2
+        self.step[(of[:, None] != of) & (np.arange(len(of)) % 2 == 1)] = never
 
     def emit(self, mark, length, asks, blank) -> np.ndarray:
         return self.mark[:, mark] + self.length[:, length] + self.asks[:, asks] + self.blank[:, blank]
@@ -76,52 +79,91 @@ class Model:
         return path, best - best.max()
 
 
-def train(turns: DataFrame, held_out: Column, max_roles: int = 16) -> Model:
+def train(turns: DataFrame, held_out: Column) -> Model:
     """Counts over all labelled lines (conv_id, turn, k, line, role; ordered by turn and k) that are not held out.
 
-    Steps within a turn follow from its lines; steps between turns are counted on the turns alone, so no line is shuffled.
+    A transcript's lines pass in order, without their text, so that blank lines before them are seen as parse() sees them.
     """
-    rows = observe(turns.where(~held_out & F.col("role").isNotNull()))
-    top = rows.groupBy("role").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "role").limit(max_roles).collect()
-    roles = sorted(r["role"] for r in top)
+
+    def tally(batches):
+        counts: Counter = Counter()
+        now, turn, last, gap = object(), None, None, 0
+        for b in batches:
+            for conv, t, mark, length, asks, blank, role in zip(*[c.to_pylist() for c in b.columns]):
+                if conv != now:
+                    now, turn, last, gap = conv, None, "", 0
+                if blank:
+                    gap = 1
+                    continue
+                if role is None:
+                    last = None
+                else:
+                    state = (role, int(t == turn))
+                    if last == "":
+                        counts["start", *state, "", 0] += 1
+                    elif last is not None:
+                        counts["step", *last, *state] += 1
+                    for name, value in (("mark", mark), ("len", length), ("asks", asks), ("blank", gap)):
+                        counts[name, *state, "", value] += 1
+                    last = state
+                turn, gap = t, 0
+        rows = [(*k, n) for k, n in counts.items()]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "role", "later", "next", "value", "n"])
+
+    rows = _in_order(turns.where(~held_out), ["conv_id", "turn", "mark", "len", "asks", "blank", "role"])
+    counted = rows.mapInArrow(tally, "kind string, role string, later int, next string, value int, n long")
+    found = counted.groupBy("kind", "role", "later", "next", "value").agg(F.sum("n").alias("n")).collect()
+    roles = sorted({r["role"] for r in found}) or ["user"]
+    at = {r: 2 * i for i, r in enumerate(roles)}
     size = 2 * len(roles)
-    at = {r: i for i, r in enumerate(roles)}
-    start, step = np.zeros(size), np.zeros((size, size))
-    tables = {"mark": np.zeros((size, N_MARK)), "len": np.zeros((size, N_LEN)), "asks": np.zeros((size, 2)), "blank": np.zeros((size, 2))}
-    if not roles:
-        return Model(["user"], np.zeros(2), np.zeros((2, 2)), np.zeros((2, N_MARK)), np.zeros((2, N_LEN)), np.zeros((2, 2)), np.zeros((2, 2)))
-    seen = rows.where(F.col("role").isin(*roles)).withColumn("later", (F.col("k") > 0).cast("int"))
-    for r in seen.groupBy("role", "later", "mark", "len", "asks", F.col("blank").alias("blank")).agg(F.count("*").alias("n")).collect():
-        s = 2 * at[r["role"]] + r["later"]
-        for name, table in tables.items():
-            table[s, r[name]] += r["n"]
-    per_turn = seen.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.count("*").alias("lines"))
-    follow = per_turn.join(per_turn.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next")), ["conv_id", "turn"], "left")
-    many = F.when(F.col("lines") > 1, 1).otherwise(0)
-    for r in follow.groupBy("role", "next", many.alias("many"), (F.col("turn") == 0).alias("opens")).agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).collect():
-        a = 2 * at[r["role"]]
-        if r["opens"]:
-            start[a] += r["n"]
-        if r["many"]:
-            step[a, a + 1] += r["n"]
-            step[a + 1, a + 1] += r["lines"] - 2 * r["n"]
-        if r["next"] is not None:
-            step[a + r["many"], 2 * at[r["next"]]] += r["n"]
-    return Model(roles, start, step, tables["mark"], tables["len"], tables["asks"], tables["blank"])
+    tables = {"start": np.zeros((size, 1)), "step": np.zeros((size, size)), "mark": np.zeros((size, N_MARK)), "len": np.zeros((size, N_LEN)), "asks": np.zeros((size, 2)), "blank": np.zeros((size, 2))}
+    for r in found:
+        column = at[r["next"]] + r["value"] if r["kind"] == "step" else r["value"]
+        tables[r["kind"]][at[r["role"]] + r["later"], column] += r["n"]
+    return Model(roles, tables["start"][:, 0], tables["step"], tables["mark"], tables["len"], tables["asks"], tables["blank"])
+
+
+def _in_order(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Observed lines, whole transcripts in one task and in order."""
+    spark = lines.sparkSession
+    keys = ["conv_id", "turn", "k", "line"]
+    return observe(lines).repartition(shuffle_parts(spark), "conv_id").sortWithinPartitions(*keys).select(*columns)
 
 
 class _Transcript:
-    """One transcript as it streams by: open lines, what is settled, the open turn and the digest of the rendering."""
+    """One transcript as it streams by: open lines, the open turn, and the turns that are done (rows of TURNS)."""
 
     def __init__(self, key, model: Model):
         self.key, self.model, self.before = key, model, None
         self.rows: list[tuple] = []
-        self.n_lines = self.n_turns = self.n_known = self.n_right = 0
-        self.roles: list[str] = []
-        self.sha, self.role = hashlib.sha256(), None
+        self.blanks: list[tuple] = []
+        self.turns: list[tuple] = []
+        self.n_turns, self.role = 0, None
+        self._open()
+
+    def _open(self) -> None:
+        self.text: list[str] = []
+        self.n_known = self.n_right = 0
+
+    def _take(self, body: str, truth) -> None:
+        self.text.append(body)
+        self.n_known += truth is not None
+        self.n_right += truth is not None and truth == self.role
+
+    def _end(self) -> None:
+        rendered = "".join([f"<|{self.role}|>\n", *[f"{t}\n" for t in self.text], "<|end|>\n"])
+        self.turns.append((self.key, self.n_turns, self.role, rendered, len(self.text), self.n_known, self.n_right))
+        self.n_turns += 1
+        self._open()
 
     def add(self, row: tuple) -> None:
-        self.rows.append(row)
+        mark, length, asks, blank, body, truth = row
+        if blank:
+            self.blanks.append((body, truth))
+            return
+        self.rows.append((mark, length, asks, int(bool(self.blanks)), body, truth, self.blanks))
+        self.blanks = []
         if len(self.rows) >= 2 * LAG:
             self._settle(LAG)
 
@@ -134,58 +176,97 @@ class _Transcript:
         if upto < len(self.rows):
             # scores after the last settled line, for the lines that follow
             _, self.before = self.model.decode(emitted[:, :upto], self.before)
-        for (*_, body, truth), state in zip(self.rows[:upto], path[:upto].tolist()):
+        for (mark, *_, body, truth, blanks), state in zip(self.rows[:upto], path[:upto].tolist()):
             role = self.model.roles[state // 2]
-            if state % 2 == 0 or role != self.role:
-                if self.role is not None:
-                    self.sha.update(b"<|end|>\n")
-                self.sha.update(f"<|{role}|>\n".encode())
-                self.role, self.n_turns = role, self.n_turns + 1
-                if len(self.roles) < 1000:
-                    self.roles.append(role[:1])
-            self.sha.update(body.encode() + b"\n")
-            self.n_lines += 1
-            self.n_known += truth is not None
-            self.n_right += truth == role
+            starts = state % 2 == 0 or role != self.role
+            if starts and not mark:
+                blanks = blanks[:-1]
+            if starts and self.role is not None:
+                for b in blanks:
+                    self._take(*b)
+                blanks = []
+                self._end()
+            self.role = role
+            for b in (*blanks, (body, truth)):
+                self._take(*b)
         self.rows = self.rows[upto:]
 
-    def close(self) -> tuple:
+    def close(self) -> list[tuple]:
         self._settle(len(self.rows))
+        for b in self.blanks:
+            self._take(*b)
         if self.role is not None:
-            self.sha.update(b"<|end|>\n")
-        return self.key, self.n_lines, self.n_turns, "".join(self.roles), self.sha.hexdigest(), self.n_known, self.n_right
+            self._end()
+        else:
+            self.turns.append((self.key, None, None, None, len(self.text), self.n_known, 0))
+        return self.turns
+
+
+def _turns(batches, model: Model):
+    """Lists of rows of TURNS from batches of lines in order."""
+    now = None
+    for b in batches:
+        done = []
+        for key, *row in zip(*[c.to_pylist() for c in b.columns]):
+            if now is None or key != now.key:
+                if now is not None:
+                    done += now.close()
+                now = _Transcript(key, model)
+            now.add(tuple(row))
+        if now is not None:
+            done, now.turns = done + now.turns, []
+        yield done
+    if now is not None:
+        yield now.close()
 
 
-def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """Per transcript of (conv_id, turn, k, line, blank, role): what the chain recovers. role may be null; it is only compared.
+_LINE = ["conv_id", "mark", "len", "asks", "blank", "body", "role"]
 
-    roles holds the first letters of the first 1000 turns' roles; the digest covers the whole rendering.
-    """
+
+def parse(lines: DataFrame, model: Model) -> DataFrame:
+    """The turns of (conv_id, turn, k, line, role) as the chain recovers them, each with its whole rendering, its lines,
+    those whose role is given and those of them that are right. role may be null; it is only compared."""
     known = lines.sparkSession.sparkContext.broadcast(model)
-    cols = ["conv_id", "mark", "len", "asks", "blank", "body", "role"]
-    rows = observe(lines).repartition(shuffle_parts(lines.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "k", "line").select(*cols)
 
     def walk(batches):
-        now, done = None, []
-        for b in batches:
-            for key, *row in zip(*[c.to_pylist() for c in b.columns]):
-                if now is None or key != now.key:
+        for done in _turns(batches, known.value):
+            yield _rows(done, TURNS)
+
+    return _in_order(lines, _LINE).mapInArrow(walk, TURNS)
+
+
+def summary(lines: DataFrame, model: Model) -> DataFrame:
+    """Per transcript what parse() recovers: first letters of all turns' roles, and the digest of all renderings. Both come
+    from the turns in the pass that makes them."""
+    known = lines.sparkSession.sparkContext.broadcast(model)
+
+    def fold(batches):
+        now, sha, sums, roles = None, None, None, []
+
+        def row():
+            return (now[0], sums[0], len(roles), "".join(roles), sha.hexdigest(), sums[1], sums[2])
+
+        for done in _turns(batches, known.value):
+            out = []
+            for key, turn, role, rendered, *n in done:
+                if now is None or now[0] != key:
                     if now is not None:
-                        done.append(now.close())
-                    now = _Transcript(key, known.value)
-                now.add(tuple(row))
-            yield _rows(done)
-            done = []
+                        out.append(row())
+                    now, sha, sums, roles = (key,), hashlib.sha256(), [0, 0, 0], []
+                if turn is not None:
+                    roles.append(role[:1])
+                    sha.update(rendered.encode())
+                sums = [a + b for a, b in zip(sums, n)]
+            yield _rows(out, RESULT)
         if now is not None:
-            yield _rows([now.close()])
+            yield _rows([row()], RESULT)
 
-    return rows.mapInArrow(walk, RESULT)
+    return _in_order(lines, _LINE).mapInArrow(fold, RESULT)
 
 
-def _rows(done: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    names = ["conv_id", "n_lines", "n_turns", "roles", "rendered_sha256", "n_known", "n_right"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
+def _rows(done: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], {"long": pa.int64(), "string": pa.string()}[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
 #: Marker styles in which transcripts are written, by role.
@@ -194,18 +275,19 @@ STYLES = [{"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Raw transcript lines of a table of turns: a marker in the conversation's style, or, for a tenth of the turns (by a
-    hash), none but a blank line before. Lines keep their turn's role for training and comparison."""
+    hash), none but a blank line before. Lines keep their turn's role for training and comparison, that blank line has none."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     mark = F.lit("")
     for i, s in enumerate(STYLES):
         for role, text in s.items():
             mark = F.when((style == i) & (F.col("role") == role), text).otherwise(mark)
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10)) == 0
-    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.concat(F.when(bare, "").otherwise(mark), F.coalesce("text", F.lit(""))).alias("t"), bare.alias("bare"))
+    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.concat(F.when(bare, "\n").otherwise(mark), F.coalesce("text", F.lit(""))).alias("t"), bare.alias("bare"))
     each = c.select("conv_id", "turn", "role", "bare", F.posexplode(F.split("t", "\n")).alias("k", "line"))
-    return each.select("conv_id", "turn", "k", "line", F.when(F.col("bare") & (F.col("k") == 0), 1).otherwise(0).alias("blank"), "role")
+    k = F.col("k") - F.col("bare").cast("int")
+    return each.select("conv_id", "turn", k.alias("k"), "line", F.when(k >= 0, F.col("role")).alias("role"))
 
 
 def recover(spark: SparkSession, conversations: DataFrame, held_out: Column) -> DataFrame:
     lines = transcripts(conversations)
-    return parse(lines, train(lines, held_out))
+    return summary(lines, train(lines, held_out))
