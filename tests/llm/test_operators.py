@@ -109,6 +109,17 @@ def test_decontamination(spark, docs, most):
     assert decontamination.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_decontamination_by_parts_equals_the_broadcast(spark, docs):
+    """Row by row, with null ids, repeated rows, ids of several texts and items of equal ids."""
+    odd = [(None, documents()[7][1]), (None, "no such words"), (None, "no such words"), (3, documents()[7][1]), (3, "clean text of an id with another text")]
+    every = docs.unionByName(frame(spark, [(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in odd]))
+    bench = spark.createDataFrame([*bench_rows(), bench_rows()[0], (1, "no such")], "item_id long, text string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    got = decontamination.decontaminate(every, bench, max_broadcast_words=150)
+    assert key(got) == key(decontamination.decontaminate(every, bench)) and got.count() == every.count()
+    assert key(decontamination.clean(every, bench, max_broadcast_words=150)) == key(decontamination.clean(every, bench))
+
+
 # --- 2: quality rules ---
 
 

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import binary_rows, drop_ids, filter_rows, text_chunks
+from ._io import binary_rows, filter_rows, materialize, text_chunks
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+ROW = "_decontaminate_row"
 
 
 class Fingerprints:
@@ -124,16 +125,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     """One row per document: how many of its words lie in windows of the benchmark, and in how many items.
 
     The benchmark's fingerprints are broadcast while the benchmark has at most max_broadcast_words characters. A larger
-    benchmark is cut into parts of that size, each part is broadcast in turn and the findings are summed up per document.
+    benchmark is cut into parts of that size, each part is broadcast in turn and the findings are summed up per row, so both
+    ways give the same rows.
     """
     sized, parts = _parts(benchmark, max_broadcast_words)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def fingerprints(part):
-        return _fingerprints(docs.sparkSession, sized, part, parts, window, k)
-
     if parts == 1:
-        known = fingerprints(0)
+        known = _fingerprints(docs.sparkSession, sized, 0, 1, window, k)
 
         def find(batches):
             f, table = known.value, W.alnum_words()
@@ -144,14 +142,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
         return text.mapInArrow(find, RESULT)
 
+    return _by_parts(_keyed(text), sized, parts, window, k).drop(ROW)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written first so that the key survives retries."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _by_parts(docs: DataFrame, sized: DataFrame, parts: int, window: int, k: int) -> DataFrame:
+    """RESULT and the key of each row of docs, whose ids may repeat or be null."""
+    text = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for part in range(parts):
-        known = fingerprints(part)
+        known = _fingerprints(docs.sparkSession, sized, part, parts, window, k)
 
         def find_part(batches, known=known):
             f, table = known.value, W.alnum_words()
             for b in text_chunks(batches, "text"):
-                s = W.scan(b.column(1), table)
+                s = W.scan(b.column(2), table)
                 hit, who, what, _ = f.search(s)
                 lists = [[] for _ in range(b.num_rows)]
                 for d, i in zip(who.tolist(), what.tolist()):
@@ -159,26 +168,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
                 local = np.flatnonzero(hit)
                 bounds = np.searchsorted(local, s.at)
                 local = (local - s.at[:-1][s.doc[local]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(s.at)), binary_rows(local, bounds), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(s.at)), binary_rows(local, bounds), pa.array(lists, pa.list_(pa.string()))], [ROW, "doc_id", "n_words", "hits", "items"])
 
-        one = text.mapInArrow(find_part, "doc_id long, n_words long, hits binary, items array<string>")
+        one = text.mapInArrow(find_part, f"{ROW} long, doc_id long, n_words long, hits binary, items array<string>")
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy(ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
 
     def sum_up(batches):
         for b in batches:
-            n = [len(np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in row]))) if row else 0 for row in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], ["doc_id", "n_words", "n_hit", "items"])
+            n = [len(np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in row]))) if row else 0 for row in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), b.column(4)], [ROW, "doc_id", "n_words", "n_hit", "items"])
 
-    out = merged.mapInArrow(sum_up, "doc_id long, n_words long, n_hit long, items array<string>")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = merged.mapInArrow(sum_up, f"{ROW} long, doc_id long, n_words long, n_hit long, items array<string>")
+    return out.select(ROW, "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_words: int = 20_000_000) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
     sized, parts = _parts(benchmark, max_broadcast_words)
     if parts > 1:
-        return drop_ids(docs, decontaminate(docs, benchmark, window, k, max_broadcast_words).where("contaminated").select("doc_id"))
+        rows = _keyed(docs)
+        gone = _by_parts(rows, sized, parts, window, k).where("contaminated").select(ROW)
+        return rows.join(gone.hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
     known = _fingerprints(docs.sparkSession, sized, 0, 1, window, k)
 
     def keep():
