@@ -185,6 +185,19 @@ def test_mixing(spark, docs):
     assert set(mixing.mixed_rows(docs).columns) == set(docs.columns)
 
 
+def test_mixing_takes_rows_without_id(spark):
+    rows = [(None if i % 2 else i, f"{i} some words of a text " * 9, "en", f"src{i % 3}", 0, "", 0, 0, 0) for i in range(60)]
+    rows += [rows[1], rows[2], (2, "another text of this id " * 9, "en", "src2", 0, "", 0, 0, 0)]
+    got = mixing.mix(frame(spark, rows), block_words=16)[0].collect()
+    taken, size = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+    want = water(dict(size))
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert any(r["doc_id"] is None for r in mixing.mixed_rows(frame(spark, rows)).collect())
+
+
 # --- 4: Jaccard join ---
 
 
@@ -376,6 +389,18 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("places", [2, 16])
+def test_substring_dedup_of_null_and_repeated_ids(spark, docs, monkeypatch, places):
+    monkeypatch.setattr(substring_dedup, "HEAD_PLACES", places)
+    rows = documents()
+    odd = [(None, f"{rows[7][1]} one"), (None, rows[14][1]), (None, rows[14][1]), (5, f"short {rows[21][1]} tail"), (5, "three new words")]
+    every = docs.unionByName(frame(spark, [(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in odd]))
+    key = lambda r: repr(tuple(r))
+    got = sorted(substring_dedup.dedup(every).drop("kept_text").collect(), key=key)
+    want = expected_dedup([(-1 if i is None else i, t) for i, t in [(r[0], r[1]) for r in rows] + odd])
+    assert sorted(map(tuple, got), key=repr) == sorted(((None if i == -1 else i, *r) for i, *r in want), key=repr)
+
+
 def test_substring_dedup_by_automata(spark, docs, monkeypatch):
     """With a low bar for the reference its automata find most, and the whole result is the same."""
     monkeypatch.setattr(substring_dedup, "HEAD_PLACES", 2)

@@ -6,7 +6,7 @@ words of the source's documents in hash order. A source's last slot is cut so th
 slots by which the sequence's discrepancy leaves a source short follow at the end of the schedule.
 
 A null source is a source of its own and comes last; documents without words are in no block; documents may repeat ids
-(each row counts). Same rows, same schedule: order comes from a hash of id, source and text alone, never from row order.
+(each row counts) or have none. Same rows, same schedule: order comes from a hash of id, source and text alone, never from row order.
 """
 
 from __future__ import annotations
@@ -116,8 +116,9 @@ def mix(docs: DataFrame, block_words: int = 128, weights=WEIGHTS, total: float =
     used = piece.join(hits, ["src", "block"]).withColumn("words", (F.col("hi") - F.col("lo")) * F.col("full") + F.greatest(F.lit(0), F.least("hi", F.coalesce("cut", F.lit(0))) - F.col("lo")))
     taken = used.groupBy("src", "doc_id", "mix_key", "size").agg(F.sum("words").alias("words"))
     # repeated rows (same id, source and text) share what their pieces got together
-    per_row = taken.select("src", "doc_id", "mix_key", "words")
-    out = sized.withColumn("src", src).join(F.broadcast(size_of) if _few(target) else size_of, "src").join(per_row, ["src", "doc_id", "mix_key"], "left")
+    per_row = taken.select(F.col("src").alias("_src"), F.col("doc_id").alias("_doc_id"), F.col("mix_key").alias("_mix_key"), "words")
+    same = (F.col("src") == F.col("_src")) & (F.col("mix_key") == F.col("_mix_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    out = sized.withColumn("src", src).join(F.broadcast(size_of) if _few(target) else size_of, "src").join(per_row, same, "left")
     twin = Window.partitionBy("src", "doc_id", "mix_key").orderBy("size")
     out = out.withColumns({"i": F.row_number().over(twin), "copies": F.count("*").over(Window.partitionBy("src", "doc_id", "mix_key"))})
     share = F.expr("words div copies") + F.when(F.col("i") <= F.expr("words % copies"), 1).otherwise(0)

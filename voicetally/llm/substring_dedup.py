@@ -7,8 +7,9 @@ the documents are streamed past them for matching statistics; every window found
 text would grow with the corpus, so the other runs are joined instead: runs equal as a whole repeat as a whole, and the
 rest is settled window by window against the distinct runs.
 
-Null text has no words; a document of fewer than `window` words keeps them all; repeated rows repeat each other; an empty
-table gives an empty result; other columns are not read.
+Null text has no words; a document of fewer than `window` words keeps them all; repeated rows repeat each other; ids
+may be null or stand at several texts (spans are kept by a hash of id and text); an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -92,9 +93,14 @@ def reference(text: DataFrame, anchors: DataFrame, window: int, k: int) -> list[
     return shards
 
 
+def row_key():
+    """Equal for rows of equal id and text only, and never null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row")
+
+
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
-    """Spans (doc_id, first, n): the document's windows first..first+n start elsewhere too."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Spans (row, first, n): windows first..first+n of the rows named `row` (by row_key) start elsewhere too."""
+    text = docs.select(row_key(), "text")
     table = W.space_words(False)
 
     def anchors(batches):
@@ -127,12 +133,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int
             at, count = np.concatenate([first, a]), np.concatenate([n, z - a])
             row = doc[at]
             bounds = np.concatenate([[0], np.cumsum(n), np.full(len(a), int(n.sum()))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([as_long(digest), np.zeros(len(a), np.int64)])), b.column(0).take(pa.array(row, pa.int64())), pa.array((at - s.at[row]).astype(np.int32)), pa.array(count.astype(np.int32)), binary_rows(flat, bounds), pa.array(np.arange(len(at)) >= len(n))], ["run", "doc_id", "first", "n", "wins", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([as_long(digest), np.zeros(len(a), np.int64)])), b.column(0).take(pa.array(row, pa.int64())), pa.array((at - s.at[row]).astype(np.int32)), pa.array(count.astype(np.int32)), binary_rows(flat, bounds), pa.array(np.arange(len(at)) >= len(n))], ["run", "row", "first", "n", "wins", "known"])
 
-    both = materialize(text.mapInArrow(runs, "run long, doc_id long, first int, n int, wins binary, known boolean"), "dedup-runs")
+    both = materialize(text.mapInArrow(runs, "run long, row long, first int, n int, wins binary, known boolean"), "dedup-runs")
     found = both.where("not known")
     # a run's content is found once, with the number of places it stands at
-    distinct = found.groupBy("run").agg(F.count("*").alias("places"), F.min("doc_id").alias("doc_id"), F.min_by("first", "doc_id").alias("first"), F.max("wins").alias("wins"))
+    distinct = found.groupBy("run").agg(F.count("*").alias("places"), F.min("row").alias("row"), F.min_by("first", "row").alias("first"), F.max("wins").alias("wins"))
     distinct = materialize(distinct, "dedup-distinct")
 
     def windows(batches):
@@ -140,21 +146,21 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int
             flat, bounds = cell_values(b.column(3), np.uint64)
             n = np.diff(bounds)
             row = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(flat)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + runs_to_index(np.zeros_like(n), n)).astype(np.int32))], ["win", "places", "doc_id", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(flat)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + runs_to_index(np.zeros_like(n), n)).astype(np.int32))], ["win", "places", "row", "first"])
 
-    each = distinct.select("places", "doc_id", "first", "wins").mapInArrow(windows, "win long, places long, doc_id long, first int")
+    each = distinct.select("places", "row", "first", "wins").mapInArrow(windows, "win long, places long, row long, first int")
     again = each.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win")
-    alone = each.where("places = 1").join(again, "win", "left_semi").select("doc_id", "first", F.lit(1).alias("n"))
-    whole = found.select("run", "doc_id", "first", "n").join(distinct.where("places > 1").select("run"), "run", "left_semi").select("doc_id", "first", "n")
-    return alone.unionByName(whole).unionByName(both.where("known").select("doc_id", "first", "n"))
+    alone = each.where("places = 1").join(again, "win", "left_semi").select("row", "first", F.lit(1).alias("n"))
+    whole = found.select("run", "row", "first", "n").join(distinct.where("places > 1").select("run"), "run", "left_semi").select("row", "first", "n")
+    return alone.unionByName(whole).unionByName(both.where("known").select("row", "first", "n"))
 
 
 def dedup(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
     """Each document with its number of words, of words removed, the kept text and the SHA-256 of it."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs, window, k, log2_bits).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
+    spans = repeated_spans(docs, window, k, log2_bits).groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     table = W.space_words(False)
-    both = text.join(spans.hint("shuffle_hash"), "doc_id", "left")
+    both = text.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for b in text_chunks(batches, "text"):
