@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from data import SCHEMA, documents, frame  # noqa: E402
+from llm_data import SCHEMA, documents, frame  # noqa: E402
 
 from voicetally.llm import _words as W  # noqa: E402
 from voicetally.llm import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store, toxicity  # noqa: E402

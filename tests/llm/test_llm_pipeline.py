@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from data import documents, frame  # noqa: E402
-from test_operators import bench_rows, expected_components, expected_hits, water  # noqa: E402
+from llm_data import documents, frame  # noqa: E402
+from test_llm_operators import bench_rows, expected_components, expected_hits, water  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
 from voicetally.llm import toxicity  # noqa: E402

@@ -67,14 +67,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
     d = d.select("*", F.array_sort(F.transform(F.filter("s", repeated), lambda x: x["i"])).alias("p")).drop("s")
     steps = F.zip_with("p", F.slice("p", F.lit(2), F.greatest(F.size("p"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    in_repeats = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return d.select(
         "doc_id",
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("p").isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
+        F.when(F.col("p").isNull(), F.lit(0).cast("long")).otherwise(in_repeats).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
     )
 

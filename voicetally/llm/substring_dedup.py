@@ -1,4 +1,4 @@
-"""Substring dedup: remove words covered by a window that also starts elsewhere in the corpus.
+"""Substring dedup: remove the words of every window that also starts elsewhere in the corpus.
 
 Windows are `window` words of one document. Each takes the least k-gram hash within it (winnowing) as its anchor, so equal
 windows have equal anchors, and only windows whose anchor occurs twice can repeat. Consecutive windows of one anchor form a
