@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import sys
 import zlib
@@ -201,13 +202,13 @@ def test_mixing_takes_rows_without_id(spark):
 # --- 4: Jaccard join ---
 
 
-def shingles(text):
+def shingles(text, n=5):
     w = SPACED.findall(low(text))
-    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def expected_components(rows):
-    sets, head = [shingles(r[1]) for r in rows], list(range(len(rows)))
+def expected_components(rows, n=5):
+    sets, head = [shingles(r[1], n) for r in rows], list(range(len(rows)))
 
     def find(a):
         while head[a] != a:
@@ -243,26 +244,47 @@ def test_jaccard_join_of_a_chain(spark):
     assert sorted(map(tuple, got)) == expected_components(rows)
 
 
-def test_trie_equals_set_overlap():
+def test_trie_links_join_the_components():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
     sets += [sets[0], sets[1][:-1], sets[2]]
-    order = jaccard_join.Order(np.array([3, 17, 5], np.uint64))
-    tree = jaccard_join.Trie()
-    for i, s in enumerate(sets):
-        tree.add(order.arrange(s), i)
-    for q in sets[:20]:
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
-        assert sorted(tree.search(q, 75, 100)) == want
-
-
-def test_sketches_never_rule_out_a_link():
-    rng = np.random.default_rng(6)
-    for _ in range(300):
-        a = np.unique(W.mix(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], W.mix(rng.integers(0, 400, rng.integers(1, 90)).astype(np.uint64))]))
-        counts, at = jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        assert jaccard_join.may_overlap(counts[: at[1]], counts[at[1] :]) >= len(np.intersect1d(a, b))
+    linked = [[100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for b in sets] for a in sets]
+
+    def classes(pairs):
+        head = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = head[a], head[b]
+            head = [min(x, y) if h in (x, y) else h for h in head]
+        return head
+
+    tree = jaccard_join.Trie(75, 100)
+    for s in sets:
+        tree.add(s, len(s))
+    found = tree.links(range(len(sets)))
+    assert all(linked[a][b] for a, b in found) and len(found) < len(sets)
+    assert classes(found) == classes([(a, b) for a in range(len(sets)) for b in range(a) if linked[a][b]])
+
+
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """A hot group in blocks: near copies of one text, others that share its passage, and links across blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "PART_ITEMS", 300)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        if i < 15:
+            words[rng.randrange(60)] = f"x{i}"
+        elif i < 25:
+            words = words[:44] + [f"y{i // 2}z{k}" for k in range(20)] + [f"v{i}"]
+        else:
+            words = words[4 * (i - 25) : 60] + [f"u{(i - 25) * 4 + k}" for k in range(60)][: 4 * (i - 25)]
+        rows.append((i, " ".join(words), "en", "s", 0, "", 0, 0, 0))
+    rows = rng.sample(rows, len(rows)) + rows[:3]
+    for n in (1, 5):
+        got = jaccard_join.jaccard_components(frame(spark, rows).repartition(7), n=n)[0].select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == expected_components(rows, n)
 
 
 def test_components(spark):

@@ -47,8 +47,8 @@ def as_hash(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about max_bytes of text each; null text becomes the empty string.
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2_000_000, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about max_bytes of text and at most max_rows rows each; null text becomes the empty string.
 
     Whole rows stay together, so one very long text makes one large slice.
     """
@@ -59,7 +59,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2
         off = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + 1 + col.offset)[col.offset :] if len(col) else np.zeros(1, np.int64)
         lo = 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, "right")) - 1)
+            hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, "right")) - 1), lo + max_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
 

@@ -1,33 +1,42 @@
-"""N-gram Jaccard join, exact: prefix candidates, then a prefix tree over ordered shingle sets.
+"""N-gram Jaccard join, exact, by prefix trees over globally ordered shingle sets.
 
-A document's set is its distinct `n`-word shingles (64-bit hashes); with fewer words, the whole sequence as one. Sets are in
-one global order: shingles by hash, with the corpus' most frequent ones last, rarest of them first. Two sets can link only
-if they share a shingle within their prefixes, so prefixes are grouped by shingle. Within a group, members are first held
-against the group's smallest; groups that then hold several components go on with neighbours at growing distance, a bounded
-number of pairs per member and round, until none is left. Pairs are settled per pivot: members' sets go into a prefix tree,
-which is traversed once, sharing partial overlaps and cutting branches that cannot reach the overlap any more.
+A document's set is its distinct `n`-word shingles (64-bit hashes); with fewer words, the whole sequence as one. All items
+are counted over all sets, and every set is put in one global order, rarest items first. Items that stand in one set only
+can be in no overlap, so they count in a set's size but are not stored.
+
+Sets that can link share an item among their rarest (their prefixes). Items lead to groups: a group is named by the least set
+of an item, and items of the same least set make one group. A group's sets are stored in a prefix tree, and each of them is
+searched for in it: the traversal shares partial overlaps along common beginnings, and cuts a subtree when the sizes and
+the items that may still follow cannot reach the overlap needed, or when all that lies below is linked with the query
+already. A group of any size is dealt out in blocks of bounded size, each with the group's least set; blocks that stay apart
+then meet two by two. Only links that join two parts are returned, so there are fewer links than sets, and no pair list.
 
 Documents without words or text have empty sets and link with nothing. Equal sets (copies) are one node, named by a 64-bit
-digest, and are never expanded into pairs. Rows may repeat ids; other columns are not read.
+digest, and are never expanded into pairs. Rows may repeat ids or have none; other columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, drop_ids, materialize, most_frequent, runs_to_index, shuffle_parts, text_chunks
+from ._io import as_long, binary_rows, cell_values, drop_ids, materialize, runs_to_index, shuffle_parts, text_chunks
 from .components import components
 
-#: Neighbours that a member of an open group is held against in the first such round; each further round reaches 16 times
-#: as far, and sizes and places rule most of those pairs out at once. Also: members outside a group's largest component
-#: that are held against the whole group.
-REACH = 64
-#: Members' sets in one prefix tree.
-TREE = 64
+#: Items in one part of the exchange that counts them; sets and items in one block of a group.
+PART_ITEMS, BLOCK_SETS, BLOCK_ITEMS = 2_000_000, 1024, 4_000_000
+#: Kinds of rows in the exchange: a chunk's documents; its items held once in it; held by several of its sets; answers.
+DOCS, ITEMS, SEVERAL, SHARED = range(4)
+EXCHANGE = "part long, chunk long, kind int, a binary, b binary, c binary, d binary"
+ANSWER = "chunk long, kind int, a binary, b binary, c binary, d binary"
+LOW = np.uint64((1 << 40) - 1)
+ITEM = np.uint64((1 << 56) - 1)
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -60,437 +69,362 @@ def digests(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch_sizes(n: np.ndarray) -> np.ndarray:
-    """Classes of a set of n items: a power of two with about two items in each."""
-    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+def _changes(a: np.ndarray) -> np.ndarray:
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    return new
 
 
-def sketches(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per set how many of its items fall into each class of the hash's top bits (255 stands for 255 or more); bounds."""
-    n = np.diff(bounds)
-    k = sketch_sizes(n)
-    at = np.concatenate([[0], np.cumsum(k)])
-    row = np.repeat(np.arange(len(n)), n)
-    cell = at[row] + ((flat >> np.uint64(40)) & np.uint64((1 << 24) - 1)).astype(np.int64) * k[row] // (1 << 24)
-    return np.minimum(np.bincount(cell, minlength=int(at[-1])), 255).astype(np.uint8), at
-
-
-def may_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """The most items two sets can share by their sketches: the sum of the lesser counts, class by class."""
-    while len(a) != len(b):
-        if len(a) > len(b):
-            a = a.reshape(-1, 2).astype(np.int64).sum(axis=1)
-        else:
-            b = b.reshape(-1, 2).astype(np.int64).sum(axis=1)
-    if len(a) and (a.max() >= 255 or b.max() >= 255):
-        return float("inf")
-    return float(np.minimum(a, b).sum())
-
-
-class Order:
-    """The global order: plain shingles by hash, then the frequent ones from rare to frequent."""
-
-    def __init__(self, frequent: np.ndarray):
-        """frequent: hashes from rare to frequent."""
-        self.hash = np.sort(frequent)
-        self.rank = np.argsort(frequent, kind="stable")
-
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        """0 for plain shingles, 1.. for frequent ones."""
-        if not len(self.hash):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, self.rank[at] + 1, 0)
-
-    def arrange(self, h: np.ndarray, r: np.ndarray | None = None) -> np.ndarray:
-        """A sorted set in the global order; r: its items' ranks, if known."""
-        r = self.ranks(h) if r is None else r
-        late = np.flatnonzero(r)
-        if not len(late):
-            return h
-        return np.concatenate([h[r == 0], h[late[np.argsort(r[late])]]])
-
-
-def frequent_shingles(text: DataFrame, n: int, most: int = 1 << 19, chunk: int = 2_000_000, least: int = 2) -> np.ndarray:
-    """The corpus' most frequent shingles, rare to frequent. Every document is counted; a chunk of shingles reports what it holds `least`
-    times or more, and the `most` largest sums make the order. The order is a matter of speed: any gives the same links."""
-    table = W.space_words(True)
-
-    def often(parts):
-        h, c = np.unique(np.concatenate(parts), return_counts=True)
-        return _batch([as_long(h[c >= least]), c[c >= least]], ["h", "c"])
-
-    def count(batches):
-        parts, held = [], 0
-        for b in text_chunks(batches, "text"):
-            flat, _ = chunk_sets(b.column(0), n, table)
-            parts.append(flat)
-            held += len(flat)
-            if held >= chunk:
-                yield often(parts)
-                parts, held = [], 0
-        if parts:
-            yield often(parts)
-
-    counts = materialize(text.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 2"), "join-frequent")
-    top = most_frequent(counts, "c", most).toArrow()
-    h, c = as_hash(top.column(0)), top.column(1).to_numpy()
-    return h[np.lexsort((h, c))]
+def _row(chunk: int, kind: int, *cells: np.ndarray, part: int | None = None) -> list[pa.Array]:
+    head = [] if part is None else [pa.array([part], pa.int64())]
+    cells = [*cells, *[np.zeros(0, np.uint8)] * (4 - len(cells))]
+    return [*head, pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *[pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cells]]
 
 
-class Trie:
-    """A prefix tree over ordered sets. Nodes hold runs of items, so sets that share a beginning share its overlap."""
+_EXCHANGE = [f.split()[0] for f in EXCHANGE.split(", ")]
+_ANSWER = _EXCHANGE[1:]
 
-    def __init__(self):
-        self.kids: dict = {}
 
-    def add(self, items: np.ndarray, name: int) -> None:
-        kids, at, n = self.kids, 0, len(items)
+def _ask(batches, n: int, parts: int):
+    """Per chunk of texts: its documents, and its distinct sets' items, dealt to parts by hash. An item that several of the
+    chunk's sets hold is sent once with their number, so an item of a third of all documents stays small."""
+    table, task = W.space_words(True), TaskContext.get().partitionId()
+    for i, b in enumerate(text_chunks(batches, "text")):
+        chunk = task << 32 | i
+        flat, bounds = chunk_sets(b.column(1), n, table)
+        node, size = digests(flat, bounds), np.diff(bounds)
+        ids = b.column(0)
+        yield pa.RecordBatch.from_arrays(_row(chunk, DOCS, ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8), node, size.astype(np.uint32), part=chunk % parts), _EXCHANGE)
+        own = np.unique(node, return_index=True)[1]
+        own = np.sort(own[size[own] > 0])
+        item = flat[runs_to_index(bounds[:-1][own], size[own])]
+        doc = np.repeat(own, size[own])
+        if not len(item):
+            continue
+        order = np.argsort(item, kind="stable")
+        item, doc = item[order], doc[order]
+        first = np.flatnonzero(_changes(item))
+        held = np.diff(np.append(first, len(item)))
+        part = ((item[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        edge = np.append(np.flatnonzero(_changes(part)), len(part))
+        rows = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            at, w = first[lo:hi], held[lo:hi]
+            one, many = at[w == 1], at[w > 1]
+            one = one[np.argsort(doc[one], kind="stable")]
+            step = np.diff(doc[one], prepend=0)
+            low = (item[one] & LOW).view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append(_row(chunk, ITEMS, low, step.astype(np.uint8 if step.max(initial=0) < 256 else np.uint16), item[many] & LOW, np.minimum(w[w > 1], 255).astype(np.uint8), part=int(part[lo])))
+        several = held > 1
+        if several.any():
+            name = (part[several].astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(40) | (item[first[several]] & LOW)
+            holders = doc[runs_to_index(first[several], held[several])]
+            rows.append(_row(chunk, SEVERAL, name, holders.astype(np.uint16), held[several].astype(np.uint32), part=chunk % parts))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], _EXCHANGE)
+
+
+def frequency_class(count: np.ndarray) -> np.ndarray:
+    """0 to 255, not falling as the count grows: the count itself up to 127, then its logarithm."""
+    return np.where(count < 128, count, np.minimum(255, 128 + 4 * (np.log2(np.maximum(count, 128)) - 7))).astype(np.uint64)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """One part of the exchange: each chunk learns its items that other sets hold too, as keys in the global order."""
+    table = table.combine_chunks()
+    kind = table.column("kind").to_numpy()
+    passed = table.filter(pa.array(kind != ITEMS)).select(_ANSWER)
+    asked = table.filter(pa.array(kind == ITEMS)).to_pylist()
+    if not asked:
+        return passed
+    low, doc, weight, lens = [], [], [], []
+    for r in asked:
+        own = np.frombuffer(r["a"], np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(own), 8), np.uint8)
+        wide[:, :5] = own
+        many = np.frombuffer(r["c"], np.uint64)
+        step = np.frombuffer(r["b"], np.uint8 if len(r["b"]) == len(own) else np.uint16)
+        low += [wide.reshape(-1).view(np.uint64), many]
+        doc += [np.cumsum(step, dtype=np.int64), np.full(len(many), 0xFFFF)]
+        weight += [np.ones(len(own), np.int64), np.frombuffer(r["d"], np.uint8).astype(np.int64)]
+        lens.append(len(own) + len(many))
+    low, doc, weight = np.concatenate(low), np.concatenate(doc), np.concatenate(weight)
+    order = np.argsort(low)
+    new = _changes(low[order])
+    count = np.add.reduceat(weight[order], np.flatnonzero(new))
+    of = np.empty(len(low), np.int64)
+    of[order] = count[np.cumsum(new) - 1]
+    key = frequency_class(of) << np.uint64(56) | np.uint64((asked[0]["part"] & 0xFFFF) << 40) | low
+    rows, at = [], 0
+    for r, n in zip(asked, lens):
+        own = at + np.flatnonzero(of[at : at + n] > 1)
+        at += n
+        if len(own):
+            rows.append(_row(r["chunk"], SHARED, key[own], doc[own].astype(np.uint16)))
+    if not rows:
+        return passed
+    return pa.concat_tables([passed, pa.Table.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], schema=passed.schema)])
+
+
+def _assemble(table: pa.Table, num: int, den: int) -> pa.Table:
+    """One chunk's sets that may link: node, size, how many of the stored items are in the prefix, stored items in order."""
+    rows = table.to_pylist()
+    docs = next(r for r in rows if r["kind"] == DOCS)
+    node, size = np.frombuffer(docs["c"], np.uint64), np.frombuffer(docs["d"], np.uint32).astype(np.int64)
+    shared = [r for r in rows if r["kind"] == SHARED]
+    key = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in shared] or [np.zeros(0, np.uint64)])
+    doc = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in shared] or [np.zeros(0, np.uint16)]).astype(np.int64)
+    for r in rows:
+        if r["kind"] == SEVERAL:
+            held = np.frombuffer(r["c"], np.uint32)
+            many = np.sort(key[doc == 0xFFFF] & ITEM), key[doc == 0xFFFF][np.argsort(key[doc == 0xFFFF] & ITEM)]
+            full = many[1][np.searchsorted(many[0], np.frombuffer(r["a"], np.uint64))]
+            one = doc != 0xFFFF
+            key, doc = np.concatenate([key[one], np.repeat(full, held)]), np.concatenate([doc[one], np.frombuffer(r["b"], np.uint16)])
+    order = np.lexsort((key, doc))
+    key, stored = key[order], np.bincount(doc, minlength=len(node))
+    # rare items come first: the prefix's other items are those held by this set alone
+    head = size + (-num * size // den) + 1 - (size - stored)
+    own = np.flatnonzero((head > 0) & (stored > 0))
+    begin = np.cumsum(stored) - stored
+    items = binary_rows(key[runs_to_index(begin[own], stored[own])], np.concatenate([[0], np.cumsum(stored[own])]))
+    return pa.Table.from_arrays([pa.array(as_long(node[own])), pa.array(size[own]), pa.array(head[own]), pa.array(stored[own]), items], names=["node", "size", "head", "stored", "items"])
+
+
+class _Edge:
+    """A run of items on the way down, what follows, and the sets that end here."""
+
+    __slots__ = ("run", "kids", "ends", "least", "most", "one")
+
+    def __init__(self, run, kids, ends, least, most):
+        self.run, self.kids, self.ends, self.least, self.most, self.one = run, kids, ends, least, most, -1
+
+
+class Trie:
+    """A prefix tree over ordered sets, with the parts that links have joined so far."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.root = _Edge(np.zeros(0, np.uint64), {}, [], 1 << 62, 0)
+        self.items: list[np.ndarray] = []
+        self.size: list[int] = []
+        self.head: list[int] = []
+        self.parts = 0
+
+    def find(self, x: int) -> int:
+        head = self.head
+        while head[x] != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.head[max(x, y)] = min(x, y)
+        self.parts -= x != y
+        return x != y
+
+    def note(self, items: np.ndarray, size: int) -> int:
+        """A set that searches and is joined, but is not stored in the tree."""
+        self.items.append(items)
+        self.size.append(size)
+        self.head.append(len(self.head))
+        self.parts += 1
+        return len(self.head) - 1
+
+    def add(self, items: np.ndarray, size: int) -> int:
+        """Store a set: its items that other sets hold too, in order, and its whole size."""
+        name, edge, at, n = self.note(items, size), self.root, 0, len(items)
         while True:
+            edge.least, edge.most = min(edge.least, size), max(edge.most, n)
             if at == n:
-                kids.setdefault("ends", []).append((name, n))
-                return
-            edge = kids.get(int(items[at]))
-            if edge is None:
-                kids[int(items[at])] = [items[at:], {"ends": [(name, n)]}, n, n]
-                return
-            run, below = edge[0], edge[1]
-            edge[2], edge[3] = min(edge[2], n), max(edge[3], n)
+                edge.ends.append(name)
+                return name
+            below = edge.kids.get(int(items[at]))
+            if below is None:
+                edge.kids[int(items[at])] = _Edge(items[at:], {}, [name], size, n)
+                return name
+            run = below.run
             m = min(len(run), n - at)
             differ = np.flatnonzero(run[:m] != items[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(run):
-                lower = [run[same:], below, *_sizes(below)]
-                edge[0], edge[1] = run[:same], {int(run[same]): lower}
-            kids, at = edge[1], at + same
-
-    def search(self, query: np.ndarray, num: int, den: int) -> list[int]:
-        """Names of the sets that link with the query (sorted by value)."""
-        nq, found = len(query), []
-        stack = [(self.kids, 0, 0)]
+                lower = _Edge(run[same:], below.kids, below.ends, below.least, below.most)
+                below.run, below.kids, below.ends = run[:same], {int(run[same]): lower}, []
+            edge, at = below, at + same
+
+    def search(self, name: int) -> list[int]:
+        """Stored sets that link with set `name` and are in another part; the parts become one."""
+        q, size, num, den = self.items[name], self.size[name], self.num, self.den
+        nq, found, mine = len(q), [], self.find(name)
+        stack = [(self.root, 0, 0, 0)]
         while stack:
-            kids, depth, have = stack.pop()
-            for key, edge in kids.items():
-                if key == "ends":
-                    found += [name for name, n in edge if have >= overlap_needed(n, nq, num, den)]
+            edge, depth, have, past = stack.pop()
+            if edge.one >= 0 and self.find(edge.one) == mine:
+                continue
+            # the least overlap that a set below needs, against the most that one can still reach
+            need = overlap_needed(edge.least, size, num, den)
+            if have + min(edge.most - depth, nq - past) < need:
+                continue
+            run = edge.run
+            if len(run):
+                at = np.searchsorted(q[past:], run)
+                have += int((q[np.minimum(past + at, nq - 1)] == run).sum())
+                past += int(np.searchsorted(q[past:], run[-1], "right"))
+                depth += len(run)
+                if have + min(edge.most - depth, nq - past) < need:
                     continue
-                run, below, small, large = edge
-                # the least overlap any set below needs, against the most any set below can still reach
-                need = overlap_needed(small, nq, num, den)
-                if have + min(large - depth, nq - have) < need:
-                    continue
-                i = np.minimum(np.searchsorted(query, run), nq - 1)
-                got = have + int((query[i] == run).sum())
-                if got + min(large - depth - len(run), nq - got) >= need:
-                    stack.append((below, depth + len(run), got))
+            for x in edge.ends:
+                if have >= overlap_needed(self.size[x], size, num, den) and self.join(name, x):
+                    found.append(x)
+                    mine = self.find(name)
+            stack += [(e, depth, have, past) for e in edge.kids.values()]
         return found
 
+    def mark(self) -> None:
+        """Note at every edge whether all sets below are of one part."""
+        order, i = [self.root], 0
+        while i < len(order):
+            order += order[i].kids.values()
+            i += 1
+        for edge in reversed(order):
+            heads = {self.find(x) for x in edge.ends} | {self.find(e.one) if e.one >= 0 else -1 for e in edge.kids.values()}
+            edge.one = heads.pop() if len(heads) == 1 else -1
+
+    def links(self, names) -> list[tuple[int, int]]:
+        """Search for all names in turn, until all is one part."""
+        out, fresh = [], 0
+        for name in names:
+            if self.parts == 1:
+                break
+            found = self.search(name)
+            out += [(name, x) for x in found]
+            fresh += len(found)
+            if fresh >= max(8, self.parts // 2):
+                self.mark()
+                fresh = 0
+        return out
+
+
+def _groups(batches, keys: int):
+    """Lists of rows (columns after the first `keys`) of equal keys, from sorted batches; a group ends with its keys."""
+    now, held = None, []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns]):
+            if r[:keys] != now:
+                if held:
+                    yield held
+                now, held = r[:keys], []
+            held.append(r[keys:])
+    if held:
+        yield held
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _walk(batches, num: int, den: int):
+    """Links of each block of rows (group, block, node, size, items), whose sets go into one tree."""
+    found: list[tuple[int, int]] = []
+    for rows in _groups(batches, 2):
+        tree = Trie(num, den)
+        for _, size, items in rows:
+            tree.add(np.frombuffer(items, np.uint64), size)
+        found += [(rows[a][0], rows[b][0]) for a, b in tree.links(range(len(rows)))]
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def _meet(batches, num: int, den: int):
+    """Links between two blocks of a group, of rows (group, i, j, role, node, size, items, part): sets of role 0 are stored in a
+    tree, those of role 1 are searched for; sets of one part are joined from the start."""
+    found: list[tuple[int, int]] = []
+    for rows in _groups(batches, 3):
+        tree, heads = Trie(num, den), {}
+        for role, _, size, items, part in rows:
+            name = (tree.note if role else tree.add)(np.frombuffer(items, np.uint64), size)
+            tree.join(name, heads.setdefault(part, name))
+        tree.mark()
+        found += [(rows[a][1], rows[b][1]) for a, b in tree.links([i for i, r in enumerate(rows) if r[0]])]
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def _documents(batches):
+    for b in batches:
+        ids, nodes, sizes = (cell_values(b.column(i), t)[0] for i, t in ((0, np.int64), (2, np.int64), (3, np.uint32)))
+        null = cell_values(b.column(1), np.uint8)[0].astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sizes.astype(np.int64)), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
+
 
-def _sizes(kids: dict) -> tuple[int, int]:
-    n = [x for k, e in kids.items() for x in ([s for _, s in e] if k == "ends" else e[2:4])]
-    return min(n), max(n)
+def _heads(batches):
+    for b in batches:
+        flat, bounds = cell_values(b.column(3), np.int64)
+        head = b.column(2).to_numpy()
+        row = np.repeat(np.arange(b.num_rows), head)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[runs_to_index(bounds[:-1], head)]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["item", "node", "size"])
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, log2_bits: int = 27) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, node, component_id; links between nodes: a, b)."""
+def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, n_shingles, node; links between nodes: a, b, fewer than nodes, whose components are the classes)."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = W.space_words(True)
-    order = spark.sparkContext.broadcast(Order(frequent_shingles(text, n)))
-
-    def summarize(batches):
-        for b in text_chunks(batches, "text"):
-            flat, bounds = chunk_sets(b.column(1), n, table)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(as_long(digests(flat, bounds)))], ["doc_id", "n_shingles", "node"])
-
-    summary = materialize(text.mapInArrow(summarize, "doc_id long, n_shingles long, node long"), "join-summary")
-
-    def sketch(batches):
-        for b in text_chunks(batches, "text"):
-            flat, bounds = chunk_sets(b.column(0), n, table)
-            counts, at = sketches(flat, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(digests(flat, bounds))), pa.array(np.diff(bounds)), binary_rows(counts, at)], ["node", "size", "sketch"])
-
-
-    def prefixes(batches):
-        """Per chunk: node, size and ordered prefix of each set; sets met before in the task are left out."""
-        met: set[int] = set()
-        for b in text_chunks(batches, "text"):
-            flat, bounds = chunk_sets(b.column(0), n, table)
-            nodes, lens = digests(flat, bounds), np.diff(bounds)
-            if len(met) > 500_000:
-                met.clear()
-            own = []
-            for i, (node, size) in enumerate(zip(nodes.tolist(), lens.tolist())):
-                if size and node not in met:
-                    met.add(node)
-                    own.append(i)
-            ranks = order.value.ranks(flat)
-            rows = [order.value.arrange(flat[bounds[i] : bounds[i + 1]], ranks[bounds[i] : bounds[i + 1]])[: lens[i] + (-num * lens[i] // den) + 1] for i in own]
-            size = np.array([len(r) for r in rows], np.int64)
-            yield (np.concatenate(rows) if rows else flat[:0]), nodes[own], lens[own], size
-
-    def heads(batches):
-        for sig, _, _, _ in prefixes(batches):
-            h, c = np.unique(sig, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(c)], ["sig", "c"])
-
-    shared = text.select("text").mapInArrow(heads, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c")).where("c > 1").select("sig")
-    bits = spark.sparkContext.broadcast(bloom_bits(shared, "sig", log2_bits))
-
-    def members(batches):
-        for sig, nodes, lens, size in prefixes(batches):
-            row, pos = np.repeat(np.arange(len(size)), size), runs_to_index(np.zeros_like(size), size)
-            own = bloom_has(bits.value, sig)
-            row, pos, sig = row[own], pos[own], sig[own]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(lens[row].astype(np.int32)), pa.array(as_long(nodes[row])), pa.array(pos.astype(np.int32))], ["sig", "n", "node", "pos"])
-
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    letters = text.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(letters) // (6 * PART_ITEMS)))
+    asked = text.mapInArrow(lambda it: _ask(it, n, parts), EXCHANGE)
+    answers = materialize(asked.groupBy("part").applyInArrow(_count, ANSWER), "join-answers")
+    documents = answers.where(f"kind = {DOCS}").select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, n_shingles long, node long")
+    sets = answers.groupBy("chunk").applyInArrow(lambda t: _assemble(t, num, den), "node long, size long, head long, stored long, items binary")
+    # chunks may each have sent a copy
+    sets = materialize(sets.dropDuplicates(["node"]), "join-sets")
+
+    heads = sets.select("node", "size", "head", "items").mapInArrow(_heads, "item long, node long, size long")
+    least = heads.groupBy("item").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("c")).where("c > 1").select("item", F.col("least.node").alias("group"))
+    members = materialize(heads.join(least, "item").select("group", "node").distinct().join(sets.select("node", "stored"), "node"), "join-members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("stored") / BLOCK_ITEMS)).cast("int")
+    dealt = members.join(members.groupBy("group").agg(blocks.alias("blocks")), "group")
+    block = F.when(F.col("group") == F.col("node"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    dealt = materialize(dealt.select("group", "node", "blocks", F.explode(block).alias("block")), "join-blocks")
     parts = shuffle_parts(spark)
-    found = text.select("text").mapInArrow(members, "sig long, n int, node long, pos int").repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
-    groups = materialize(found.mapInArrow(_shared_only, "sig long, n int, node long, pos int"), "join-groups")
-
-    pairs = materialize(_sorted(groups, parts).mapInArrow(lambda it: _star(it, num, den), "a long, b long").distinct(), "join-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes that a round's pairs name, from the texts again (a Bloom filter thins, joins are exact)."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = spark.sparkContext.broadcast(bloom_bits(ends, "node", log2_bits - 2))
-
-        def emit(batches):
-            met: set[int] = set()
-            for b in text_chunks(batches, "text"):
-                flat, bounds = chunk_sets(b.column(0), n, table)
-                nodes = digests(flat, bounds)
-                own = np.flatnonzero(bloom_has(wanted.value, nodes) & (np.diff(bounds) > 0))
-                if len(met) > 500_000:
-                    met.clear()
-                fresh = [i for i in own.tolist() if not (int(nodes[i]) in met or met.add(int(nodes[i])))]
-                lens = np.diff(bounds)[fresh]
-                values = flat[runs_to_index(bounds[:-1][fresh], lens)]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(nodes[fresh])), binary_rows(values, np.concatenate([[0], np.cumsum(lens)]))], ["node", "items"])
-
-        # tasks may each have sent a copy
-        return text.select("text").mapInArrow(emit, "node long, items binary").dropDuplicates(["node"])
-
-    def links_among(pairs: DataFrame) -> DataFrame | None:
-        near = materialize(_sketched(pairs, known, num, den), "join-near")
-        if near.isEmpty():
-            return None
-        return materialize(settle(near, materialize(sets_of(near), "join-sets"), order, num, den, parts), "join-links")
-
-    ends = groups.select("node").distinct()
-    known = text.select("text").mapInArrow(sketch, "node long, size long, sketch binary").where("size > 0").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    known = materialize(known, "join-sketches")
-    links = links_among(pairs)
-    if links is None:
-        links = pairs.where("false")
+    contents = dealt.join(sets.select("node", "size", "items"), "node").select("group", "block", "node", "size", "items")
+    contents = contents.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "size", "node")
+    links = materialize(contents.mapInArrow(lambda it: _walk(it, num, den), "a long, b long"), "join-links")
+
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return documents, links
+    # what stays apart in a group of several blocks: the sets outside its largest part meet all others, block by block
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    large = large.select("group", "node").distinct().join(label, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    sums = large.groupBy("group", "part").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"))
+    apart = sums.where("top.c < all").select("group", F.col("top.part").alias("major"))
+    apart = large.join(apart, "group").join(sets.select("node", "size", "stored", "items"), "node")
+    minor = F.col("part") != F.col("major")
+    per = apart.groupBy("group").agg(F.ceil(F.greatest(F.count(F.when(minor, 1)) / BLOCK_SETS, F.sum(F.when(minor, F.col("stored"))) / BLOCK_ITEMS)).cast("int").alias("stores"), blocks.alias("queries"))
+    apart = apart.join(per, "group")
+    own = F.xxhash64("node")
+    store = apart.where(minor).select("group", F.pmod(own, "stores").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("j"), F.lit(0).alias("role"), "node", "size", "items", "part")
+    query = apart.select("group", F.explode(F.sequence(F.lit(0), F.col("stores") - 1)).alias("i"), F.pmod(own, "queries").cast("int").alias("j"), F.lit(1).alias("role"), "node", "size", "items", "part")
+    met = store.unionByName(query).repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "role", "size", "node")
+    more = materialize(met.mapInArrow(lambda it: _meet(it, num, den), "a long, b long"), "join-more-links")
+    return documents, links.unionByName(more)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, n_shingles, component_id, node; links between nodes: a, b)."""
+    documents, links = set_links(docs, n, num, den)
     label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
-    done, reach, settled = 0, REACH, None
-    while True:
-        named = groups.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        per = named.groupBy("sig", "c").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"))
-        # minor: members outside the group's largest component
-        per = per.select("sig", F.col("top.c").alias("major"), (F.col("size") - F.col("top.m")).cast("int").alias("minor"), "size")
-        open_ = per.where(f"minor > 0 and (minor <= {REACH} or size > {done + 1})")
-        if settled is not None:
-            open_ = open_.join(settled, "sig", "left_anti")
-        rest = materialize(named.join(open_, "sig").select("sig", F.expr("cast(c = major as int)").alias("in_major"), "n", "node", "pos", "c", "minor"), "join-open")
-        if rest.isEmpty():
-            break
-        few = rest.where(f"minor <= {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "in_major", "n", "node")
-        many = rest.where(f"minor > {REACH}").repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
-        more = few.select("sig", "n", "node", "pos", "c", "minor").mapInArrow(lambda it: _minor_pairs(it, num, den), "a long, b long")
-        more = more.unionByName(many.select("sig", "n", "node", "pos", "c").mapInArrow(lambda it, done=done, reach=reach: _neighbours(it, done, reach, num, den), "a long, b long"))
-        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "join-more")
-        pairs = pairs.unionByName(more)
-        now = rest.where(f"minor <= {REACH}").select("sig").distinct()
-        settled = now if settled is None else settled.unionByName(now)
-        done, reach = done + reach, 16 * reach
-        new = None if more.isEmpty() else links_among(more)
-        if new is not None:
-            links = links.unionByName(new)
-            label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
-    classes = summary.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classes = documents.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # empty sets stay apart: their class is the row itself
     least = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = classes.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
     return out, links
 
 
-def _sorted(groups: DataFrame, parts: int) -> DataFrame:
-    return groups.repartition(parts, "sig").sortWithinPartitions("sig", "n", "node")
-
-
-def _columns(b: pa.RecordBatch):
-    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
-
-
-def _shared_only(batches):
-    """Of rows sorted by (sig, n, node): one row per (sig, node), of shingles that two nodes or more share."""
-    held, left = None, False  # the last row waits for its right neighbour; left: it has a twin on its left
-    for b in batches:
-        rows = _columns(b)
-        if held is not None:
-            rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-        if not len(rows[0]):
-            continue
-        sig, node = rows[0], rows[2]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        rows = [r[fresh] for r in rows]
-        sig = rows[0]
-        twin, same = np.zeros(len(sig), bool), sig[1:] == sig[:-1]
-        twin[0] = left
-        twin[1:] |= same
-        left = bool(twin[-1])
-        twin[:-1] |= same
-        held = [r[-1:] for r in rows]
-        yield _batch([r[:-1][twin[:-1]] for r in rows], ["sig", "n", "node", "pos"])
-    if held is not None and left:
-        yield _batch(held, ["sig", "n", "node", "pos"])
-
-
-def _batch(columns, names) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
-def _may_link(n_a, pos_a, n_b, pos_b, num, den):
-    """Whether sets whose first shared item stands at these places can link: by sizes, and by what may still follow."""
-    small, large = np.minimum(n_a, n_b).astype(np.int64), np.maximum(n_a, n_b).astype(np.int64)
-    reach = 1 + np.minimum(n_a.astype(np.int64) - pos_a - 1, n_b.astype(np.int64) - pos_b - 1)
-    return (den * small >= num * large) & (reach >= overlap_needed(small, large, num, den))
-
-
-def _star(batches, num, den):
-    """Pairs of each row with its group's pivot: the first row, or the first too large for the pivot before."""
-    pivot = None
-    for b in batches:
-        rows = _columns(b)
-        carried = pivot is not None
-        if carried:
-            rows = [np.concatenate([p, r]) for p, r in zip(pivot, rows)]
-        sig, n, node, pos = rows
-        if not len(sig):
-            continue
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        while True:
-            at = np.flatnonzero(head)
-            own = np.repeat(at, np.diff(np.append(at, len(sig))))
-            late = np.flatnonzero(den * n[own].astype(np.int64) < num * n.astype(np.int64))
-            if not len(late):
-                break
-            first = np.ones(len(late), bool)
-            first[1:] = own[late][1:] != own[late][:-1]
-            head[late[first]] = True
-        ok = (np.arange(len(sig)) != own) & _may_link(n[own], pos[own], n, pos, num, den)
-        yield _batch([node[own][ok], node[ok]], ["a", "b"])
-        pivot = [r[own[-1] : own[-1] + 1] for r in rows]
-
-
-def _minor_pairs(batches, num, den):
-    """Of rows sorted by (sig, in_major): pairs of each row with its group's first rows, those outside the largest component,
-    where components differ. A group has REACH such rows at most."""
-    head = None
-    for b in batches:
-        rows = _columns(b)
-        old = 0
-        if head is not None:
-            old = len(head[0])
-            rows = [np.concatenate([h, r]) for h, r in zip(head, rows)]
-        sig, n, node, pos, c, minor = rows
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        at = np.flatnonzero(new)
-        start = np.repeat(at, np.diff(np.append(at, len(sig))))
-        i = np.arange(old, len(sig))
-        for j in range(REACH):
-            i = i[j < minor[i]]
-            k = start[i] + j
-            ok = (k < i) & (c[np.minimum(k, len(sig) - 1)] != c[i])
-            x, y = k[ok], i[ok]
-            if len(x):
-                good = _may_link(n[x], pos[x], n[y], pos[y], num, den)
-                x, y = x[good], y[good]
-                # the smaller set first, as in the other rounds
-                swap = (n[x] > n[y]) | ((n[x] == n[y]) & (node[x] > node[y]))
-                yield _batch([np.where(swap, node[y], node[x]), np.where(swap, node[x], node[y])], ["a", "b"])
-        last = at[-1]
-        head = [r[last : last + min(int(minor[last]), len(sig) - last)] for r in rows]
-
-
-def _neighbours(batches, done, reach, num, den):
-    """Pairs of rows of one group, of different components, that stand done + 1 to done + reach rows apart."""
-    tail = None
-    for b in batches:
-        rows = _columns(b)
-        old = 0
-        if tail is not None:
-            old = len(tail[0])
-            rows = [np.concatenate([t, r]) for t, r in zip(tail, rows)]
-        sig, n, node, pos, c = rows[:5]
-        for d in range(done + 1, done + reach + 1):
-            i = np.arange(max(0, old - d), len(sig) - d)
-            i = i[(sig[i] == sig[i + d]) & (c[i] != c[i + d])] if len(i) else i
-            if len(i):
-                i = i[_may_link(n[i], pos[i], n[i + d], pos[i + d], num, den)]
-                yield _batch([node[i], node[i + d]], ["a", "b"])
-        tail = [r[-(done + reach) :] for r in rows]
-
-
-def _sketched(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that their sketches do not rule out. Sketches are about a sixteenth of the sets."""
-    a, b = (known.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-
-    def check(batches):
-        for batch in batches:
-            n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            need = overlap_needed(n_a, n_b, num, den)
-            ok = [may_overlap(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) >= k for x, y, k in zip(batch.column(3), batch.column(5), need.tolist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    return both.mapInArrow(check, "a long, b long")
-
-
-def settle(pairs: DataFrame, sets: DataFrame, order, num: int, den: int, parts: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose sets link.
-
-    A pivot's members go with it to one task; a pivot of many members goes to several, by a salt of the member.
-    """
-    spread = pairs.groupBy("a").agg((F.expr(f"count(*) div {16 * TREE}") + 1).alias("salts"))
-    salted = pairs.join(spread, "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), salts) as int)"))
-    member = salted.select("a", "salt", "b").join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "items")
-    pivot = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "items")
-    rows = pivot.unionByName(member).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
-
-    def walk(batches):
-        key, query, tree, held = None, None, Trie(), 0
-        for batch in batches:
-            a, salt, role, b = (c.to_numpy() for c in batch.columns[:4])
-            found: list[tuple[int, int]] = []
-            for i, cell in enumerate(batch.column(4)):
-                items = np.frombuffer(cell.as_buffer(), np.uint64)
-                if role[i] == 0:
-                    if held:
-                        found += [(key, x) for x in tree.search(query, num, den)]
-                    key, query, tree, held = int(a[i]), items, Trie(), 0
-                    continue
-                if held == TREE:
-                    found += [(key, x) for x in tree.search(query, num, den)]
-                    tree, held = Trie(), 0
-                tree.add(order.value.arrange(items), int(b[i]))
-                held += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-        if held:
-            found = [(key, x) for x in tree.search(query, num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(walk, "a long, b long")
-
-
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """The documents, with all their columns, that are the least id of their group; of repeated rows one stays.
 
