@@ -483,76 +483,64 @@ def test_toxicity_grammar_tells_settings():
 # --- 9: language model ---
 
 
-def test_lm_score(spark, docs):
-    one = docs.dropDuplicates(["doc_id"])
-    rows = list({r[0]: r for r in documents()}.values())
-    tokens = {r[0]: [*SPACED.findall(low(r[1])), None] for r in rows}
-    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    c = Counter(w for i, t in tokens.items() if not out[i] for w in t)
-    total, v = sum(c.values()), len(c)
-    for most in (1 << 20, 30):  # with few words held, counts of the others are joined in
-        got = {r["doc_id"]: r for r in lm_score.score(one, fold(10, 0), max_words=most).collect()}
-        for i, t in tokens.items():
-            base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in t)
-            r = got[i]
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(t), sum(c[w] > 0 for w in t), total)
-            assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] <= 0
-    assert lm_score.score(empty(spark), fold(10, 0)).count() == 0
-
-
-def test_lm_probabilities_sum_to_one(spark):
-    texts = ["a b c a b d", "a b c", "b c a b c", "c c a b d"] * 5
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, _ = lm_score.train(df)
-    words = ["a", "b", "c", "d"]
-    h = W.scan(pa.array(words, pa.large_string()), W.space_words(True)).hash
-    for before in ([], ["a"], ["a", "b"], ["d"], ["c", "c"], ["zz"]):
-        ctx = W.scan(pa.array([" ".join(before)], pa.large_string()), W.space_words(True)).hash
-        total = 0.0
-        for last in [*h, lm_score.END]:
-            t = np.append(ctx, last)
-            total += 10 ** model.score(t, np.array([0, len(t)]))[1][-1]
-        # the unknown word has the rest: the failure arcs' weight times its unigram share
-        t = np.append(ctx, np.uint64(12345))
-        total += 10 ** (model.score(t, np.array([0, len(t)]))[1][-1] + float(model.unigram(0)))
-        assert abs(total - 1) < 1e-9
-
-
 def expected_lm(tokens, out):
-    """Interpolated absolute discounting of words, pairs and triples, from all counts."""
+    """Smoothing with the lower order as a prior, over words, pairs and triples, from all counts: [(base, score)]."""
     words, pairs, triples = Counter(), Counter(), Counter()
-    for i, t in tokens.items():
-        if not out[i]:
+    for t, held in zip(tokens, out):
+        if not held:
             s = ["<", *t]
             words.update(t)
+            words["<"] += 1
             pairs.update(zip(s, s[1:]))
             triples.update(zip(s, s[1:], s[2:]))
-    sums, kinds = Counter(), Counter()
-    for grams in (pairs, triples):
-        for g, n in grams.items():
-            sums[g[:-1]] += n
-            kinds[g[:-1]] += 1
+    starts = words.pop("<", 0)
     base = sum(words.values()) + 0.1 * (len(words) + 1)
 
     def p(g):
         if len(g) == 1:
             return (words[g[0]] + 0.1) / base
-        if not sums[g[:-1]]:
-            return p(g[1:])
-        n = (pairs if len(g) == 2 else triples)[g]
-        return (max(n - 0.6, 0) + 0.6 * kinds[g[:-1]] * p(g[1:])) / sums[g[:-1]]
+        prior, seen, n = (20, starts if g[0] == "<" else words[g[0]], pairs[g]) if len(g) == 2 else (8, pairs[g[:2]], triples[g])
+        return (n + prior * p(g[1:])) / (seen + prior)
 
-    return {i: sum(math.log10(p(tuple(["<", *t][max(0, j - 1) : j + 2]))) for j in range(len(t))) for i, t in tokens.items()}
+    whole = lambda t, k: sum(math.log10(p(tuple(["<", *t][max(0, j + 1 - k) : j + 2]) if k else (t[j],))) for j in range(len(t)))
+    return [(whole(t, 0), whole(t, 2)) for t in tokens], words
 
 
-@pytest.mark.parametrize("parts,most", [(1, 1 << 20), (1, 0), (23, 1 << 20), (23, 30)])
-def test_lm_counts_every_ngram_whatever_the_partitioning(spark, docs, monkeypatch, parts, most):
-    monkeypatch.setattr(lm_score, "PART_WORDS", 2000)
-    rows = list({r[0]: r for r in documents()}.values())
-    tokens = {r[0]: [*SPACED.findall(low(r[1])), None] for r in rows}
-    want = expected_lm(tokens, {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens})
-    got = lm_score.score(docs.dropDuplicates(["doc_id"]).repartition(parts), fold(10, 0), max_words=most).collect()
-    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) <= 1e-9 * abs(want[r["doc_id"]]) for r in got)
+@pytest.mark.parametrize("parts,size", [(1, 1_000_000), (23, 300), (40, 1)])
+def test_lm_score(spark, docs, monkeypatch, parts, size):
+    """All n-grams are counted exactly, whatever the partitioning, with repeated rows and null text."""
+    monkeypatch.setattr(lm_score, "PART_GRAMS", 2000)
+    rows = documents()
+    tokens = [[*SPACED.findall(low(r[1])), None] for r in rows]
+    out = [zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    sums, words = expected_lm(tokens, out)
+    want = sorted((r[0], o, len(t), sum(words[w] > 0 for w in t), sum(words.values()), *s) for r, t, o, s in zip(rows, tokens, out, sums))
+    got = sorted(map(tuple, lm_score.score(docs.repartition(parts), fold(10, 0), chunk_words=size).select(*lm_score.RESULT).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
+    if parts == 1:
+        assert lm_score.score(empty(spark), fold(10, 0)).count() == 0
+        none = lm_score.score(docs, F.lit(True)).collect()  # nothing is trained on
+        assert len(none) == len(rows) and all(r["n_known"] == r["train_tokens"] == 0 and abs(r["score"] - r["base_score"]) < 1e-6 for r in none)
+
+
+def test_lm_probabilities_sum_to_one():
+    texts = ["a b c a b d", "a b c", "b c a b c", "c c a b d"] * 5
+    word = lambda text: W.scan(pa.array([text], pa.large_string()), W.space_words(True)).hash
+    trained = [np.append(word(t), lm_score.END) for t in texts]
+    total = sum(map(len, trained))
+
+    def whole(t):
+        """Probability of a text that goes on after t."""
+        if not len(t):
+            return 1.0
+        every = [t, *trained]
+        g = lm_score.Grams(np.concatenate(every), np.cumsum([0, *map(len, every)]), np.arange(len(t) + total) >= len(t))
+        return 10 ** lm_score.Automaton(g, g.trained, total, 5).score()[0]
+
+    for before in ("", "a", "a b", "d", "c c", "zz"):
+        nexts = [*word("a b c d"), lm_score.END, np.uint64(12345)]  # the last one stands for all unknown words
+        assert abs(sum(whole(np.append(word(before), x)) for x in nexts) / whole(word(before)) - 1) < 1e-9
 
 
 # --- 10: language ---

@@ -1,347 +1,266 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts words, word pairs and triples over all training documents. Smoothed n-grams become arcs with their whole
-(interpolated, absolutely discounted) probability; contexts are states, and each state has a failure arc with the
-probability mass it leaves to its shorter context; the last state is the add-k unigram distribution with one unknown word,
-so each state's outgoing probabilities sum to 1. A text is scored in one pass from left to right: per token an arc of the
-longest context that has one, or failure arcs down to it.
+Training counts words, word pairs and triples over all training documents. Probabilities are smoothed with the lower order
+as a prior: p(w | h) = (c(h w) + K p(w | shorter h)) / (c(h) + K), down to the add-k words with one unknown word, so what a
+state's arcs and its failure arc give sums to 1. A context that was seen is a state; n-grams that were seen are its arcs with
+their whole probability; its failure arc has the weight K / (c(h) + K) and leads to the shorter context. A text is scored in
+one traversal from left to right, which carries the state: per token an arc of the state, or failure arcs to one that has it.
 
 All n-grams of the training documents are in the model, whatever their counts. Texts are packed into chunks of about
-`CHUNK_WORDS` tokens; a chunk asks for its distinct n-grams and tells how often it trains each. Parts by the hash of the
-context sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can walk.
-So memory depends on the sizes of chunks and parts, and counts not on the partitioning. Contexts that are frequent in a
-chunk are spread over all parts by the next word; only their totals (of at most `max_words` contexts) are broadcast.
-N-grams are named by 64-bit hashes.
-
-Null text is empty: its only token is the end. Repeated rows are trained on and scored each; extra columns are not read.
+`CHUNK_WORDS` tokens; a chunk asks once for each of its distinct n-grams and tells how often it trains them. Parts, by hash of
+the n-gram, sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can
+walk. A part gets at most one row of an n-gram from a chunk, so frequent n-grams need no care; memory depends on the sizes
+of chunks and parts alone, nothing is broadcast, and counts do not depend on the partitioning. N-grams are named by 48 bits
+of a hash within their part.
+
+Null text is empty: its only token is the end. Repeated rows are trained on and scored each, rows without an id too (the fold
+expression says whether they train); extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, binary_rows, cell_values, materialize, most_frequent, text_chunks
+from ._io import binary_rows, cell_values, materialize, text_chunks
 
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
-#: The context of words.
-ROOT = np.uint64(0x51ED270B9F1C3A65)
 ADD = 0.1
-DISCOUNT = 0.6
+#: Weights of the lower order in the probabilities of pairs and triples.
+PAIR_PRIOR, TRIPLE_PRIOR = 20.0, 8.0
 CHUNK_WORDS = 1_000_000
-#: Tokens per part of the exchange of counts.
-PART_WORDS = 1_000_000
-
-
-def _streams(batches, column: int):
-    """(batch, tokens with the end of each text, bounds) of slices of the batches."""
-    table = W.space_words(True)
-    for b in text_chunks(batches, "text"):
-        s = W.scan(b.column(column), table)
-        n = np.diff(s.at)
-        tokens = np.insert(s.hash, s.at[1:], END)
-        yield b, tokens, np.concatenate([[0], np.cumsum(n + 1)])
+#: N-grams per part of the exchange of counts.
+PART_GRAMS = 2_000_000
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def _contexts(tokens: np.ndarray, bounds: np.ndarray):
-    """The token before each token (BEGIN for a text's first), the key of both, and which have one more before."""
-    prev = np.empty_like(tokens)
-    prev[1:] = tokens[:-1]
-    prev[bounds[:-1]] = BEGIN
-    two = _pair(prev, tokens)
-    deep = np.ones(len(tokens), bool)
-    deep[bounds[:-1]] = False
-    before = np.empty_like(two)
-    before[1:] = two[:-1]
-    before[:1] = 0
-    return prev, two, before, deep
+class Grams:
+    """The distinct n-grams of a chunk, ordered by hash; which of them ends at each token; what they go back to."""
 
-
-class Automaton:
-    """Sorted tables: words (count, failure weight of the word as a state), pairs (arc, failure weight), triples (arc)."""
-
-    def __init__(self, words, pairs, triples, begin_fail: float, total: int, distinct: int):
-        self.words, self.pairs, self.triples = words, pairs, triples
-        self.begin_fail, self.total, self.denominator = begin_fail, total, total + ADD * (distinct + 1)
-
-    @staticmethod
-    def _find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
-        at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-        return at, keys[at] == q
-
-    def unigram(self, c):
-        return np.log10((c + ADD) / self.denominator)
-
-    def score(self, tokens: np.ndarray, bounds: np.ndarray):
-        """Per token: count (-1: not among the automaton's words), log10 probability, and whether the unigram part of it
-        (of a word whose count is elsewhere) is still missing."""
-        prev, two, before, deep = _contexts(tokens, bounds)
-        at, known = self._find(self.words[0], tokens)
-        count = np.where(known, self.words[1][at], -1) if len(self.words[0]) else np.full(len(tokens), -1)
-        fail_after = np.where(known, self.words[2][at], 0.0) if len(self.words[0]) else np.zeros(len(tokens))
-        fail1 = np.empty(len(tokens))
-        fail1[1:] = fail_after[:-1]
-        fail1[bounds[:-1]] = self.begin_fail
-        p = fail1 + np.where(known, self.unigram(np.maximum(count, 0)), 0.0)
-        missing = ~known
-        at, arc = self._find(self.pairs[0], two)
-        if arc.any():
-            p = np.where(arc, self.pairs[1][at], p)
-            missing &= ~arc
-            # a pair is the state of the token after it, within a text
-            state = np.zeros(len(tokens), bool)
-            state[1:] = arc[:-1]
-            state &= deep
-            fail2 = np.zeros(len(tokens))
-            fail2[1:] = np.where(arc, self.pairs[2][at], 0.0)[:-1]
-            i = np.flatnonzero(state & (fail2 != 0))
-            j, arc3 = self._find(self.triples[0], _pair(before[i], tokens[i]))
-            p[i] += fail2[i]
-            hit = i[arc3]
-            p[hit] = self.triples[1][j[arc3]]
-            missing[hit] = False
-        return count, p, missing
-
-
-class Items:
-    """Distinct n-grams of a chunk, ordered by part and context: context (ROOT of words), last word, how often trained."""
-
-    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, trained: np.ndarray, hot: np.ndarray, parts: int):
-        prev, two, before, deep = _contexts(tokens, bounds)
-        deep = np.flatnonzero(deep)
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, trained: np.ndarray):
+        """tokens: of all texts, each with its end; trained: which tokens are of training texts."""
+        self.tokens, self.bounds = tokens, bounds
         n = len(tokens)
-        context = np.concatenate([np.full(n, ROOT), prev, before[deep]])
-        key = np.concatenate([_pair(np.full(n, ROOT), tokens), two, _pair(before[deep], tokens[deep])])
+        head = np.zeros(n, bool)
+        head[bounds[:-1]] = True
+        before = np.where(head, BEGIN, np.roll(tokens, 1))
+        two = _pair(before, tokens)
+        deep = np.flatnonzero(~head)
+        key = np.concatenate([_pair(np.full(n, END), tokens), two, _pair(two[deep - 1], tokens[deep])])
         order = np.argsort(key)
-        first = np.flatnonzero(_changes(key[order]))
-        place = np.concatenate([np.arange(n), np.arange(n), deep])
-        c = np.add.reduceat(trained[place[order]].astype(np.int64), first) if n else np.zeros(0, np.int64)
-        at = order[first]
-        key, context = key[at], context[at]
-        spread = W.mix(np.where(_has(hot, context), key, context))
-        part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.lexsort((context, part))
-        at = at[order]
-        self.key, self.context, self.part, self.c = key[order], context[order], part[order].astype(np.int64), c[order]
-        self.n = np.where(at < n, 1, np.where(at < 2 * n, 2, 3))
-        self.last, self.lower = tokens[place[at]], two[place[at]]
-        self.new = _changes(self.context) | _changes(self.part)
-
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        name = np.empty(len(key), np.int64)
+        name[order] = np.cumsum(new) - 1
+        self.key = key[order[new]]
+        every = np.concatenate([trained, trained, trained[deep]])
+        self.trained = np.bincount(name, every, len(self.key)).astype(np.int64)
+        #: per order the n-gram that ends at each token; -1 for the triple at a text's first token
+        self.at = np.full((3, n), -1, np.int64)
+        self.at[0], self.at[1], self.at[2, deep] = name[:n], name[n : 2 * n], name[2 * n :]
+        self.order = np.zeros(len(self.key), np.int8)
+        self.lower, self.context = np.full(len(self.key), -1), np.full(len(self.key), -1)
+        one, two, three = self.at
+        self.order[two], self.order[three[deep]] = 1, 2
+        self.lower[two], self.lower[three[deep]] = one, two[deep]
+        # a text's first token follows BEGIN, which is there as often as the end
+        end = one[bounds[-1] - 1] if n else -1
+        self.context[two], self.context[three[deep]] = np.where(head, end, np.roll(one, 1)), two[deep - 1]
+        self.begin = np.unique(two[head])
+
+    def part(self, parts: int) -> np.ndarray:
+        return ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-def _changes(a: np.ndarray) -> np.ndarray:
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    return new
 
-
-def _has(keys: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return Automaton._find(keys, q)[1]
+class Automaton:
+    """States are n-grams by their number in Grams, then ROOT and BEGIN; arcs are n-grams too."""
+
+    def __init__(self, grams: Grams, count: np.ndarray, total: int, distinct: int):
+        """count: of each of the n-grams in all training texts; total and distinct: of training tokens."""
+        g, n = grams, len(grams.key)
+        self.grams, self.count, self.root, self.begin = g, np.append(count, 0), n, n + 1
+        self.denominator = total + ADD * (distinct + 1)
+        p = (count + ADD) / self.denominator
+        for order, prior in ((1, PAIR_PRIOR), (2, TRIPLE_PRIOR)):
+            own = np.flatnonzero(g.order == order)
+            p[own] = (count[own] + prior * p[g.lower[own]]) / (count[g.context[own]] + prior)
+        self.weight = np.log10(p)
+        known = count > 0
+        itself = np.where(known, np.arange(n), n)
+        #: the state after an arc, each state's failure arc, and its order (of the arcs that leave it)
+        self.next = np.where(g.order == 2, g.lower, itself)
+        self.fail = np.concatenate([np.where(g.order == 1, itself[g.lower] if n else itself, n), [n, n]])
+        prior = np.where(g.order == 1, TRIPLE_PRIOR, PAIR_PRIOR)
+        end = count[g.at[0, -1]] if n else 0
+        self.fail_weight = np.concatenate([np.log10(prior / (count + prior)), [0.0, np.log10(PAIR_PRIOR / (end + PAIR_PRIOR))]])
+        self.depth = np.concatenate([g.order + 1, [0, 1]]).astype(np.int64)
+
+    @cached_property
+    def base(self) -> np.ndarray:
+        """log10 probability of each token by the add-k words alone."""
+        return np.log10((self.count[self.grams.at[0]] + ADD) / self.denominator)
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each text: all texts are traversed at once, token by token, each with its own state."""
+        bounds, at = self.grams.bounds, self.grams.at
+        lens = np.diff(bounds)
+        order = np.argsort(-lens, kind="stable")
+        start, lens = bounds[:-1][order], lens[order]
+        state, sums = np.full(len(order), self.begin), np.zeros(len(order))
+        going = np.searchsorted(-lens, -np.arange(lens[0] if len(lens) else 0), "left")
+        for t, k in enumerate(going.tolist()):
+            here, now = start[:k] + t, state[:k]
+            arc = at[self.depth[now], here]
+            fails = np.flatnonzero((self.count[arc] == 0) & (now != self.root))
+            while len(fails):
+                sums[fails] += self.fail_weight[now[fails]]
+                now[fails] = self.fail[now[fails]]
+                arc[fails] = at[self.depth[now[fails]], here[fails]]
+                fails = fails[(self.count[arc[fails]] == 0) & (now[fails] != self.root)]
+            sums[:k] += self.weight[arc]
+            state[:k] = self.next[arc]
+        out = np.empty(len(order))
+        out[order] = sums
+        return out
 
 
 def _chunks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, held_out, text) packed: one row per chunk, with the contexts that are frequent in it."""
+    """Rows (doc_id, held_out, text) packed: one row per chunk of whole texts."""
+    table = W.space_words(True)
 
     def chunk(held):
         tokens, lens = (np.concatenate([h[i] for h in held]) for i in (2, 3))
         words, local = np.unique(tokens, return_inverse=True)
-        bounds = np.concatenate([[0], np.cumsum(lens)])
-        prev, two, _, _ = _contexts(tokens, bounds)
-        context, n = np.unique(np.concatenate([prev, two]), return_counts=True)
-        own = n >= max(16, len(tokens) >> 12)
         cell = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
         lists = [pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), pa.concat_arrays([h[i] for h in held])) for i in (0, 1)]
         packed = pa.array([pa.compress(local.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([len(tokens)]), *lists, cell(lens.astype(np.int64)), cell(words), packed, cell(context[own]), cell(n[own].astype(np.int64))], ["n", "ids", "held", "lens", "words", "tokens", "hot", "hot_n"])
+        return pa.RecordBatch.from_arrays([pa.array([len(tokens)]), *lists, cell(lens.astype(np.int64)), cell(words), packed], ["n", "ids", "held", "lens", "words", "tokens"])
 
     def pack(batches):
         held, n = [], 0
-        for b, tokens, bounds in _streams(batches, 2):
-            held.append((b.column(0), b.column(1), tokens, np.diff(bounds)))
-            n += len(tokens)
+        for b in text_chunks(batches, "text"):
+            s = W.scan(b.column(2), table)
+            held.append((b.column(0), b.column(1), np.insert(s.hash, s.at[1:], END), np.diff(s.at) + 1))
+            n += len(held[-1][2])
             if n >= size:
                 yield chunk(held)
                 held, n = [], 0
         if held:
             yield chunk(held)
 
-    made = rows.mapInArrow(pack, "n long, ids array<long>, held array<boolean>, lens binary, words binary, tokens binary, hot binary, hot_n binary")
+    made = rows.mapInArrow(pack, "n long, ids array<long>, held array<boolean>, lens binary, words binary, tokens binary")
     return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, bounds, which tokens are trained on) of a chunk."""
+def _grams(row: dict) -> Grams:
     local = np.frombuffer(pa.decompress(row["tokens"], decompressed_size=4 * row["n"], codec="zstd", asbytes=True), np.uint32)
     lens = np.frombuffer(row["lens"], np.int64)
     trained = np.repeat(np.array([h is False for h in row["held"]], bool), lens)
-    return np.frombuffer(row["words"], np.uint64)[local], np.concatenate([[0], np.cumsum(lens)]), trained
+    return Grams(np.frombuffer(row["words"], np.uint64)[local], np.concatenate([[0], np.cumsum(lens)]), trained)
+
+
+def _small(counts: np.ndarray, edge: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts of each stretch as bytes, 255 standing for the next one of the large counts."""
+    large = counts >= 255
+    at = np.concatenate([[0], np.cumsum(large)])[edge]
+    return binary_rows(np.minimum(counts, 255).astype(np.uint8), edge), binary_rows(counts[large].astype(np.uint64), at)
 
 
-def _exchange(chunks: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """Per chunk and part, in the order of the chunk's Items: exact counts, and of each context its total and followers;
-    of the spread contexts, a part's share of both (chunk null, contexts in place of counts)."""
-    known = chunks.sparkSession.sparkContext.broadcast(hot)
+def _counts(small: pa.Array, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Reverse of _small: (counts, bounds of the rows)."""
+    low, edge = cell_values(small, np.uint8)
+    out = low.astype(np.int64)
+    out[low == 255] = cell_values(large, np.uint64)[0]
+    return out, edge
+
+
+def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
+    """Per chunk and part, in the order of the chunk's n-grams: their counts in all training texts; and per part (without a
+    chunk) how many words it holds that are trained."""
 
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                t = Items(*_unpack(row), known.value, parts)
-                edge = np.append(np.flatnonzero(_changes(t.part)), len(t.part))
-                first = np.flatnonzero(t.new)
-                lens = np.diff(np.append(first, len(t.new)))
-                inner = np.searchsorted(first, edge)
-                # six bytes of the last word's hash tell the words after one context apart
-                last = t.last.view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
+                g = _grams(row)
+                part = g.part(parts)
+                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                low = np.ascontiguousarray(g.key.view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+                word = np.packbits(g.order == 0)
+                words = [word[a // 8 : -(-z // 8)].tobytes() for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                small, large = _small(g.trained, edge)
                 own = len(edge) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.part[edge[:-1]]), pa.array(np.full(own, row["chunk"])), binary_rows(t.context[first], inner), binary_rows(lens.astype(np.uint32), inner), binary_rows(last, edge * 6), binary_rows(t.c.astype(np.uint32), edge)],
-                    ["part", "chunk", "context", "lens", "last", "c"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.full(own, row["chunk"])), binary_rows(low, edge * 6), pa.array(words, pa.binary()), pa.array(edge[:-1] % 8), small, large], ["part", "chunk", "low", "words", "skip", "small", "large"])
 
     def answer(table):
         table = table.combine_chunks()
-        cell = lambda name, kind: cell_values(table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0), kind)
-        context, inner = cell("context", np.uint64)
-        lens, _ = cell("lens", np.uint32)
-        last, at6 = cell("last", np.uint8)
-        c, edge = cell("c", np.uint32)
-        wide = np.zeros((len(c), 8), np.uint8)
-        wide[:, 2:] = last.reshape(-1, 6)
-        key = _pair(np.repeat(context, lens), wide.view(np.uint64).reshape(-1))
+        column = lambda name: pa.concat_arrays(table.column(name).chunks)
+        low, _ = cell_values(column("low"), np.uint8)
+        count, edge = _counts(column("small"), column("large"))
+        wide = np.zeros((len(count), 8), np.uint8)
+        wide[:, :6] = low.reshape(-1, 6)
+        bits = [np.unpackbits(np.frombuffer(w, np.uint8))[s : s + n] for w, s, n in zip(column("words").to_pylist(), column("skip").to_pylist(), np.diff(edge).tolist())]
+        key = wide.reshape(-1).view(np.uint64)
         order = np.argsort(key)
-        new = _changes(key[order])
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
         first = np.flatnonzero(new)
-        sums = np.add.reduceat(c[order].astype(np.int64), first)
-        counts = np.empty(len(c), np.int64)
-        counts[order] = sums[np.cumsum(new) - 1]
-        names, which = np.unique(context, return_inverse=True)
-        owner = np.repeat(which, lens)[order[first]]
-        total = np.bincount(owner, sums, len(names)).astype(np.int64)
-        follow = np.bincount(owner, sums > 0, len(names)).astype(np.int64)
-        spread = _has(known.value, names)
-        part = table.column("part")[0].as_py()
-        rows = pa.Table.from_arrays([pa.array(np.full(table.num_rows, part)), table.column("chunk"), binary_rows(counts, edge), binary_rows(total[which], inner), binary_rows(follow[which], inner)], names=ANSWER)
-        share = [pa.array([a[spread].tobytes()], pa.binary()) for a in (names, total, follow)]
-        return pa.concat_tables([rows, pa.Table.from_arrays([pa.array([part]), pa.array([None], pa.int64()), *share], names=ANSWER)])
-
-    asked = chunks.mapInArrow(ask, "part long, chunk long, context binary, lens binary, last binary, c binary")
-    return materialize(asked.groupBy("part").applyInArrow(answer, "part long, chunk long, counts binary, total binary, follow binary"), "lm-answers")
+        sums = np.add.reduceat(count[order], first)
+        count[order] = sums[np.cumsum(new) - 1]
+        words = int((np.concatenate(bits)[order[first]].astype(bool) & (sums > 0)).sum())
+        rows = pa.Table.from_arrays([table.column("part"), table.column("chunk"), *_small(count, edge), pa.array(np.zeros(table.num_rows, np.int64))], names=ANSWER)
+        return pa.concat_tables([rows, pa.Table.from_arrays([table.column("part").slice(0, 1), pa.array([None], pa.int64()), pa.array([b""]), pa.array([b""]), pa.array([words])], names=ANSWER)])
 
+    asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, "part long, chunk long, low binary, words binary, skip long, small binary, large binary")
+    return materialize(asked.groupBy("part").applyInArrow(answer, "part long, chunk long, small binary, large binary, words long"), "lm-answers")
 
-ANSWER = ["part", "chunk", "counts", "total", "follow"]
 
+ANSWER = ["part", "chunk", "small", "large", "words"]
 
-def _flat(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Cells of equally many 64-bit values as rows."""
 
-    def flat(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(cell_values(c, np.int64)[0]) for c in b.columns], columns)
-
-    return df.select(*columns).mapInArrow(flat, ", ".join(f"{c} long" for c in columns))
-
-
-def _automaton(t: Items, answers: list[dict], totals) -> Automaton:
-    """The automaton of the arcs of a chunk's n-grams, from the answers to its Items."""
-    answers = sorted(answers, key=lambda r: r["part"])
-    c, total, follow = (np.frombuffer(b"".join(r[name] for r in answers), np.int64) for name in ANSWER[2:])
-    entry = np.cumsum(t.new) - 1
-    total, follow = total[entry], follow[entry]
-    hot, hot_total, hot_follow = totals
-    at, spread = Automaton._find(hot, t.context)
-    if spread.any():
-        total, follow = np.where(spread, hot_total[at], total), np.where(spread, hot_follow[at], follow)
-    root = np.flatnonzero(hot == ROOT)
-    every, distinct = (int(hot_total[root[0]]), int(hot_follow[root[0]])) if len(root) else (0, 0)
-    model = Automaton(None, None, None, 0.0, every, distinct)
-    fail = np.where(total > 0, DISCOUNT * follow / np.maximum(total, 1), 1.0)
-    context, first = np.unique(t.context, return_index=True)
-    fail_of = fail[first]
-
-    def after(keys):
-        at, known = Automaton._find(context, keys)
-        return np.where(known, fail_of[at], 1.0)
-
-    def arcs(n, lower, lower_p):
-        own = np.flatnonzero((t.n == n) & (c > 0))
-        own = own[np.argsort(t.key[own])]
-        at, _ = Automaton._find(lower, t.last[own] if n == 2 else t.lower[own])
-        return t.key[own], (c[own] - DISCOUNT) / total[own] + fail[own] * (lower_p[at] if len(own) else np.zeros(0))
-
-    own = np.flatnonzero(t.n == 1)
-    own = own[np.argsort(t.last[own])]
-    words, counts = t.last[own], c[own]
-    two, p2 = arcs(2, words, (counts + ADD) / model.denominator)
-    three, p3 = arcs(3, two, p2)
-    model.words = [words, counts, np.log10(after(words))]
-    model.pairs = [two, np.log10(p2), np.log10(after(two))]
-    model.triples = [three, np.log10(p3)]
-    model.begin_fail = float(np.log10(after(np.array([BEGIN])))[0])
-    return model
-
-
-def _prepare(rows: DataFrame, max_words: int):
-    """(chunks, answers, spread contexts with their totals and followers, parts) of rows (doc_id, held_out, text)."""
-    chunks = _chunks(rows, CHUNK_WORDS)
-    often = _flat(chunks, ["hot", "hot_n"]).groupBy("hot").agg(F.sum("hot_n").alias("hot_n"))
-    hot = as_hash(most_frequent(materialize(often, "lm-hot"), "hot_n", max_words).select("hot").toArrow().column(0))
-    hot = np.unique(np.append(hot, ROOT))
-    parts = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
-    answers = _exchange(chunks, hot, parts)
-    share = _flat(answers.where("chunk is null"), ANSWER[2:]).groupBy("counts").agg(F.sum("total").alias("total"), F.sum("follow").alias("follow")).toArrow()
-    name = as_hash(share.column(0))
-    order = np.argsort(name)
-    totals = [name[order], *[share.column(i).to_numpy()[order].astype(np.int64) for i in (1, 2)]]
-    return chunks, answers.where("chunk is not null"), totals, (hot, parts)
-
-
-def train(text: DataFrame, max_words: int = 1 << 20) -> tuple[Automaton, int]:
-    """(the whole automaton of the training texts, tokens in them), gathered on the driver: for small tables only."""
-    rows = text.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
-    chunks, answers, totals, plan = _prepare(rows, max_words)
-    replies = answers.toArrow().to_pylist()
-    models = [_automaton(Items(*_unpack(r), *plan), [a for a in replies if a["chunk"] == r["chunk"]], totals) for r in chunks.toArrow().to_pylist()]
-    if not models:
-        none = np.zeros(0)
-        return Automaton([none.astype(np.uint64), none, none], [none.astype(np.uint64), none, none], [none.astype(np.uint64), none], 0.0, 0, 0), 0
-    whole = models[0]
-    for name in ("words", "pairs", "triples"):
-        tables = [np.concatenate(x) for x in zip(*[getattr(m, name) for m in models])]
-        _, at = np.unique(tables[0], return_index=True)
-        setattr(whole, name, [x[at] for x in tables])
-    return whole, whole.total
-
-
-def score(docs: DataFrame, held_out, max_words: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """All documents scored by the model of those that are not held out (a boolean column expression)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    chunks, answers, totals, plan = _prepare(rows, max_words)
-    known = docs.sparkSession.sparkContext.broadcast((totals, plan))
+    chunks = _chunks(rows, chunk_words)
+    tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    answers = _exchange(chunks, max(1, -(-2 * tokens // PART_GRAMS)))
+    distinct = int(answers.agg(F.sum("words")).first()[0] or 0)
+    total = int(_trained(chunks).agg(F.sum("trained")).first()[0] or 0)
 
     def walk(chunk, replies):
-        totals, plan = known.value
-        out = []
-        for row in chunk.to_pylist():
-            tokens, bounds, trained = _unpack(row)
-            model = _automaton(Items(tokens, bounds, trained, *plan), replies.to_pylist(), totals)
-            count, p, _ = model.score(tokens, bounds)
-            cut = bounds[:-1]
-            n = len(cut)
-            sums = [np.diff(bounds), np.add.reduceat((count > 0).astype(np.int64), cut), np.full(n, model.total), np.add.reduceat(model.unigram(count), cut), np.add.reduceat(p, cut)]
-            out.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *[pa.array(x) for x in sums]], names=RESULT))
-        return pa.concat_tables(out)
+        replies = replies.sort_by("part")
+        column = lambda name: pa.concat_arrays(replies.column(name).chunks)
+        row = chunk.to_pylist()[0]
+        g = _grams(row)
+        model = Automaton(g, _counts(column("small"), column("large"))[0], total, distinct)
+        cut = g.bounds[:-1]
+        known = (model.count[g.at[0]] > 0).astype(np.int64)
+        sums = [np.diff(g.bounds), np.add.reduceat(known, cut), np.full(len(cut), total), np.add.reduceat(model.base, cut), model.score()]
+        return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *[pa.array(x) for x in sums]], names=RESULT)
 
     packed = chunks.select("chunk", "n", "ids", "held", "lens", "words", "tokens")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = answers.where("chunk is not null").select("chunk", "part", "small", "large")
+    return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+def _trained(chunks: DataFrame) -> DataFrame:
+    """Per chunk its tokens of training texts."""
+
+    def tokens(batches):
+        for b in batches:
+            lens, bounds = cell_values(b.column(1), np.int64)
+            held = pc.fill_null(b.column(0).flatten(), True).to_numpy(zero_copy_only=False)
+            done = np.concatenate([[0], np.cumsum(np.where(held, 0, lens))])
+            yield pa.RecordBatch.from_arrays([pa.array(done[bounds[1:]] - done[bounds[:-1]])], ["trained"])
+
+    return chunks.select("held", "lens").mapInArrow(tokens, "trained long")
