@@ -421,6 +421,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     classes = documents.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # empty sets stay apart: their class is the row itself
     least = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # written first, so that the join has exchanges of its own and a class of many copies can be split
+    least = materialize(least, "join-least")
     out = classes.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
     return out, links
 

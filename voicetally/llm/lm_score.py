@@ -10,8 +10,8 @@ All n-grams of the training documents are in the model, whatever their counts. T
 `CHUNK_WORDS` tokens; a chunk asks once for each of its distinct n-grams and tells how often it trains them. Parts, by hash of
 the n-gram, sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can
 walk. A part gets at most one row of an n-gram from a chunk, so frequent n-grams need no care; memory depends on the sizes
-of chunks and parts alone, nothing is broadcast, and counts do not depend on the partitioning. N-grams are named by 48 bits
-of a hash within their part.
+of chunks and parts alone, nothing is broadcast, and counts do not depend on the partitioning. N-grams are named by 56 bits
+of a hash.
 
 Null text is empty: its only token is the end. Repeated rows are trained on and scored each, rows without an id too (the fold
 expression says whether they train); extra columns are not read; an empty table gives an empty result.
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import binary_rows, cell_values, materialize, text_chunks
+from ._io import cell_values, materialize, text_chunks
 
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
 ADD = 0.1
 #: Weights of the lower order in the probabilities of pairs and triples.
 PAIR_PRIOR, TRIPLE_PRIOR = 20.0, 8.0
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 750_000
 #: N-grams per part of the exchange of counts.
 PART_GRAMS = 2_000_000
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -57,29 +57,31 @@ class Grams:
         two = _pair(before, tokens)
         deep = np.flatnonzero(~head)
         key = np.concatenate([_pair(np.full(n, END), tokens), two, _pair(two[deep - 1], tokens[deep])])
+        key >>= np.uint64(8)
         order = np.argsort(key)
+        key = key[order]
         new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        name = np.empty(len(key), np.int64)
-        name[order] = np.cumsum(new) - 1
-        self.key = key[order[new]]
-        every = np.concatenate([trained, trained, trained[deep]])
-        self.trained = np.bincount(name, every, len(self.key)).astype(np.int64)
+        new[1:] = key[1:] != key[:-1]
+        self.key = key[new]
+        name = np.empty(len(key), np.int32)
+        name[order] = np.cumsum(new, dtype=np.int32) - 1
+        del key, order, new
+        size = len(self.key)
+        self.trained = sum(np.bincount(x, minlength=size) for x in (name[:n][trained], name[n : 2 * n][trained], name[2 * n :][trained[deep]]))
         #: per order the n-gram that ends at each token; -1 for the triple at a text's first token
-        self.at = np.full((3, n), -1, np.int64)
+        self.at = np.full((3, n), -1, np.int32)
         self.at[0], self.at[1], self.at[2, deep] = name[:n], name[n : 2 * n], name[2 * n :]
-        self.order = np.zeros(len(self.key), np.int8)
-        self.lower, self.context = np.full(len(self.key), -1), np.full(len(self.key), -1)
+        self.order = np.zeros(size, np.int8)
+        self.lower, self.context = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         one, two, three = self.at
         self.order[two], self.order[three[deep]] = 1, 2
         self.lower[two], self.lower[three[deep]] = one, two[deep]
         # a text's first token follows BEGIN, which is there as often as the end
         end = one[bounds[-1] - 1] if n else -1
         self.context[two], self.context[three[deep]] = np.where(head, end, np.roll(one, 1)), two[deep - 1]
-        self.begin = np.unique(two[head])
 
     def part(self, parts: int) -> np.ndarray:
-        return ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        return ((self.key >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 class Automaton:
@@ -169,19 +171,37 @@ def _grams(row: dict) -> Grams:
     return Grams(np.frombuffer(row["words"], np.uint64)[local], np.concatenate([[0], np.cumsum(lens)]), trained)
 
 
-def _small(counts: np.ndarray, edge: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Counts of each stretch as bytes, 255 standing for the next one of the large counts."""
-    large = counts >= 255
-    at = np.concatenate([[0], np.cumsum(large)])[edge]
-    return binary_rows(np.minimum(counts, 255).astype(np.uint8), edge), binary_rows(counts[large].astype(np.uint64), at)
+def _squeezed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as compressed bytes, 255 standing for the next one of the large counts."""
+    return pa.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True), counts[counts >= 255].astype(np.int64).tobytes()
 
 
-def _counts(small: pa.Array, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Reverse of _small: (counts, bounds of the rows)."""
-    low, edge = cell_values(small, np.uint8)
-    out = low.astype(np.int64)
-    out[low == 255] = cell_values(large, np.uint64)[0]
-    return out, edge
+def _counts(n: int, small: bytes, large: bytes) -> np.ndarray:
+    """Reverse of _squeezed, of n counts."""
+    out = np.frombuffer(pa.decompress(small, decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, np.int64)
+    return out
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first one, and then the differences in as few bytes as the largest of them takes."""
+    step = np.diff(keys)
+    width = max(1, -(-int(step.max(initial=0)).bit_length() // 8))
+    return keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _keys(n: int, steps: bytes) -> np.ndarray:
+    """Reverse of _steps, of n keys."""
+    out = np.zeros((n, 8), np.uint8)
+    out[0] = np.frombuffer(steps, np.uint8, 8)
+    if n > 1:
+        out[1:, : (len(steps) - 8) // (n - 1)] = np.frombuffer(steps, np.uint8, offset=8).reshape(n - 1, -1)
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+ASK = "part long, chunk long, n long, keys binary, words binary, small binary, large binary"
+ANSWER = "part long, chunk long, n long, small binary, large binary, words long"
+_ASK, _ANSWER = ([f.split()[0] for f in x.split(", ")] for x in (ASK, ANSWER))
 
 
 def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
@@ -193,39 +213,33 @@ def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 g = _grams(row)
-                part = g.part(parts)
-                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-                low = np.ascontiguousarray(g.key.view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
-                word = np.packbits(g.order == 0)
-                words = [word[a // 8 : -(-z // 8)].tobytes() for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                small, large = _small(g.trained, edge)
-                own = len(edge) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.full(own, row["chunk"])), binary_rows(low, edge * 6), pa.array(words, pa.binary()), pa.array(edge[:-1] % 8), small, large], ["part", "chunk", "low", "words", "skip", "small", "large"])
+                part, word = g.part(parts), g.order == 0
+                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+                cells = [(_steps(g.key[a:z]), np.packbits(word[a:z]).tobytes(), *_squeezed(g.trained[a:z])) for a, z in zip(edge[:-1], edge[1:])]
+                part = part[edge[:-1]]
+                del g
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row["chunk"])), pa.array(np.diff(edge)), *[pa.array(c, pa.binary()) for c in zip(*cells)]], _ASK)
 
     def answer(table):
-        table = table.combine_chunks()
-        column = lambda name: pa.concat_arrays(table.column(name).chunks)
-        low, _ = cell_values(column("low"), np.uint8)
-        count, edge = _counts(column("small"), column("large"))
-        wide = np.zeros((len(count), 8), np.uint8)
-        wide[:, :6] = low.reshape(-1, 6)
-        bits = [np.unpackbits(np.frombuffer(w, np.uint8))[s : s + n] for w, s, n in zip(column("words").to_pylist(), column("skip").to_pylist(), np.diff(edge).tolist())]
-        key = wide.reshape(-1).view(np.uint64)
+        rows = table.to_pylist()
+        key = np.concatenate([_keys(r["n"], r["keys"]) for r in rows])
+        count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in rows])
+        word = np.concatenate([np.unpackbits(np.frombuffer(r["words"], np.uint8))[: r["n"]] for r in rows]).astype(bool)
         order = np.argsort(key)
         new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        new[1:] = np.diff(key[order]) != 0
         first = np.flatnonzero(new)
         sums = np.add.reduceat(count[order], first)
         count[order] = sums[np.cumsum(new) - 1]
-        words = int((np.concatenate(bits)[order[first]].astype(bool) & (sums > 0)).sum())
-        rows = pa.Table.from_arrays([table.column("part"), table.column("chunk"), *_small(count, edge), pa.array(np.zeros(table.num_rows, np.int64))], names=ANSWER)
-        return pa.concat_tables([rows, pa.Table.from_arrays([table.column("part").slice(0, 1), pa.array([None], pa.int64()), pa.array([b""]), pa.array([b""]), pa.array([words])], names=ANSWER)])
-
-    asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, "part long, chunk long, low binary, words binary, skip long, small binary, large binary")
-    return materialize(asked.groupBy("part").applyInArrow(answer, "part long, chunk long, small binary, large binary, words long"), "lm-answers")
-
+        edge = np.cumsum([0, *[r["n"] for r in rows]]).tolist()
+        cells = [_squeezed(count[a:z]) for a, z in zip(edge[:-1], edge[1:])]
+        part = rows[0]["part"]
+        out = [(part, r["chunk"], r["n"], *c, 0) for r, c in zip(rows, cells)] + [(part, None, 0, b"", b"", int((word[order[first]] & (sums > 0)).sum()))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_ANSWER)
 
-ANSWER = ["part", "chunk", "small", "large", "words"]
+    asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, ASK)
+    return materialize(asked.groupBy("part").applyInArrow(answer, ANSWER), "lm-answers")
 
 
 def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -238,18 +252,17 @@ def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFram
     total = int(_trained(chunks).agg(F.sum("trained")).first()[0] or 0)
 
     def walk(chunk, replies):
-        replies = replies.sort_by("part")
-        column = lambda name: pa.concat_arrays(replies.column(name).chunks)
         row = chunk.to_pylist()[0]
         g = _grams(row)
-        model = Automaton(g, _counts(column("small"), column("large"))[0], total, distinct)
+        count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in replies.sort_by("part").to_pylist()])
+        model = Automaton(g, count, total, distinct)
         cut = g.bounds[:-1]
         known = (model.count[g.at[0]] > 0).astype(np.int64)
         sums = [np.diff(g.bounds), np.add.reduceat(known, cut), np.full(len(cut), total), np.add.reduceat(model.base, cut), model.score()]
         return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *[pa.array(x) for x in sums]], names=RESULT)
 
     packed = chunks.select("chunk", "n", "ids", "held", "lens", "words", "tokens")
-    asked = answers.where("chunk is not null").select("chunk", "part", "small", "large")
+    asked = answers.where("chunk is not null").select("chunk", "part", "n", "small", "large")
     return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
