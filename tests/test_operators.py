@@ -65,19 +65,34 @@ def test_turn_aggregate_counts_all_once_more(spark):
     assert abs(q["all"]["R_share"] - 2 / 3) < 1e-12 and q["clip"]["party_coverage"] == 0
 
 
-def test_intervals(spark):
+def test_bootstrap(spark):
     x = np.arange(30, dtype=float)
-    lo, hi = U.bootstrap_interval(x, 500, 0.05, 1)
-    wide = U.bootstrap_interval(x, 500, 0.01, 1)
-    assert wide[0] <= lo < x.mean() < hi <= wide[1] and math.isnan(U.bootstrap_interval(x[:0], 10, 0.05, 0)[0])
-    counts = np.array([80.0] + [1.0] * 20)
-    s = U.hhi_interval(counts, 0.7, 0.9, 300, 0.05, 0)
-    assert s["lo"] < s["median"] < s["hi"]
-    perfect = U.hhi_interval(counts, 1.0, 1.0, 10, 0.05, 0)
-    assert perfect["lo"] == perfect["hi"] == float(np.square(counts / 100).sum())
-    df = spark.createDataFrame([(1, f"s{i}", int(c)) for i, c in enumerate(counts)], "y int, who string, c bigint")
-    a, b = (U.simulate_hhi_ci(d, ["y"], "who", 0.7, 0.9, 50).first() for d in (df, df.repartition(5)))
-    assert a == b
+    means = U.resampled_means(x, 4000, 1, room=3000)
+    assert len(means) == 4000 and abs(means.mean() - x.mean()) < 0.2 and abs(means.std() - x.std() / math.sqrt(30)) < 0.1
+    df = spark.createDataFrame([(1, float(v)) for v in x] + [(2, None)], "k int, v double")
+    a, b = (sorted(map(repr, U.bootstrap_ci(d, ["k"], "v", 500).collect())) for d in (df, df.repartition(5)))
+    wide = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", 500, alpha=0.01).collect()}
+    one = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", 500).collect()}
+    assert a == b and wide[1]["lo"] <= one[1]["lo"] < x.mean() < one[1]["hi"] <= wide[1]["hi"] and one[2]["lo"] is None
+
+
+def test_error_adjusted_hhi(spark):
+    counts = [80] + [1] * 20
+    df = spark.createDataFrame([(y, f"s{i}", c) for y in (1, 2) for i, c in enumerate(counts)] + [(3, "none", 0)], "y int, who string, c bigint")
+    a, b = (sorted(map(tuple, U.simulate_hhi_ci(d, ["y"], "who", 0.7, 0.9, 300).collect())) for d in (df, df.repartition(5)))
+    assert a == b and [r[0] for r in a] == [1, 2] and all(lo < mid < hi for _, mid, lo, hi in a)
+    # by hand: the same sources' draws
+    rows = np.stack([U.corrupted(c, f"1|s{i}", 0.7, 0.9, 300, 0) for i, c in enumerate(counts)])
+    hhi = (rows.astype(float) ** 2).sum(axis=0) / rows.sum(axis=0) ** 2
+    assert np.allclose(a[0][1:], np.quantile(hhi, [0.5, 0.025, 0.975]))
+    assert abs(rows.sum(axis=0).mean() - 100 * 0.9 / 0.7) < 3
+    sure = U.simulate_hhi_ci(df, ["y"], "who", 1.0, 1.0, 10).first()
+    assert abs(sure["lo"] - (80**2 + 20) / 100**2) < 1e-12 and sure["lo"] == sure["hi"]
+
+
+def test_large_counts_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, "a", 4 * 10**9), (1, "b", 4 * 10**9)], "y int, who string, c bigint")
+    assert abs(concentration_of_counts(df, ["y"], "who").first()["hhi"] - 0.5) < 1e-12
 
 
 SENTENCES = ["Joe Biden said the plan works.", "According to Barack Obama, reform is needed.", '"It works," said Hillary Clinton today.', "The White House said it would respond.", "The weather is nice today.", "", None]
@@ -85,11 +100,12 @@ SENTENCES = ["Joe Biden said the plan works.", "According to Barack Obama, refor
 
 def test_attributions(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SENTENCES)], "url int, text string")
-    got = {r["url"]: r for r in extract_attributions(df, "url").collect()}
+    got = {r["url"]: r for r in extract_attributions(df).collect()}
     assert {k: (r["source_span"], r["cue_verb"], r["entity_type"]) for k, r in got.items()} == {0: ("Joe Biden", "say", "PERSON"), 1: ("Barack Obama", "according to", "PERSON"), 2: ("Hillary Clinton", "say", "PERSON"), 3: ("The White House", "say", "ORG")}
     assert all(SENTENCES[k][r["char_start"] : r["char_end"]] == r["source_span"] for k, r in got.items())
-    on_air = spark.createDataFrame([(0, "joe  biden")], "url int, name string")
-    assert 0 not in {r["url"] for r in extract_attributions(df, "url", exclude=on_air).collect()}
+    # names on air count in their own row only, also where two rows have one url
+    two = spark.createDataFrame([(0, SENTENCES[0], ["joe  biden"]), (0, SENTENCES[0], ["x"]), (1, SENTENCES[0], None)], "url int, text string, air array<string>")
+    assert sorted(r["url"] for r in extract_attributions(two, exclude="air").collect()) == [0, 1]
 
 
 def test_attributions_by_model(spark):

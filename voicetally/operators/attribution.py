@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.text import squeeze
 
 IRREGULAR = {"say": ("says", "said"), "tell": ("tells", "told"), "write": ("writes", "wrote"), "deny": ("denies", "denied"), "reply": ("replies", "replied"), "testify": ("testifies", "testified"), "admit": ("admits", "admitted")}
 #: Words in a name that make it an organization.
@@ -50,8 +51,9 @@ def entity_type(span: Column) -> Column:
     return F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ORG_WORDS])) | low.startswith("the "), "ORG").otherwise("PERSON")
 
 
-def extract_attributions(segments: DataFrame, key: str, text: str = "text", exclude: DataFrame | None = None) -> DataFrame:
-    """One row per credited source with offsets into the text; a span counts once. exclude: (key, name) on air, dropped.
+def extract_attributions(segments: DataFrame, text: str = "text", exclude: str | None = None) -> DataFrame:
+    """One row per credited source with offsets into the text. exclude: a column with the names on air, which are dropped; it is
+    not kept. Nothing is shuffled: matches do not overlap, so a span counts once, and names on air are of the same row.
 
     Offsets are of the name within the match: each match is located by the lengths of the gaps and matches before it.
     """
@@ -76,10 +78,10 @@ def extract_attributions(segments: DataFrame, key: str, text: str = "text", excl
     ends = r"(?<=[.!?])\s+"
     d = d.withColumn("sentence_index", F.size(F.split(head, ends)) - 1)
     d = d.withColumn("sentence_text", F.get(F.split("_t", ends), F.col("sentence_index"))).withColumn("entity_type", entity_type(F.col("source_span")))
-    out = d.drop("_t", "_h").dropDuplicates([key, "char_start", "char_end"])
+    out = d.drop("_t", "_h")
     if exclude is not None:
-        names = exclude.select(F.col(key), F.lower(F.regexp_replace(F.trim("name"), r"(?U)\s+", " ")).alias("_name")).distinct()
-        out = out.withColumn("_name", F.lower(F.regexp_replace(F.trim("source_span"), r"(?U)\s+", " "))).join(names, [key, "_name"], "left_anti").drop("_name")
+        plain = lambda c: F.lower(squeeze(c))
+        out = out.where(~F.coalesce(F.array_contains(F.transform(exclude, plain), plain(F.col("source_span"))), F.lit(False))).drop(exclude)
     return out
 
 

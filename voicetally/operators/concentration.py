@@ -25,12 +25,12 @@ def concentration_of_counts(counts: DataFrame, by: Sequence[str], entity: str) -
     c = F.when(F.col("c") < 0, F.raise_error(F.lit("counts must be non-negative")).cast("bigint")).otherwise(F.col("c"))
     pos = counts.withColumn("c", c).where("c <> 0")
     x = F.col("c").cast("double")
-    total = pos.groupBy(*by).agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum(x * F.ln(x)).alias("sl"), F.count("*").alias("n"))
+    total = pos.groupBy(*by).agg(F.sum("c").alias("s"), F.sum(x * x).alias("s2"), F.sum(x * F.ln(x)).alias("sl"), F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("c").desc(), entity))
     top = pos.withColumn("r", rank).where("r <= 25").groupBy(*by).agg(F.sum(F.when(F.col("r") <= 10, F.col("c")).otherwise(0)).alias("t10"), F.sum("c").alias("t25"))
     both = total.join(top, list(by)) if by else total.crossJoin(top)
     s, n = F.col("s").cast("double"), F.col("n").cast("double")
-    h = F.col("s2").cast("double") / (s * s)
+    h = F.col("s2") / (s * s)
     return both.select(
         *by,
         h.alias("hhi"),
@@ -47,7 +47,7 @@ def concentration(events: DataFrame, by: Sequence[str], entity: str, weight: Col
     return concentration_of_counts(market_counts(events, by, entity, weight), by, entity)
 
 
-def annual(events: DataFrame, measure: str, variant: str, year: str = "year", entity: str = "canonical_id") -> DataFrame:
+def annual(events: DataFrame, measure: str, variant: str, year: str = "year", entity: str = "canonical_id", weight: Column | None = None) -> DataFrame:
     """The yearly series with its labels; an empty input keeps its columns."""
-    s = concentration(events.where(F.col(year).isNotNull()), [year], entity)
+    s = concentration(events.where(F.col(year).isNotNull()), [year], entity, weight)
     return s.select(F.col(year).alias("year"), F.lit(measure).alias("measure"), F.lit(variant).alias("variant"), *METRICS)

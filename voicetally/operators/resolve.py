@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import ALIASES
 from ..functions.text import normalize_name, surname
 
+SALTS = 16
+
 
 def alias_table(spark: SparkSession, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """(alias, person): written forms normalized as mentions are."""
@@ -21,8 +23,9 @@ def resolve_mentions(df: DataFrame, name: str, scope: Sequence[str] = (), aliase
     """df with a column `out`: the person of an alias; a full name itself; a bare surname's only full name in the scope, or
     `ambiguous:<surname>` for several, or itself for none; '' for an empty name.
 
-    Full names that an alias covers are no candidates. Distinct full names are combined before the shuffle, and a surname's
-    candidates reduce to a count and one name, so a frequent surname is a single small row.
+    Full names that an alias stands for are no candidates. Distinct full names are combined before the shuffle, and a surname's
+    candidates reduce to a count and one name, so a frequent surname is a single small row. The other side is dealt out by a
+    salt as well, so neither a frequent bare surname nor the names that look for none meet in one task.
     """
     scope = list(scope)
     table = alias_table(df.sparkSession, aliases)
@@ -30,8 +33,11 @@ def resolve_mentions(df: DataFrame, name: str, scope: Sequence[str] = (), aliase
     d = d.withColumns({"_full": F.col("_n").contains(" "), "_sn": surname("_n")})
     full = d.where("_full and _alias is null").select(*scope, "_sn", "_n").distinct()
     one = full.groupBy(*scope, "_sn").agg(F.count("*").alias("_many"), F.min("_n").alias("_only")).withColumnRenamed("_sn", "_key")
-    match = F.when(~F.col("_full") & F.col("_alias").isNull(), F.col("_n"))
-    keyed = d.withColumn("_key", match)
-    joined = keyed.join(one, [*scope, "_key"], "left")
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    row = F.monotonically_increasing_id()
+    bare = ~F.col("_full") & F.col("_alias").isNull()
+    # a name that looks for no candidate gets a key that none has
+    keyed = d.withColumns({"_key": F.when(bare, F.col("_n")).otherwise(F.concat(F.lit("\u0000"), row % 8191)), "_salt": (row % SALTS).cast("int")})
+    joined = keyed.join(one, [*scope, "_key", "_salt"], "left")
     who = F.when(F.col("_n") == "", "").when(F.col("_alias").isNotNull(), F.col("_alias")).when(F.col("_many") == 1, F.col("_only")).when(F.col("_many") > 1, F.concat(F.lit("ambiguous:"), F.col("_n"))).otherwise(F.col("_n"))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], who.alias(out))

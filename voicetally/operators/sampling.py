@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], per_stratum: int, key: str, seed: int = 0) -> DataFrame:
-    """At most per_stratum rows of each stratum, by a seeded hash of their key; strata with a null in them are left out.
+    """At most per_stratum rows of each stratum, by the MD5 of seed and key; strata with a null in them are left out.
 
     The rank limit applies before the shuffle too, so a large stratum sends per_stratum rows per task.
     """
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     whole = df.dropna(subset=list(strata))
     return whole.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).drop("_r")
 

@@ -13,11 +13,12 @@ KEYS = ("year", "mode", "canonical_id", "is_president", "office", "party")
 
 
 def turn_aggregate(turns: DataFrame) -> DataFrame:
-    """Guest turns counted by KEYS, each once under its own mode and once under `all` (grouping sets, one pass)."""
+    """Guest turns (rows, or counts in a column n) by KEYS, each once under its own mode and once under `all` (grouping sets, one pass)."""
+    n = F.col("n") if "n" in turns.columns else F.lit(1)
     t = turns.where("staff_flag = 'guest' and year is not null and canonical_id is not null and canonical_id <> '' and not startswith(canonical_id, 'ambiguous:')")
-    t = t.select("year", F.col("source_mode").alias("mode"), "canonical_id", F.coalesce("is_president", F.lit(False)).alias("is_president"), F.coalesce("office", F.lit("")).alias("office"), F.coalesce(F.nullif("party", F.lit("")), F.lit("none")).alias("party"))
+    t = t.select("year", F.col("source_mode").alias("mode"), "canonical_id", F.coalesce("is_president", F.lit(False)).alias("is_president"), F.coalesce("office", F.lit("")).alias("office"), F.coalesce(F.nullif("party", F.lit("")), F.lit("none")).alias("party"), n.cast("long").alias("n"))
     rest = [F.col(c) for c in KEYS if c != "mode"]
-    own = t.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    own = t.groupBy(*KEYS).agg(F.sum("n").alias("n"))
     both = own.groupingSets([[F.col("mode"), *rest], rest], F.col("mode"), *rest).agg(F.sum("n").alias("n"), F.grouping("mode").alias("_all"))
     return both.select("year", F.when(F.col("_all") == 1, "all").otherwise(F.col("mode")).alias("mode"), *KEYS[2:], "n")
 

@@ -59,6 +59,28 @@ def clip_spans(text: str) -> Column:
     return F.aggregate(rows, start, step, tail)
 
 
+def _named(x: Column) -> Column:
+    name, role = squeeze(x["name"]), F.when(x["role"] != "", squeeze(x["role"]))
+    return F.struct(x["a"].alias("a"), x["z"].alias("z"), name.alias("name"), role.alias("role"), F.lower(name).alias("norm"), classify_role(role, name).alias("flag"))
+
+
+def _roster(labels: str) -> Column:
+    """Surname, name and flag of all who are introduced with a role."""
+    full = F.filter(labels, lambda x: x["role"].isNotNull() & x["flag"].isin("staff", "guest"))
+    return F.transform(full, lambda x: F.struct(surname(x["norm"]).alias("sn"), x["norm"].alias("norm"), x["flag"].alias("flag")))
+
+
+def _known(roster: Column, x: Column) -> Column:
+    """Whom a label without a role stands for: the first of its surname in the roster."""
+    return F.when(x["flag"] == "unknown", F.get(F.filter(roster, lambda r: r["sn"] == surname(x["norm"])), F.lit(0)))
+
+
+def names_on_air(text: str) -> Column:
+    """The names (as in name_norm) of a text's turns."""
+    labels = F.transform(_labels(text), _named)
+    return F.array_distinct(F.transform(labels, lambda x: F.coalesce(_known(_roster(labels), x)["norm"], x["norm"])))
+
+
 def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, utterance: bool = False) -> DataFrame:
     """One row per turn: the segment's columns (all but the text, or `keep`) and TURN. Segments without turns vanish.
 
@@ -68,20 +90,14 @@ def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] |
     d = segments.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("_t")).where(F.col("_t").contains(":"))
     d = d.withColumn("_l", _labels("_t")).where(F.size("_l") > 0).withColumn("_c", clip_spans("_t"))
 
-    def named(x: Column) -> Column:
-        name, role = squeeze(x["name"]), F.when(x["role"] != "", squeeze(x["role"]))
-        return F.struct(x["a"].alias("a"), x["z"].alias("z"), name.alias("name"), role.alias("role"), F.lower(name).alias("norm"), classify_role(role, name).alias("flag"))
-
-    d = d.withColumn("_q", F.transform("_l", named)).drop("_l")
-    full = F.filter("_q", lambda x: x["role"].isNotNull() & x["flag"].isin("staff", "guest"))
-    d = d.withColumn("_r", F.transform(full, lambda x: F.struct(surname(x["norm"]).alias("sn"), x["norm"].alias("norm"), x["flag"].alias("flag"))))
+    d = d.withColumn("_q", F.transform("_l", _named)).drop("_l")
+    d = d.withColumn("_r", _roster("_q"))
     d = d.select(*cols, "_t", "_c", "_r", "_q", F.posexplode("_q").alias("turn_index", "_x"))
     end = F.coalesce(F.get("_q", F.col("turn_index") + 1)["a"], F.length("_t"))
     d = d.withColumn("_raw", F.substring(F.col("_t"), F.col("_x.z") + 1, F.greatest(end - F.col("_x.z"), F.lit(0))))
     d = d.withColumn("_lead", F.length("_raw") - F.length(F.regexp_replace("_raw", r"^(?U)\s+", "")))
     d = d.withColumn("_u", F.regexp_replace(F.regexp_replace("_raw", r"^(?U)\s+", ""), r"(?U)\s+$", ""))
-    known = F.get(F.filter("_r", lambda r: r["sn"] == surname(F.col("_x.norm"))), F.lit(0))
-    d = d.withColumn("_k", F.when(F.col("_x.flag") == "unknown", known))
+    d = d.withColumn("_k", _known(F.col("_r"), F.col("_x")))
     out = d.select(
         *cols,
         "turn_index",

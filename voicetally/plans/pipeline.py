@@ -13,7 +13,7 @@ from ..operators import attribution as A
 from ..operators import shares as S
 from ..operators.concentration import annual, concentration
 from ..operators.resolve import resolve_mentions
-from ..operators.turns import parse_turns
+from ..operators.turns import names_on_air, parse_turns
 
 PROVENANCE = ("uid", "url", "path", "channel_name", "program_name", "headline", "subhead", "show_code", "host", "air_date", "time", "timezone", "era_id", "year")
 
@@ -32,18 +32,28 @@ def build_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping
     return who.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "is_president": X.is_sitting_president("canonical_id", "air_date")})
 
 
+def count_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
+    """Turns as build_turns() gives them, but counted (n) by all that the yearly tables ask for, before names are resolved: texts
+    are parsed once, and only counts are shuffled and joined."""
+    t = parse_turns(provenance(segments, strict), keep=tuple(dict.fromkeys(("year", "air_date", *scope))))
+    t = t.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "sitting": X.president_on("air_date")})
+    keys = dict.fromkeys((*scope, "year", "sitting", "name_norm", "staff_flag", "source_mode", "office", "party"))
+    who = resolve_mentions(t.groupBy(*keys).agg(F.count("*").alias("n")), "name_norm", scope, aliases)
+    return who.withColumn("is_president", F.coalesce(F.col("canonical_id") == F.col("sitting"), F.lit(False)))
+
+
 def build_attributions(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
-    """Credited sources with provenance, without those on air in their segment (by url)."""
-    p = provenance(segments, strict)
-    on_air = parse_turns(p, keep=("url",)).select("url", F.col("name_norm").alias("name"))
-    return resolve_mentions(A.extract_attributions(p, "url", exclude=on_air), "source_span", scope, aliases)
+    """Credited sources with provenance, without those on air in their segment."""
+    p = provenance(segments, strict).withColumn("_on_air", names_on_air("text"))
+    return resolve_mentions(A.extract_attributions(p, exclude="_on_air"), "source_span", scope, aliases)
 
 
 def annual_hhi_speakers(turns: DataFrame, variant: str = "external", mode: str = "all") -> DataFrame:
+    """The yearly series of turns: rows, or counts in a column n."""
     flags = ["guest"] if variant == "external" else ["guest", "staff"]
     t = turns.where(F.col("staff_flag").isin(flags) & X.is_named("canonical_id"))
     t = t if mode == "all" else t.where(F.col("source_mode") == mode)
-    return annual(t, "speakers", variant if mode == "all" else f"{variant}-{mode}")
+    return annual(t, "speakers", variant if mode == "all" else f"{variant}-{mode}", weight=F.col("n") if "n" in t.columns else None)
 
 
 def annual_hhi_attributions(cited: DataFrame, entity_type: str = "PERSON") -> DataFrame:
@@ -60,8 +70,8 @@ def annual_all(turns: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def trend_tables(turns: DataFrame) -> dict[str, DataFrame]:
-    """The five yearly tables, all from one aggregate that is small enough to keep."""
-    agg = S.turn_aggregate(turns).persist()
+    """The five yearly tables, all from one aggregate. Each runs from `turns`; give counts that are stored to have texts parsed once."""
+    agg = S.turn_aggregate(turns)
     names = agg.groupBy("year", "mode", "canonical_id").agg(F.sum("n").alias("c"))
     by_mode = concentration(names, ["year", "mode"], "canonical_id", F.col("c"))
     return {
@@ -86,7 +96,7 @@ def expected_presidents(df: DataFrame, first: int = 2001, last: int = 2025) -> D
 
 
 def pilot(segments: DataFrame, first: str, last: str) -> dict[str, DataFrame]:
-    """Turns, citations, their series and the face-validity report of a window of days."""
+    """Counted turns, citations, their series and the face-validity report of a window of days."""
     s = between_days(segments, first, last)
-    turns, cited = build_turns(s), build_attributions(s)
+    turns, cited = count_turns(s), build_attributions(s)
     return {"turns": turns, "attributions": cited, "series": annual_all(turns, cited), "face_validity": S.face_validity(cited, expected_presidents(cited))}

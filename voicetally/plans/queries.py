@@ -12,11 +12,12 @@ from ..functions import market as M
 from ..functions import text as X
 from ..operators import shares as S
 from ..operators import uncertainty as U
-from ..operators.concentration import METRICS, annual, concentration, market_counts
+from ..operators.concentration import METRICS, concentration, market_counts
 from ..operators.resolve import resolve_mentions
-from ..operators.sampling import stratified_sample
-from ..operators.turns import clip_spans, parse_turns
+from ..operators.sampling import stratified_sample, yearly_sample
+from ..operators.turns import clip_spans, names_on_air, parse_turns
 from ..sources import segments as G
+from . import corpus as C
 from . import pipeline as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,10 +90,11 @@ def concentration_events_by_type(spark, d):
     return _round(concentration(_t(spark, d, "events").where(F.col("event_type").isin("purchase", "signup", "error")), ["event_type"], "user_id"), *RATIOS)
 
 
-@query("concentration_dedup", _metrics_sql("SELECT year(l_shipdate)::INT AS year, l_suppkey AS e, count(DISTINCT l_orderkey) AS c FROM lineitem GROUP BY 1, 2", "year"))
+@query("concentration_dedup", "SELECT year, 'attributions' AS measure, 'person' AS variant, * EXCLUDE (year) FROM (" + _metrics_sql("SELECT year(l_shipdate)::INT AS year, l_suppkey::VARCHAR AS e, count(DISTINCT l_orderkey) AS c FROM lineitem GROUP BY 1, 2", "year") + ")")
 def concentration_dedup(spark, d):
-    li = _t(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), "l_suppkey", "l_orderkey").dropDuplicates(["l_suppkey", "l_orderkey", "year"])
-    return _round(concentration(li, ["year"], "l_suppkey"), *RATIOS)
+    """A source counts once per order and year."""
+    li = _t(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_suppkey").cast("string").alias("canonical_id"), F.col("l_orderkey").alias("url"), F.lit("PERSON").alias("entity_type"))
+    return _round(P.annual_hhi_attributions(li), *RATIOS)
 
 
 @query("concentration_weighted", _metrics_sql("SELECT l_returnflag, l_suppkey AS e, sum(l_quantity)::BIGINT AS c FROM lineitem GROUP BY 1, 2", "l_returnflag"))
@@ -106,13 +108,12 @@ def annual_series_union(spark, d):
     return _round(annual(_orders(spark, d), "orders", "customer", entity="o_custkey").unionByName(annual(li, "lines", "supplier", entity="l_suppkey")), *RATIOS)
 
 
-@query("market_functions", """
-SELECT k, round(h, 9) AS hhi, round(t10, 9) AS top10_share, n::DOUBLE AS n_distinct, s::DOUBLE AS n_events FROM (VALUES
- ('three', 0.38, 1.0, 3, 100), ('equal', 0.25, 1.0, 4, 4), ('single', 1.0, 1.0, 1, 7), ('zeros', 0.5, 1.0, 2, 10), ('empty', 'nan'::DOUBLE, 0.0, 0, 0)) AS v(k, h, t10, n, s)""")
+@query("market_functions", _metrics_sql(ORDERS_BY_YEAR, "year"))
 def market_functions(spark, d):
-    rows = [("three", [50.0, 30.0, 20.0]), ("equal", [1.0] * 4), ("single", [7.0]), ("zeros", [5.0, 0.0, 5.0]), ("empty", [])]
-    m = spark.createDataFrame(rows, "k string, counts array<double>").select("k", M.concentration_metrics(F.col("counts")).alias("m"))
-    return _round(m.select("k", "m.hhi", "m.top10_share", "m.n_distinct", "m.n_events"), "hhi", "top10_share")
+    """The measures of each year's market given as one array of counts, with zeros, which do not count."""
+    year = market_counts(_orders(spark, d), ["year"], "o_custkey").groupBy("year").agg(F.collect_list(F.col("c").cast("double")).alias("counts"))
+    m = year.select("year", M.concentration_metrics(F.array_append("counts", F.lit(0.0))).alias("m"))
+    return _round(m.select("year", "m.*"), *RATIOS)
 
 
 @query("top_sources", """
@@ -166,21 +167,20 @@ def flag_share(spark, d):
 
 
 @query("bucket_share_pivot", """
-SELECT year(o_orderdate)::INT AS year, count(*) AS n_total, """ + ", ".join(f"round(nullif(count(*) FILTER (o_orderstatus = '{s}'), 0) / count(*)::DOUBLE, 9) AS {s}_share" for s in "FOP") + " FROM orders GROUP BY 1")
+SELECT 'all' AS mode, year(o_orderdate)::INT AS year, count(*) AS n_guest_turns, 1.0::DOUBLE AS office_coverage, 0.0::DOUBLE AS executive_share, """ + ", ".join(f"round(nullif(count(*) FILTER (o_orderstatus = '{s}'), 0) / count(*)::DOUBLE, 9) AS {s}_share" for s in "FOP") + " FROM orders GROUP BY 2")
 def bucket_share_pivot(spark, d):
-    wide = _orders(spark, d).groupBy("year").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
-    n = F.coalesce("F", F.lit(0)) + F.coalesce("O", F.lit(0)) + F.coalesce("P", F.lit(0))
-    return wide.select("year", n.alias("n_total"), *[F.round(F.col(s) / n, 9).alias(f"{s}_share") for s in "FOP"])
+    agg = _orders(spark, d).groupBy(F.lit("all").alias("mode"), "year", F.col("o_orderstatus").alias("office")).agg(F.count("*").alias("n"))
+    return _round(S.office_share(agg, list("FOP")), "office_coverage", "executive_share", *[f"{s}_share" for s in "FOP"])
 
 
 @query("all_mode_rollup", """
-SELECT year, coalesce(m, 'all') AS mode, l_suppkey, sum(n)::BIGINT AS n FROM
- (SELECT year(l_shipdate)::INT AS year, l_returnflag AS m, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
-GROUP BY GROUPING SETS ((year, m, l_suppkey), (year, l_suppkey))""")
+SELECT year, coalesce(m, 'all') AS mode, canonical_id, sum(n)::BIGINT AS n FROM
+ (SELECT year(l_shipdate)::INT AS year, l_returnflag AS m, l_suppkey::VARCHAR AS canonical_id, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
+GROUP BY GROUPING SETS ((year, m, canonical_id), (year, canonical_id))""")
 def all_mode_rollup(spark, d):
-    n = _by_flag(spark, d).groupBy("year", "mode", "l_suppkey").agg(F.count("*").alias("n"))
-    g = n.groupingSets([[F.col("year"), F.col("mode"), F.col("l_suppkey")], [F.col("year"), F.col("l_suppkey")]], "year", "mode", "l_suppkey").agg(F.sum("n").alias("n"))
-    return g.select("year", F.coalesce("mode", F.lit("all")).alias("mode"), "l_suppkey", "n")
+    nothing = {"staff_flag": F.lit("guest"), "is_president": F.lit(False), "office": F.lit(""), "party": F.lit(None).cast("string")}
+    t = _by_flag(spark, d).select("year", F.col("mode").alias("source_mode"), F.col("l_suppkey").cast("string").alias("canonical_id")).withColumns(nothing)
+    return S.turn_aggregate(t).select("year", "mode", "canonical_id", "n")
 
 
 @query("coverage_annual", "SELECT year(o_orderdate)::INT AS year, count(*) AS n_segments FROM orders GROUP BY 1")
@@ -200,8 +200,7 @@ def islands(spark, d):
     return S.islands(top, "m", "status")
 
 
-PRES_SQL = "CASE " + " ".join(f"WHEN {{d}} >= DATE '{a}'" + (f" AND {{d}} < DATE '{z}'" if z else "") + f" THEN '{w}'" for w, _, a, z in L.PRESIDENTS) + " END"
-ERA_SQL = "CASE " + " ".join(f"WHEN {{d}} >= DATE '{a}' THEN '{e}'" for e, a in reversed(L.ERAS)) + " END"
+PRES_SQL, ERA_SQL, OFFICE_SQL, PARTY_SQL, FLAG_SQL = C.PRES, C.ERA, C.OFFICE, C.PARTY, C.FLAG
 
 
 @query("interval_lookup", f"SELECT {PRES_SQL.format(d='o_orderdate::DATE')} AS president, count(*) AS n FROM orders GROUP BY 1")
@@ -214,37 +213,33 @@ def asof_era(spark, d):
     return _t(spark, d, "orders").groupBy(X.era_of(F.to_date("o_orderdate"), strict=False).alias("era")).agg(F.count("*").alias("n"))
 
 
-OFFICE_SQL = "CASE " + " ".join(f"WHEN contains(lower(coalesce({{r}}, '')), '{w}') THEN '{o}'" for w, o in L.OFFICES) + " ELSE '' END"
 ROLES = ("PRESIDENT OF THE UNITED STATES", "VICE PRESIDENT OF THE UNITED STATES", "WHITE HOUSE PRESS SECRETARY", "U.S. SECRETARY OF STATE", "U.S. SENATE MEMBER", "SENATOR (D-CA)", "REP. (R-TX)", "SENATOR, I-VT", "D-CALIF.", "DEMOCRAT (R-XX)", "REPUBLICAN STRATEGIST", "DEMOCRATIC POLLSTER", "BRITISH PRIME MINISTER", "ACTOR", "HOSTAGE NEGOTIATOR", "(D) NEW YORK", "EYEWITNESS", "CHIEF ANALYST", "")
 
 
-def _roles(spark) -> DataFrame:
-    return spark.createDataFrame([(i, r or None) for i, r in enumerate(ROLES)], "id int, role string")
+def _roles(spark, d) -> DataFrame:
+    """Every customer's role: one of ROLES (null for an empty one) beside the market segment, and a name."""
+    k = F.expr("cast(c_custkey % 19 as int)")
+    role = F.concat(F.nullif(F.element_at(F.array(*[F.lit(r) for r in ROLES]), k + 1), F.lit("")), F.lit(" "), F.col("c_mktsegment"))
+    who = F.when(F.expr("c_custkey % 5 = 0"), F.concat(F.lit("Unidentified Male "), "c_name")).otherwise(F.col("c_name"))
+    return _t(spark, d, "customer").select("c_custkey", role.alias("role"), who.alias("who"))
 
 
-ROLES_SQL = "(VALUES " + ", ".join(f"({i}, {chr(39) + r + chr(39) if r else 'NULL'})" for i, r in enumerate(ROLES)) + ") AS v(id, role)"
+ROLES_SQL = "(SELECT c_custkey, nullif(CASE c_custkey % 19 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(ROLES)) + " END, '') || ' ' || c_mktsegment AS role, CASE WHEN c_custkey % 5 = 0 THEN 'Unidentified Male ' || c_name ELSE c_name END AS who FROM customer)"
 
 
-@query("first_match_lexicon", f"SELECT id::INT AS id, {OFFICE_SQL.format(r='role')} AS office FROM {ROLES_SQL}")
+@query("first_match_lexicon", f"SELECT c_custkey, {OFFICE_SQL.format(r='role')} AS office FROM {ROLES_SQL}")
 def first_match_lexicon(spark, d):
-    return _roles(spark).select("id", X.classify_office("role").alias("office"))
+    return _roles(spark, d).select("c_custkey", X.classify_office("role").alias("office"))
 
 
-PARTY_SQL = "CASE WHEN regexp_matches(coalesce({r}, ''), '(?i)(?:^|[\\s(])([rdi])-[a-z]{{2,}}') THEN upper(regexp_extract({r}, '(?i)(?:^|[\\s(])([rdi])-[a-z]{{2,}}', 1)) " + " ".join(f"WHEN contains(lower(coalesce({{r}}, '')), '{w}') THEN '{p}'" for w, p in L.PARTY_WORDS) + " END"
-
-
-@query("regex_party", f"SELECT id::INT AS id, {PARTY_SQL.format(r='role')} AS party FROM {ROLES_SQL}")
+@query("regex_party", f"SELECT c_custkey, {PARTY_SQL.format(r='role')} AS party FROM {ROLES_SQL}")
 def regex_party(spark, d):
-    return _roles(spark).select("id", X.parse_party("role").alias("party"))
-
+    return _roles(spark, d).select("c_custkey", X.parse_party("role").alias("party"))
 
-NONPERSON_SQL = "(" + " OR ".join(f"lower(trim({{n}})) = '{t}' OR starts_with(lower(trim({{n}})), '{t} ')" for t in L.NONPERSON) + ")"
-FLAG_SQL = "CASE WHEN " + NONPERSON_SQL + " THEN 'nonperson' WHEN coalesce({r}, '') = '' THEN 'unknown' WHEN " + " OR ".join(f"contains(lower({{r}}), '{w}')" for w in L.STAFF_WORDS) + " THEN 'staff' ELSE 'guest' END"
 
-
-@query("role_class", f"SELECT id::INT AS id, {FLAG_SQL.format(r='role', n=chr(39) + 'JANE DOE' + chr(39))} AS flag, {FLAG_SQL.format(r='role', n=chr(39) + 'UNIDENTIFIED MALE' + chr(39))} AS flag_nobody FROM {ROLES_SQL}")
+@query("role_class", f"SELECT c_custkey, {FLAG_SQL.format(r='role', n='who')} AS flag FROM {ROLES_SQL}")
 def role_class(spark, d):
-    return _roles(spark).select("id", X.classify_role("role", F.lit("JANE DOE")).alias("flag"), X.classify_role("role", F.lit("UNIDENTIFIED MALE")).alias("flag_nobody"))
+    return _roles(spark, d).select("c_custkey", X.classify_role("role", "who").alias("flag"))
 
 
 @query("url_slug", r"""
@@ -255,41 +250,31 @@ def url_slug(spark, d):
     return _t(spark, d, "pages").select("page_id", uid.alias("uid"), X.show_code(uid).alias("show_code"))
 
 
-UIDS = ("acd.01", "acd", "lkl.00", "ACD.02", "cnni.cf.03", "")
-
-
-@query("uid_parts", "SELECT u AS uid, nullif(string_split(lower(u), '.')[1], '') AS show_code, CASE WHEN len(string_split(u, '.')) > 1 AND regexp_matches(string_split(u, '.')[-1], '^[0-9]+$') THEN string_split(u, '.')[-1]::INT END AS segment FROM (VALUES " + ", ".join(f"('{u}')" for u in UIDS) + ") AS v(u)")
+@query("uid_parts", """
+WITH u AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || '.' || lpad((c_custkey % 100)::VARCHAR, 2, '0') WHEN 1 THEN c_mktsegment WHEN 2 THEN 'acd.x.' || (c_custkey % 7) ELSE c_mktsegment || '.a' END AS u FROM customer)
+SELECT c_custkey, nullif(string_split(lower(u), '.')[1], '') AS show_code, CASE WHEN len(string_split(u, '.')) > 1 AND regexp_matches(string_split(u, '.')[-1], '^[0-9]+$') THEN string_split(u, '.')[-1]::INT END AS segment FROM u""")
 def uid_parts(spark, d):
-    return spark.createDataFrame([(u,) for u in UIDS], "uid string").select("uid", X.show_code("uid").alias("show_code"), X.segment_index("uid").alias("segment"))
-
+    uid = F.expr("CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || '.' || lpad(cast(c_custkey % 100 as string), 2, '0') WHEN 1 THEN c_mktsegment WHEN 2 THEN 'acd.x.' || (c_custkey % 7) ELSE c_mktsegment || '.a' END")
+    return _t(spark, d, "customer").select("c_custkey", X.show_code(uid).alias("show_code"), X.segment_index(uid).alias("segment"))
 
-URLS = ("http://x.example/2022.02.01/a.html", "http://x.example/none", "http://x.example/2022.02.30/b", "")
 
-
-@query("url_date", "SELECT u AS url, try_cast(replace(regexp_extract(u, '(\\d{4}\\.\\d{2}\\.\\d{2})', 1), '.', '-') AS DATE) AS day FROM (VALUES " + ", ".join(f"('{u}')" for u in URLS) + ") AS v(u)")
+@query("url_date", """
+SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN year(o_orderdate) || '-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS day FROM orders""")
 def url_date(spark, d):
-    return spark.createDataFrame([(u,) for u in URLS], "url string").select("url", X.url_date("url").alias("day"))
-
+    url = F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'http://x.example/none' WHEN o_orderkey % 5 = 0 THEN 'http://x.example/' || year(o_orderdate) || '.02.30/b' ELSE 'http://x.example/' || date_format(o_orderdate, 'yyyy.MM.dd') || '/a.html' END")
+    return _t(spark, d, "orders").select("o_orderkey", X.url_date(url).alias("day"))
 
-NAMES = ("Sen. John McCain (R-AZ)", "President Barack Obama", "Dr. Sanjay Gupta", "COOPER", "Vice President Joe Biden", "Rep. Nancy Pelosi, (D) California", "President", "Mr. Mr. Smith", "Vice President", "  Gen.  Colin   Powell ", "Attorney General Eric Holder")
-_ONE_TITLE = "^(?:(?:" + "|".join(L.TITLES_TWO_WORDS) + r")(?:\s+|$)|(?:" + "|".join(L.TITLES) + r")\s+)"
 
+TITLED = ("Sen. ", "President ", "Dr. ", "", "Vice President ", "Rep. ", "Mr. Mr. ", "  Gen.  ", "Attorney General ", "Prof. (ret.) ", "Chief Judge ")
 
-def _strip_sql(x: str, times: int = 3) -> str:
-    for _ in range(times):
-        x = f"regexp_replace({x}, '{_ONE_TITLE}', '')"
-    return x
 
-
-NORM_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(string_split(lower({n}), ',')[1], '\\([^)]*\\)', ' ', 'g'), '[.,;:\"]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query("normalize_names", "SELECT n AS raw, " + _strip_sql(NORM_SQL.format(n="n")) + " AS norm FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") AS v(n)")
+@query("normalize_names", "SELECT c_custkey, " + C.normalized("(CASE c_custkey % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TITLED)) + " END || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' (R-AZ), M.D.' ELSE '' END)") + " AS norm FROM customer")
 def normalize_names(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "raw string").select("raw", X.normalize_name("raw").alias("norm"))
+    name = F.concat(F.element_at(F.array(*[F.lit(t) for t in TITLED]), F.expr("cast(c_custkey % 11 as int) + 1")), "c_name", F.expr("if(c_custkey % 2 = 0, ' (R-AZ), M.D.', '')"))
+    return _t(spark, d, "customer").select("c_custkey", X.normalize_name(name).alias("norm"))
 
 
-@query("normalize_customers", "SELECT c_custkey, " + _strip_sql(NORM_SQL.format(n="c_name"), 1) + " AS norm FROM customer")
+@query("normalize_customers", "SELECT c_custkey, " + C.normalized("c_name", 1) + " AS norm FROM customer")
 def normalize_customers(spark, d):
     return _t(spark, d, "customer").select("c_custkey", X.normalize_name("c_name").alias("norm"))
 
@@ -307,105 +292,218 @@ def resolve(spark, d):
     return resolve_mentions(m, "n", ["scope"]).select("c_custkey", "canonical_id")
 
 
-# --- the corpus of labelled segments, built from conversations alike in both engines ---
-
-
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """seg_id, year, text: each conversation's turns with labels, every third in clip markers."""
-    c = _t(spark, d, "conversations")
-    label = F.element_at(F.array(*[F.lit(x) for x in ("ANN COOPER, CNN HOST", "SENATOR JANE DOE, (D-NY)", "COOPER", "UNIDENTIFIED MALE")]), (F.col("turn") % 4 + 1).cast("int"))
-    clip = F.col("turn") % 3 == 1
-    line = F.concat(F.when(clip, "(BEGIN VIDEO CLIP) ").otherwise(""), label, F.lit(": "), F.col("text"), F.when(clip, " (END VIDEO CLIP)").otherwise(""))
-    lines = c.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("q"))
-    return lines.select(F.col("conv_id").alias("seg_id"), (2000 + F.col("conv_id") % 26).cast("int").alias("year"), F.array_join(F.transform("q", lambda x: x["line"]), "\n").alias("text"))
-
-
-CORPUS_SQL = """
-corpus AS (SELECT conv_id AS seg_id, (2000 + conv_id % 26)::INT AS year, string_agg(line, chr(10) ORDER BY turn) AS text FROM
- (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '(BEGIN VIDEO CLIP) ' ELSE '' END ||
-   (CASE turn % 4 WHEN 0 THEN 'ANN COOPER, CNN HOST' WHEN 1 THEN 'SENATOR JANE DOE, (D-NY)' WHEN 2 THEN 'COOPER' ELSE 'UNIDENTIFIED MALE' END) ||
-   ': ' || text || CASE WHEN turn % 3 = 1 THEN ' (END VIDEO CLIP)' ELSE '' END AS line FROM conversations) GROUP BY conv_id)"""
-_LABEL = L.LABEL.replace("'", "''")
-_BOUNDARY = ", ".join("chr(10)" if b == "\n" else "''''" if b == "'" else f"'{b}'" for b in L.LABEL_BOUNDARY)
-#: Turns by SQL: labels located by the lengths of gaps and matches, boundaries, rosters, clips and utterances.
-TURNS_SQL = f"""
-WITH {CORPUS_SQL},
-p AS (SELECT *, string_split_regex(text, '{_LABEL}') AS g, regexp_extract_all(text, '{_LABEL}') AS m, regexp_extract_all(text, '{_LABEL}', 1) AS nm, regexp_extract_all(text, '{_LABEL}', 2) AS rl FROM corpus),
-u AS (SELECT seg_id, year, text, i, g, m, nm[i] AS nm, rl[i] AS rl, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS lm
-      FROM p, unnest(range(1, len(m) + 1)) AS r(i)),
-v AS (SELECT *, rtrim(substring(text, 1, a::BIGINT), chr(32) || chr(9)) AS before FROM u),
-k AS (SELECT seg_id, year, text, a::INT AS a, (a + lm)::INT AS z, trim(regexp_replace(nm, '\\s+', ' ', 'g')) AS nm, CASE WHEN rl <> '' THEN trim(regexp_replace(rl, '\\s+', ' ', 'g')) END AS rl,
-             row_number() OVER (PARTITION BY seg_id ORDER BY a) - 1 AS turn_index
-      FROM v WHERE before = '' OR right(before, 1) IN ({_BOUNDARY})),
-f AS (SELECT *, lower(nm) AS norm, string_split(lower(nm), ' ')[-1] AS sn, {FLAG_SQL.format(r="rl", n="nm")} AS flag, coalesce(lead(a) OVER (PARTITION BY seg_id ORDER BY a), length(text)) AS e FROM k),
-ro AS (SELECT seg_id, sn, arg_min(norm, turn_index) AS r_norm, arg_min(flag, turn_index) AS r_flag FROM f WHERE rl IS NOT NULL AND flag IN ('staff', 'guest') GROUP BY 1, 2),
-x AS (SELECT f.*, substring(text, z + 1, greatest(e - z, 0)::BIGINT) AS raw, r_norm, r_flag, length(text) - 0 AS lt,
-             substring(text, 1, a::BIGINT) AS head, substring(text, a::BIGINT + 1) AS rest FROM f LEFT JOIN ro USING (seg_id, sn)),
-turns AS (SELECT seg_id, year, turn_index::INT AS turn_index, (z + length(raw) - length(regexp_replace(raw, '^\\s+', '')))::INT AS char_start,
-   (z + length(raw) - length(regexp_replace(raw, '^\\s+', '')) + length(regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '')))::INT AS char_end,
-   nm AS speaker_raw, rl AS role_raw, CASE WHEN flag = 'unknown' THEN coalesce(r_norm, norm) ELSE norm END AS name_norm,
-   CASE WHEN flag = 'unknown' THEN coalesce(r_flag, flag) ELSE flag END AS staff_flag,
-   CASE WHEN length(head) - length(replace(head, '(BEGIN VIDEO CLIP)', '')) > length(head) - length(replace(head, '(END VIDEO CLIP)', '')) + 2 * (len(string_split(head, '(END VIDEO CLIP)')) - 1) THEN 'clip' ELSE 'live' END AS source_mode
-   FROM x)"""
+# --- the corpus of labelled segments, through the stages from a scanned row to the yearly tables ---
+
+
+def _segments(spark, d) -> DataFrame:
+    return G.validate(C.raw_segments(spark, d))
+
+
+def _keep(spark, d) -> DataFrame:
+    """Segments under their number, for rows to be told apart."""
+    return C.raw_segments(spark, d).select("seg_id", "text")
+
+
+WITH_SEGMENTS = "WITH " + C.within(C.SEGMENTS)
+HOST_SQL = "CASE show_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SHOW_HOSTS.items()) + " END"
+
+
+@query("provenance", WITH_SEGMENTS + f" SELECT url, uid, show_code, {HOST_SQL} AS host, air_date, era_id, year, 'Evening' AS headline, length(text) AS n FROM corpus")
+def provenance(spark, d):
+    return P.provenance(_segments(spark, d)).select("url", "uid", "show_code", "host", "air_date", "era_id", "year", "headline", F.length("text").cast("bigint").alias("n"))
+
+
+@query("segment_coverage", WITH_SEGMENTS + " SELECT year, count(*) AS n_segments FROM corpus WHERE year IS NOT NULL GROUP BY 1")
+def segment_coverage(spark, d):
+    return S.coverage(P.provenance(_segments(spark, d)))
+
+
+@query("between_days", C.within("WITH " + C.SEGMENTS, "WHERE air_date BETWEEN DATE '2004-03-01' AND DATE '2013-08-31'") + " SELECT url, air_date FROM corpus")
+def between_days(spark, d):
+    return P.provenance(P.between_days(_segments(spark, d), "2004-03-01", "2013-08-31")).select("url", "air_date")
+
+
+TURNS_SQL, WHO_SQL, CITED_SQL = (C.within(x) for x in (C.TURNS, C.WHO, C.CITED))
 
 
 @query("parse_turns", TURNS_SQL + " SELECT seg_id, turn_index, char_start, char_end, speaker_raw, role_raw, name_norm, staff_flag FROM turns")
 def turns_parsed(spark, d):
-    return parse_turns(corpus(spark, d).drop("year")).drop("source_mode")
+    return parse_turns(_keep(spark, d)).drop("source_mode")
 
 
 @query("clip_mode", TURNS_SQL + " SELECT seg_id, turn_index, source_mode FROM turns")
 def clip_mode(spark, d):
-    return parse_turns(corpus(spark, d)).select("seg_id", "turn_index", "source_mode")
+    return parse_turns(_keep(spark, d)).select("seg_id", "turn_index", "source_mode")
+
 
+_KINDS = f"regexp_extract_all(text, '{L.CLIP_MARKER}', 1)"
 
-@query("clip_spans", "WITH " + CORPUS_SQL + " SELECT seg_id, len(string_split(text, '(BEGIN VIDEO CLIP)'))::INT - 1 AS n_spans FROM corpus")
+
+@query("clip_spans", WITH_SEGMENTS + f" SELECT seg_id, len(list_filter(range(1, len({_KINDS}) + 1), lambda i: {_KINDS}[i] = 'BEGIN' AND coalesce({_KINDS}[i + 1], 'END') = 'END'))::INT AS n_spans FROM corpus")
 def spans(spark, d):
-    return corpus(spark, d).select("seg_id", F.size(clip_spans("text")).alias("n_spans"))
+    return _keep(spark, d).select("seg_id", F.size(clip_spans("text")).alias("n_spans"))
 
 
 @query("turn_roster", TURNS_SQL + " SELECT name_norm, staff_flag, count(*) AS n FROM turns GROUP BY 1, 2")
 def turn_roster(spark, d):
-    return parse_turns(corpus(spark, d)).groupBy("name_norm", "staff_flag").agg(F.count("*").alias("n"))
+    return parse_turns(_keep(spark, d)).groupBy("name_norm", "staff_flag").agg(F.count("*").alias("n"))
+
+
+@query("names_on_air", TURNS_SQL + " SELECT seg_id, string_agg(DISTINCT name_norm, ',' ORDER BY name_norm) AS names FROM turns GROUP BY 1")
+def on_air(spark, d):
+    return _keep(spark, d).select("seg_id", F.array_join(F.array_sort(names_on_air("text")), ",").alias("names")).where("names <> ''")
 
 
-def _resolved(spark, d) -> DataFrame:
-    t = resolve_mentions(parse_turns(corpus(spark, d)), "name_norm", (), {})
-    return t.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "is_president": F.lit(False)})
+@query("build_turns", WHO_SQL + " SELECT url, turn_index, char_start, char_end, speaker_raw, name_norm, staff_flag, source_mode, canonical_id, office, party, is_president, air_date FROM who JOIN (SELECT seg_id, url FROM corpus) USING (seg_id)")
+def built_turns(spark, d):
+    return P.build_turns(_segments(spark, d)).select("url", "turn_index", "char_start", "char_end", "speaker_raw", "name_norm", "staff_flag", "source_mode", "canonical_id", "office", "party", "is_president", "air_date")
 
 
-def _speakers_sql(flags: str, mode: str) -> str:
-    where = f"staff_flag IN ({flags})" + (f" AND source_mode = '{mode}'" if mode else "")
+def _speakers_sql(flags: str, mode: str, base: str = "") -> str:
+    where = f"staff_flag IN ({flags}) AND year IS NOT NULL AND canonical_id <> '' AND NOT starts_with(canonical_id, 'ambiguous:')" + (f" AND source_mode = '{mode}'" if mode else "")
     label = ("external" if flags == "'guest'" else "all") + (f"-{mode}" if mode else "")
-    named = "CASE WHEN name_norm = 'senator jane doe' THEN 'jane doe' ELSE name_norm END"
-    counts = TURNS_SQL.strip() + f" SELECT year, {named} AS e, count(*) AS c FROM turns WHERE {where} GROUP BY 1, 2"
+    counts = (base or WHO_SQL).strip() + f" SELECT year, canonical_id AS e, count(*) AS c FROM who WHERE {where} GROUP BY 1, 2"
     return f"SELECT year, 'speakers' AS measure, '{label}' AS variant, * EXCLUDE (year) FROM ({_metrics_sql(counts, 'year')})"
 
 
+def _cited_sql(kind: str, base: str = "") -> str:
+    counts = (base or CITED_SQL).strip() + f" SELECT year, canonical_id AS e, count(DISTINCT url) AS c FROM cited WHERE entity_type = '{kind}' AND year IS NOT NULL AND canonical_id <> '' AND NOT starts_with(canonical_id, 'ambiguous:') GROUP BY 1, 2"
+    return f"SELECT year, 'attributions' AS measure, '{kind.lower()}' AS variant, * EXCLUDE (year) FROM ({_metrics_sql(counts, 'year')})"
+
+
 def _speakers(variant: str, mode: str):
-    return lambda spark, d: _round(P.annual_hhi_speakers(_resolved(spark, d), variant, mode), *RATIOS)
+    return lambda spark, d: _round(P.annual_hhi_speakers(P.count_turns(_segments(spark, d)), variant, mode), *RATIOS)
 
 
 for _variant, _flags in (("external", "'guest'"), ("all", "'guest', 'staff'")):
     for _mode in ("all", "live", "clip"):
         query(f"annual_speakers_{_variant}_{_mode}", _speakers_sql(_flags, "" if _mode == "all" else _mode))(_speakers(_variant, _mode))
 
-SHARE_SQL = TURNS_SQL + ", g AS (SELECT year, coalesce(m, 'all') AS mode, sum(n) AS n, sum(o) AS o, sum(p) AS p FROM (SELECT year, source_mode AS m, count(*) AS n, count(*) FILTER (" + OFFICE_SQL.format(r="role_raw") + " = 'senator') AS o, count(*) FILTER (" + PARTY_SQL.format(r="role_raw") + " = 'D') AS p FROM turns WHERE staff_flag = 'guest' GROUP BY 1, 2) GROUP BY GROUPING SETS ((year, m), (year)))"
 
+@query("build_attributions", CITED_SQL + " SELECT url, source_span, char_start, char_start + length(source_span)::INT AS char_end, cue_verb, entity_type, canonical_id, year FROM cited")
+def built_attributions(spark, d):
+    return P.build_attributions(_segments(spark, d)).select("url", "source_span", "char_start", "char_end", "cue_verb", "entity_type", "canonical_id", "year")
+
+
+@query("annual_attributions_person", _cited_sql("PERSON"))
+def annual_attributions_person(spark, d):
+    return _round(P.annual_hhi_attributions(P.build_attributions(_segments(spark, d))), *RATIOS)
+
+
+@query("annual_attributions_org", _cited_sql("ORG"))
+def annual_attributions_org(spark, d):
+    return _round(P.annual_hhi_attributions(P.build_attributions(_segments(spark, d)), "ORG"), *RATIOS)
 
-@query("office_share", SHARE_SQL + " SELECT year, mode, n::BIGINT AS n_guest_turns, round(o / n::DOUBLE, 9) AS office_coverage, 0.0::DOUBLE AS executive_share, round(nullif(o, 0) / n::DOUBLE, 9) AS senator_share FROM g")
+
+def _all_sql(where: str = "") -> str:
+    who, cited = C.within(C.WHO, where), C.within(C.CITED, where)
+    parts = [_speakers_sql("'guest'", "", who), _speakers_sql("'guest', 'staff'", "", who), _cited_sql("PERSON", cited), _cited_sql("ORG", cited)]
+    return " UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts)
+
+
+@query("annual_series_union", _all_sql())
+def annual_series_union(spark, d):
+    s = _segments(spark, d)
+    return _round(P.annual_all(P.count_turns(s), P.build_attributions(s)), *RATIOS)
+
+
+@query("pilot_series", _all_sql("WHERE air_date BETWEEN DATE '2006-01-01' AND DATE '2016-06-30'"))
+def pilot_series(spark, d):
+    return _round(P.pilot(_segments(spark, d), "2006-01-01", "2016-06-30")["series"], *RATIOS)
+
+
+#: Guest turns by mode, each also under `all`.
+AGG_SQL = WHO_SQL + """,
+own AS (SELECT year, source_mode AS m, canonical_id, is_president, office, coalesce(party, 'none') AS party FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL AND canonical_id <> '' AND NOT starts_with(canonical_id, 'ambiguous:')),
+agg AS (SELECT year, m AS mode, canonical_id, is_president, office, party FROM own UNION ALL SELECT year, 'all', canonical_id, is_president, office, party FROM own)"""
+
+
+@query("trend_hhi", "SELECT *, 'external-' || mode AS variant FROM (" + _metrics_sql(AGG_SQL.strip() + " SELECT year, mode, canonical_id AS e, count(*) AS c FROM agg GROUP BY 1, 2, 3", "year, mode") + ")")
+def trend_hhi(spark, d):
+    return _round(P.trend_tables(P.count_turns(_segments(spark, d)))["hhi"], *RATIOS)
+
+
+@query("trend_top_sources", AGG_SQL + """, c AS (SELECT mode, year, canonical_id, count(*) AS c FROM agg GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, year ORDER BY c DESC, canonical_id) AS rk, sum(c) OVER (PARTITION BY mode, year) AS s FROM c)
+SELECT mode, year, rk::INT AS "rank", canonical_id, c AS n_turns, round(c / s::DOUBLE, 9) AS share FROM r WHERE rk <= 15""")
+def trend_top_sources(spark, d):
+    return _round(P.trend_tables(P.count_turns(_segments(spark, d)))["top_sources"], "share")
+
+
+_SHARE = lambda c: f"count(*) FILTER ({c}) / count(*)::DOUBLE"
+_OFFICES = sorted({o for _, o in L.OFFICES})
+
+
+@query("office_share", AGG_SQL + f" SELECT mode, year, count(*) AS n_guest_turns, round(1 - {_SHARE(chr(34) + 'office' + chr(34) + chr(32) + '= ' + chr(39) * 2)}, 9) AS office_coverage, round({_SHARE('office IN (' + ', '.join(chr(39) + o + chr(39) for o in L.EXECUTIVE) + ')')}, 9) AS executive_share, " + ", ".join(f"round(nullif({_SHARE(f'office = {chr(39)}{o}{chr(39)}')}, 0), 9) AS {o}_share" for o in _OFFICES) + " FROM agg GROUP BY 1, 2")
 def office_share(spark, d):
-    return _round(S.office_share(S.turn_aggregate(_resolved(spark, d)), ["senator"]), "office_coverage", "executive_share", "senator_share")
+    return _round(P.trend_tables(P.count_turns(_segments(spark, d)))["office_share"], "office_coverage", "executive_share", *[f"{o}_share" for o in _OFFICES])
 
 
-@query("party_share", SHARE_SQL + " SELECT year, mode, n::BIGINT AS n_guest_turns, 0.0::DOUBLE AS R_share, round(p / n::DOUBLE, 9) AS D_share, 0.0::DOUBLE AS I_share, round(p / n::DOUBLE, 9) AS party_coverage FROM g")
+@query("party_share", AGG_SQL + " SELECT mode, year, count(*) AS n_guest_turns, " + ", ".join(f"round({_SHARE(f'party = {chr(39)}{p}{chr(39)}')}, 9) AS {p}_share" for p in "RDI") + f", round(1 - {_SHARE(f'party = {chr(39)}none{chr(39)}')}, 9) AS party_coverage FROM agg GROUP BY 1, 2")
 def party_share(spark, d):
-    return _round(S.party_share(S.turn_aggregate(_resolved(spark, d))), "R_share", "D_share", "I_share", "party_coverage")
+    return _round(P.trend_tables(P.count_turns(_segments(spark, d)))["party_share"], "R_share", "D_share", "I_share", "party_coverage")
 
 
-@query("president_share", SHARE_SQL + " SELECT year, mode, 0::BIGINT AS n_president_turns, n::BIGINT AS n_guest_turns, NULL::VARCHAR AS president_id, 0.0::DOUBLE AS president_share FROM g")
+@query("president_share", AGG_SQL + """, wp AS (SELECT mode, year, canonical_id, count(*) AS c FROM agg WHERE is_president GROUP BY 1, 2, 3),
+pr AS (SELECT mode, year, max(struct_pack(c := c, i := canonical_id)).i AS president_id FROM wp GROUP BY 1, 2)
+SELECT agg.mode, agg.year, count(*) FILTER (is_president) AS n_president_turns, count(*) AS n_guest_turns, any_value(president_id) AS president_id, round(count(*) FILTER (is_president) / count(*)::DOUBLE, 9) AS president_share
+FROM agg LEFT JOIN pr ON agg.mode = pr.mode AND agg.year = pr.year GROUP BY 1, 2""")
 def president_share(spark, d):
-    return S.president_share(S.turn_aggregate(_resolved(spark, d)))
+    return _round(P.trend_tables(P.count_turns(_segments(spark, d)))["president_share"], "president_share")
+
+
+@query("csv_scan", WITH_SEGMENTS + " SELECT url, year, length(text) AS n FROM corpus")
+def csv_scan(spark, d):
+    """Segments written as compressed CSV in the scratch folder and scanned from there."""
+    return P.provenance(G.validate(G.read_csv(spark, _as_csv(spark, d), 4))).select("url", "year", F.length("text").cast("bigint").alias("n"))
+
+
+def _as_csv(spark, d) -> str:
+    path = G.scratch(spark, "segments")
+    names = {G.internal(c): c for c in G.RAW}
+    raw = C.raw_segments(spark, d).select(*[F.col(k).alias(v) for k, v in names.items()])
+    raw.repartition(3, "url").write.csv(path, header=True, quote='"', escape='"', compression="gzip")
+    return f"{path}/*.csv.gz"
+
+
+@query("stream_turns", WHO_SQL + " SELECT year, source_mode AS mode, CASE n WHEN 'jane doe' THEN 'doe, jane' ELSE n END AS canonical_id, count(*) AS n FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL GROUP BY 1, 2, 3")
+def stream_turns(spark, d):
+    """The counts of a stream over the segment files, once all are read."""
+    from ..streaming import turn_counts as T
+
+    names = spark.createDataFrame([("jane doe", "doe, jane")], "name string, canonical_id string")
+    counted, table = T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names), f"turns_{G.fresh_name()}"
+    q = counted.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", G.scratch(spark, "stream")).start()
+    q.awaitTermination()
+    return spark.table(table)
+
+
+@query("series_round_trip", "SELECT year, measure, variant, hhi, n_distinct, n_events FROM (" + _speakers_sql("'guest'", "") + ")")
+def series_round_trip(spark, d):
+    """The series written as one sorted CSV and read again."""
+    path = G.scratch(spark, "series")
+    G.write_csv(P.annual_hhi_speakers(P.count_turns(_segments(spark, d))), path, ["year"])
+    return _round(G.read_series(spark, path), "hhi").select("year", "measure", "variant", "hhi", "n_distinct", "n_events")
+
+
+@query("turns_by_year_files", WHO_SQL + " SELECT year, count(*) AS n FROM who WHERE year IS NOT NULL GROUP BY 1")
+def turns_by_year_files(spark, d):
+    """Turns written as Parquet by year; the year comes back from the folders' names."""
+    path = G.scratch(spark, "turns")
+    G.write_parquet(P.build_turns(_segments(spark, d)).where("year is not null"), path, ["year"])
+    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("lexicon_scan", f"SELECT c_custkey, {OFFICE_SQL.format(r='role')} AS office FROM {ROLES_SQL}")
+def lexicon_scan(spark, d):
+    """Offices by a lexicon scanned from a file with comments: the first keyword in file order that a role holds."""
+    path = G.scratch(spark, "lexicon")
+    lines = ["# keyword and office", "keyword,office", *[f" {w.upper()} , {o}" for w, o in L.OFFICES]]
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    words = F.broadcast(G.read_lexicon(spark, path, ["keyword", "office"]))
+    roles = _roles(spark, d)
+    hit = roles.join(words, F.contains(F.lower("role"), F.col("keyword"))).groupBy("c_custkey").agg(F.min_by("office", "ord").alias("office"))
+    return roles.select("c_custkey").join(hit, "c_custkey", "left").withColumn("office", F.coalesce("office", F.lit("")))
 
 
 @query("stratified_sample_counts", "SELECT lang, least(count(*), 50) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
@@ -413,11 +511,18 @@ def stratified_sample_counts(spark, d):
     return stratified_sample(_t(spark, d, "documents").select("doc_id", "lang"), ["lang"], 50, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("stratified_sample_rows")
+@query("stratified_sample_rows", """
+SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || doc_id), doc_id) AS r FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) WHERE r <= 5""")
 def stratified_sample_rows(spark, d):
     return stratified_sample(_t(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], 5, "doc_id", 7)
 
 
+@query("yearly_sample", """
+SELECT o_orderkey, year FROM (SELECT o_orderkey, year(o_orderdate)::INT AS year, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY md5('20250611:' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 500""")
+def yearly(spark, d):
+    return yearly_sample(_orders(spark, d).select("o_orderkey", "year"), key="o_orderkey")
+
+
 @query("prf_scores", """
 WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn FROM labels)
 SELECT round(tp / (tp + fp)::DOUBLE, 9) AS "precision", round(tp / (tp + fn)::DOUBLE, 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
@@ -435,52 +540,47 @@ def bootstrap_ci(spark, d):
 
 @query("simulate_hhi_ci")
 def simulate_hhi_ci(spark, d):
-    return U.simulate_hhi_ci(market_counts(_orders(spark, d), ["year"], "o_custkey"), ["year"], "o_custkey", 0.7, 0.9, n_draws=200)
+    return U.simulate_hhi_ci(market_counts(_orders(spark, d), ["year"], "o_custkey"), ["year"], "o_custkey", 0.7, 0.9)
 
 
-DIRTY = (("a", "2022", "2", "1", "10"), ("b", "3007", "13", "40", ""), ("c", "x", "", "3", "-5"), ("d", " 2001 ", "12", "31", "3.5"))
-DIRTY_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in DIRTY) + ") AS v(url, y, m, dd, w)"
-COERCED_SQL = "SELECT url, CASE WHEN try_cast(trim(y) AS INT) BETWEEN 1999 AND 2026 THEN try_cast(trim(y) AS INT) END AS year, CASE WHEN try_cast(trim(m) AS INT) BETWEEN 1 AND 12 THEN try_cast(trim(m) AS INT) END AS month, CASE WHEN try_cast(trim(dd) AS INT) BETWEEN 1 AND 31 THEN try_cast(trim(dd) AS INT) END AS date, CASE WHEN regexp_matches(trim(w), '^-?[0-9]+$') THEN trim(w)::BIGINT END AS wordcount FROM " + DIRTY_SQL
+_PARTS = ("year(l_shipdate) + CASE WHEN l_linenumber = 7 THEN 1000 ELSE 0 END", "l_linenumber * 2", "l_suppkey % 40", "l_orderkey - 1000")
 
 
-def _dirty(spark) -> DataFrame:
-    return G.coerce(spark.createDataFrame(list(DIRTY), "url string, year string, month string, date string, wordcount string"))
+def _dirty(spark, d) -> DataFrame:
+    """Order lines as scanned rows: numbers as text, some out of range, some unreadable, with blanks around them."""
+    text = [F.concat(F.lit(" "), F.expr(p).cast("string"), F.when(F.expr("l_suppkey % 9 = 0"), "x").otherwise(" ")).alias(n) for p, n in zip(_PARTS, ("year", "month", "date", "wordcount"))]
+    return G.coerce(_t(spark, d, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("url"), *text))
 
 
-@query("coerce_schema", COERCED_SQL)
+def _coerced_sql() -> str:
+    whole = lambda p, lo, hi: f"CASE WHEN l_suppkey % 9 <> 0 AND {p} BETWEEN {lo} AND {hi} THEN ({p})::INT END"
+    ranges = [f"{whole(p, *G.RANGES[n])} AS {n}" for p, n in zip(_PARTS, ("year", "month", "date"))]
+    return f"SELECT l_orderkey || '-' || l_linenumber AS url, {', '.join(ranges)}, CASE WHEN l_suppkey % 9 <> 0 THEN ({_PARTS[3]})::BIGINT END AS wordcount FROM lineitem"
+
+
+@query("coerce_schema", _coerced_sql())
 def coerce_schema(spark, d):
-    return _dirty(spark)
+    return _dirty(spark, d)
 
 
-@query("quarantine", f"SELECT url, 'wordcount_negative' AS violations FROM ({COERCED_SQL}) WHERE wordcount < 0")
+@query("quarantine", f"SELECT url, 'wordcount_negative' AS violations FROM ({_coerced_sql()}) WHERE wordcount < 0")
 def quarantine(spark, d):
-    return G.quarantine(_dirty(spark))[1].select("url", F.array_join("violations", ",").alias("violations"))
+    return G.quarantine(_dirty(spark, d))[1].select("url", F.array_join("violations", ",").alias("violations"))
 
 
-@query("face_validity", """
-WITH c AS (SELECT year(o_orderdate)::INT AS year, o_custkey::VARCHAR AS id, count(*) AS c FROM orders GROUP BY 1, 2),
-t AS (SELECT year, id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY c DESC, id) AS rk FROM c) WHERE rk <= 5)
-SELECT year, '1' AS expected, bool_or(id = '1') AS ok, string_agg(id, ',' ORDER BY id) AS top FROM t GROUP BY year""")
+@query("face_validity", CITED_SQL + f""", c AS (SELECT year, canonical_id, count(*) AS c FROM cited WHERE entity_type = 'PERSON' AND year IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT year, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY c DESC, canonical_id) AS rk FROM c) WHERE rk <= 2),
+y AS (SELECT year, {PRES_SQL.format(d='make_date(year, 7, 1)')} AS expected, list(canonical_id) AS l, string_agg(canonical_id, ',' ORDER BY canonical_id) AS top FROM t WHERE year BETWEEN 2001 AND 2025 GROUP BY 1)
+SELECT year, expected, list_contains(l, expected) AS ok, top FROM y""")
 def face_validity(spark, d):
-    cited = _orders(spark, d).select("year", F.lit("PERSON").alias("entity_type"), F.col("o_custkey").cast("string").alias("canonical_id"))
-    return S.face_validity(cited, cited.select("year").distinct().withColumn("expected", F.lit("1")))
+    cited = P.build_attributions(_segments(spark, d))
+    return S.face_validity(cited, P.expected_presidents(cited), 2)
+
+
+#: The two tables are the same file at every scale.
+_FILES = "'/root/testdata/sf0.01/region.parquet', '/root/testdata/sf0.01/nation.parquet'"
 
 
-@query("manifest", "SELECT x AS filename, length(x) AS size, sha256(x) AS sha256 FROM (VALUES ('abc'), ('voice'), ('')) AS v(x)")
+@query("manifest", f"SELECT string_split(filename, '/')[-1] AS filename, size, sha256(content) AS sha256 FROM read_blob([{_FILES}])")
 def manifest(spark, d):
-    files = spark.createDataFrame([("abc",), ("voice",), ("",)], "filename string")
-    return files.select("filename", F.length("filename").cast("bigint").alias("size"), F.sha2(F.col("filename").cast("binary"), 256).alias("sha256"))
-
-
-@query("attributions_rules", """
-WITH s AS (SELECT c_custkey AS url, CASE c_custkey % 4 WHEN 0 THEN 'Joe Biden said the plan works.' WHEN 1 THEN 'According to Barack Obama, reform is needed.' WHEN 2 THEN '"It works," said Hillary Clinton today.' ELSE 'The weather is nice today.' END AS t FROM customer)
-SELECT url, CASE url % 4 WHEN 0 THEN 'Joe Biden' WHEN 1 THEN 'Barack Obama' ELSE 'Hillary Clinton' END AS source_span,
-       CASE url % 4 WHEN 0 THEN 0 WHEN 1 THEN 13 ELSE 17 END AS char_start, CASE url % 4 WHEN 1 THEN 'according to' ELSE 'say' END AS cue_verb, 'PERSON' AS entity_type FROM s WHERE url % 4 < 3 AND NOT (url % 4 = 0 AND url % 8 = 0)""")
-def attributions_rules(spark, d):
-    from ..operators.attribution import extract_attributions
-
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "Joe Biden said the plan works.").when(k == 1, "According to Barack Obama, reform is needed.").when(k == 2, '"It works," said Hillary Clinton today.').otherwise("The weather is nice today.")
-    s = _t(spark, d, "customer").select(F.col("c_custkey").alias("url"), text.alias("text"))
-    on_air = s.where("url % 8 = 0").select("url", F.lit("joe  biden").alias("name"))
-    return extract_attributions(s, "url", exclude=on_air).select("url", "source_span", "char_start", "cue_verb", "entity_type")
+    return G.manifest(spark, d, "{region,nation}.parquet")
