@@ -5,8 +5,8 @@ blank, its length class and whether it asks. Transition and emission counts come
 their roles, Viterbi recovers the states of a whole transcript, and turns are rendered as `<|role|>`, the lines without
 marker, `<|end|>`: one row per turn, uncut.
 
-Lines of a transcript are streamed in order. Up to 2 * LAG lines are decoded at once; of a longer transcript LAG lines are
-settled at a time, so memory depends on the length of turns only. Blank lines have no state: they belong to the turn they
+Lines of a transcript are streamed in order, and decoded BATCH lines at a time. A line is settled once the best paths to all
+states agree on it, so the path is the best one of the whole transcript, and what is held is what is still open. Blank lines have no state: they belong to the turn they
 stand in (before the first turn, to that one) and end no turn of themselves; but one blank line just before the first line
 of a turn without marker parts the turns and belongs to neither. Null lines are empty lines, a null transcript id is an id
 of its own, a transcript of blank lines only has no turns (one row with a null turn), equal positions are ordered by their
@@ -29,10 +29,11 @@ from ._io import shuffle_parts
 MARKERS = {"system": ("system", "sys", "context"), "user": ("user", "human", "customer", "question", "q"), "assistant": ("assistant", "ai", "bot", "answer", "a")}
 _NAMES = "|".join(sorted((w for ws in MARKERS.values() for w in ws), key=lambda w: (-len(w), w)))
 MARKER = rf"(?i)^\s*(?:#+\s*|\*\*|\[|<\|?)?({_NAMES})\s*(?:\*\*)?\s*(?::|\]|\|?>)(?:\*\*)?\s*"
-LAG = 2048
+BATCH = 1024
 N_MARK, N_LEN = 4, 4
-TURNS = "conv_id long, turn long, role string, rendered string, n_lines long, n_known long, n_right long"
-RESULT = "conv_id long, n_lines long, n_turns long, roles string, rendered_sha256 string, n_known long, n_right long"
+#: n_known counts lines whose role is given, n_unmarked those of them without a marker after a blank line; both with those right.
+TURNS = "conv_id long, turn long, role string, rendered string, n_lines long, n_known long, n_right long, n_unmarked long, n_unmarked_right long"
+RESULT = "conv_id long, n_lines long, n_turns long, roles string, rendered_sha256 string, n_known long, n_right long, n_unmarked long, n_unmarked_right long"
 
 
 def observe(lines: DataFrame) -> DataFrame:
@@ -62,21 +63,42 @@ class Model:
     def emit(self, mark, length, asks, blank) -> np.ndarray:
         return self.mark[:, mark] + self.length[:, length] + self.asks[:, asks] + self.blank[:, blank]
 
-    def decode(self, emitted: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(state of each line, best score of each state after the last); before: such scores after the line before."""
-        n = emitted.shape[1]
-        back = np.zeros((n, len(self.start)), np.int64)
-        best = self.start + emitted[:, 0] if before is None else None
-        for t in range(n):
-            if t or before is not None:
-                every = (before if best is None else best)[:, None] + self.step
-                back[t] = every.argmax(axis=0)
-                best = every.max(axis=0) + emitted[:, t]
-        path = np.zeros(n, np.int64)
-        path[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path, best - best.max()
+    def forward(self, emitted: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(state before each line on the best path to each state, best scores after the last line); before: such scores
+        after the line before, if there is one."""
+        back = np.zeros((emitted.shape[1], len(self.start)), np.int64)
+        best = before
+        for t in range(len(back)):
+            if best is None:
+                best = self.start + emitted[:, t]
+                continue
+            every = best[:, None] + self.step
+            back[t] = every.argmax(axis=0)
+            best = every.max(axis=0) + emitted[:, t]
+        return back, best - best.max()
+
+    @staticmethod
+    def settled(back: np.ndarray, last: np.ndarray) -> tuple[int, int]:
+        """(lines, state of the last of them) on which the best paths to all states of `last` agree; (0, 0) if on none."""
+        now = last
+        for t in range(len(back) - 1, -1, -1):
+            if (now == now[0]).all():
+                return t + 1, int(now[0])
+            now = np.unique(back[t][now])
+        return 0, 0
+
+    @staticmethod
+    def path(back: np.ndarray, state: int) -> np.ndarray:
+        """The states that lead to `state` after the last line."""
+        out = np.zeros(len(back), np.int64)
+        for t in range(len(back) - 1, -1, -1):
+            out[t] = state
+            state = back[t][state]
+        return out
+
+    def decode(self, emitted: np.ndarray) -> np.ndarray:
+        back, best = self.forward(emitted, None)
+        return self.path(back, int(best.argmax()))
 
 
 def train(turns: DataFrame, held_out: Column) -> Model:
@@ -135,7 +157,8 @@ class _Transcript:
     """One transcript as it streams by: open lines, the open turn, and the turns that are done (rows of TURNS)."""
 
     def __init__(self, key, model: Model):
-        self.key, self.model, self.before = key, model, None
+        self.key, self.model, self.best = key, model, None
+        self.back = np.zeros((0, len(model.start)), np.int64)
         self.rows: list[tuple] = []
         self.blanks: list[tuple] = []
         self.turns: list[tuple] = []
@@ -144,16 +167,17 @@ class _Transcript:
 
     def _open(self) -> None:
         self.text: list[str] = []
-        self.n_known = self.n_right = 0
+        self.n = [0, 0, 0, 0]
 
-    def _take(self, body: str, truth) -> None:
+    def _take(self, body: str, truth, bare: bool = False) -> None:
         self.text.append(body)
-        self.n_known += truth is not None
-        self.n_right += truth is not None and truth == self.role
+        for i, is_so in enumerate((truth is not None, truth is not None and bare)):
+            self.n[2 * i] += is_so
+            self.n[2 * i + 1] += is_so and truth == self.role
 
     def _end(self) -> None:
         rendered = "".join([f"<|{self.role}|>\n", *[f"{t}\n" for t in self.text], "<|end|>\n"])
-        self.turns.append((self.key, self.n_turns, self.role, rendered, len(self.text), self.n_known, self.n_right))
+        self.turns.append((self.key, self.n_turns, self.role, rendered, len(self.text), *self.n))
         self.n_turns += 1
         self._open()
 
@@ -164,19 +188,20 @@ class _Transcript:
             return
         self.rows.append((mark, length, asks, int(bool(self.blanks)), body, truth, self.blanks))
         self.blanks = []
-        if len(self.rows) >= 2 * LAG:
-            self._settle(LAG)
-
-    def _settle(self, upto: int) -> None:
-        if not self.rows:
-            return
-        obs = np.array([r[:4] for r in self.rows], np.int64).T
-        emitted = self.model.emit(*obs)
-        path, _ = self.model.decode(emitted, self.before)
-        if upto < len(self.rows):
-            # scores after the last settled line, for the lines that follow
-            _, self.before = self.model.decode(emitted[:, :upto], self.before)
-        for (mark, *_, body, truth, blanks), state in zip(self.rows[:upto], path[:upto].tolist()):
+        if len(self.rows) - len(self.back) >= BATCH:
+            self._forward()
+            n, state = self.model.settled(self.back, np.arange(len(self.model.start)))
+            self._settle(self.model.path(self.back[:n], state))
+
+    def _forward(self) -> None:
+        new = self.rows[len(self.back) :]
+        if new:
+            obs = np.array([r[:4] for r in new], np.int64).T
+            back, self.best = self.model.forward(self.model.emit(*obs), self.best)
+            self.back = np.concatenate([self.back, back])
+
+    def _settle(self, path: np.ndarray) -> None:
+        for (mark, *_, gap, body, truth, blanks), state in zip(self.rows, path.tolist()):
             role = self.model.roles[state // 2]
             starts = state % 2 == 0 or role != self.role
             if starts and not mark:
@@ -187,18 +212,21 @@ class _Transcript:
                 blanks = []
                 self._end()
             self.role = role
-            for b in (*blanks, (body, truth)):
+            for b in blanks:
                 self._take(*b)
-        self.rows = self.rows[upto:]
+            self._take(body, truth, bool(gap and not mark))
+        self.rows, self.back = self.rows[len(path) :], self.back[len(path) :]
 
     def close(self) -> list[tuple]:
-        self._settle(len(self.rows))
+        self._forward()
+        if self.rows:
+            self._settle(self.model.path(self.back, int(self.best.argmax())))
         for b in self.blanks:
             self._take(*b)
         if self.role is not None:
             self._end()
         else:
-            self.turns.append((self.key, None, None, None, len(self.text), self.n_known, 0))
+            self.turns.append((self.key, None, None, None, len(self.text), *self.n))
         return self.turns
 
 
@@ -236,7 +264,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def summary(lines: DataFrame, model: Model) -> DataFrame:
-    """Per transcript what parse() recovers: first letters of all turns' roles, and the digest of all renderings. Both come
+    """Per transcript what parse() recovers: all turns' roles, and the digest of all renderings. Both come
     from the turns in the pass that makes them."""
     known = lines.sparkSession.sparkContext.broadcast(model)
 
@@ -244,7 +272,7 @@ def summary(lines: DataFrame, model: Model) -> DataFrame:
         now, sha, sums, roles = None, None, None, []
 
         def row():
-            return (now[0], sums[0], len(roles), "".join(roles), sha.hexdigest(), sums[1], sums[2])
+            return (now[0], sums[0], len(roles), ",".join(roles), sha.hexdigest(), *sums[1:])
 
         for done in _turns(batches, known.value):
             out = []
@@ -252,9 +280,9 @@ def summary(lines: DataFrame, model: Model) -> DataFrame:
                 if now is None or now[0] != key:
                     if now is not None:
                         out.append(row())
-                    now, sha, sums, roles = (key,), hashlib.sha256(), [0, 0, 0], []
+                    now, sha, sums, roles = (key,), hashlib.sha256(), [0] * 5, []
                 if turn is not None:
-                    roles.append(role[:1])
+                    roles.append(role)
                     sha.update(rendered.encode())
                 sums = [a + b for a, b in zip(sums, n)]
             yield _rows(out, RESULT)

@@ -142,10 +142,15 @@ def _chunks(rows: DataFrame, size: int) -> DataFrame:
 
     def chunk(held):
         tokens, lens = (np.concatenate([h[i] for h in held]) for i in (2, 3))
-        words, local = np.unique(tokens, return_inverse=True)
+        words, local, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        # numbers by frequency, high bytes apart, are the more compressible
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        words, planes = words[order], np.ascontiguousarray(rank[local].view(np.uint8).reshape(-1, 4).T)
         cell = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
         lists = [pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), pa.concat_arrays([h[i] for h in held])) for i in (0, 1)]
-        packed = pa.array([pa.compress(local.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
+        packed = pa.array([pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([len(tokens)]), *lists, cell(lens.astype(np.int64)), cell(words), packed], ["n", "ids", "held", "lens", "words", "tokens"])
 
     def pack(batches):
@@ -165,7 +170,8 @@ def _chunks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _grams(row: dict) -> Grams:
-    local = np.frombuffer(pa.decompress(row["tokens"], decompressed_size=4 * row["n"], codec="zstd", asbytes=True), np.uint32)
+    planes = np.frombuffer(pa.decompress(row["tokens"], decompressed_size=4 * row["n"], codec="zstd", asbytes=True), np.uint8)
+    local = np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.uint32)
     lens = np.frombuffer(row["lens"], np.int64)
     trained = np.repeat(np.array([h is False for h in row["held"]], bool), lens)
     return Grams(np.frombuffer(row["words"], np.uint64)[local], np.concatenate([[0], np.cumsum(lens)]), trained)
