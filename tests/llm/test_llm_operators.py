@@ -479,10 +479,58 @@ def test_toxicity_grammar_tells_settings():
     words = ["idiot"]
     key = W.scan(pa.array(words, pa.large_string()), toxicity._letters()).hash
     g = toxicity.Grammar(key, np.array([50]), np.array([0]), 100, 100)
-    texts = ["an idiot here", "you are an idiot", "not an idiot", "he said idiot", "I will kill you", "no. idiot", "I will. kill"]
-    m = g.matches(pa.array(texts, pa.large_string())) > 0
-    settings = [np.flatnonzero(r[:-1]).tolist() for r in m]
-    assert settings == [[toxicity.PLAIN], [toxicity.AT_TARGET], [toxicity.NEGATED], [toxicity.REPORT], [toxicity.MENACE], [toxicity.PLAIN], []]
+    texts = ["an idiot here", "you are an idiot", "not an idiot", "he said idiot", "I will kill you", "no. idiot", "I will. kill", "idiot you", "I will not kill", "they said I will kill"]
+    m = g.matches(pa.array(texts, pa.large_string()))
+    settings = [np.flatnonzero(r[:-1]).tolist() for r in m > 0]
+    T = toxicity
+    assert settings == [[T.PLAIN], [T.AT_TARGET], [T.NEGATED], [T.REPORT], [T.MENACE], [T.PLAIN], [], [T.PLAIN, T.AT_TARGET], [T.NEGATED], [T.REPORT]]
+    one, strong, twice = g.matches(pa.array(["an idiot", "such an idiot", "idiot idiot"], pa.large_string()))[:, T.PLAIN]
+    assert abs(strong - 1.5 * one) < 1e-12 and twice == one
+
+
+def plain_matches(symbols, weights):
+    """The grammar's rules one by one, each looking back from its word."""
+    T, best = toxicity, [0.0] * 5
+
+    def since(i, on):
+        return next((i - j for j in range(i - 1, -1, -1) if symbols[j] == on), None)
+
+    def phrase(i):
+        """Factor of the insult at i, by what opens its phrase."""
+        if i and symbols[i - 1] == T.INS:
+            return 0.5
+        strong, j = False, i - 1
+        while j >= 0 and symbols[j] in (T.COP, T.DET, T.MOD):
+            strong |= symbols[j] == T.MOD
+            j -= 1
+        return 1.5 if strong else 1.0
+
+    for i, s in enumerate(symbols):
+        reported, neg, target = (since(i, x) for x in (T.REP, T.NEG, T.TGT))
+        if s == T.INS:
+            setting = T.REPORT if reported else T.NEGATED if neg and neg <= 3 else T.AT_TARGET if target and target <= 4 else T.PLAIN
+            got = weights[i] * phrase(i)
+            best[setting] = max(best[setting], got)
+            if setting == T.PLAIN and T.TGT in symbols[i + 1 : i + 3] and T.INS not in symbols[i + 1 : i + 2]:
+                if symbols[i + 1] == T.TGT or symbols[i + 1] not in (T.MOD, T.TGT):
+                    best[T.AT_TARGET] = max(best[T.AT_TARGET], got)
+        elif s == T.THR:
+            for a in (i - 1, i - 2):
+                if a >= 0 and symbols[a] == T.INT and T.SPK not in symbols[a + 1 : i] and T.THR not in symbols[a + 1 : i]:
+                    for b in (a - 1, a - 2):
+                        if b >= 0 and symbols[b] == T.SPK and not {T.INT, T.THR} & set(symbols[b + 1 : a]):
+                            best[T.REPORT if reported else T.NEGATED if neg and neg <= 3 else T.MENACE] = max(best[T.REPORT if reported else T.NEGATED if neg and neg <= 3 else T.MENACE], 3.0)
+    return best
+
+
+def test_composed_grammar_equals_its_rules():
+    rng = random.Random(8)
+    T = toxicity
+    symbols = [T.OTHER, T.NEG, T.REP, T.TGT, T.SPK, T.INT, T.THR, T.INS, T.INS, T.COP, T.DET, T.MOD]
+    for _ in range(4000):
+        s = [rng.choice(symbols) for _ in range(rng.randint(0, 9))]
+        w = [rng.choice([1.0, 2.0, 3.0]) if x == T.INS else 0.0 for x in s]
+        assert T.clause_matches(s, w) == plain_matches(s, w), s
 
 
 # --- 9: language model ---

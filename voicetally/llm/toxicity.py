@@ -1,12 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause's words as symbols: insult, threat, target, negation and reported speech. They are
-composed into one automaton; it tells for each insult or threat in which setting it stands (plain, at a target, negated,
-reported), and clauses are scored by the weights of such matches, not by isolated words. Insult weights are log likelihood
-ratios of words and word stems, and the settings' weights a logistic regression, both learned from labelled rows.
-
-Null, empty and wordless texts match nothing and get the intercept's score; repeated rows count each; a label other than 0
-or 1, or none, is not learned from; with no labelled rows every score is 0. Extra columns are not read.
+A clause's words are symbols of closed classes, or an insult with its learned weight. Five weighted transducers are composed,
+each reading what the one before it writes: reported speech and negation mark insults and threats in their reach, target
+marks insults that follow one, insult finds insult phrases (noun or adjective phrases around insults, with a target
+before or after), and threat finds a speaker's intent to harm. Weights on the arcs multiply along the composition: an
+intensifier raises the phrase it opens, a further insult in a phrase counts as part of it. A clause counts once per setting
+(plain, at a target, negated, reported, menace), with its strongest match, so isolated repeated words do not add up.
+
+Insults are words and word stems whose log likelihood ratio in labelled rows is large; it is their weight. The settings'
+weights are a logistic regression on the same rows. Both come from at most `max_rows` rows, and nothing else is capped.
+
+Null, empty and wordless texts match nothing and get the intercept's score; repeated rows count each; of several labels of
+one id the largest counts; a label other than 0 or 1, or none, is not learned from; with no labelled rows every score is 0.
+Extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,59 +33,142 @@ SPEAKER = "i we ich wir je nous yo nosotros".split()
 INTENT = "will shall gonna must should werde werden vais allons voy vamos".split()
 THREAT = "kill hurt beat destroy burn shoot stab hang strangle töten schlagen verbrennen tuer frapper brûler matar golpear quemar".split()
 
-OTHER, BREAK, NEG, REP, TGT, SPK, INT, THR, INS = range(9)
-SYMBOLS = 9
-#: Settings in which a match stands.
+COPULA = "is are am was were be being re bist ist sind seid est es sont son eres".split()
+DETERMINER = "a an the this that these ein eine der die das dieser un une le la les ce cet cette una el los las este esta".split()
+INTENSIFIER = "so very such total complete utter really truly absolute sehr echt si très vraiment muy tan".split()
+
+OTHER, BREAK, NEG, REP, TGT, SPK, INT, THR, INS, COP, DET, MOD = range(12)
+BASES = 12
+#: Settings in which a match stands. A symbol of a tape is its class and its setting; the input's settings are plain.
 PLAIN, AT_TARGET, NEGATED, REPORT, MENACE = range(5)
+SYMBOLS = BASES * 5
+#: Of what the grammar writes besides unmatched symbols: the insult before has its target behind it.
+TARGET_AFTER = SYMBOLS
 #: Of a text: one sum per setting, and the density of all.
 FEATURES = 6
 STEMS = (4, 5, 6, 7, 8)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def memory(on: int, span: int) -> np.ndarray:
-    """Transducer: how many of the last `span` words ago the symbol came (0: it did not); a clause break forgets."""
-    t = np.zeros((span + 1, SYMBOLS), np.int64)
-    for s in range(span + 1):
-        t[s] = s + 1 if 0 < s < span else 0
-        t[s, on], t[s, BREAK] = 1, 0
+class Transducer:
+    """A weighted deterministic transducer: per state and symbol the next state, the symbol written, and a factor.
+
+    Unless an arc is set otherwise it copies its symbol, with factor 1; a clause break leads back to the start.
+    """
+
+    def __init__(self, states: int):
+        self.next = np.zeros((states, SYMBOLS + 1), np.int64)
+        self.out = np.tile(np.arange(SYMBOLS + 1), (states, 1))
+        self.weight = np.ones((states, SYMBOLS + 1))
+
+    def arc(self, state, base: int, to=None, mark: int | None = None, weight: float | None = None):
+        """The arcs of a class in all its settings; mark: the setting written where it is plain or at a target."""
+        for setting in range(5):
+            symbol = base * 5 + setting
+            if to is not None:
+                self.next[state, symbol] = to
+            if mark is not None and setting < NEGATED:
+                self.out[state, symbol] = base * 5 + mark
+            if weight is not None:
+                self.weight[state, symbol] = weight
+        return self
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Composition: other reads what self writes."""
+        n = len(other.next)
+        both = Transducer(len(self.next) * n)
+        for a in range(len(self.next)):
+            for b in range(n):
+                row, mid = a * n + b, self.out[a]
+                both.next[row] = self.next[a] * n + other.next[b, mid]
+                both.out[row] = other.out[b, mid]
+                both.weight[row] = self.weight[a] * other.weight[b, mid]
+        return both
+
+
+def reach(on: int, span: int, mark: int, over: tuple[int, ...]) -> Transducer:
+    """Marks symbols of `over` that come at most `span` words after a symbol of `on` (0: anywhere after it in the clause)."""
+    t = Transducer(max(span, 1) + 1)
+    for state in range(len(t.next)):
+        for base in range(BASES):
+            t.arc(state, base, to=0 if base == BREAK else state if not span else state + 1 if 0 < state < span else 0)
+        t.arc(state, on, to=1)
+        if state:
+            for base in over:
+                t.arc(state, base, mark=mark)
     return t
 
 
-def lasting(on: int) -> np.ndarray:
-    """Transducer: whether the symbol came in the clause."""
-    t = np.array([[0] * SYMBOLS, [1] * SYMBOLS])
-    t[:, on], t[:, BREAK] = 1, 0
+def insult() -> Transducer:
+    """Insult phrases. States: nothing; a phrase is open; opened by an intensifier; one and two words after an insult."""
+    none, opened, strong, after, later = range(5)
+    t = Transducer(5)
+    for state in range(5):
+        for base in range(BASES):
+            t.arc(state, base, to=later if state == after and base != BREAK else none)
+        for base in (COP, DET):
+            t.arc(state, base, to=strong if state == strong else later if state == after else opened)
+        t.arc(state, MOD, to=strong)
+        t.arc(state, INS, to=after, weight={opened: 1.0, strong: 1.5, after: 0.5}.get(state, 1.0))
+    for state in (after, later):
+        # the target follows its insult
+        t.arc(state, TGT, to=none)
+        t.out[state, TGT * 5 + PLAIN] = TARGET_AFTER
     return t
 
 
-def menace() -> np.ndarray:
-    """Transducer: speaker, then intent, then a threat verb, with up to one word between; state 5 is the match."""
-    t = np.zeros((6, SYMBOLS), np.int64)
-    t[1], t[3] = 2, 4
-    t[:, SPK] = 1
-    t[[1, 2], INT] = 3
-    t[[3, 4], THR] = 5
-    t[:, BREAK] = 0
+def threat() -> Transducer:
+    """Speaker, then intent, then a threat verb, with up to one word between; what is written then is a menace."""
+    t = Transducer(5)
+    for state, skip in ((1, 2), (3, 4)):
+        for base in range(BASES):
+            t.arc(state, base, to=0 if base == BREAK else skip)
+        t.next[state, TARGET_AFTER] = skip
+    for state in range(5):
+        t.arc(state, SPK, to=1)
+    for state in (1, 2):
+        t.arc(state, INT, to=3)
+    for state in range(5):
+        t.arc(state, THR, to=0)
+    for state in (3, 4):
+        t.arc(state, THR, mark=MENACE, weight=3.0)
     return t
 
 
-def compose(*machines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The product automaton that runs all machines side by side: (transitions, each state's parts)."""
-    sizes = [len(m) for m in machines]
-    parts = np.stack(np.unravel_index(np.arange(int(np.prod(sizes))), sizes), axis=1)
-    step = np.stack([np.ravel_multi_index([m[parts[:, j], s] for j, m in enumerate(machines)], sizes) for s in range(SYMBOLS)], axis=1)
-    return step, parts
+GRAMMAR = reach(REP, 0, REPORT, (INS, THR)) @ reach(NEG, 3, NEGATED, (INS, THR)) @ reach(TGT, 4, AT_TARGET, (INS,)) @ insult() @ threat()
+_NEXT, _OUT, _WEIGHT = GRAMMAR.next.tolist(), GRAMMAR.out.tolist(), GRAMMAR.weight.tolist()
 
 
-GRAMMAR, PARTS = compose(memory(NEG, 3), lasting(REP), memory(TGT, 4), menace())
+def clause_matches(symbols: list[int], weights: list[float]) -> list[float]:
+    """The strongest match of a clause in each setting. symbols: classes; weights: of the insults among them."""
+    best, state, last = [0.0] * 5, 0, None
+    for base, w in zip(symbols, weights):
+        symbol = base * 5
+        out, factor = _OUT[state][symbol], _WEIGHT[state][symbol]
+        state = _NEXT[state][symbol]
+        if out == TARGET_AFTER:
+            if last is not None:
+                best[AT_TARGET] = max(best[AT_TARGET], last)
+                last = None
+        elif base == INS:
+            setting = out % 5
+            # a plain insult waits for a target that may follow
+            best[setting] = max(best[setting], w * factor)
+            last = w * factor if setting == PLAIN else None
+        elif base == THR and factor > 1:
+            best[out % 5] = max(best[out % 5], factor)
+    return best
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(w, s) for s, ws in ((NEG, NEGATION), (REP, REPORTED), (TGT, TARGET), (SPK, SPEAKER), (INT, INTENT), (THR, THREAT)) for w in ws]
-    h = W.scan(pa.array([w for w, _ in pairs], pa.large_string()), _letters()).hash
+    listed = ((NEG, NEGATION), (REP, REPORTED), (TGT, TARGET), (SPK, SPEAKER), (INT, INTENT), (THR, THREAT), (MOD, INTENSIFIER), (COP, COPULA), (DET, DETERMINER))
+    pairs: dict[str, int] = {}
+    for symbol, words in listed:  # of a word in several classes the first counts
+        for w in words:
+            pairs.setdefault(w, symbol)
+    h = W.scan(pa.array(list(pairs), pa.large_string()), _letters()).hash
     order = np.argsort(h)
-    return h[order], np.array([s for _, s in pairs])[order]
+    return h[order], np.array(list(pairs.values()))[order]
 
 
 def _letters() -> np.ndarray:
@@ -120,7 +209,7 @@ class Grammar:
         return np.where((t >= self.least) & (w >= np.log(self.ratio)), w, 0.0)
 
     def matches(self, texts: pa.Array, labels=None) -> np.ndarray:
-        """Per text the summed weights of its matches by setting, and their sum per hundred words (of 20 at least).
+        """Per text the sums over its clauses' matches by setting, and their sum per hundred words (of 20 at least).
 
         labels: of training texts, which leave themselves out of the counts.
         """
@@ -150,15 +239,8 @@ class Grammar:
         first = np.flatnonzero(new)
         last = np.append(first[1:], words)
         for c in np.unique(clause[(symbol == INS) | (symbol == THR)]).tolist():
-            state, doc = 0, s.doc[first[c]]
-            for i in range(first[c], last[c]):
-                negated, reported, target, threat = PARTS[state].tolist()
-                state = GRAMMAR[state, symbol[i]]
-                if symbol[i] == INS:
-                    setting = REPORT if reported else NEGATED if negated else AT_TARGET if target else PLAIN
-                    out[doc, setting] += weight[i]
-                elif PARTS[state][3] == 5 and threat != 5:
-                    out[doc, REPORT if reported else NEGATED if negated else MENACE] += 3.0
+            lo, hi = first[c], last[c]
+            out[s.doc[lo], :-1] += clause_matches(symbol[lo:hi].tolist(), weight[lo:hi].tolist())
         out[:, -1] = 100 * out.sum(axis=1) / np.maximum(np.diff(s.at), 20)
         return out
 
@@ -177,7 +259,7 @@ class Grammar:
         self.coefficients = b
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000, max_features: int = 50_000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000) -> Grammar:
     """The grammar's weights from at most max_rows labelled rows (by a hash of their id) that are not held out."""
     spark = docs.sparkSession
     label = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -204,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = 20_000,
     counted = rows.mapInArrow(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     t, c = n.get(1, 0), n.get(0, 0)
     lift = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
-    top = counted.where("toxic >= 3").withColumn("lift", lift).where("lift >= 1").orderBy((F.col("toxic") * F.col("lift")).desc(), "key").limit(max_features).select("key", "toxic", "clean").toArrow()
+    top = counted.where("toxic >= 3").withColumn("lift", lift).where("lift >= 1").select("key", "toxic", "clean").toArrow()
     key = as_hash(top.column(0))
     order = np.argsort(key)
     grammar = Grammar(key[order], top.column(1).to_numpy()[order], top.column(2).to_numpy()[order], t, c)
