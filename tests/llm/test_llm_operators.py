@@ -20,7 +20,7 @@ from voicetally.llm import _words as W  # noqa: E402
 from voicetally.llm import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store, toxicity  # noqa: E402
 from voicetally.llm.components import components  # noqa: E402
 from voicetally.llm.queries import fold  # noqa: E402
-from voicetally.llm.suffix_automaton import SuffixAutomaton, known_windows  # noqa: E402
+from voicetally.llm.suffix_automaton import SuffixAutomaton  # noqa: E402
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -416,38 +416,53 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("places", [2, 16])
-def test_substring_dedup_of_null_and_repeated_ids(spark, docs, monkeypatch, places):
-    monkeypatch.setattr(substring_dedup, "HEAD_PLACES", places)
+def deduped(df):
+    return sorted(map(tuple, substring_dedup.dedup(df).drop("kept_text").collect()), key=repr)
+
+
+@pytest.mark.parametrize("block,bloom", [(60_000, 1 << 25), (150, 1 << 25), (150, 0)])
+def test_substring_dedup_of_null_and_repeated_ids(spark, docs, monkeypatch, block, bloom):
+    """Whole tables with repeated rows, null ids and ids of several texts; anchors in one block and in several; with and without
+    a Bloom filter."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", block)
+    monkeypatch.setattr(substring_dedup, "BLOOM_KEYS", bloom)
     rows = documents()
     odd = [(None, f"{rows[7][1]} one"), (None, rows[14][1]), (None, rows[14][1]), (5, f"short {rows[21][1]} tail"), (5, "three new words")]
     every = docs.unionByName(frame(spark, [(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in odd]))
-    key = lambda r: repr(tuple(r))
-    got = sorted(substring_dedup.dedup(every).drop("kept_text").collect(), key=key)
     want = expected_dedup([(-1 if i is None else i, t) for i, t in [(r[0], r[1]) for r in rows] + odd])
-    assert sorted(map(tuple, got), key=repr) == sorted(((None if i == -1 else i, *r) for i, *r in want), key=repr)
+    assert deduped(every) == sorted(((None if i == -1 else i, *r) for i, *r in want), key=repr)
 
 
-def test_substring_dedup_by_automata(spark, docs, monkeypatch):
-    """With a low bar for the reference its automata find most, and the whole result is the same."""
-    monkeypatch.setattr(substring_dedup, "HEAD_PLACES", 2)
-    one = docs.dropDuplicates(["doc_id"])
-    rows = list({r[0]: r for r in documents()}.values())
-    assert sorted(map(tuple, substring_dedup.dedup(one).drop("kept_text").collect())) == expected_dedup(rows)
+def test_substring_dedup_keeps_what_stands_once(spark):
+    """Rows of one id are told apart, rows without an id are deduped."""
+    word = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(5, word("u")), (5, word("v")), (6, "q " + word("u")), (None, word("u"))]
+    got = deduped(frame(spark, [(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in rows]))
+    assert [(r[0], r[1], r[2]) for r in got] == [(5, 60, 0), (5, 60, 60), (6, 61, 60), (None, 60, 60)]
+
+
+def test_without_automata_nothing_that_differs_is_found(spark, docs, monkeypatch):
+    """What repeats within stretches that differ comes from the automata alone."""
+    whole = deduped(docs)
+    monkeypatch.setattr(substring_dedup, "_repeats", lambda batches, window: iter(()))
+    # the same function on the workers: without its rows the result is another
+    assert deduped(docs) != whole
 
 
 def test_matching_statistics():
     rng = np.random.default_rng(7)
     for _ in range(30):
         seqs = [rng.integers(0, 3, rng.integers(1, 12)).astype(np.uint64) for _ in range(4)]
-        known = {tuple(s[a:z]) for s in seqs for a in range(len(s)) for z in range(a + 1, len(s) + 1)}
+        often = rng.integers(1, 4, 4).tolist()
+        known = Counter()
+        for s, n in zip(seqs, often):
+            known.update({w: c * n for w, c in Counter(tuple(s[a:z]) for a in range(len(s)) for z in range(a + 1, len(s) + 1)).items()})
         doc = rng.integers(0, 4, 60).astype(np.uint64)
         want = [max([n for n in range(1, i + 2) if tuple(doc[i + 1 - n : i + 1]) in known], default=0) for i in range(len(doc))]
-        auto = SuffixAutomaton(seqs)
+        auto = SuffixAutomaton(seqs, often)
         assert auto.statistics(doc).tolist() == want
-        split = np.repeat([0, 1], 30)
-        got = known_windows([auto], doc, split, 3)
-        assert got.tolist() == [i + 3 <= len(doc) and split[i] == split[i + 2] and tuple(doc[i : i + 3]) in known if i + 3 <= len(doc) else False for i in range(len(doc))]
+        for k in (1, 2, 3, 5):
+            assert auto.places(doc, k).tolist() == [known[tuple(doc[i + 1 - k : i + 1])] if i + 1 >= k else 0 for i in range(len(doc))]
 
 
 # --- 8: toxicity ---

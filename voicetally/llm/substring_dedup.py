@@ -1,11 +1,12 @@
 """Substring dedup: remove the words of every window that also starts elsewhere in the corpus.
 
 Windows are `window` words of one document. Each takes the least k-gram hash within it (winnowing) as its anchor, so equal
-windows have equal anchors, and only windows whose anchor occurs twice can repeat. Consecutive windows of one anchor form a
-run. The corpus' most repeated runs are the reference: suffix automata of its shards are broadcast (of bounded size), and
-the documents are streamed past them for matching statistics; every window found is removed. A reference of all repeated
-text would grow with the corpus, so the other runs are joined instead: runs equal as a whole repeat as a whole, and the
-rest is settled window by window against the distinct runs.
+windows have equal anchors, and only windows whose anchor stands in two places can repeat. Consecutive windows of one anchor
+form a run, and equal runs are one stretch of words that stands in several places. A reference of all repeated text would
+grow with the corpus and cannot be broadcast, so it is sharded by anchor: all distinct stretches of an anchor meet in one
+task, which builds their suffix automaton (with the places of each) and streams them past it. Matching statistics of `window`
+words or more at two places or more are repeats; their maximal spans are removed in every place of the stretch. An anchor of
+many stretches is dealt out in blocks of bounded size; each block's automaton counts its windows, and the counts are summed.
 
 Null text has no words; a document of fewer than `window` words keeps them all; repeated rows repeat each other; ids
 may be null or stand at several texts (spans are kept by a hash of id and text); an empty table gives an empty result; other
@@ -15,7 +16,6 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_hash, as_long, binary_rows, bloom_bits, bloom_has, cell_values, materialize, most_frequent, runs_to_index, text_chunks
-from .suffix_automaton import SuffixAutomaton, known_windows
+from ._io import as_long, binary_rows, bloom_bits, bloom_has, materialize, runs_to_index, shuffle_parts, text_chunks
+from .suffix_automaton import SuffixAutomaton
 
-#: Of the reference: anchors, runs, and words in a shard, at most.
-HEAD_ANCHORS, HEAD_RUNS, SHARD_WORDS = 4096, 2048, 50_000
-#: Places at which an anchor of the reference stands, at least.
-HEAD_PLACES = 16
 #: Windows in a run at most, so that a run of one anchor in periodic text stays a small row.
 RUN = 512
+#: Words in one automaton, about.
+BLOCK_WORDS = 60_000
+#: Anchors up to which a Bloom filter thins runs out where they lie; beyond, all runs are joined.
+BLOOM_KEYS = 1 << 25
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -66,42 +66,15 @@ def _digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return W.mix(np.add.reduceat(scaled, np.cumsum(n) - n) + n.astype(np.uint64))
 
 
-def reference(text: DataFrame, anchors: DataFrame, window: int, k: int) -> list[SuffixAutomaton]:
-    """Automata of the most repeated runs. anchors: (anchor, n), their places in the corpus."""
-    table = W.space_words(False)
-    hot = most_frequent(anchors.where(F.col("n") >= HEAD_PLACES), "n", HEAD_ANCHORS).select("anchor").toArrow()
-    if not hot.num_rows:
-        return []
-    top = text.sparkSession.sparkContext.broadcast(np.sort(as_hash(hot.column(0))))
-
-    def contents(batches):
-        for b in text_chunks(batches, "text"):
-            s = W.scan(b.column(0), table)
-            first, n, anchor = _runs(s, window, k)
-            own = np.isin(anchor, top.value)
-            first, n = first[own], n[own] + window - 1
-            digest = _digests(s.hash[runs_to_index(first, n)], n)
-            digest, at, places = np.unique(digest, return_index=True, return_counts=True)
-            first, n = first[at], n[at]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(digest)), pa.array(places), binary_rows(s.hash[runs_to_index(first, n)], np.concatenate([[0], np.cumsum(n)]))], ["run", "places", "words"])
-
-    runs = text.select("text").mapInArrow(contents, "run long, places long, words binary").groupBy("run").agg(F.sum("places").alias("places"), F.max("words").alias("words")).where("places > 1")
-    rows = iter(sorted((r["run"], r["words"]) for r in most_frequent(materialize(runs, "dedup-reference"), "places", HEAD_RUNS).collect()))
-    shards: list[SuffixAutomaton] = []
-    while part := list(islice(rows, SHARD_WORDS // (window + k))):
-        shards.append(SuffixAutomaton(np.frombuffer(w, np.uint64) for _, w in part))
-    return shards
-
-
 def row_key():
     """Equal for rows of equal id and text only, and never null."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row")
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """Spans (row, first, n): windows first..first+n of the rows named `row` (by row_key) start elsewhere too."""
-    text = docs.select(row_key(), "text")
-    table = W.space_words(False)
+    text = docs.select(row_key(), F.col("text").cast("string").alias("text"))
+    table, parts = W.space_words(False), shuffle_parts(docs.sparkSession)
 
     def anchors(batches):
         for b in text_chunks(batches, "text"):
@@ -110,55 +83,97 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int
             g, n = np.unique(W.ngram_hash(s.hash, k)[chosen] if len(s.hash) else s.hash, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(n)], ["anchor", "n"])
 
-    twice = materialize(text.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "dedup-anchors")
-    context = text.sparkSession.sparkContext
-    shards = context.broadcast(reference(text, twice, window, k))
-    bits = context.broadcast(bloom_bits(twice, "anchor", log2_bits))
+    def shared(keys: DataFrame):
+        """A test for anchors that may be among the keys."""
+        n = keys.count()
+        if n > BLOOM_KEYS:
+            return None
+        return text.sparkSession.sparkContext.broadcast(bloom_bits(keys, "anchor", max(20, (16 * n).bit_length())))
 
-    def runs(batches):
+    def runs_of(batches, keep, chunk_rows):
         for b in text_chunks(batches, "text"):
-            s = W.scan(b.column(1), table)
-            doc = s.doc
-            known = known_windows(shards.value, s.hash, doc, window)
+            s = W.scan(b.column(b.schema.get_field_index("text")), table)
             first, n, anchor = _runs(s, window, k)
-            hits = np.concatenate([[0], np.cumsum(known)])
-            # runs that the reference holds whole need no join
-            own = np.flatnonzero((hits[first + n] - hits[first] < n) & bloom_has(bits.value, anchor))
-            first, n = first[own], n[own]
-            flat = W.ngram_hash(s.hash, window)[runs_to_index(first, n)]
-            digest = _digests(flat, n)
-            # stretches of windows found in the reference, as rows without windows
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
-            a, z = edge[::2], edge[1::2]
-            at, count = np.concatenate([first, a]), np.concatenate([n, z - a])
-            row = doc[at]
-            bounds = np.concatenate([[0], np.cumsum(n), np.full(len(a), int(n.sum()))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([as_long(digest), np.zeros(len(a), np.int64)])), b.column(0).take(pa.array(row, pa.int64())), pa.array((at - s.at[row]).astype(np.int32)), pa.array(count.astype(np.int32)), binary_rows(flat, bounds), pa.array(np.arange(len(at)) >= len(n))], ["run", "row", "first", "n", "wins", "known"])
-
-    both = materialize(text.mapInArrow(runs, "run long, row long, first int, n int, wins binary, known boolean"), "dedup-runs")
-    found = both.where("not known")
-    # a run's content is found once, with the number of places it stands at
-    distinct = found.groupBy("run").agg(F.count("*").alias("places"), F.min("row").alias("row"), F.min_by("first", "row").alias("first"), F.max("wins").alias("wins"))
-    distinct = materialize(distinct, "dedup-distinct")
-
-    def windows(batches):
-        for b in batches:
-            flat, bounds = cell_values(b.column(3), np.uint64)
-            n = np.diff(bounds)
-            row = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(flat)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((b.column(2).to_numpy()[row] + runs_to_index(np.zeros_like(n), n)).astype(np.int32))], ["win", "places", "row", "first"])
-
-    each = distinct.select("places", "row", "first", "wins").mapInArrow(windows, "win long, places long, row long, first int")
-    again = each.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win")
-    alone = each.where("places = 1").join(again, "win", "left_semi").select("row", "first", F.lit(1).alias("n"))
-    whole = found.select("run", "row", "first", "n").join(distinct.where("places > 1").select("run"), "run", "left_semi").select("row", "first", "n")
-    return alone.unionByName(whole).unionByName(both.where("known").select("row", "first", "n"))
-
-
-def dedup(docs: DataFrame, window: int = 35, k: int = 8, log2_bits: int = 27) -> DataFrame:
+            own = np.flatnonzero(bloom_has(keep.value, anchor)) if keep else np.arange(len(first))
+            first, n, anchor = first[own], n[own], anchor[own]
+            digest = _digests(W.ngram_hash(s.hash, window)[runs_to_index(first, n)], n) if len(own) else anchor
+            yield chunk_rows(b, s, first, n, anchor, digest)
+
+    def places(b, s, first, n, anchor, digest):
+        row = s.doc[first]
+        return pa.RecordBatch.from_arrays([pa.array(as_long(anchor)), pa.array(as_long(digest)), b.column(0).take(pa.array(row, pa.int64())), pa.array((first - s.at[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "run", "row", "first", "n"])
+
+    twice = materialize(text.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "dedup-anchors")
+    keep = shared(twice)
+    found = text.mapInArrow(lambda it: runs_of(it, keep, places), "anchor long, run long, row long, first int, n int")
+    found = materialize(found if keep else found.join(twice, "anchor", "left_semi"), "dedup-runs")
+    stretches = found.groupBy("anchor", "run").agg(F.count("*").alias("places"), F.max("n").alias("n"))
+    per = stretches.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum(F.col("n") + window - 1).alias("words"))
+    stretches = materialize(stretches.join(per.select("anchor", "stretches", "words"), "anchor"), "dedup-stretches")
+    # the only stretch of its anchor, at several places, matches itself as a whole; one at one place may hold a window twice
+    only = F.expr("stretches = 1 and places > 1")
+    alone = stretches.where(only).select("run", F.lit(0).alias("at"), "n")
+    several = stretches.where(~only).select("anchor", "run", "places", (F.expr(f"words div {BLOCK_WORDS}") + 1).cast("int").alias("blocks"))
+
+    def contents(b, s, first, n, anchor, digest):
+        _, at = np.unique(digest, return_index=True)
+        first, n = first[at], n[at] + window - 1
+        return pa.RecordBatch.from_arrays([pa.array(as_long(digest[at])), binary_rows(s.hash[runs_to_index(first, n)], np.concatenate([[0], np.cumsum(n)]))], ["run", "words"])
+
+    few = shared(several.select("anchor").distinct())
+    words = text.select("text").mapInArrow(lambda it: runs_of(it, few, contents), "run long, words binary").dropDuplicates(["run"])
+    dealt = several.join(words, "run").withColumn("block", F.pmod(F.xxhash64("run"), "blocks").cast("int")).select("anchor", "block", "blocks", "run", "places", "words")
+    dealt = dealt.repartition(parts, "anchor", "block").sortWithinPartitions("anchor", "block", "run")
+    settled = materialize(dealt.mapInArrow(lambda it: _repeats(it, window), "run long, at int, n int, win long, places long"), "dedup-repeats")
+    # windows of anchors in several blocks: counts of all blocks together
+    parted = settled.where("win is not null")
+    again = materialize(parted.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win"), "dedup-again")
+    repeats = alone.unionByName(settled.where("win is null").select("run", "at", "n")).unionByName(parted.join(again, "win", "left_semi").select("run", "at", "n"))
+    # written first, so that the join has exchanges of its own and a run of many places can be split
+    repeats = materialize(repeats, "dedup-spans")
+    return found.join(repeats.withColumnRenamed("n", "len"), "run").select("row", (F.col("first") + F.col("at")).alias("first"), F.col("len").alias("n"))
+
+
+def _repeats(batches, window: int):
+    """Of rows (anchor, block, blocks, run, places, words) in order: the maximal spans (run, at, n) of windows that stand at two
+    places or more. Of anchors in several blocks: every window with its hash, and its places in the block, once for all."""
+
+    def settle(rows):
+        seqs = [np.frombuffer(r[4], np.uint64) for r in rows]
+        automaton = SuffixAutomaton(seqs, [r[3] for r in rows])
+        met: set[int] = set()
+        for (_, blocks, run, _, _), seq in zip(rows, seqs):
+            places = automaton.places(seq, window)[window - 1 :]
+            if blocks == 1:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (places > 1).astype(np.int8), [0]]))).tolist()
+                yield from ((run, a, z - a, None, None) for a, z in zip(edge[::2], edge[1::2]))
+            else:
+                for at, (win, n) in enumerate(zip(as_long(W.ngram_hash(seq, window)[: len(places)]).tolist(), places.tolist())):
+                    yield run, at, 1, win, 0 if win in met else n
+                    met.add(win)
+
+    def batch(out):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["run", "at", "n", "win", "places"])
+
+    now, rows, out = None, [], []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns]):
+            if r[:2] != now:
+                out += settle(rows) if rows else []
+                now, rows = r[:2], []
+                if len(out) > 10_000:
+                    yield batch(out)
+                    out = []
+            rows.append(r[1:])
+    out += settle(rows) if rows else []
+    yield batch(out)
+
+
+def dedup(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """Each document with its number of words, of words removed, the kept text and the SHA-256 of it."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
-    spans = repeated_spans(docs, window, k, log2_bits).groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = repeated_spans(docs, window, k).groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     table = W.space_words(False)
     both = text.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
 

@@ -1,32 +1,39 @@
-"""Suffix automata of word sequences, and matching statistics of documents against them."""
+"""Suffix automata of word sequences, matching statistics of a text against them, and how often what matched occurs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 
 
 class SuffixAutomaton:
-    """All substrings of a set of word sequences (words as 64-bit hashes).
+    """All substrings of a set of word sequences (words as 64-bit hashes), and at how many places each stands.
 
     A state's first transition is kept in two lists, further ones in a dict, as nearly all states have one.
     """
 
-    def __init__(self, sequences: Iterable[np.ndarray]):
+    def __init__(self, sequences: Iterable[np.ndarray], places: Iterable[int] | None = None):
+        """places: how often each sequence stands in all (1 by default)."""
         self.first: list[int | None] = [None]
         self.to = [0]
         self.more: dict[tuple[int, int], int] = {}
         self.link, self.length = [-1], [0]
         self.branches: list[list[int]] = [[]]
-        words: list[np.ndarray] = []
-        for seq in sequences:
+        ends: list[tuple[int, int]] = []
+        for seq, n in zip(sequences, repeat(1) if places is None else places):
             last = 0
-            words.append(seq)
             for w in seq.tolist():
                 last = self._extend(last, w)
-        self.alphabet = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+                ends.append((last, n))
         del self.branches
+        # a state's substrings end where its own prefixes do, and where those of the states that link to it do
+        self.count = [0] * len(self.length)
+        for state, n in ends:
+            self.count[state] += n
+        for state in np.argsort(np.array(self.length), kind="stable")[:0:-1].tolist():
+            self.count[self.link[state]] += self.count[state]
 
     def step(self, state: int, w: int) -> int | None:
         return self.to[state] if self.first[state] == w else self.more.get((state, w))
@@ -97,24 +104,25 @@ class SuffixAutomaton:
             out[i] = have
         return out
 
-
-def known_windows(shards: list[SuffixAutomaton], words: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """True where a window of `window` words of one document begins that is in a shard.
-
-    Only stretches of `window` words or more that the shard's alphabet holds are walked.
-    """
-    out = np.zeros(len(words), bool)
-    for shard in shards:
-        if not len(shard.alphabet) or not len(words):
-            continue
-        at = np.minimum(np.searchsorted(shard.alphabet, words), len(shard.alphabet) - 1)
-        good = shard.alphabet[at] == words
-        edge = np.ones(len(words), bool)
-        edge[1:] = (good[1:] != good[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(edge)
-        end = np.append(begin[1:], len(words))
-        for a, z in zip(begin.tolist(), end.tolist()):
-            if z - a >= window and good[a]:
-                hit = np.flatnonzero(shard.statistics(words[a:z]) >= window)
-                out[a + hit - window + 1] = True
-    return out
+    def places(self, words: np.ndarray, window: int) -> np.ndarray:
+        """Per word at how many places the `window` words stand that end with it; 0 where fewer match."""
+        out, state, have = np.zeros(len(words), np.int64), 0, 0
+        first, to, more, link, length, count = self.first, self.to, self.more, self.link, self.length, self.count
+        for i, w in enumerate(words.tolist()):
+            while True:
+                t = to[state] if first[state] == w else more.get((state, w))
+                if t is not None:
+                    state, have = t, have + 1
+                    break
+                if not state:
+                    have = 0
+                    break
+                state = link[state]
+                have = length[state]
+            if have >= window:
+                # the shortest state that still has the last `window` words
+                while length[link[state]] >= window:
+                    state = link[state]
+                    have = length[state]
+                out[i] = count[state]
+        return out
