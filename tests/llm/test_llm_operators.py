@@ -82,7 +82,7 @@ def expected_hits(docs, bench):
         w = ALNUM.findall(low(t))
         n = min(10, len(w))
         for j in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[j : j + n])].add(str(i))
+            windows[tuple(w[j : j + n])].add(None if i is None else str(i))
     out = []
     for r in docs:
         w, items = ALNUM.findall(low(r[1])), set()
@@ -92,33 +92,26 @@ def expected_hits(docs, bench):
                 if tuple(w[j : j + n]) in windows:
                     items |= windows[tuple(w[j : j + n])]
                     hit[j : j + n] = [1] * n
-        out.append((r[0], len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), sum(hit) > 0))
-    return sorted(out)
-
+        out.append((r[0], len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), sum(hit) > 0))
+    return sorted(out, key=repr)
 
-@pytest.mark.parametrize("most", [20_000_000, 150])
-def test_decontamination(spark, docs, most):
-    bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
-    got = decontamination.decontaminate(docs, bench, max_broadcast_words=most)
-    want = expected_hits(documents(), bench_rows())
-    # a benchmark in parts gathers the rows of an id
-    assert sorted(map(tuple, got.collect())) == (want if most > 1000 else sorted(set(want)))
-    kept = decontamination.clean(docs, bench, max_broadcast_words=most)
-    assert set(kept.columns) == set(docs.columns)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in want if not r[5])
-    assert decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
-    assert decontamination.decontaminate(empty(spark), bench).count() == 0
 
-
-def test_decontamination_by_parts_equals_the_broadcast(spark, docs):
-    """Row by row, with null ids, repeated rows, ids of several texts and items of equal ids."""
+@pytest.mark.parametrize("most,bloom", [(10_000_000, 1 << 25), (10, 1 << 25), (10, 0)])
+def test_decontamination(spark, docs, monkeypatch, most, bloom):
+    """Broadcast and joined fingerprints: null ids, repeated rows, ids of several texts, items of one id and without an id."""
+    monkeypatch.setattr(decontamination, "BLOOM_KEYS", bloom)
     odd = [(None, documents()[7][1]), (None, "no such words"), (None, "no such words"), (3, documents()[7][1]), (3, "clean text of an id with another text")]
-    every = docs.unionByName(frame(spark, [(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in odd]))
-    bench = spark.createDataFrame([*bench_rows(), bench_rows()[0], (1, "no such")], "item_id long, text string")
-    key = lambda df: sorted(map(repr, df.collect()))
-    got = decontamination.decontaminate(every, bench, max_broadcast_words=150)
-    assert key(got) == key(decontamination.decontaminate(every, bench)) and got.count() == every.count()
-    assert key(decontamination.clean(every, bench, max_broadcast_words=150)) == key(decontamination.clean(every, bench))
+    rows = [*documents(), *[(i, t, "en", "s", 0, "", 0, 0, 0) for i, t in odd]]
+    items = [*bench_rows(), bench_rows()[0], (1, "no such"), (None, "four words are here"), (None, documents()[7][1])]
+    every, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(7))
+    want = expected_hits(rows, items)
+    got = decontamination.decontaminate(every, bench, max_broadcast_words=most)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    kept = decontamination.clean(every, bench, max_broadcast_words=most)
+    assert kept.columns == every.columns
+    assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(repr(r[0]) for r in want if not r[5])
+    assert decontamination.decontaminate(docs, bench.where("false"), max_broadcast_words=most).where("contaminated").count() == 0
+    assert decontamination.decontaminate(empty(spark), bench, max_broadcast_words=most).count() == 0
 
 
 # --- 2: quality rules ---
