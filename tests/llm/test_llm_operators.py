@@ -155,6 +155,13 @@ def water(sizes):
     return target
 
 
+def test_running_sum(spark):
+    rng = random.Random(4)
+    rows = [(g, i, rng.randint(0, 9)) for g in "ab" for i in rng.sample(range(1000), 200)]
+    got = mixing.running_sum(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i", "v", "before", 16).collect()
+    assert len(got) == 400 and all(r["before"] == sum(v for g, i, v in rows if g == r["g"] and i < r["i"]) for r in got)
+
+
 def test_mixing(spark, docs):
     mixed, plan, _ = mixing.mix(docs, block_words=16)
     rows = mixed.collect()
@@ -622,10 +629,60 @@ def test_lang_id(spark, docs):
     assert lang_id.identify(empty(spark), fold(3, 1)).count() == 0
 
 
+def byte_grams(text):
+    """4-byte windows of letters in lower case, all else one blank each, two blanks around the text, none over two blanks."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    raw = b"  " + raw + b"  "
+    return [raw[i : i + 4] for i in range(len(raw) - 3) if b"  " not in raw[i : i + 4]]
+
+
+def expected_languages(rows, share=0.3, least=2):
+    """Exact sets in place of filters, over all rows: {index: (language, score)} of rows that have n-grams."""
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and text is not None:
+            counts[lang].update(byte_grams(text))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    most = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / total[x])
+    known = {x: {g for g, n in c.items() if n >= least and n / total[x] >= share * most[g]} for x, c in sorted(counts.items())}
+    out = {}
+    for k, (_, text, _) in enumerate(rows):
+        hits = {x: sum(g in grams for g in byte_grams(text)) for x, grams in known.items()}
+        top = sorted(hits.values(), reverse=True)
+        if top and top[0] > top[1]:
+            out[k] = (max(hits, key=hits.get), top[0] / (top[0] + top[1]), top[0] - top[1])
+    return out
+
+
+def test_lang_id_against_exact_sets(spark, docs):
+    """Repeated rows count each; where one language is ahead, it is predicted with its share of hits."""
+    rows = documents()
+    got = defaultdict(list)
+    for r in lang_id.identify(docs, fold(3, 1)).collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    want = expected_languages([r[:3] for r in rows])
+    clear = {k: w for k, w in want.items() if w[2] >= 3}
+    assert len(clear) > 60
+    for k, (lang, score, _) in clear.items():
+        assert all(g == lang and abs(s - score) < 0.05 for g, s in got[rows[k][0]]), rows[k]
+
+
+def test_over_64_languages(spark):
+    words = lambda x: " ".join(f"{chr(97 + x // 26)}{chr(97 + x % 26)}{c}{c}{chr(97 + x % 26)}" for c in "abcdefgh")
+    rows = [(7 * x + k, words(x), f"l{x:02}") for x in range(90) for k in range(7)]
+    got = lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fold(3, 1)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: lang for i, _, lang in rows}
+
+
 def test_bit_sliced_filters_give_all_languages():
-    cells = np.zeros(1 << lang_id.LOG2_CELLS, np.uint64)
+    cells = np.zeros((2, 1 << 16), np.uint64)
     grams = np.array([1, 2, 3], np.uint32)
     for g, mask in zip(grams.tolist(), (1, 2, 3)):
         for a in lang_id.PROBES:
-            cells[((g * a) & 0xFFFFFFFF) >> (32 - lang_id.LOG2_CELLS)] |= np.uint64(mask)
-    assert lang_id.languages_of(grams, cells).tolist() == [1, 2, 3]
+            cells[1, ((g * a) & 0xFFFFFFFF) >> 16] |= np.uint64(mask)
+    masks = lang_id.languages_of(grams, cells)
+    assert masks.tolist() == [[0, 0, 0], [1, 2, 3]]
+    assert lang_id.has(masks, 65).tolist() == [False, True, True]

@@ -25,6 +25,20 @@ ORDER_BUCKETS = 1 << 12
 GRID = 1024
 
 
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, out: str, width: int = 64) -> DataFrame:
+    """df with `out`: the sum of `value` before each row, per `by` and by `order` (a whole number, once per `by`).
+
+    In two levels, so that no task holds more than `width` neighbours, or a width-th of a group's rows.
+    """
+    upto = lambda keys, x: Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    d = df.withColumn("_run", F.expr(f"{order} div {width}"))
+    base = d.groupBy(*by, "_run").agg(F.sum(value).alias("_sum"))
+    base = base.select(*by, "_run", F.coalesce(F.sum("_sum").over(upto(by, "_run")), zero).alias("_base"))
+    d = d.withColumn("_inner", F.coalesce(F.sum(value).over(upto([*by, "_run"], order)), zero)).join(base, [*by, "_run"])
+    return d.withColumn(out, F.col("_base") + F.col("_inner")).drop("_run", "_base", "_inner")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and a stable order key of each document."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
@@ -56,8 +70,7 @@ def blocks(sized: DataFrame, block_words: int) -> DataFrame:
     """
     s = sized.where("size > 0").withColumns({"part": F.shiftrightunsigned("mix_key", 64 - ORDER_BUCKETS.bit_length() + 1).cast("int"), "src": F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))})
     part = s.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
-    run = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select("src", "part", F.coalesce(F.sum("part_size").over(run), F.lit(0)).alias("part_start"))
+    part = running_sum(part, ["src"], "part", "part_size", "part_start").select("src", "part", "part_start")
     inner = Window.partitionBy("src", "part").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(part, ["src", "part"])
     s = s.withColumn("start", F.col("part_start") + F.col("inner")).withColumn("stop", F.col("start") + F.col("size"))
@@ -84,10 +97,9 @@ def schedule(target: DataFrame, block_words: int, slots: int) -> DataFrame:
     phi, far = "0.6180339887498949D", repr(((5**0.5 - 1) / 2 * 2**20) % 1) + "D"
     u = f"(({phi} * ((id + 1) & 1048575) + {far} * ((id + 1) >> 20)) % 1.0D)"
     points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(u).alias("u")).withColumn("cell", F.floor(F.col("u") * GRID).cast("int")).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
-    hit = points.join(cells, "cell").where("u >= `from` and u < `to`").select("slot", "chunk", "src", "need")
+    hit = points.join(F.broadcast(cells) if _few(target) else cells, "cell").where("u >= `from` and u < `to`").select("slot", "chunk", "src", "need")
     per = hit.groupBy("src", "chunk").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select("src", "chunk", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("base"))
+    base = running_sum(per, ["src"], "chunk", "n", "base", 1024).select("src", "chunk", "base")
     inner = Window.partitionBy("src", "chunk").orderBy("slot")
     ranked = hit.withColumn("k", F.row_number().over(inner) - 1).join(base, ["src", "chunk"]).select("slot", "src", (F.col("base") + F.col("k")).alias("rank"), "need").where("rank < need")
     got = per.groupBy("src").agg(F.sum("n").alias("got"))
