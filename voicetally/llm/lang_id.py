@@ -4,7 +4,9 @@ Training counts 4-byte n-grams per language (letters lower-cased in ASCII, all e
 n-grams whose relative frequency in it is at least `share` of the largest over all languages. The filters are sliced by
 bit: one cell array, bit l of a cell belonging to language l, so the AND of an n-gram's cells is the set of all languages
 whose filter has it. A text's n-grams are looked up, hits are counted per language, each count is corrected by its
-filter's false-positive rate, and the largest decides.
+filter's false-positive rate, and the largest decides. Cells are sized by the n-grams of the richest language, within bounds, and
+have a 64-bit word for every 64 languages; n-grams rarer than `RARE` of their language's are left out, which bounds how many
+there are however large the corpus.
 
 Null text or text without a letter is `und` with score 0; rows without a language are predicted, not learned from; ties go
 to the first language by name; a text of letters without any n-gram is such a tie.
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ._io import materialize, text_chunks
 
-LOG2_CELLS = 20
+LEAST_LOG2, MOST_LOG2 = 16, 24
+RARE = 1e-7
 #: Multipliers of the three probes; odd and under 2**31, so that a product with a 32-bit n-gram is a positive long.
 PROBES = (0x5851F42D, 0x2545F491, 0x1B873593)
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -57,7 +60,7 @@ def _grams(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(rows: DataFrame, share: float = 0.3, least: int = 2) -> tuple[list[str], np.ndarray]:
-    """(languages by name, cells of bit masks) from text and lang of the training rows."""
+    """(languages by name, bit masks by word and cell) from text and lang of the training rows."""
     table = _letters()
 
     def count(batches):
@@ -89,18 +92,19 @@ def learn(rows: DataFrame, share: float = 0.3, least: int = 2) -> tuple[list[str
     total = n.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r["lang"] for r in total.select("lang").collect())
     if not langs:
-        return [], np.zeros(1 << LOG2_CELLS, np.uint64)
-    if len(langs) > 64:
-        raise ValueError("a cell has 64 bits: at most 64 languages")
-    bit = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
+        return [], np.zeros((1, 1 << LEAST_LOG2), np.uint64)
+    place = rows.sparkSession.createDataFrame(list(enumerate(langs)), "place int, lang string")
     rel = n.join(F.broadcast(total), "lang").withColumn("rel", F.col("n") / F.col("total"))
     most = rel.groupBy("gram").agg(F.max("rel").alias("most"))
-    kept = rel.where(F.col("n") >= least).join(most, "gram").where(F.col("rel") >= share * F.col("most"))
-    cells = F.array(*[F.expr(f"((gram * {a}L) & 4294967295L) >> {32 - LOG2_CELLS}") for a in PROBES])
-    bits = kept.withColumn("bit", bit[F.col("lang")]).select(F.explode(cells).alias("cell"), F.expr("shiftleft(1L, bit)").alias("mask"))
-    table_rows = bits.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << LOG2_CELLS, np.uint64)
-    out[table_rows.column(0).to_numpy()] = table_rows.column(1).to_numpy().view(np.uint64)
+    kept = rel.where((F.col("n") >= least) & (F.col("rel") >= RARE)).join(most, "gram").where(F.col("rel") >= share * F.col("most"))
+    kept = materialize(kept.join(F.broadcast(place), "lang").select("gram", "place"), "lang-kept")
+    richest = kept.groupBy("place").count().agg(F.max("count")).first()[0] or 0
+    log2 = min(MOST_LOG2, max(LEAST_LOG2, (8 * richest).bit_length()))
+    cells = F.array(*[F.expr(f"((gram * {a}L) & 4294967295L) >> {32 - log2}") for a in PROBES])
+    bits = kept.select(F.explode(cells).alias("cell"), F.expr("place div 64").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("mask"))
+    table_rows = bits.groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros((-(-len(langs) // 64), 1 << log2), np.uint64)
+    out[table_rows.column(0).to_numpy(), table_rows.column(1).to_numpy()] = table_rows.column(2).to_numpy().view(np.uint64)
     return langs, out
 
 
@@ -109,14 +113,19 @@ def _counts(code, n, names):
 
 
 def languages_of(grams: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Per n-gram the mask of all languages whose filter has it."""
-    g = grams.astype(np.uint64)
-    out = np.full(len(g), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    """By word and n-gram the mask of all languages whose filter has it."""
+    g, log2 = grams.astype(np.uint64), cells.shape[1].bit_length() - 1
+    out = np.full((len(cells), len(g)), 0xFFFFFFFFFFFFFFFF, np.uint64)
     for a in PROBES:
-        out &= cells[((g * np.uint64(a)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - LOG2_CELLS)]
+        out &= cells[:, ((g * np.uint64(a)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - log2)]
     return out
 
 
+def has(masks: np.ndarray, place: int) -> np.ndarray:
+    """Which of the masks (by word) have the language of this place."""
+    return (masks[place // 64] >> np.uint64(place % 64) & np.uint64(1)).astype(bool)
+
+
 def identify(docs: DataFrame, held_out, share: float = 0.3) -> DataFrame:
     """All documents' languages, by filters learned from those that are not held out (a boolean column expression)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", "lang")
@@ -127,13 +136,13 @@ def identify(docs: DataFrame, held_out, share: float = 0.3) -> DataFrame:
         langs, cells = known.value
         table, ascii_letter = _letters(), np.zeros(256, bool)
         ascii_letter[0x41:0x5B] = ascii_letter[0x61:0x7B] = True
-        false_rate = np.array([float((cells >> np.uint64(i) & np.uint64(1)).mean()) ** len(PROBES) for i in range(len(langs))])
+        false_rate = np.array([float(has(cells, i).mean()) ** len(PROBES) for i in range(len(langs))])
         for b in text_chunks(batches, "text"):
             text, n = b.column(2), b.num_rows
             g, doc = _grams(text, table)
             masks = languages_of(g, cells)
             seen = np.bincount(doc, minlength=n)
-            hits = np.stack([np.bincount(doc[(masks >> np.uint64(i) & np.uint64(1)).astype(bool)], minlength=n) for i in range(len(langs))] or [np.zeros(n, np.int64)], axis=1)
+            hits = np.stack([np.bincount(doc[has(masks, i)], minlength=n) for i in range(len(langs))] or [np.zeros(n, np.int64)], axis=1)
             real = np.maximum(hits - seen[:, None] * false_rate, 0) / (1 - false_rate) if langs else hits.astype(float)
             best = real.argmax(axis=1)
             top = real[np.arange(n), best]
