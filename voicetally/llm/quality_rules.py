@@ -125,8 +125,8 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines
       FROM w JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 40 * n_words
-            OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
-FROM m
+       few_words OR repeated_windows AS base_failed, NOT (few_words OR repeated_windows OR symbols OR repeated_lines OR word_length) AS kept,
+       few_words::INT + 2 * repeated_windows::INT + 4 * symbols::INT + 8 * repeated_lines::INT + 16 * word_length::INT AS failed
+FROM (SELECT *, n_words < 20 AS few_words, 100 * n_repeat_words > 30 * n_words AS repeated_windows, 100 * n_symbols > 40 * n_words AS symbols,
+             n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines AS repeated_lines, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length FROM m)
 """
