@@ -36,7 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; a temporary one only in a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="voicetally-")
     return f"{named.rstrip('/')}/{name}-{fresh_name()}"
