@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import squeeze
+from .turns import located
 
 IRREGULAR = {"say": ("says", "said"), "tell": ("tells", "told"), "write": ("writes", "wrote"), "deny": ("denies", "denied"), "reply": ("replies", "replied"), "testify": ("testifies", "testified"), "admit": ("admits", "admitted")}
 #: Words in a name that make it an organization.
@@ -54,25 +55,14 @@ def entity_type(span: Column) -> Column:
 def extract_attributions(segments: DataFrame, text: str = "text", exclude: str | None = None) -> DataFrame:
     """One row per credited source with offsets into the text. exclude: a column with the names on air, which are dropped; it is
     not kept. Nothing is shuffled: matches do not overlap, so a span counts once, and names on air are of the same row.
-
-    Offsets are of the name within the match: each match is located by the lengths of the gaps and matches before it.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     d = segments.select(*[c for c in segments.columns if c != text], t.alias("_t"))
-    g = lambda i: F.regexp_extract_all(F.col("_t"), F.lit(RULE), F.lit(i))
-    d = d.withColumn("_m", F.arrays_zip(F.split("_t", RULE, -1).alias("gap"), g(0).alias("m"), g(1).alias("to"), g(2).alias("before"), g(3).alias("cue1"), g(4).alias("cue2"), g(5).alias("after")))
-    kind = "array<struct<a:int,x:struct<gap:string,m:string,to:string,before:string,cue1:string,cue2:string,after:string>>>"
-
-    def step(acc, x):
-        a = acc["pos"] + F.length(x["gap"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct((a + F.length(x["m"])).alias("pos"), F.concat(acc["all"], F.array(F.struct(a.alias("a"), x.alias("x")))).cast(kind).alias("all")))
-
-    d = d.withColumn("_f", F.aggregate("_m", F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("all")), step, lambda acc: acc["all"]))
-    d = d.select("*", F.explode("_f").alias("_h")).drop("_m", "_f")
-    x = F.col("_h.x")
+    d = d.select("*", F.explode(located(F.col("_t"), RULE, "to", "before", "cue1", "cue2", "after")).alias("_h"))
+    x = F.col("_h")
     d = d.withColumns({"source_span": F.when(x["to"] != "", x["to"]).when(x["before"] != "", x["before"]).otherwise(x["after"]), "cue_verb": F.when(x["to"] != "", "according to").otherwise(lemma_of(F.when(x["cue1"] != "", x["cue1"]).otherwise(x["cue2"]))), "pattern_id": F.when(x["to"] != "", "according_to").otherwise("subj_cue")})
-    inside = F.when(x["before"] != "", F.lit(1)).otherwise(F.length(x["m"]) - F.length("source_span") + 1)
-    d = d.withColumn("char_start", F.col("_h.a") + inside - 1).withColumn("char_end", F.col("char_start") + F.length("source_span"))
+    inside = F.when(x["before"] != "", F.lit(1)).otherwise(x["z"] - x["a"] - F.length("source_span") + 1)
+    d = d.withColumn("char_start", x["a"] + inside - 1).withColumn("char_end", F.col("char_start") + F.length("source_span"))
     d = d.where(~F.lower("source_span").isin(*NO_NAMES))
     head = F.substring(F.col("_t"), F.lit(1), F.col("char_start"))
     ends = r"(?<=[.!?])\s+"

@@ -12,51 +12,54 @@ from ..functions import lexicons as L
 from ..functions.text import classify_role, squeeze, surname
 
 LABEL = "(?U)" + L.LABEL
-_FOUND = "array<struct<a:int,z:int,name:string,role:string,ok:boolean>>"
-_SPANS = "array<struct<lo:int,hi:int>>"
 TURN = ("turn_index", "char_start", "char_end", "speaker_raw", "role_raw", "name_norm", "staff_flag", "source_mode")
 
 
-def _located(gaps: Column, *parts: Column) -> Column:
-    """Gaps and matches in turn; a last gap has no match."""
-    return F.arrays_zip(gaps, *parts)
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def located(text: Column, pattern: str, *groups: str) -> Column:
+    """All matches of a pattern: start a, end z, what the pattern's groups found under their names, and the text since the
+    match before with that match in front of it. Only ends are summed up along the text; the rest goes by place."""
+    lit = F.lit(pattern)
+    parts = F.struct(F.split(text, pattern, -1).alias("gap"), *[F.regexp_extract_all(text, lit, F.lit(i)).alias(f"g{i}") for i in range(len(groups) + 1)])
+
+    def ends(x: Column) -> Column:
+        each = F.zip_with(F.slice(x["gap"], F.lit(1), F.size(x["g0"])), x["g0"], lambda g, m: F.length(g) + F.length(m))
+        return F.aggregate(each, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))
+
+    def rows(x: Column, z: Column) -> Column:
+        def row(m: Column, i: Column) -> Column:
+            since = F.concat(F.coalesce(F.get(x["g0"], i - 1), F.lit("")), F.get(x["gap"], i))
+            found = [F.get(x[f"g{k}"], i).alias(name) for k, name in enumerate(groups, 1)]
+            return F.struct((F.get(z, i) - F.length(m)).alias("a"), F.get(z, i).alias("z"), since.alias("since"), *found)
+
+        return F.transform(x["g0"], row)
+
+    return let(parts, lambda x: let(ends(x), lambda z: rows(x, z)))
 
 
 def _labels(text: str) -> Column:
-    """All matches: start, end, name, role, and whether what stands before is a boundary."""
-    t = F.col(text)
-    rows = _located(F.split(t, LABEL, -1).alias("gap"), F.regexp_extract_all(t, F.lit(LABEL), F.lit(0)).alias("m"), F.regexp_extract_all(t, F.lit(LABEL), F.lit(1)).alias("name"), F.regexp_extract_all(t, F.lit(LABEL), F.lit(2)).alias("role"))
+    """All labels with a boundary before them: start, end, name and role."""
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + F.length(x["gap"])
-        before = F.rtrim(F.concat(acc["prev"], x["gap"]), F.lit(" \t"))
-        ok = (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
-        found = F.struct(a.alias("a"), (a + F.length(x["m"])).alias("z"), x["name"].alias("name"), x["role"].alias("role"), ok.alias("ok"))
-        more = F.struct((a + F.length(x["m"])).alias("pos"), x["m"].alias("prev"), F.concat(acc["all"], F.array(found)).cast(_FOUND).alias("all"))
-        return F.when(x["m"].isNull(), acc).otherwise(more)
+    def ok(x: Column) -> Column:
+        before = F.rtrim(x["since"], F.lit(" \t"))
+        return (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("prev"), F.array().cast(_FOUND).alias("all"))
-    return F.aggregate(rows, start, step, lambda acc: F.filter(acc["all"], lambda x: x["ok"]))
+    return F.filter(located(F.col(text), LABEL, "name", "role"), ok)
 
 
 def clip_spans(text: str) -> Column:
     """Spans between clip markers: a second BEGIN moves the start, an END without a start counts nothing, and a clip left
-    open runs to the end of the text."""
-    t, marker = F.col(text), F.lit(L.CLIP_MARKER)
-    rows = _located(F.split(t, L.CLIP_MARKER, -1).alias("gap"), F.regexp_extract_all(t, marker, F.lit(0)).alias("m"), F.regexp_extract_all(t, marker, F.lit(1)).alias("kind"))
-    none = F.lit(None).cast("int")
+    open runs to the end of the text. So every BEGIN that no other BEGIN follows next gives a span."""
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + F.length(x["gap"])
-        z = a + F.length(x["m"])
-        closed = F.concat(acc["all"], F.array(F.struct(acc["open"].alias("lo"), a.alias("hi")))).cast(_SPANS)
-        begin = F.struct(z.alias("pos"), z.alias("open"), acc["all"].alias("all"))
-        end = F.struct(z.alias("pos"), none.alias("open"), F.when(acc["open"].isNull(), acc["all"]).otherwise(closed).alias("all"))
-        return F.when(x["m"].isNull(), acc).when(x["kind"] == "BEGIN", begin).otherwise(end)
+    def spans(markers: Column) -> Column:
+        each = F.transform(markers, lambda x, i: F.struct(x["z"].alias("lo"), F.coalesce(F.get(markers, i + 1)["a"], F.length(text)).alias("hi"), ((x["kind"] == "BEGIN") & ~F.coalesce(F.get(markers, i + 1)["kind"] == "BEGIN", F.lit(False))).alias("ok")))
+        return F.transform(F.filter(each, lambda x: x["ok"]), lambda x: F.struct(x["lo"], x["hi"]))
 
-    start = F.struct(F.lit(0).alias("pos"), none.alias("open"), F.array().cast(_SPANS).alias("all"))
-    tail = lambda acc: F.when(acc["open"].isNull(), acc["all"]).otherwise(F.concat(acc["all"], F.array(F.struct(acc["open"].alias("lo"), F.length(t).alias("hi")))).cast(_SPANS))
-    return F.aggregate(rows, start, step, tail)
+    return let(located(F.col(text), L.CLIP_MARKER, "kind"), spans)
 
 
 def _named(x: Column) -> Column:
@@ -64,7 +67,7 @@ def _named(x: Column) -> Column:
     return F.struct(x["a"].alias("a"), x["z"].alias("z"), name.alias("name"), role.alias("role"), F.lower(name).alias("norm"), classify_role(role, name).alias("flag"))
 
 
-def _roster(labels: str) -> Column:
+def _roster(labels: str | Column) -> Column:
     """Surname, name and flag of all who are introduced with a role."""
     full = F.filter(labels, lambda x: x["role"].isNotNull() & x["flag"].isin("staff", "guest"))
     return F.transform(full, lambda x: F.struct(surname(x["norm"]).alias("sn"), x["norm"].alias("norm"), x["flag"].alias("flag")))
@@ -77,8 +80,9 @@ def _known(roster: Column, x: Column) -> Column:
 
 def names_on_air(text: str) -> Column:
     """The names (as in name_norm) of a text's turns."""
-    labels = F.transform(_labels(text), _named)
-    return F.array_distinct(F.transform(labels, lambda x: F.coalesce(_known(_roster(labels), x)["norm"], x["norm"])))
+    names = lambda labels, roster: F.transform(labels, lambda x: F.coalesce(_known(roster, x)["norm"], x["norm"]))
+    every = let(F.transform(_labels(text), _named), lambda labels: let(_roster(labels), lambda roster: names(labels, roster)))
+    return F.array_distinct(every)
 
 
 def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, utterance: bool = False) -> DataFrame:
