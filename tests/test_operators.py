@@ -95,13 +95,13 @@ def test_large_counts_do_not_overflow(spark):
     assert abs(concentration_of_counts(df, ["y"], "who").first()["hhi"] - 0.5) < 1e-12
 
 
-SENTENCES = ["Joe Biden said the plan works.", "According to Barack Obama, reform is needed.", '"It works," said Hillary Clinton today.', "The White House said it would respond.", "The weather is nice today.", "", None]
+SENTENCES = ["Joe Biden said the plan works.", "According to Barack Obama, reform is needed.", '"It works," said Hillary Clinton today.', "The White House said it would respond.", "The weather is nice today.", "", None, "But then Jane Doe had never been asked about it."]
 
 
 def test_attributions(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SENTENCES)], "url int, text string")
     got = {r["url"]: r for r in extract_attributions(df).collect()}
-    assert {k: (r["source_span"], r["cue_verb"], r["entity_type"]) for k, r in got.items()} == {0: ("Joe Biden", "say", "PERSON"), 1: ("Barack Obama", "according to", "PERSON"), 2: ("Hillary Clinton", "say", "PERSON"), 3: ("The White House", "say", "ORG")}
+    assert {k: (r["source_span"], r["cue_verb"], r["entity_type"]) for k, r in got.items()} == {0: ("Joe Biden", "say", "PERSON"), 1: ("Barack Obama", "according to", "PERSON"), 2: ("Hillary Clinton", "say", "PERSON"), 3: ("The White House", "say", "ORG"), 7: ("Jane Doe", "ask", "PERSON")}
     assert all(SENTENCES[k][r["char_start"] : r["char_end"]] == r["source_span"] for k, r in got.items())
     # names on air count in their own row only, also where two rows have one url
     two = spark.createDataFrame([(0, SENTENCES[0], ["joe  biden"]), (0, SENTENCES[0], ["x"]), (1, SENTENCES[0], None)], "url int, text string, air array<string>")

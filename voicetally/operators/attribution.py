@@ -1,7 +1,7 @@
 """Credited sources in running text: a rule backend in Catalyst expressions, and a hook for a language model.
 
-The rule backend knows `<Name> <cue verb>`, `<cue verb> <Name>` after a quotation or comma, and `according to <Name>`,
-where a name is a run of capitalized words. It is an approximation of a dependency parse: rarer word orders are missed.
+The rule backend knows `<Name> <cue verb>` with auxiliaries or adverbs between (so passives too), `<cue verb> <Name>` after a
+quotation or comma, and `according to <Name>`, where a name is a run of capitalized words. It is an approximation of a dependency parse: rarer word orders are missed.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ LEMMA = {form: lemma for lemma in L.CUE_VERBS for form in inflections(lemma)}
 CUES = "|".join(sorted(LEMMA, key=lambda w: (-len(w), w)))
 _WORD = r"[A-Z](?:[\w'’-]|\.(?=\S))*"
 NAME = rf"(?:[Tt]he\s+)?{_WORD}(?:\s+{_WORD}){{0,4}}"
-RULE = rf"\b(?:[Aa]ccording\s+to\s+({NAME})|({NAME})\s+({CUES})\b|[,\"”]+\s*({CUES})\s+({NAME}))"
+#: What may stand between a name and its verb.
+BETWEEN = r"(?:\s+(?:is|are|was|were|has|have|had|been|being|also|then|later|once|never|not)){0,3}"
+RULE = rf"\b(?:[Aa]ccording\s+to\s+({NAME})|({NAME}){BETWEEN}\s+({CUES})\b|[,\"”]+\s*({CUES})\s+({NAME}))"
 SCHEMA = "sentence_index int, char_start int, char_end int, source_span string, entity_type string, cue_verb string, pattern_id string, sentence_text string"
 
 

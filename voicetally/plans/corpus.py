@@ -17,7 +17,7 @@ LABELS = (
     "ANN COOPER, CNN HOST", "SENATOR JANE DOE, (D-NY)", "COOPER", "UNIDENTIFIED MALE", "BARACK OBAMA, PRESIDENT OF THE UNITED STATES",
     "JOHN SMITH, REPUBLICAN STRATEGIST", "MARY SMITH, GOVERNOR (I-ME)", "SMITH", "GEORGE BUSH, U.S. HOUSE CANDIDATE",
 )
-CITES = (". Joe Biden said the plan works.", ". According to Barack Obama, reform is needed.", '. "It works," said Hillary Clinton today.', ". The White House said it would respond.", ". John Smith said no.", ".")
+CITES = (". Joe Biden said the plan works.", ". According to Barack Obama, reform is needed.", '. "It works," said Hillary Clinton today.', ". The White House said it would respond.", ". John Smith said no.", ". George Bush was also asked.")
 SHOWS = ("acd", "lkl", "tsr", "xyz")
 
 
@@ -117,7 +117,7 @@ WHO = TURNS + "," + resolved("turns", "name_norm", "who0") + f""",
 who AS (SELECT *, {OFFICE.format(r='role_raw')} AS office, {PARTY.format(r='role_raw')} AS party, coalesce(canonical_id = {PRES.format(d='air_date')}, false) AS is_president FROM who0)"""
 _NAME = r"(?:[Tt]he\s+)?[A-Z][\w'’-]*(?:\s+[A-Z][\w'’-]*){0,4}"
 #: The attribution rule without the look-ahead that allows dots in names, which these texts do not have.
-_RULE = quoted(rf"\b(?:[Aa]ccording\s+to\s+({_NAME})|({_NAME})\s+({A.CUES})\b|[,\"”]+\s*({A.CUES})\s+({_NAME}))")
+_RULE = quoted(rf"\b(?:[Aa]ccording\s+to\s+({_NAME})|({_NAME}){A.BETWEEN}\s+({A.CUES})\b|[,\"”]+\s*({A.CUES})\s+({_NAME}))")
 _ORGS = ", ".join(f"'{w}'" for w in A.ORG_WORDS)
 CITED = WHO + f""",
 cg AS (SELECT *, string_split_regex(text, '{_RULE}') AS g, {", ".join(f"regexp_extract_all(text, '{_RULE}', {i}) AS r{i}" for i in range(6))} FROM corpus),
