@@ -11,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import mix
+
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private temporary one only where that is unset (tests, local runs)."""
+    """The folder named by spark.checkpoint.dir; a private temporary one only in a local session where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="voicetally-")
     return _OWN["dir"]
@@ -62,6 +66,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2
             hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, "right")) - 1), lo + max_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
+    # workers are used again: what Arrow holds back is of no use to the next task
+    pa.default_memory_pool().release_unused()
 
 
 def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -95,18 +101,23 @@ BLOOM_SLICES = 64
 
 
 def bloom_bits(df: DataFrame, key: str, log2_bits: int = 27) -> np.ndarray:
-    """A Bloom filter (two probes) of the long column key, as a bit array of fixed size.
+    """A Bloom filter (two probes) of the long column key, as a bit array of fixed size. Keys are mixed first: they may be least
+    hashes of windows, which are far from even.
 
-    Bits are split into 64 slices by hash; each slice is filled by one task, so the driver gets 2**log2_bits / 8 bytes
+    Bits are split into 64 slices by hash; keys go to tasks by their slice, so the driver gets 2**log2_bits / 8 bytes
     whatever the number of keys. It only thins out candidates: an exact join always follows.
     """
     per = (1 << log2_bits) // BLOOM_SLICES
 
+    def mixed(batches):
+        for b in batches:
+            h = mix(as_hash(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(_probes(h, per)[0])], ["h", "slice"])
+
     def fill(batches):
         slices: dict[int, np.ndarray] = {}
         for b in batches:
-            h = as_hash(b.column(0))
-            s, p, q = _probes(h, per)
+            s, p, q = _probes(as_hash(b.column(0)), per)
             for k in np.unique(s):
                 bits = slices.setdefault(int(k), np.zeros(per // 8, np.uint8))
                 own = s == k
@@ -115,7 +126,7 @@ def bloom_bits(df: DataFrame, key: str, log2_bits: int = 27) -> np.ndarray:
         for k, bits in slices.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
 
-    hashed = df.select(F.col(key).alias("h")).repartition(BLOOM_SLICES, F.expr(f"(h >> 58) & {BLOOM_SLICES - 1}"))
+    hashed = df.select(key).mapInArrow(mixed, "h long, slice long").repartition(BLOOM_SLICES, "slice")
     out = np.zeros((1 << log2_bits) // 8, np.uint8)
     for r in hashed.mapInArrow(fill, "slice int, bits binary").collect():
         lo = r["slice"] * per // 8
@@ -132,7 +143,7 @@ def _probes(h: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def bloom_has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     per = len(bits) * 8 // BLOOM_SLICES
-    s, p, q = _probes(h, per)
+    s, p, q = _probes(mix(h), per)
     base = s * (per // 8)
     hit = (bits[base + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1
     at = np.flatnonzero(hit)
@@ -162,21 +173,3 @@ def drop_ids(docs: DataFrame, gone: DataFrame, max_broadcast: int = 2_000_000) -
     """docs without the rows whose doc_id is in gone: by broadcast up to max_broadcast ids, else by a shuffled hash join."""
     side = F.broadcast(gone) if gone.count() <= max_broadcast else gone.hint("shuffle_hash")
     return docs.join(side, "doc_id", "left_anti")
-
-
-def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of the largest counts, at most `most` of them (all, if there are no more).
-
-    A histogram over 1/16 octaves of the count (about a thousand bins) gives the least count to keep, so nothing is sorted
-    or gathered, and equal counts are kept or left together.
-    """
-    step = F.floor(F.log2(F.col(count)) * 16)
-    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.col("bin").desc()).collect()
-    kept, least = 0, None
-    for r in bins:
-        if kept + r["n"] > most:
-            break
-        kept, least = kept + r["n"], r["bin"]
-    if least is None:
-        return counts.where("false")
-    return counts.where(step >= least)
