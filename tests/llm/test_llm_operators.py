@@ -316,6 +316,24 @@ def test_token_store(spark, docs):
     assert token_store.read_store(empty(spark), folder).count() == 0
 
 
+def test_pieces_are_split_as_the_library_splits_them():
+    """Every character that is encoded piece by piece, in random company, and others, which are encoded whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, ours = Tokenizer.from_file(path), token_store.Encoder(path, keep=500)
+    usual = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), 0x20AC)]
+    rng = random.Random(12)
+    pairs = [a + b for a in usual for b in rng.sample(usual, 3)]
+    mixed = ["".join(rng.choice([*usual, " ", " ", "a", "s", "'", "7", "\u0301", "\u3000", "\x0b", "😀", "\x00"]) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts = [*usual, *pairs, *mixed, "it's we'll I'D  two  spaces \n\n end ", "<|endoftext|> inside", ""]
+    for lo in range(0, len(texts), 700):
+        part = texts[lo : lo + 700]
+        ids, bounds = ours.encode(part)
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
+
+
 def test_perfect_hash():
     keys = W.mix(np.arange(5000, dtype=np.uint64))
     h = token_store.PerfectHash.build(keys)
@@ -338,6 +356,17 @@ def test_transcripts(spark):
     assert chat_format.recover(spark, conv.where("false"), F.lit(False)).count() == 0
 
 
+def test_transcripts_with_ties_and_gaps(spark):
+    """Equal turns are ordered by their text, missing turns leave no trace, further columns are not read."""
+    turns = [(c, t, ["user", "assistant"][k % 2], f"line {k} of {c}") for c in range(30) for k, t in enumerate((0, 3, 9, 10))]
+    turns += [(99, 4, "user", "b second"), (99, 4, "user", "a first")]
+    conv = spark.createDataFrame([(*r, "x", 5) for r in turns], "conv_id long, turn int, role string, text string, mark string, k int")
+    got = {r["conv_id"]: r for r in chat_format.recover(spark, conv, F.lit(False)).collect()}
+    assert all(got[c]["roles"] == "user,assistant,user,assistant" for c in range(30)) and got[99]["n_lines"] == 2
+    again = {r["conv_id"]: r for r in chat_format.recover(spark, conv.repartition(11), F.lit(False)).collect()}
+    assert got == again
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     m = chat_format.Model(["a", "b"], rng.integers(0, 9, 4), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 4)), rng.integers(0, 9, (4, 2)), rng.integers(0, 9, (4, 2)))
@@ -488,6 +517,9 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
     assert {r["score"] for r in toxicity.score(docs, labels.where("false"), fold(5, 0)).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), labels, fold(5, 0)).count() == 0
+    # of several labels of an id the largest counts, others than 0 and 1 none
+    more = labels.unionByName(spark.createDataFrame([(i, 0) for i, _, _ in rows] + [(i, 7) for i, _, _ in rows], "doc_id long, toxic int"))
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, more, fold(5, 0)).collect()} == {i: r["score"] for i, r in got.items()}
 
 
 def test_toxicity_grammar_tells_settings():

@@ -69,3 +69,10 @@ def test_stages_against_brute_force(spark, sf_dir):
                 at += len(ids)
             assert sorted(map(tuple, now), key=lambda r: r[1]) == want
     assert kept["toxicity"] > kept["ngram_jaccard_join"] > kept["benchmark_decontamination"] > 0
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "token_output" or set(out.columns) == set(docs.columns))

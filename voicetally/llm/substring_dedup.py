@@ -88,7 +88,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
         n = keys.count()
         if n > BLOOM_KEYS:
             return None
-        return text.sparkSession.sparkContext.broadcast(bloom_bits(keys, "anchor", max(20, (16 * n).bit_length())))
+        return text.sparkSession.sparkContext.broadcast(bloom_bits(keys, "anchor", max(20, (32 * n).bit_length())))
 
     def runs_of(batches, keep, chunk_rows):
         for b in text_chunks(batches, "text"):
@@ -107,9 +107,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     keep = shared(twice)
     found = text.mapInArrow(lambda it: runs_of(it, keep, places), "anchor long, run long, row long, first int, n int")
     found = materialize(found if keep else found.join(twice, "anchor", "left_semi"), "dedup-runs")
-    stretches = found.groupBy("anchor", "run").agg(F.count("*").alias("places"), F.max("n").alias("n"))
+    stretches = materialize(found.groupBy("anchor", "run").agg(F.count("*").alias("places"), F.max("n").alias("n")), "dedup-stretches")
     per = stretches.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum(F.col("n") + window - 1).alias("words"))
-    stretches = materialize(stretches.join(per.select("anchor", "stretches", "words"), "anchor"), "dedup-stretches")
+    # written before the join, which then has exchanges of its own and can split an anchor of many stretches
+    stretches = stretches.join(materialize(per, "dedup-anchor-sizes"), "anchor")
     # the only stretch of its anchor, at several places, matches itself as a whole; one at one place may hold a window twice
     only = F.expr("stretches = 1 and places > 1")
     alone = stretches.where(only).select("run", F.lit(0).alias("at"), "n")
@@ -125,10 +126,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     dealt = several.join(words, "run").withColumn("block", F.pmod(F.xxhash64("run"), "blocks").cast("int")).select("anchor", "block", "blocks", "run", "places", "words")
     dealt = dealt.repartition(parts, "anchor", "block").sortWithinPartitions("anchor", "block", "run")
     settled = materialize(dealt.mapInArrow(lambda it: _repeats(it, window), "run long, at int, n int, win long, places long"), "dedup-repeats")
-    # windows of anchors in several blocks: counts of all blocks together
+    # windows that stand once in their block, of anchors in several blocks: counts of all blocks together
     parted = settled.where("win is not null")
     again = materialize(parted.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win"), "dedup-again")
-    repeats = alone.unionByName(settled.where("win is null").select("run", "at", "n")).unionByName(parted.join(again, "win", "left_semi").select("run", "at", "n"))
+    repeats = alone.unionByName(settled.where("win is null").select("run", "at", "n")).unionByName(parted.where("run is not null").join(again, "win", "left_semi").select("run", "at", "n"))
     # written first, so that the join has exchanges of its own and a run of many places can be split
     repeats = materialize(repeats, "dedup-spans")
     return found.join(repeats.withColumnRenamed("n", "len"), "run").select("row", (F.col("first") + F.col("at")).alias("first"), F.col("len").alias("n"))
@@ -136,7 +137,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
 
 def _repeats(batches, window: int):
     """Of rows (anchor, block, blocks, run, places, words) in order: the maximal spans (run, at, n) of windows that stand at two
-    places or more. Of anchors in several blocks: every window with its hash, and its places in the block, once for all."""
+    places or more. Of anchors in several blocks also, by the window's hash: those that stand once in their block, and (without
+    a run) the others' places in the block."""
 
     def settle(rows):
         seqs = [np.frombuffer(r[4], np.uint64) for r in rows]
@@ -144,13 +146,15 @@ def _repeats(batches, window: int):
         met: set[int] = set()
         for (_, blocks, run, _, _), seq in zip(rows, seqs):
             places = automaton.places(seq, window)[window - 1 :]
-            if blocks == 1:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (places > 1).astype(np.int8), [0]]))).tolist()
-                yield from ((run, a, z - a, None, None) for a, z in zip(edge[::2], edge[1::2]))
-            else:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (places > 1).astype(np.int8), [0]]))).tolist()
+            yield from ((run, a, z - a, None, None) for a, z in zip(edge[::2], edge[1::2]))
+            if blocks > 1:
                 for at, (win, n) in enumerate(zip(as_long(W.ngram_hash(seq, window)[: len(places)]).tolist(), places.tolist())):
-                    yield run, at, 1, win, 0 if win in met else n
-                    met.add(win)
+                    if n == 1:
+                        yield run, at, 1, win, 1
+                    elif win not in met:
+                        met.add(win)
+                        yield None, None, None, win, n
 
     def batch(out):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
