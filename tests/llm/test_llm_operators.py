@@ -599,7 +599,7 @@ def expected_lm(tokens, out):
     def p(g):
         if len(g) == 1:
             return (words[g[0]] + 0.1) / base
-        prior, seen, n = (20, starts if g[0] == "<" else words[g[0]], pairs[g]) if len(g) == 2 else (8, pairs[g[:2]], triples[g])
+        prior, seen, n = (lm_score.PAIR_PRIOR, starts if g[0] == "<" else words[g[0]], pairs[g]) if len(g) == 2 else (lm_score.TRIPLE_PRIOR, pairs[g[:2]], triples[g])
         return (n + prior * p(g[1:])) / (seen + prior)
 
     whole = lambda t, k: sum(math.log10(p(tuple(["<", *t][max(0, j + 1 - k) : j + 2]) if k else (t[j],))) for j in range(len(t)))
@@ -718,3 +718,18 @@ def test_bit_sliced_filters_give_all_languages():
     masks = lang_id.languages_of(grams, cells)
     assert masks.tolist() == [[0, 0, 0], [1, 2, 3]]
     assert lang_id.has(masks, 65).tolist() == [False, True, True]
+
+
+# --- the shared folder ---
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session)

@@ -33,7 +33,7 @@ from ._io import cell_values, materialize, text_chunks
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
 ADD = 0.1
 #: Weights of the lower order in the probabilities of pairs and triples.
-PAIR_PRIOR, TRIPLE_PRIOR = 20.0, 8.0
+PAIR_PRIOR, TRIPLE_PRIOR = 50.0, 20.0
 CHUNK_WORDS = 750_000
 #: N-grams per part of the exchange of counts.
 PART_GRAMS = 2_000_000
