@@ -18,6 +18,7 @@ from llm_data import SCHEMA, documents, frame  # noqa: E402
 
 from voicetally.llm import _words as W  # noqa: E402
 from voicetally.llm import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, substring_dedup, token_store, toxicity  # noqa: E402
+from voicetally.llm._io import shared_dir  # noqa: E402
 from voicetally.llm.components import components  # noqa: E402
 from voicetally.llm.queries import fold  # noqa: E402
 from voicetally.llm.suffix_automaton import SuffixAutomaton  # noqa: E402
