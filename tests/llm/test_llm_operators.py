@@ -523,6 +523,39 @@ def test_toxicity(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, more, fold(5, 0)).collect()} == {i: r["score"] for i, r in got.items()}
 
 
+def test_toxicity_scores_by_plain_rules(spark):
+    """Whole scores again from words, clauses, learned weights and the rules one by one."""
+    T, rows = toxicity, toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "You said IDIOT; he is not such a blorker!\nblorker you")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    grammar = T.learn(docs, labels, fold(5, 0))
+    classes = {}
+    for symbol, words in ((T.NEG, T.NEGATION), (T.REP, T.REPORTED), (T.TGT, T.TARGET), (T.SPK, T.SPEAKER), (T.INT, T.INTENT), (T.THR, T.THREAT), (T.MOD, T.INTENSIFIER), (T.COP, T.COPULA), (T.DET, T.DETERMINER)):
+        for w in words:
+            classes.setdefault(w, symbol)
+    known = {k: i for i, k in enumerate(grammar.key.tolist())}
+
+    def weight(word):
+        keys = T.features(W.scan(pa.array([word], pa.large_string()), T._letters()))[0].tolist()
+        found = [known[k] for k in keys if k and k in known]
+        return max(grammar.weight(np.array(found)), default=0.0) if found else 0.0
+
+    def score(text):
+        sums, n = np.zeros(T.FEATURES), 0
+        for clause in re.split(r"[.!?;:\n]", low(text)):
+            words = re.findall(r"[a-z\u0080-\U0010ffff]+", clause)
+            n += len(words)
+            weights = [weight(w) for w in words]
+            sums[:-1] += plain_matches([T.INS if x > 0 else classes.get(w, T.OTHER) for w, x in zip(words, weights)], weights)
+        sums[-1] = 100 * sums.sum() / max(n, 20)
+        return 1 / (1 + math.exp(-(grammar.coefficients[0] + np.log1p(sums) @ grammar.coefficients[1:])))
+
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, labels, fold(5, 0)).collect()}
+    assert len(got) == 202
+    for i, t in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        assert abs(got[i] - score(t or "")) < 1e-9, t
+
+
 def test_toxicity_grammar_tells_settings():
     words = ["idiot"]
     key = W.scan(pa.array(words, pa.large_string()), toxicity._letters()).hash
