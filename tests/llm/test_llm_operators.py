@@ -363,7 +363,7 @@ def test_transcripts_with_ties_and_gaps(spark):
     turns += [(99, 4, "user", "b second"), (99, 4, "user", "a first")]
     conv = spark.createDataFrame([(*r, "x", 5) for r in turns], "conv_id long, turn int, role string, text string, mark string, k int")
     got = {r["conv_id"]: r for r in chat_format.recover(spark, conv, F.lit(False)).collect()}
-    assert all(got[c]["roles"] == "user,assistant,user,assistant" for c in range(30)) and got[99]["n_lines"] == 2
+    assert all(got[c]["roles"] == "user,assistant,user,assistant" for c in range(30)) and got[99]["n_known"] == 2
     again = {r["conv_id"]: r for r in chat_format.recover(spark, conv.repartition(11), F.lit(False)).collect()}
     assert got == again
 
