@@ -245,6 +245,20 @@ def test_jaccard_join_of_a_chain(spark):
     assert sorted(map(tuple, got)) == expected_components(rows)
 
 
+def test_one_of_each_group_stays(spark):
+    """Ids of several texts, repeated rows, rows without an id, near copies of one id, and a column named as the key is."""
+    words = [f"w{i}" for i in range(80)]
+    u, near, v, other = " ".join(words), " ".join([*words[:79], "x"]), " ".join(f"v{i}" for i in range(50)), " ".join(f"o{i}" for i in range(50))
+    rows = [(3, u), (5, near), (5, v), (6, v), (7, other), (7, other), (7, f"{other} end"), (None, u), (8, None), (8, ""), (9, "one")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, _row0 string")
+    got = jaccard_join.one_per_group(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    seven = [k for k in kept if k[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (other, f"{other} end") and kept.pop(seven[0]) == 1
+    assert kept == Counter([(3, u), (5, v), (None, u), (8, None), (8, ""), (9, "one")])
+
+
 def test_trie_links_join_the_components():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]

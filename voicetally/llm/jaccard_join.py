@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_long, binary_rows, cell_values, drop_ids, materialize, runs_to_index, shuffle_parts, text_chunks
+from ._io import as_long, binary_rows, cell_values, drop_keys, lean, materialize, runs_to_index, shuffle_parts, text_chunks
 from .components import components
 
 #: Items in one part of the exchange that counts them; sets and items in one block of a group.
@@ -94,7 +94,8 @@ def _ask(batches, n: int, parts: int):
         flat, bounds = chunk_sets(b.column(1), n, table)
         node, size = digests(flat, bounds), np.diff(bounds)
         ids = b.column(0)
-        yield pa.RecordBatch.from_arrays(_row(chunk, DOCS, ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8), node, size.astype(np.uint32), part=chunk % parts), _EXCHANGE)
+        own = np.concatenate([ids.fill_null(0).to_numpy(), b.column(2).to_numpy()])
+        yield pa.RecordBatch.from_arrays(_row(chunk, DOCS, own, pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8), node, size.astype(np.uint32), part=chunk % parts), _EXCHANGE)
         own = np.unique(node, return_index=True)[1]
         own = np.sort(own[size[own] > 0])
         item = flat[runs_to_index(bounds[:-1][own], size[own])]
@@ -356,9 +357,11 @@ def _meet(batches, num: int, den: int):
 
 def _documents(batches):
     for b in batches:
-        ids, nodes, sizes = (cell_values(b.column(i), t)[0] for i, t in ((0, np.int64), (2, np.int64), (3, np.uint32)))
+        own, bounds = cell_values(b.column(0), np.int64)
+        ids, rows = (np.concatenate([own[lo:hi].reshape(2, -1)[k] for lo, hi in zip(bounds[:-1], bounds[1:])]) for k in (0, 1))
+        nodes, sizes = (cell_values(b.column(i), t)[0] for i, t in ((2, np.int64), (3, np.uint32)))
         null = cell_values(b.column(1), np.uint8)[0].astype(bool)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sizes.astype(np.int64)), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(rows), pa.array(sizes.astype(np.int64)), pa.array(nodes)], ["doc_id", "row", "n_shingles", "node"])
 
 
 def _heads(batches):
@@ -369,16 +372,21 @@ def _heads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(flat[runs_to_index(bounds[:-1], head)]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["item", "node", "size"])
 
 
+def row_key():
+    """Equal for rows of equal id and text only, and never null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row")
+
+
 def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, node; links between nodes: a, b, fewer than nodes, whose components are the classes)."""
+    """(documents: doc_id, row, n_shingles, node; links between nodes: a, b, fewer than nodes, whose components are the classes)."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key())
     letters = text.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(letters) // (6 * PART_ITEMS)))
     asked = text.mapInArrow(lambda it: _ask(it, n, parts), EXCHANGE)
-    answers = materialize(asked.groupBy("part").applyInArrow(_count, ANSWER), "join-answers")
-    documents = answers.where(f"kind = {DOCS}").select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, n_shingles long, node long")
-    sets = answers.groupBy("chunk").applyInArrow(lambda t: _assemble(t, num, den), "node long, size long, head long, stored long, items binary")
+    answers = materialize(asked.groupBy("part").applyInArrow(lambda t: lean(_count, t), ANSWER), "join-answers")
+    documents = answers.where(f"kind = {DOCS}").select("a", "b", "c", "d").mapInArrow(_documents, "doc_id long, row long, n_shingles long, node long")
+    sets = answers.groupBy("chunk").applyInArrow(lambda t: lean(_assemble, t, num, den), "node long, size long, head long, stored long, items binary")
     # chunks may each have sent a copy
     sets = materialize(sets.dropDuplicates(["node"]), "join-sets")
 
@@ -415,27 +423,32 @@ def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, component_id, node; links between nodes: a, b)."""
+    """(documents: doc_id, n_shingles, component_id, node, class, row; links between nodes: a, b). row is row_key()'s; class names
+    a component of sets, and is null for an empty one."""
     documents, links = set_links(docs, n, num, den)
     label = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
-    classes = documents.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    # empty sets stay apart: their class is the row itself
-    least = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # empty sets stay apart
+    classes = documents.join(label, "node", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     # written first, so that the join has exchanges of its own and a class of many copies can be split
-    least = materialize(least, "join-least")
-    out = classes.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    least = materialize(classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "join-least")
+    out = classes.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node", "class", "row")
     return out, links
 
 
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The documents, with all their columns, that are the least id of their group; of repeated rows one stays.
+    """The documents, with all their columns, without all but one of each group: the one of the least id stays, once.
 
-    Rows without an id and documents without words are in no group and stay.
+    Rows without an id and documents without words are in no group and stay; of an id with several texts each goes by its own.
     """
-    groups = materialize(jaccard_components(docs, n, num, den)[0], "join-groups-of-docs")
-    kept = drop_ids(docs, groups.where("doc_id != component_id").select("doc_id").distinct())
-    again = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "node").agg(F.count("*").alias("c")).where("c > 1").select("doc_id").distinct()
+    groups = materialize(jaccard_components(docs, n, num, den)[0].where("class is not null and doc_id is not null").select("doc_id", "class", "row"), "join-groups-of-docs")
+    first = groups.groupBy("class").agg(F.min(F.struct("doc_id", "row"))["row"].alias("stays"), F.count("*").alias("c")).where("c > 1").select("class", "stays")
+    members = materialize(groups.join(materialize(first, "join-stays"), "class"), "join-members-of-groups")
+    own = next(f"_row{i}" for i in range(99) if f"_row{i}" not in docs.columns)
+    keyed = docs.withColumn(own, row_key())
+    gone = members.where("row <> stays").select(F.col("row").alias(own)).distinct()
+    kept = drop_keys(keyed, gone, own)
+    again = members.where("row = stays").groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select(F.col("row").alias(own))
     if again.isEmpty():
-        return kept
-    single = kept.join(again.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return drop_ids(kept, again).select(*docs.columns).unionByName(single.dropDuplicates(["doc_id", "text"]))
+        return kept.select(*docs.columns)
+    single = kept.join(again.hint("shuffle_hash"), own, "left_semi").dropDuplicates([own])
+    return drop_keys(kept, again, own).select(*docs.columns).unionByName(single.select(*docs.columns))
