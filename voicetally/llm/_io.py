@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,21 @@ def as_hash(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
+def give_back() -> None:
+    """At the end of a task or group: workers are used again, and what Arrow and the C library hold back is of no use to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f, *args):
+    """f(*args), and then what was held for it is given back."""
+    out = f(*args)
+    give_back()
+    return out
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2_000_000, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about max_bytes of text and at most max_rows rows each; null text becomes the empty string.
 
@@ -66,8 +82,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2
             hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + max_bytes, "right")) - 1), lo + max_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
-    # workers are used again: what Arrow holds back is of no use to the next task
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -169,7 +184,7 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
-    """docs without the rows whose doc_id is in gone: by broadcast up to max_broadcast ids, else by a shuffled hash join."""
+def drop_keys(docs: DataFrame, gone: DataFrame, key: str, max_broadcast: int = 2_000_000) -> DataFrame:
+    """docs without the rows whose key is in gone: by broadcast up to max_broadcast keys, else by a shuffled hash join."""
     side = F.broadcast(gone) if gone.count() <= max_broadcast else gone.hint("shuffle_hash")
-    return docs.join(side, "doc_id", "left_anti")
+    return docs.join(side, key, "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import cell_values, materialize, text_chunks
+from ._io import cell_values, lean, materialize, text_chunks
 
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
 ADD = 0.1
@@ -245,7 +245,7 @@ def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_ANSWER)
 
     asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, ASK)
-    return materialize(asked.groupBy("part").applyInArrow(answer, ANSWER), "lm-answers")
+    return materialize(asked.groupBy("part").applyInArrow(lambda t: lean(answer, t), ANSWER), "lm-answers")
 
 
 def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -269,7 +269,7 @@ def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFram
 
     packed = chunks.select("chunk", "n", "ids", "held", "lens", "words", "tokens")
     asked = answers.where("chunk is not null").select("chunk", "part", "n", "small", "large")
-    return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda a, b: lean(walk, a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _trained(chunks: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ class _Known(dict):
 class Encoder:
     """tokenizers' byte-level BPE with its results kept per piece (a bounded cache)."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
