@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity
+from . import chat_format, decontamination, filter_audit, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"), fold(3, 1))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
     "op10_lang_id": op10_lang_id,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
     "op4_jaccard_join": sql.JACCARD,
     "op7_substring_dedup": sql.SUBSTRINGS,
+    "op11_filter_audit": filter_audit.SQL,
 }
