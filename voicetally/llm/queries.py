@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, filter_audit, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity
+from . import chat_format, decontamination, filter_audit, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantize(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_lang_id": op10_lang_id,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -89,4 +94,5 @@ ORACLE: dict[str, str] = {
     "op4_jaccard_join": sql.JACCARD,
     "op7_substring_dedup": sql.SUBSTRINGS,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
