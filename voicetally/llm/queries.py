@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, filter_audit, jaccard_join, lang_id, lm_score, mixing, quality_rules, sql, substring_dedup, token_store, toxicity, vector_codes
+from . import chat_format, decontamination, filter_audit, jaccard_join, lang_id, lm_score, mixing, quality_rules, secret_scan, sql, substring_dedup, token_store, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.quantize(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lang_id": op10_lang_id,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op7_substring_dedup": sql.SUBSTRINGS,
     "op11_filter_audit": filter_audit.SQL,
     "op12_vector_codes": vector_codes.SQL,
+    "op13_secret_scan": secret_scan.SQL,
 }
