@@ -180,6 +180,13 @@ def bloom_has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    i = next(i for i in range(len(taken) + 1) if not any(f"{x}{i}".lower() in taken for x in stems))
+    return [f"{x}{i}" for x in stems]
+
+
 def filter_rows(docs: DataFrame, keep) -> DataFrame:
     """docs with the rows for which keep(texts) is true, in one pass and with all its columns, whatever their names.
 

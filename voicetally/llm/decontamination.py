@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._io import as_long, binary_rows, bloom_bits, bloom_has, cell_values, filter_rows, materialize, text_chunks
+from ._io import as_long, binary_rows, bloom_bits, bloom_has, cell_values, filter_rows, free_names, materialize, text_chunks
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 ROW = "_decontaminate_row"
@@ -149,9 +149,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     return text.mapInArrow(find, RESULT)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, name: str = ROW) -> DataFrame:
     """docs with a key of each row, written first so that the key survives retries."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "decontaminate-rows")
 
 
 def _prints(s: W.Words, window: int, k: int, lengths: list[int] | None):
@@ -240,9 +240,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, m
     """The documents, with all their columns, that hold no window of the benchmark."""
     items, small = _small(benchmark, max_broadcast_words)
     if not small:
-        rows = _keyed(docs)
-        gone = _by_join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window, k).where("contaminated").select(ROW)
-        return rows.join(gone.hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
+        (own,) = free_names(docs, ROW)
+        rows = _keyed(docs, own)
+        gone = _by_join(rows.select(F.col(own).alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, window, k).where("contaminated").select(F.col(ROW).alias(own))
+        return rows.join(gone.hint("shuffle_hash"), own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     known = _broadcast(items, window, k)
 
     def keep():

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import free_names, materialize
 
 #: Fixed values of the mixture: weights repeat over the sources in order; total and cap are shares of the words there are.
 WEIGHTS = (5, 2, 1)
@@ -142,10 +142,12 @@ def mixed_rows(docs: DataFrame, block_words: int = 128) -> DataFrame:
     """The documents, with all their columns, each as often as the mix takes it, to the nearest whole number."""
     mixed = mix(docs, block_words)[0].where("size > 0")
     copies = mixed.groupBy("mix_key", "source").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("n")).where("n > 0")
-    copies = copies.select(F.col("mix_key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("n").alias("_mix_n"))
-    d = docs.withColumn("_mix_own", F.xxhash64("doc_id", "text"))
-    same = (F.col("_mix_own") == F.col("_mix_key")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
-    return d.join(copies.hint("shuffle_hash"), same).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    key, source, n, own, i = free_names(docs, "_mix_key", "_mix_source", "_mix_n", "_mix_own", "_mix_i")
+    copies = copies.select(F.col("mix_key").alias(key), F.col("source").alias(source), F.col("n").alias(n))
+    d = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    same = (F.col(own) == F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    rows = d.join(copies.hint("shuffle_hash"), same).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _few(target: DataFrame, most: int = 100_000) -> bool:
