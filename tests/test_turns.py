@@ -84,3 +84,22 @@ def test_against_plain_rules(spark):
         got.setdefault(r["i"], []).append(r)
     for i, t in enumerate(texts):
         assert rows(got.get(i, [])) == spec(t), t
+
+
+def test_rows_carry_neither_text_nor_other_turns(spark):
+    """A segment's turns are finished before they become rows: below the generator there is one array of them and the key."""
+    df = spark.createDataFrame([(1, "AB, GUEST: x")], "i int, text string")
+    node = parse_turns(df)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().head()
+    below = node.children().head().output().mkString(" ")
+    assert re.fullmatch(r"i#\d+ (_z|_gen\w*|_pre\w*)#\d+|_z#\d+ i#\d+", below), below
+
+
+def test_many_labels_of_one_segment(spark):
+    """Thousands of labels, of few and of many surnames, with and without clips: the plain rules, in one piece."""
+    for names in (3, 2000):
+        text = "\n".join(f"{'(BEGIN VIDEO CLIP) ' if i % 3 == 1 else ''}{'JON' if i % 2 else 'JO'} N{chr(65 + i % names % 26)}{chr(65 + i % names // 26 % 26)}X{', GUEST' if i % 5 == 0 else ''}: é said NATO: {i}{' (END VIDEO CLIP)' if i % 7 else ''}" for i in range(3000))
+        got = turns(spark, text)
+        assert rows(got) == spec(text) and len(got) == 3000
+        assert all(text[r["char_start"] : r["char_end"]] == r["utterance"] for r in got)

@@ -9,46 +9,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.arrays import let, prefix_sums, running_max
 from ..functions.text import classify_role, squeeze, surname
 
 LABEL = "(?U)" + L.LABEL
 TURN = ("turn_index", "char_start", "char_end", "speaker_raw", "role_raw", "name_norm", "staff_flag", "source_mode")
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value worked out once however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def located(text: Column, pattern: str, *groups: str) -> Column:
     """All matches of a pattern: start a, end z, what the pattern's groups found under their names, and the text since the
-    match before with that match in front of it. Only ends are summed up along the text; the rest goes by place."""
+    match before with that match in front of it. Ends are summed up along the text by doubling; the rest goes by place."""
     lit = F.lit(pattern)
     parts = F.struct(F.split(text, pattern, -1).alias("gap"), *[F.regexp_extract_all(text, lit, F.lit(i)).alias(f"g{i}") for i in range(len(groups) + 1)])
 
-    def ends(x: Column) -> Column:
-        each = F.zip_with(F.slice(x["gap"], F.lit(1), F.size(x["g0"])), x["g0"], lambda g, m: F.length(g) + F.length(m))
-        return F.aggregate(each, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))
-
     def rows(x: Column, z: Column) -> Column:
         def row(m: Column, i: Column) -> Column:
             since = F.concat(F.coalesce(F.get(x["g0"], i - 1), F.lit("")), F.get(x["gap"], i))
             found = [F.get(x[f"g{k}"], i).alias(name) for k, name in enumerate(groups, 1)]
-            return F.struct((F.get(z, i) - F.length(m)).alias("a"), F.get(z, i).alias("z"), since.alias("since"), *found)
+            end = F.get(z, i).cast("int")
+            return F.struct((end - F.length(m)).alias("a"), end.alias("z"), since.alias("since"), *found)
 
         return F.transform(x["g0"], row)
 
+    def ends(x: Column) -> Column:
+        return prefix_sums(F.zip_with(F.slice(x["gap"], F.lit(1), F.size(x["g0"])), x["g0"], lambda g, m: F.length(g) + F.length(m)))
+
     return let(parts, lambda x: let(ends(x), lambda z: rows(x, z)))
 
 
-def _labels(text: str) -> Column:
-    """All labels with a boundary before them: start, end, name and role."""
+def _placed(x: Column) -> Column:
+    """Whether a label has a boundary before it."""
+    before = F.rtrim(x["since"], F.lit(" \t"))
+    return (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
 
-    def ok(x: Column) -> Column:
-        before = F.rtrim(x["since"], F.lit(" \t"))
-        return (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
 
-    return F.filter(located(F.col(text), LABEL, "name", "role"), ok)
+def _labels(text: str) -> Column:
+    """All labels with a boundary before them: start, end, name and role."""
+    return F.filter(located(F.col(text), LABEL, "name", "role"), _placed)
 
 
 def clip_spans(text: str) -> Column:
@@ -67,51 +64,73 @@ def _named(x: Column) -> Column:
     return F.struct(x["a"].alias("a"), x["z"].alias("z"), name.alias("name"), role.alias("role"), F.lower(name).alias("norm"), classify_role(role, name).alias("flag"))
 
 
-def _roster(labels: str | Column) -> Column:
-    """Surname, name and flag of all who are introduced with a role."""
-    full = F.filter(labels, lambda x: x["role"].isNotNull() & x["flag"].isin("staff", "guest"))
-    return F.transform(full, lambda x: F.struct(surname(x["norm"]).alias("sn"), x["norm"].alias("norm"), x["flag"].alias("flag")))
+def _known(labels: Column) -> Column:
+    """For each label, whom it stands for if it has no role: the first of its surname who is introduced with one. Labels are
+    sorted by surname, introductions first, so that each finds its answer at the head of its run."""
+
+    def one(x: Column, i: Column) -> Column:
+        full = x["role"].isNotNull() & x["flag"].isin("staff", "guest")
+        return F.struct(surname(x["norm"]).alias("sn"), F.when(full, 0).otherwise(1).alias("k"), i.alias("i"), x["norm"].alias("norm"), x["flag"].alias("flag"))
+
+    def heads(e: Column) -> Column:
+        return running_max(F.transform(e, lambda y, i: F.when(F.get(e, i - 1)["sn"] == y["sn"], 0).otherwise(i)))
+
+    def answer(e: Column, h: Column) -> Column:
+        def each(y: Column, i: Column) -> Column:
+            head = F.get(e, F.get(h, i).cast("int"))
+            hit = (y["flag"] == "unknown") & (head["k"] == 0)
+            return F.struct(y["i"].alias("i"), F.when(hit, head["norm"]).alias("norm"), F.when(hit, head["flag"]).alias("flag"))
+
+        return F.array_sort(F.transform(e, each))
+
+    return let(F.array_sort(F.transform(labels, one)), lambda e: let(heads(e), lambda h: answer(e, h)))
+
+
+def _in_clip(labels: Column, spans: Column) -> Column:
+    """For each label whether it starts inside a span: starts of both are merged by place, and each label looks at the last span
+    that began."""
 
+    def flags(e: Column) -> Column:
+        last = running_max(F.transform(e, lambda y: F.when(y["k"] == 0, y["i"] + 1).otherwise(0)))
+        each = F.zip_with(e, last, lambda y, j: F.struct(y["k"].alias("k"), F.coalesce(y["p"] < F.get(spans, (j - 1).cast("int"))["hi"], F.lit(False)).alias("in")))
+        return F.transform(F.filter(each, lambda y: y["k"] == 1), lambda y: y["in"])
 
-def _known(roster: Column, x: Column) -> Column:
-    """Whom a label without a role stands for: the first of its surname in the roster."""
-    return F.when(x["flag"] == "unknown", F.get(F.filter(roster, lambda r: r["sn"] == surname(x["norm"])), F.lit(0)))
+    event = lambda p, k, i: F.struct(p.alias("p"), F.lit(k).alias("k"), i.alias("i"))
+    merged = F.concat(F.transform(spans, lambda s, i: event(s["lo"], 0, i)), F.transform(labels, lambda x, i: event(x["a"], 1, i)))
+    return F.when(F.size(spans) == 0, F.transform(labels, lambda x: F.lit(False))).otherwise(let(F.array_sort(merged), flags))
 
 
 def names_on_air(text: str) -> Column:
     """The names (as in name_norm) of a text's turns."""
-    names = lambda labels, roster: F.transform(labels, lambda x: F.coalesce(_known(roster, x)["norm"], x["norm"]))
-    every = let(F.transform(_labels(text), _named), lambda labels: let(_roster(labels), lambda roster: names(labels, roster)))
+    every = let(F.transform(_labels(text), _named), lambda q: F.zip_with(q, _known(q), lambda x, k: F.coalesce(k["norm"], x["norm"])))
     return F.array_distinct(every)
 
 
 def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, utterance: bool = False) -> DataFrame:
     """One row per turn: the segment's columns (all but the text, or `keep`) and TURN. Segments without turns vanish.
 
-    The stages are separate projections so that no pattern runs twice.
+    A segment's turns are finished in one array before they become rows, so no row carries the text or the other turns, and time
+    and memory are in proportion to the text (times the logarithm of the number of turns). What is said stands between two
+    labels: labels in the text are replaced by a separator of their own, a digest of the text, and the text is split at it.
     """
     cols = list(keep) if keep is not None else [c for c in segments.columns if c != text]
     d = segments.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("_t")).where(F.col("_t").contains(":"))
-    d = d.withColumn("_l", _labels("_t")).where(F.size("_l") > 0).withColumn("_c", clip_spans("_t"))
-
-    d = d.withColumn("_q", F.transform("_l", _named)).drop("_l")
-    d = d.withColumn("_r", _roster("_q"))
-    d = d.select(*cols, "_t", "_c", "_r", "_q", F.posexplode("_q").alias("turn_index", "_x"))
-    end = F.coalesce(F.get("_q", F.col("turn_index") + 1)["a"], F.length("_t"))
-    d = d.withColumn("_raw", F.substring(F.col("_t"), F.col("_x.z") + 1, F.greatest(end - F.col("_x.z"), F.lit(0))))
-    d = d.withColumn("_lead", F.length("_raw") - F.length(F.regexp_replace("_raw", r"^(?U)\s+", "")))
-    d = d.withColumn("_u", F.regexp_replace(F.regexp_replace("_raw", r"^(?U)\s+", ""), r"(?U)\s+$", ""))
-    d = d.withColumn("_k", _known(F.col("_r"), F.col("_x")))
-    out = d.select(
-        *cols,
-        "turn_index",
-        (F.col("_x.z") + F.col("_lead")).alias("char_start"),
-        (F.col("_x.z") + F.col("_lead") + F.length("_u")).alias("char_end"),
-        F.col("_x.name").alias("speaker_raw"),
-        F.col("_x.role").alias("role_raw"),
-        F.coalesce("_k.norm", "_x.norm").alias("name_norm"),
-        F.coalesce("_k.flag", "_x.flag").alias("staff_flag"),
-        F.when(F.exists("_c", lambda s: (F.col("_x.a") >= s["lo"]) & (F.col("_x.a") < s["hi"])), "clip").otherwise("live").alias("source_mode"),
-        F.col("_u").alias("utterance"),
-    )
-    return out if utterance else out.drop("utterance")
+    d = d.select(*cols, "_t", located(F.col("_t"), LABEL, "name", "role").alias("_m"), F.split("_t", LABEL, -1).alias("_g"), F.regexp_extract_all("_t", F.lit(LABEL), F.lit(0)).alias("_x"), F.concat(F.lit("\u0000"), F.md5("_t")).alias("_s"))
+    d = d.withColumn("_ok", F.transform("_m", _placed)).where(F.exists("_ok", lambda x: x))
+    between = F.zip_with("_ok", "_x", lambda ok, x: F.when(ok, F.col("_s")).otherwise(x))
+    said = F.split(F.array_join(F.zip_with("_g", between, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), ""), F.col("_s"), F.lit(-1))
+    kept = F.filter(F.col("_m"), lambda x, i: F.get("_ok", i))
+    d = d.select(*cols, F.transform(kept, _named).alias("_q"), F.slice(said, F.lit(2), F.size(said)).alias("_u"), clip_spans("_t").alias("_c"))
+    d = d.select(*cols, F.arrays_zip(F.col("_q").alias("q"), F.col("_u").alias("u"), _known(F.col("_q")).alias("k"), _in_clip(F.col("_q"), F.col("_c")).alias("c")).alias("_z"))
+
+    def turn(y: Column) -> Column:
+        q, k = y["q"], y["k"]
+        left = F.regexp_replace(y["u"], r"^(?U)\s+", "")
+        u = F.regexp_replace(left, r"(?U)\s+$", "")
+        start = q["z"] + F.length(y["u"]) - F.length(left)
+        out = [start.alias("char_start"), (start + F.length(u)).alias("char_end"), q["name"].alias("speaker_raw"), q["role"].alias("role_raw")]
+        out += [F.coalesce(k["norm"], q["norm"]).alias("name_norm"), F.coalesce(k["flag"], q["flag"]).alias("staff_flag"), F.when(y["c"], "clip").otherwise("live").alias("source_mode")]
+        return F.struct(*out, *([u.alias("utterance")] if utterance else []))
+
+    rows = d.select(*cols, F.posexplode(F.transform("_z", turn)).alias("turn_index", "_y"))
+    return rows.select(*cols, "turn_index", *[F.col(f"_y.{c}").alias(c) for c in TURN[1:]], *([F.col("_y.utterance").alias("utterance")] if utterance else []))

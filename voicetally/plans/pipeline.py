@@ -14,6 +14,7 @@ from ..operators import shares as S
 from ..operators.concentration import annual, concentration
 from ..operators.resolve import resolve_mentions
 from ..operators.turns import names_on_air, parse_turns
+from ..sources.tables import discard, stored
 
 PROVENANCE = ("uid", "url", "path", "channel_name", "program_name", "headline", "subhead", "show_code", "host", "air_date", "time", "timezone", "era_id", "year")
 
@@ -26,26 +27,41 @@ def provenance(segments: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def build_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
-    """Speaker turns with provenance, canonical ids (resolved within scope), office, party and the president flag."""
-    turns = parse_turns(provenance(segments, strict))
+    """Speaker turns with provenance, canonical ids (resolved within scope), office, party and the president flag. Parsed turns
+    are stored, since resolution reads them twice."""
+    turns, _ = stored(parse_turns(provenance(segments, strict)), "turns")
     who = resolve_mentions(turns, "name_norm", scope, aliases)
     return who.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "is_president": X.is_sitting_president("canonical_id", "air_date")})
 
 
+def counted(turns: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Parsed turns counted (n) by all that the yearly tables ask for."""
+    t = turns.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "sitting": X.president_on("air_date")})
+    return t.groupBy(*dict.fromkeys((*scope, "year", "sitting", "name_norm", "staff_flag", "source_mode", "office", "party"))).agg(F.count("*").alias("n"))
+
+
+def resolved_counts(counts: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None) -> DataFrame:
+    who = resolve_mentions(counts, "name_norm", scope, aliases)
+    return who.withColumn("is_president", F.coalesce(F.col("canonical_id") == F.col("sitting"), F.lit(False)))
+
+
 def count_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
-    """Turns as build_turns() gives them, but counted (n) by all that the yearly tables ask for, before names are resolved: texts
-    are parsed once, and only counts are shuffled and joined."""
+    """Turns as build_turns() gives them, but counted before names are resolved. Counts are stored before resolution, which reads
+    them twice, and after it, for all tables that are made of them; so texts are parsed once, and only counts are shuffled."""
     t = parse_turns(provenance(segments, strict), keep=tuple(dict.fromkeys(("year", "air_date", *scope))))
-    t = t.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "sitting": X.president_on("air_date")})
-    keys = dict.fromkeys((*scope, "year", "sitting", "name_norm", "staff_flag", "source_mode", "office", "party"))
-    who = resolve_mentions(t.groupBy(*keys).agg(F.count("*").alias("n")), "name_norm", scope, aliases)
-    return who.withColumn("is_president", F.coalesce(F.col("canonical_id") == F.col("sitting"), F.lit(False)))
+    counts, path = stored(counted(t, scope), "turn-counts")
+    who, _ = stored(resolved_counts(counts, scope, aliases), "turn-counts-resolved")
+    discard(segments.sparkSession, path)
+    return who
 
 
 def build_attributions(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
-    """Credited sources with provenance, without those on air in their segment."""
+    """Credited sources with provenance, without those on air in their segment. They are stored before resolution and after it."""
     p = provenance(segments, strict).withColumn("_on_air", names_on_air("text"))
-    return resolve_mentions(A.extract_attributions(p, exclude="_on_air"), "source_span", scope, aliases)
+    cited, path = stored(A.extract_attributions(p, exclude="_on_air"), "citations")
+    who, _ = stored(resolve_mentions(cited, "source_span", scope, aliases), "citations-resolved")
+    discard(segments.sparkSession, path)
+    return who
 
 
 def annual_hhi_speakers(turns: DataFrame, variant: str = "external", mode: str = "all") -> DataFrame:
@@ -70,7 +86,7 @@ def annual_all(turns: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def trend_tables(turns: DataFrame) -> dict[str, DataFrame]:
-    """The five yearly tables, all from one aggregate. Each runs from `turns`; give counts that are stored to have texts parsed once."""
+    """The five yearly tables, all from one aggregate of counts as count_turns() stores them."""
     agg = S.turn_aggregate(turns)
     names = agg.groupBy("year", "mode", "canonical_id").agg(F.sum("n").alias("c"))
     by_mode = concentration(names, ["year", "mode"], "canonical_id", F.col("c"))

@@ -17,6 +17,7 @@ from ..operators.resolve import resolve_mentions
 from ..operators.sampling import stratified_sample, yearly_sample
 from ..operators.turns import clip_spans, names_on_air, parse_turns
 from ..sources import segments as G
+from ..sources import tables
 from . import corpus as C
 from . import pipeline as P
 
@@ -102,12 +103,6 @@ def concentration_weighted(spark, d):
     return _round(concentration(_t(spark, d, "lineitem"), ["l_returnflag"], "l_suppkey", F.col("l_quantity").cast("bigint")), *RATIOS)
 
 
-@query("annual_series_union", f"SELECT year, 'orders' AS measure, 'customer' AS variant, * EXCLUDE (year) FROM ({_metrics_sql(ORDERS_BY_YEAR, 'year')}) UNION ALL SELECT year, 'lines' AS measure, 'supplier' AS variant, * EXCLUDE (year) FROM ({_metrics_sql('SELECT year(l_shipdate)::INT AS year, l_suppkey AS e, count(*) AS c FROM lineitem GROUP BY 1, 2', 'year')})")
-def annual_series_union(spark, d):
-    li = _t(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
-    return _round(annual(_orders(spark, d), "orders", "customer", entity="o_custkey").unionByName(annual(li, "lines", "supplier", entity="l_suppkey")), *RATIOS)
-
-
 @query("market_functions", _metrics_sql(ORDERS_BY_YEAR, "year"))
 def market_functions(spark, d):
     """The measures of each year's market given as one array of counts, with zeros, which do not count."""
@@ -130,7 +125,7 @@ def rank_bands(spark, d):
     return _round(S.rank_bands(concentration(_orders(spark, d), ["year"], "o_custkey")).select("year", *bands), *bands, digits=8)
 
 
-@query("effective_voices", "SELECT year(o_orderdate)::INT AS year, round(sum(c)::DOUBLE * sum(c)::DOUBLE / sum(c * c)::DOUBLE, 4) AS effective_voices FROM (SELECT o_orderdate, count(*) OVER () AS x, 1 AS c FROM orders WHERE false) GROUP BY 1 UNION ALL SELECT year, round(s * s / s2, 4) FROM (SELECT year, sum(c)::DOUBLE AS s, sum(c * c)::DOUBLE AS s2 FROM (" + ORDERS_BY_YEAR + ") GROUP BY year)")
+@query("effective_voices", "SELECT year, round(s * s / s2, 4) AS effective_voices FROM (SELECT year, sum(c)::DOUBLE AS s, sum(c * c)::DOUBLE AS s2 FROM (" + ORDERS_BY_YEAR + ") GROUP BY year)")
 def effective_voices(spark, d):
     c = concentration(_orders(spark, d), ["year"], "o_custkey")
     return c.select("year", F.round(S.effective_voices(F.col("hhi")), 4).alias("effective_voices"))
@@ -459,7 +454,7 @@ def csv_scan(spark, d):
 
 
 def _as_csv(spark, d) -> str:
-    path = G.scratch(spark, "segments")
+    path = tables.scratch(spark, "segments")
     names = {G.internal(c): c for c in G.RAW}
     raw = C.raw_segments(spark, d).select(*[F.col(k).alias(v) for k, v in names.items()])
     raw.repartition(3, "url").write.csv(path, header=True, quote='"', escape='"', compression="gzip")
@@ -472,8 +467,8 @@ def stream_turns(spark, d):
     from ..streaming import turn_counts as T
 
     names = spark.createDataFrame([("jane doe", "doe, jane")], "name string, canonical_id string")
-    counted, table = T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names), f"turns_{G.fresh_name()}"
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", G.scratch(spark, "stream")).start()
+    counted, table = T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names), f"turns_{tables.fresh_name()}"
+    q = counted.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", tables.scratch(spark, "stream")).start()
     q.awaitTermination()
     return spark.table(table)
 
@@ -481,7 +476,7 @@ def stream_turns(spark, d):
 @query("series_round_trip", "SELECT year, measure, variant, hhi, n_distinct, n_events FROM (" + _speakers_sql("'guest'", "") + ")")
 def series_round_trip(spark, d):
     """The series written as one sorted CSV and read again."""
-    path = G.scratch(spark, "series")
+    path = tables.scratch(spark, "series")
     G.write_csv(P.annual_hhi_speakers(P.count_turns(_segments(spark, d))), path, ["year"])
     return _round(G.read_series(spark, path), "hhi").select("year", "measure", "variant", "hhi", "n_distinct", "n_events")
 
@@ -489,7 +484,7 @@ def series_round_trip(spark, d):
 @query("turns_by_year_files", WHO_SQL + " SELECT year, count(*) AS n FROM who WHERE year IS NOT NULL GROUP BY 1")
 def turns_by_year_files(spark, d):
     """Turns written as Parquet by year; the year comes back from the folders' names."""
-    path = G.scratch(spark, "turns")
+    path = tables.scratch(spark, "turns")
     G.write_parquet(P.build_turns(_segments(spark, d)).where("year is not null"), path, ["year"])
     return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
 
@@ -497,7 +492,7 @@ def turns_by_year_files(spark, d):
 @query("lexicon_scan", f"SELECT c_custkey, {OFFICE_SQL.format(r='role')} AS office FROM {ROLES_SQL}")
 def lexicon_scan(spark, d):
     """Offices by a lexicon scanned from a file with comments: the first keyword in file order that a role holds."""
-    path = G.scratch(spark, "lexicon")
+    path = tables.scratch(spark, "lexicon")
     lines = ["# keyword and office", "keyword,office", *[f" {w.upper()} , {o}" for w, o in L.OFFICES]]
     spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
     words = F.broadcast(G.read_lexicon(spark, path, ["keyword", "office"]))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,20 +26,6 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], partitions: int |
     return df.repartition(partitions) if partitions else df
 
 
-def fresh_name() -> str:
-    return uuid.uuid4().hex
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only in a local session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="voicetally-")
-    return f"{named.rstrip('/')}/{name}-{fresh_name()}"
-
-
 def ranged(c: Column, lo: int, hi: int) -> Column:
     n = F.trim(c).try_cast("int")
     return F.when(n.between(lo, hi), n)
