@@ -1,7 +1,8 @@
-"""Credited sources in running text: a rule backend in Catalyst expressions, and a hook for a language model.
+"""Credited sources in running text: a clause chunker in Catalyst expressions, and a hook for a language model.
 
-The rule backend knows `<Name> <cue verb>` with auxiliaries or adverbs between (so passives too), `<cue verb> <Name>` after a
-quotation or comma, and `according to <Name>`, where a name is a run of capitalized words. It is an approximation of a dependency parse: rarer word orders are missed.
+A source is the subject of a verb of saying, in either order and in the passive too, or the name after `according to`. As in a
+dependency parse, the head of several subjects is credited, names after a preposition are not (so no agent after `by`), and
+titles and possessives are not part of a name. The chunker knows no meanings: it is an approximation of such a parse.
 """
 
 from __future__ import annotations
@@ -12,40 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lexicons as L
 from ..functions.text import squeeze
-from .turns import located
-
-IRREGULAR = {"say": ("says", "said"), "tell": ("tells", "told"), "write": ("writes", "wrote"), "deny": ("denies", "denied"), "reply": ("replies", "replied"), "testify": ("testifies", "testified"), "admit": ("admits", "admitted")}
-#: Words in a name that make it an organization.
-ORG_WORDS = ("house", "senate", "congress", "department", "pentagon", "university", "institute", "court", "agency", "committee", "council", "party", "company", "corporation", "bank", "times", "post", "news", "police", "ministry", "bureau", "fbi", "cia", "un", "nato", "eu")
-#: Sentence openers that are no names.
-NO_NAMES = ("the", "he", "she", "they", "it", "we", "i", "you", "this", "that", "who", "what", "there", "and", "but", "so", "as")
-
-
-def inflections(lemma: str) -> tuple[str, str]:
-    if lemma in IRREGULAR:
-        return IRREGULAR[lemma]
-    past = lemma + ("d" if lemma.endswith("e") else "ed")
-    third = lemma + ("es" if lemma.endswith(("s", "sh", "ch")) else "s")
-    return third, past
-
-
-LEMMA = {form: lemma for lemma in L.CUE_VERBS for form in inflections(lemma)}
-CUES = "|".join(sorted(LEMMA, key=lambda w: (-len(w), w)))
-_WORD = r"[A-Z](?:[\w'’-]|\.(?=\S))*"
-NAME = rf"(?:[Tt]he\s+)?{_WORD}(?:\s+{_WORD}){{0,4}}"
-#: What may stand between a name and its verb.
-BETWEEN = r"(?:\s+(?:is|are|was|were|has|have|had|been|being|also|then|later|once|never|not)){0,3}"
-RULE = rf"\b(?:[Aa]ccording\s+to\s+({NAME})|({NAME}){BETWEEN}\s+({CUES})\b|[,\"”]+\s*({CUES})\s+({NAME}))"
+from .clauses import LEMMA, ORG_WORDS, credits
+
 SCHEMA = "sentence_index int, char_start int, char_end int, source_span string, entity_type string, cue_verb string, pattern_id string, sentence_text string"
 
 
 def lemma_of(form: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for f, lemma in LEMMA.items():
-        out = out.when(form == f, lemma)
-    return out
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LEMMA.items() for x in pair]), form)
 
 
 def entity_type(span: Column) -> Column:
@@ -56,25 +31,22 @@ def entity_type(span: Column) -> Column:
 
 def extract_attributions(segments: DataFrame, text: str = "text", exclude: str | None = None) -> DataFrame:
     """One row per credited source with offsets into the text. exclude: a column with the names on air, which are dropped; it is
-    not kept. Nothing is shuffled: matches do not overlap, so a span counts once, and names on air are of the same row.
+    not kept. Nothing is shuffled: matches do not overlap, so a span counts once, and names on air are of the same row. A row's
+    sources are found in one array before they become rows, which do not carry the text.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = segments.select(*[c for c in segments.columns if c != text], t.alias("_t"))
-    d = d.select("*", F.explode(located(F.col("_t"), RULE, "to", "before", "cue1", "cue2", "after")).alias("_h"))
+    cols = [c for c in segments.columns if c not in (text, exclude)]
+    found = credits(F.coalesce(F.col(text), F.lit("")))
+    d = segments.select(*cols, found.alias("_f"), *([F.transform(exclude, lambda c: F.lower(squeeze(c))).alias("_x")] if exclude else []))
+    if exclude:
+        on_air = lambda h: F.coalesce(F.array_contains("_x", F.lower(squeeze(h["source_span"]))), F.lit(False))
+        d = d.select(*cols, F.filter("_f", lambda h: ~on_air(h)).alias("_f"))
     x = F.col("_h")
-    d = d.withColumns({"source_span": F.when(x["to"] != "", x["to"]).when(x["before"] != "", x["before"]).otherwise(x["after"]), "cue_verb": F.when(x["to"] != "", "according to").otherwise(lemma_of(F.when(x["cue1"] != "", x["cue1"]).otherwise(x["cue2"]))), "pattern_id": F.when(x["to"] != "", "according_to").otherwise("subj_cue")})
-    inside = F.when(x["before"] != "", F.lit(1)).otherwise(x["z"] - x["a"] - F.length("source_span") + 1)
-    d = d.withColumn("char_start", x["a"] + inside - 1).withColumn("char_end", F.col("char_start") + F.length("source_span"))
-    d = d.where(~F.lower("source_span").isin(*NO_NAMES))
-    head = F.substring(F.col("_t"), F.lit(1), F.col("char_start"))
-    ends = r"(?<=[.!?])\s+"
-    d = d.withColumn("sentence_index", F.size(F.split(head, ends)) - 1)
-    d = d.withColumn("sentence_text", F.get(F.split("_t", ends), F.col("sentence_index"))).withColumn("entity_type", entity_type(F.col("source_span")))
-    out = d.drop("_t", "_h")
-    if exclude is not None:
-        plain = lambda c: F.lower(squeeze(c))
-        out = out.where(~F.coalesce(F.array_contains(F.transform(exclude, plain), plain(F.col("source_span"))), F.lit(False))).drop(exclude)
-    return out
+    cue = F.when(x["pattern_id"] == "according_to", "according to").otherwise(lemma_of(x["verb"]))
+    # an outer generator: before an inner one Spark puts a filter that works the whole array out a second time
+    return d.select(*cols, F.explode_outer("_f").alias("_h")).where("_h is not null").select(
+        *cols, x["sentence_index"].alias("sentence_index"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), x["source_span"].alias("source_span"),
+        entity_type(x["source_span"]).alias("entity_type"), cue.alias("cue_verb"), x["pattern_id"].alias("pattern_id"), x["sentence_text"].alias("sentence_text"),
+    )
 
 
 def extract_with_model(segments: DataFrame, key: str, text: str, load: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:

@@ -17,17 +17,16 @@ TURN = ("turn_index", "char_start", "char_end", "speaker_raw", "role_raw", "name
 
 
 def located(text: Column, pattern: str, *groups: str) -> Column:
-    """All matches of a pattern: start a, end z, what the pattern's groups found under their names, and the text since the
-    match before with that match in front of it. Ends are summed up along the text by doubling; the rest goes by place."""
+    """All matches of a pattern: start a, end z, the text between it and the match before (gap), the match itself (m), and what
+    its groups found under their names. Ends are summed up along the text by doubling; the rest goes by place."""
     lit = F.lit(pattern)
     parts = F.struct(F.split(text, pattern, -1).alias("gap"), *[F.regexp_extract_all(text, lit, F.lit(i)).alias(f"g{i}") for i in range(len(groups) + 1)])
 
     def rows(x: Column, z: Column) -> Column:
         def row(m: Column, i: Column) -> Column:
-            since = F.concat(F.coalesce(F.get(x["g0"], i - 1), F.lit("")), F.get(x["gap"], i))
-            found = [F.get(x[f"g{k}"], i).alias(name) for k, name in enumerate(groups, 1)]
             end = F.get(z, i).cast("int")
-            return F.struct((end - F.length(m)).alias("a"), end.alias("z"), since.alias("since"), *found)
+            found = [F.get(x[f"g{k}"], i).alias(name) for k, name in enumerate(groups, 1)]
+            return F.struct((end - F.length(m)).alias("a"), end.alias("z"), F.get(x["gap"], i).alias("gap"), m.alias("m"), *found)
 
         return F.transform(x["g0"], row)
 
@@ -37,15 +36,19 @@ def located(text: Column, pattern: str, *groups: str) -> Column:
     return let(parts, lambda x: let(ends(x), lambda z: rows(x, z)))
 
 
-def _placed(x: Column) -> Column:
-    """Whether a label has a boundary before it."""
-    before = F.rtrim(x["since"], F.lit(" \t"))
-    return (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
+def _placed(found: Column) -> Column:
+    """For each found label whether it has a boundary before it."""
+
+    def ok(x: Column, i: Column) -> Column:
+        before = F.rtrim(F.concat(F.coalesce(F.get(found, i - 1)["m"], F.lit("")), x["gap"]), F.lit(" \t"))
+        return (before == "") | F.right(before, F.lit(1)).isin(*L.LABEL_BOUNDARY)
+
+    return F.transform(found, ok)
 
 
 def _labels(text: str) -> Column:
     """All labels with a boundary before them: start, end, name and role."""
-    return F.filter(located(F.col(text), LABEL, "name", "role"), _placed)
+    return let(located(F.col(text), LABEL, "name", "role"), lambda found: let(_placed(found), lambda ok: F.filter(found, lambda x, i: F.get(ok, i))))
 
 
 def clip_spans(text: str) -> Column:
@@ -115,10 +118,11 @@ def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] |
     """
     cols = list(keep) if keep is not None else [c for c in segments.columns if c != text]
     d = segments.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("_t")).where(F.col("_t").contains(":"))
-    d = d.select(*cols, "_t", located(F.col("_t"), LABEL, "name", "role").alias("_m"), F.split("_t", LABEL, -1).alias("_g"), F.regexp_extract_all("_t", F.lit(LABEL), F.lit(0)).alias("_x"), F.concat(F.lit("\u0000"), F.md5("_t")).alias("_s"))
-    d = d.withColumn("_ok", F.transform("_m", _placed)).where(F.exists("_ok", lambda x: x))
-    between = F.zip_with("_ok", "_x", lambda ok, x: F.when(ok, F.col("_s")).otherwise(x))
-    said = F.split(F.array_join(F.zip_with("_g", between, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), ""), F.col("_s"), F.lit(-1))
+    d = d.select(*cols, "_t", located(F.col("_t"), LABEL, "name", "role").alias("_m"))
+    d = d.withColumns({"_ok": _placed(F.col("_m")), "_s": F.concat(F.lit("\u0000"), F.md5("_t"))})
+    until = F.zip_with("_m", "_ok", lambda x, ok: F.concat(x["gap"], F.when(ok, F.col("_s")).otherwise(x["m"])))
+    rest = F.substring(F.col("_t"), F.coalesce(F.get("_m", F.size("_m") - 1)["z"], F.lit(0)) + 1, F.length("_t"))
+    said = F.split(F.concat(F.array_join(until, ""), rest), F.col("_s"), F.lit(-1))
     kept = F.filter(F.col("_m"), lambda x, i: F.get("_ok", i))
     d = d.select(*cols, F.transform(kept, _named).alias("_q"), F.slice(said, F.lit(2), F.size(said)).alias("_u"), clip_spans("_t").alias("_c"))
     d = d.select(*cols, F.arrays_zip(F.col("_q").alias("q"), F.col("_u").alias("u"), _known(F.col("_q")).alias("k"), _in_clip(F.col("_q"), F.col("_c")).alias("c")).alias("_z"))
@@ -132,5 +136,6 @@ def parse_turns(segments: DataFrame, text: str = "text", keep: tuple[str, ...] |
         out += [F.coalesce(k["norm"], q["norm"]).alias("name_norm"), F.coalesce(k["flag"], q["flag"]).alias("staff_flag"), F.when(y["c"], "clip").otherwise("live").alias("source_mode")]
         return F.struct(*out, *([u.alias("utterance")] if utterance else []))
 
-    rows = d.select(*cols, F.posexplode(F.transform("_z", turn)).alias("turn_index", "_y"))
+    # an outer generator: before an inner one Spark puts a filter that works the whole array out a second time
+    rows = d.select(*cols, F.posexplode_outer(F.transform("_z", turn)).alias("turn_index", "_y")).where("turn_index is not null")
     return rows.select(*cols, "turn_index", *[F.col(f"_y.{c}").alias(c) for c in TURN[1:]], *([F.col("_y.utterance").alias("utterance")] if utterance else []))

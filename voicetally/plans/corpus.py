@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..operators import attribution as A
+from ..operators import clauses as A
 
 LABELS = (
     "ANN COOPER, CNN HOST", "SENATOR JANE DOE, (D-NY)", "COOPER", "UNIDENTIFIED MALE", "BARACK OBAMA, PRESIDENT OF THE UNITED STATES",
     "JOHN SMITH, REPUBLICAN STRATEGIST", "MARY SMITH, GOVERNOR (I-ME)", "SMITH", "GEORGE BUSH, U.S. HOUSE CANDIDATE",
 )
-CITES = (". Joe Biden said the plan works.", ". According to Barack Obama, reform is needed.", '. "It works," said Hillary Clinton today.', ". The White House said it would respond.", ". John Smith said no.", ". George Bush was also asked.")
+CITES = (". Joe Biden said the plan works.", ". According to Barack Obama, reform is needed.", '. "It works," said Hillary Clinton today.', ". The White House said it would respond.", ". John Smith said no.", ". George Bush was also asked.", ". Joe Biden and Barack Obama say so.", '. "No," said White House spokesman Jay Carney.', ". Mary Smith of Maine was accused by George Bush.", ". The Department of State, which knew it, has not responded.", ". In Washington, Sen. John McCain later warned of it. It was Smith's idea.")
 SHOWS = ("acd", "lkl", "tsr", "xyz")
 
 
@@ -30,7 +30,7 @@ def raw_segments(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/conversations.parquet")
     clip = F.expr("turn % 3 = 1")
     end = F.when(clip & F.expr("conv_id % 7 <> 0"), " (END VIDEO CLIP)").otherwise("")
-    line = F.concat(F.when(clip, "(BEGIN VIDEO CLIP) ").otherwise(""), _at(LABELS, "(2 * conv_id + turn) % 9"), F.lit(": "), "text", _at(CITES, "(conv_id + 2 * turn) % 6"), end)
+    line = F.concat(F.when(clip, "(BEGIN VIDEO CLIP) ").otherwise(""), _at(LABELS, "(2 * conv_id + turn) % 9"), F.lit(": "), "text", _at(CITES, f"(conv_id + 2 * turn) % {len(CITES)}"), end)
     s = c.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("q"))
     year = F.expr("if(conv_id % 13 = 5, 3007, 2000 + conv_id % 26)").cast("string")
     month, day = F.expr("1 + conv_id % 12").cast("string"), F.expr("if(conv_id % 11 = 3, 31, 1 + conv_id % 28)").cast("string")
@@ -44,14 +44,14 @@ def raw_segments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _pick(values, i: str) -> str:
-    return f"CASE {i} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
-
-
 def quoted(x: str) -> str:
     return x.replace("'", "''")
 
 
+def _pick(values, i: str) -> str:
+    return f"CASE {i} " + " ".join(f"WHEN {k} THEN '{quoted(v)}'" for k, v in enumerate(values)) + " END"
+
+
 PRES = "CASE " + " ".join(f"WHEN {{d}} >= DATE '{a}'" + (f" AND {{d}} < DATE '{z}'" if z else "") + f" THEN '{w}'" for w, _, a, z in L.PRESIDENTS) + " END"
 ERA = "CASE " + " ".join(f"WHEN {{d}} >= DATE '{a}' THEN '{e}'" for e, a in reversed(L.ERAS)) + " END"
 OFFICE = "CASE " + " ".join(f"WHEN contains(lower(coalesce({{r}}, '')), '{w}') THEN '{o}'" for w, o in L.OFFICES) + " ELSE '' END"
@@ -73,7 +73,7 @@ def normalized(x: str, titles: int = 3) -> str:
 SEGMENTS = f"""
 raw AS (SELECT conv_id AS seg_id, (CASE WHEN conv_id % 13 = 5 THEN 3007 ELSE 2000 + conv_id % 26 END)::VARCHAR AS y, (1 + conv_id % 12)::VARCHAR AS m,
    (CASE WHEN conv_id % 11 = 3 THEN 31 ELSE 1 + conv_id % 28 END)::VARCHAR AS dd, {_pick(SHOWS, 'conv_id % 4')} || '.' || lpad((conv_id % 7)::VARCHAR, 2, '0') AS code, string_agg(line, chr(10) ORDER BY turn) AS text FROM
- (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '(BEGIN VIDEO CLIP) ' ELSE '' END || {_pick(LABELS, '(2 * conv_id + turn) % 9')} || ': ' || text || {_pick(CITES, '(conv_id + 2 * turn) % 6')} ||
+ (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '(BEGIN VIDEO CLIP) ' ELSE '' END || {_pick(LABELS, '(2 * conv_id + turn) % 9')} || ': ' || text || {_pick(CITES, f'(conv_id + 2 * turn) % {len(CITES)}')} ||
    CASE WHEN turn % 3 = 1 AND conv_id % 7 <> 0 THEN ' (END VIDEO CLIP)' ELSE '' END AS line FROM conversations) GROUP BY conv_id),
 dated AS (SELECT *, 'http://x.example/' || y || '.' || lpad(m, 2, '0') || '.' || lpad(dd, 2, '0') || '/' || code || '.html' AS url, CASE WHEN y::INT BETWEEN 1999 AND 2026 THEN try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) END AS air_date FROM raw),
 corpus AS (SELECT *, year(air_date)::INT AS year, code AS uid, string_split(code, '.')[1] AS show_code, {ERA.format(d='air_date')} AS era_id FROM dated {{where}})"""
@@ -115,17 +115,24 @@ def resolved(table: str, name: str, out: str) -> str:
 
 WHO = TURNS + "," + resolved("turns", "name_norm", "who0") + f""",
 who AS (SELECT *, {OFFICE.format(r='role_raw')} AS office, {PARTY.format(r='role_raw')} AS party, coalesce(canonical_id = {PRES.format(d='air_date')}, false) AS is_president FROM who0)"""
-_NAME = r"(?:[Tt]he\s+)?[A-Z][\w'’-]*(?:\s+[A-Z][\w'’-]*){0,4}"
-#: The attribution rule without the look-ahead that allows dots in names, which these texts do not have.
-_RULE = quoted(rf"\b(?:[Aa]ccording\s+to\s+({_NAME})|({_NAME}){A.BETWEEN}\s+({A.CUES})\b|[,\"”]+\s*({A.CUES})\s+({_NAME}))")
 _ORGS = ", ".join(f"'{w}'" for w in A.ORG_WORDS)
+_TOKEN, _GRAMMAR = quoted(A.TOKEN), quoted(A.GRAMMAR)
+_SIZE = {g: f"length(coalesce(r{A.GROUPS.index(g) + 1}[i], ''))" for g in A.GROUPS}
+#: Credited sources: tokens with their places and types, the grammar over the string of types, and names and verbs by token.
 CITED = WHO + f""",
-cg AS (SELECT *, string_split_regex(text, '{_RULE}') AS g, {", ".join(f"regexp_extract_all(text, '{_RULE}', {i}) AS r{i}" for i in range(6))} FROM corpus),
-ch AS (SELECT seg_id, url, year, air_date, r0[i] AS m, r1[i] AS t, r2[i] AS b, CASE WHEN r3[i] <> '' THEN r3[i] ELSE r4[i] END AS cue, r5[i] AS af,
-   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(r0[1:i - 1], lambda x: length(x))), 0) AS a FROM cg, unnest(range(1, len(r0) + 1)) AS r(i)),
-cs AS (SELECT *, CASE WHEN t <> '' THEN t WHEN b <> '' THEN b ELSE af END AS source_span, CASE WHEN t <> '' THEN 'according to' ELSE CASE cue {" ".join(f"WHEN '{f}' THEN '{v}'" for f, v in A.LEMMA.items())} END END AS cue_verb FROM ch),
-ct AS (SELECT *, (a + CASE WHEN b <> '' THEN 0 ELSE length(m) - length(source_span) END)::INT AS char_start,
-   CASE WHEN starts_with(lower(source_span), 'the ') OR list_has_any(string_split(lower(source_span), ' '), [{_ORGS}]) THEN 'ORG' ELSE 'PERSON' END AS entity_type FROM cs),
+tg AS (SELECT *, string_split_regex(text, '{_TOKEN}') AS g, regexp_extract_all(text, '{_TOKEN}') AS w FROM corpus),
+tw AS (SELECT seg_id, i, length(g[i]) AS gap, w[i] AS w, (sum(length(g[i]) + length(w[i])) OVER (PARTITION BY seg_id ORDER BY i))::INT AS z FROM tg, unnest(range(1, len(w) + 1)) AS r(i)),
+tt AS (SELECT *, {A.type_sql('w')} AS k FROM tw),
+tk AS (SELECT seg_id, i - 1 AS i, w, k, z - length(w) AS a, z, (sum(b) OVER (PARTITION BY seg_id ORDER BY i))::INT AS sentence FROM
+  (SELECT *, (i > 1 AND gap > 0 AND lag(k) OVER (PARTITION BY seg_id ORDER BY i) = 'S')::INT AS b FROM tt)),
+cg AS (SELECT seg_id, string_split_regex(kinds, '{_GRAMMAR}') AS g, {", ".join(f"regexp_extract_all(kinds, '{_GRAMMAR}', {i}) AS r{i}" for i in range(len(A.GROUPS) + 1))} FROM (SELECT seg_id, string_agg(k, '' ORDER BY i) AS kinds FROM tk GROUP BY 1)),
+ch AS (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(r0[1:i - 1], lambda x: length(x))), 0) AS a, coalesce(r2[i], '') AS n1, coalesce(r6[i], '') AS n2, coalesce(r8[i], '') || coalesce(r12[i], '') AS n3 FROM cg, unnest(range(1, len(r0) + 1)) AS r(i)),
+ci AS (SELECT seg_id, (a + CASE WHEN n1 <> '' THEN {_SIZE['to']} WHEN n2 <> '' THEN {_SIZE['quote']} + 1 + {_SIZE['lead2']} ELSE {_SIZE['lead3']} + {_SIZE['lead4']} END)::BIGINT AS f, length(n1 || n2 || n3) AS n,
+   CASE WHEN n1 <> '' THEN NULL WHEN n2 <> '' THEN a + {_SIZE['quote']} ELSE a + length(r0[i]) - 1 END::BIGINT AS v FROM ch WHERE n1 || n2 || n3 <> ''),
+ct AS (SELECT c.seg_id, url, year, air_date, f.a::INT AS char_start, substring(text, f.a::BIGINT + 1, (l.z - f.a)::BIGINT) AS source_span, f.sentence AS sentence_index, CASE WHEN v IS NULL THEN 'according_to' ELSE 'subj_cue' END AS pattern_id,
+   CASE WHEN v IS NULL THEN 'according to' ELSE CASE w.w {" ".join(f"WHEN '{f}' THEN '{v}'" for f, v in A.LEMMA.items())} END END AS cue_verb,
+   CASE WHEN starts_with(lower(source_span), 'the ') OR list_has_any(string_split(lower(source_span), ' '), [{_ORGS}]) THEN 'ORG' ELSE 'PERSON' END AS entity_type
+   FROM ci c JOIN corpus USING (seg_id) JOIN tk f ON f.seg_id = c.seg_id AND f.i = c.f JOIN tk l ON l.seg_id = c.seg_id AND l.i = c.f + c.n - 1 LEFT JOIN tk w ON w.seg_id = c.seg_id AND w.i = c.v),
 cited0 AS (SELECT * FROM ct WHERE NOT EXISTS (SELECT 1 FROM turns WHERE turns.seg_id = ct.seg_id AND turns.name_norm = lower(ct.source_span))),""" + resolved("cited0", "source_span", "cited")
 
 

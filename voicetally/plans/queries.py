@@ -375,9 +375,9 @@ for _variant, _flags in (("external", "'guest'"), ("all", "'guest', 'staff'")):
         query(f"annual_speakers_{_variant}_{_mode}", _speakers_sql(_flags, "" if _mode == "all" else _mode))(_speakers(_variant, _mode))
 
 
-@query("build_attributions", CITED_SQL + " SELECT url, source_span, char_start, char_start + length(source_span)::INT AS char_end, cue_verb, entity_type, canonical_id, year FROM cited")
+@query("build_attributions", CITED_SQL + " SELECT url, source_span, char_start, char_start + length(source_span)::INT AS char_end, cue_verb, pattern_id, sentence_index, entity_type, canonical_id, year FROM cited")
 def built_attributions(spark, d):
-    return P.build_attributions(_segments(spark, d)).select("url", "source_span", "char_start", "char_end", "cue_verb", "entity_type", "canonical_id", "year")
+    return P.build_attributions(_segments(spark, d)).select("url", "source_span", "char_start", "char_end", "cue_verb", "pattern_id", "sentence_index", "entity_type", "canonical_id", "year")
 
 
 @query("annual_attributions_person", _cited_sql("PERSON"))
