@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import shares as S
 from ..operators import uncertainty as U
 from ..operators.concentration import METRICS, concentration, market_counts
+from ..operators.lexicon import first_match
 from ..operators.resolve import resolve_mentions
 from ..operators.sampling import stratified_sample, yearly_sample
 from ..operators.turns import clip_spans, names_on_air, parse_turns
@@ -495,10 +496,27 @@ def lexicon_scan(spark, d):
     path = tables.scratch(spark, "lexicon")
     lines = ["# keyword and office", "keyword,office", *[f" {w.upper()} , {o}" for w, o in L.OFFICES]]
     spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
-    words = F.broadcast(G.read_lexicon(spark, path, ["keyword", "office"]))
-    roles = _roles(spark, d)
-    hit = roles.join(words, F.contains(F.lower("role"), F.col("keyword"))).groupBy("c_custkey").agg(F.min_by("office", "ord").alias("office"))
-    return roles.select("c_custkey").join(hit, "c_custkey", "left").withColumn("office", F.coalesce("office", F.lit("")))
+    words = G.read_lexicon(spark, path, ["keyword", "office"])
+    hit = first_match(_roles(spark, d), "role", words, "keyword", out="ord")
+    return hit.join(words.select("ord", "office"), "ord", "left").select("c_custkey", F.coalesce("office", F.lit("")).alias("office"))
+
+
+@query("lexicon_terms", r"""
+WITH dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+w AS (SELECT DISTINCT w FROM dw WHERE length(w) >= 8),
+lex AS (SELECT w AS keyword, row_number() OVER (ORDER BY md5(w)) - 1 AS ord FROM w WHERE length(w) = 8),
+hit AS (SELECT w, min(struct_pack(ord := ord, keyword := keyword)) AS h FROM (SELECT w, substring(w, i, 8) AS s FROM w, unnest(range(1, length(w) - 6)) AS u(i)) JOIN lex ON s = keyword GROUP BY 1),
+best AS (SELECT doc_id, min(h) AS h FROM dw JOIN hit USING (w) GROUP BY 1)
+SELECT doc_id, h.ord AS ord, h.keyword AS keyword FROM documents LEFT JOIN best USING (doc_id)""")
+def lexicon_terms(spark, d):
+    """A lexicon of all words of eight letters (in the order of a digest): the first of them that a document holds, in a word or
+    across words."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    seen = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("keyword")).where("length(keyword) = 8").distinct()
+    path = tables.scratch(spark, "lexicon")
+    seen.repartition(1).sortWithinPartitions(F.md5("keyword")).write.csv(path, header=True)
+    words = G.read_lexicon(spark, path, ["keyword"])
+    return first_match(docs, "text", words, "keyword", out="ord").join(words, "ord", "left").select("doc_id", "ord", "keyword")
 
 
 @query("stratified_sample_counts", "SELECT lang, least(count(*), 50) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
