@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import EXECUTIVE
+from ..sources.tables import discard, stored
+from .scans import PART, ranged
 
 KEYS = ("year", "mode", "canonical_id", "is_president", "office", "party")
 
@@ -78,12 +80,28 @@ def mode_share(series: DataFrame, part: str = "clip", other: str = "live") -> Da
     return w.where("a is not null and b is not null").select("year", F.col("a").alias(f"n_{part}"), F.col("b").alias(f"n_{other}"), (F.col("a") / (F.col("a") + F.col("b"))).alias(f"{part}_share"))
 
 
-def islands(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Runs of consecutive rows (order rising by 1) with one value: first, last, rows. Null values break runs and give none."""
-    w = Window.partitionBy(*by).orderBy(order)
+def islands(df: DataFrame, order: str, value: str, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Runs of consecutive rows (order, a whole number that comes once per group, rising by 1) with one value: first, last, rows.
+    Null values break runs and give none.
+
+    Rows are dealt to tasks by ranges of (by, order); each range finds its own runs, and runs that touch across edges are put
+    together. Only a range's first and last run can touch others, so what is put together is two rows per group and range.
+    """
+    d, path = ranged(df.where(F.col(value).isNotNull()).select(*by, order, value), by, [order], parts)
+    w = Window.partitionBy(PART, *by).orderBy(order)
     new = F.coalesce((F.lag(value).over(w) != F.col(value)) | (F.lag(order).over(w) != F.col(order) - 1), F.lit(True))
-    run = df.where(F.col(value).isNotNull()).withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
-    return run.groupBy(*by, "_run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
+    d = d.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
+    own = d.groupBy(PART, *by, "_run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    ends = Window.partitionBy(PART, *by)
+    own = own.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(ends)))
+    runs, _ = stored(own.select(*by, value, "first", "last", "n", "_edge"), "runs")
+    discard(df.sparkSession, path)
+    across = Window.partitionBy(*by).orderBy("first")
+    edge = runs.where("_edge")
+    new = F.coalesce((F.lag(value).over(across) != F.col(value)) | (F.lag("last").over(across) != F.col("first") - 1), F.lit(True))
+    merged = edge.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(across)).groupBy(*by, "_run", value).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    cols = [*by, value, "first", "last", "n"]
+    return runs.where("not _edge").select(*cols).unionByName(merged.select(*cols))
 
 
 def face_validity(cited: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

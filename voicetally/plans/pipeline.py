@@ -12,6 +12,8 @@ from ..functions import text as X
 from ..operators import attribution as A
 from ..operators import shares as S
 from ..operators.concentration import annual, concentration
+from ..operators.lexicon import first_match
+from ..operators.lookups import asof_lookup, interval_lookup
 from ..operators.resolve import resolve_mentions
 from ..operators.turns import names_on_air, parse_turns
 from ..sources.tables import discard, stored
@@ -19,19 +21,45 @@ from ..sources.tables import discard, stored
 PROVENANCE = ("uid", "url", "path", "channel_name", "program_name", "headline", "subhead", "show_code", "host", "air_date", "time", "timezone", "era_id", "year")
 
 
-def provenance(segments: DataFrame, strict: bool = True) -> DataFrame:
-    """PROVENANCE and text of coerced segments; year is the air date's, so an impossible day has none."""
+def provenance(segments: DataFrame, strict: bool = True, eras: DataFrame | None = None) -> DataFrame:
+    """PROVENANCE and text of coerced segments; year is the air date's, so an impossible day has none.
+
+    eras: a table (era_id, first) in place of the fixed one; days before its first raise an error, or give null if not strict.
+    """
     d = segments.withColumn("uid", X.effective_uid("uid", "url")).withColumn("air_date", X.air_date("year", "month", "date"))
-    d = d.withColumns({"show_code": X.show_code("uid"), "headline": F.col("program_name"), "era_id": X.era_of("air_date", strict), "year": F.year("air_date")})
+    d = d.withColumns({"show_code": X.show_code("uid"), "headline": F.col("program_name"), "year": F.year("air_date")})
+    if eras is None:
+        d = d.withColumn("era_id", X.era_of("air_date", strict))
+    else:
+        d = asof_lookup(d, "air_date", eras, "first", ["era_id"])
+        early = F.raise_error(F.concat(F.col("air_date").cast("string"), F.lit(" is before the corpus start"))).cast("string")
+        d = d.withColumn("era_id", F.when(F.col("air_date").isNotNull() & F.col("era_id").isNull(), early).otherwise(F.col("era_id"))) if strict else d
     return d.withColumn("host", X.host_of("show_code")).select(*PROVENANCE, "text")
 
 
-def build_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True) -> DataFrame:
+def offices_of(turns: DataFrame, offices: DataFrame | None = None) -> DataFrame:
+    """turns with `office`: by the fixed lexicon, or by a table (keyword, office, ord) as read_lexicon() gives it."""
+    if offices is None:
+        return turns.withColumn("office", X.classify_office("role_raw"))
+    hit = first_match(turns, "role_raw", offices, "keyword", out="_office_ord")
+    named = offices.select(F.col("ord").alias("_ord"), "office")
+    return hit.join(named, F.col("_office_ord") == F.col("_ord"), "left").drop("_office_ord", "_ord").withColumn("office", F.coalesce("office", F.lit("")))
+
+
+def presidents_of(turns: DataFrame, presidents: DataFrame | None = None) -> DataFrame:
+    """turns with `sitting`: who was president on the air date, by the fixed table or by one (person, first, after, ord)."""
+    if presidents is None:
+        return turns.withColumn("sitting", X.president_on("air_date"))
+    return interval_lookup(turns, "air_date", presidents, "first", "after", ["person"], order="ord").withColumnRenamed("person", "sitting")
+
+
+def build_turns(segments: DataFrame, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, strict: bool = True, eras: DataFrame | None = None, presidents: DataFrame | None = None, offices: DataFrame | None = None) -> DataFrame:
     """Speaker turns with provenance, canonical ids (resolved within scope), office, party and the president flag. Parsed turns
-    are stored, since resolution reads them twice."""
-    turns, _ = stored(parse_turns(provenance(segments, strict)), "turns")
-    who = resolve_mentions(turns, "name_norm", scope, aliases)
-    return who.withColumns({"office": X.classify_office("role_raw"), "party": X.parse_party("role_raw"), "is_president": X.is_sitting_president("canonical_id", "air_date")})
+    are stored, since resolution reads them twice. Eras, presidents and offices may come from tables of any size."""
+    turns, _ = stored(parse_turns(provenance(segments, strict, eras)), "turns")
+    who = presidents_of(offices_of(resolve_mentions(turns, "name_norm", scope, aliases), offices), presidents)
+    sits = F.coalesce(F.lower(F.trim("canonical_id")) == F.col("sitting"), F.lit(False))
+    return who.withColumns({"party": X.parse_party("role_raw"), "is_president": sits}).drop("sitting")
 
 
 def counted(turns: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

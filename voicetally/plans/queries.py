@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import market as M
 from ..functions import text as X
+from ..operators import lookups as K
 from ..operators import shares as S
 from ..operators import uncertainty as U
 from ..operators.concentration import METRICS, concentration, market_counts
@@ -209,6 +210,61 @@ def asof_era(spark, d):
     return _t(spark, d, "orders").groupBy(X.era_of(F.to_date("o_orderdate"), strict=False).alias("era")).agg(F.count("*").alias("n"))
 
 
+def _presidents(spark) -> DataFrame:
+    """The fixed table as a table of its own."""
+    rows = [(k, who, first, after) for k, (who, _, first, after) in enumerate(L.PRESIDENTS)]
+    return spark.createDataFrame(rows, "ord int, person string, first date, after date")
+
+
+@query("interval_table", f"SELECT o_orderkey, {PRES_SQL.format(d='o_orderdate::DATE')} AS person FROM orders")
+def interval_table(spark, d):
+    days = _t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return K.interval_lookup(days, "day", _presidents(spark), "first", "after", ["person"], order="ord").select("o_orderkey", "person")
+
+
+@query("interval_by_user", """
+WITH p AS (SELECT user_id, event_id, ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events WHERE event_type = 'purchase')
+SELECT e.event_id, p.event_id AS purchase FROM events e LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.lo AND (p.hi IS NULL OR e.ts < p.hi)""")
+def interval_by_user(spark, d):
+    """Each event with the purchase in whose span it lies: a user's purchase lasts until the next one, or has no end."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    span = e.where("event_type = 'purchase'").withColumn("hi", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    span = span.select("user_id", F.col("ts").alias("lo"), "hi", F.col("event_id").alias("purchase"))
+    return K.interval_lookup(e, "ts", span, "lo", "hi", ["purchase"], by=["user_id"]).select("event_id", "purchase")
+
+
+@query("interval_overlaps", """
+WITH c AS (SELECT o_custkey, min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders GROUP BY 1),
+d AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem),
+f AS (SELECT day, min(struct_pack(n := hi - lo, c := o_custkey)) AS v FROM d JOIN c ON day >= lo AND day < hi GROUP BY 1)
+SELECT day, v.c AS o_custkey, n_lines FROM (SELECT l_shipdate::DATE AS day, count(*) AS n_lines FROM lineitem GROUP BY 1) LEFT JOIN f USING (day)""")
+def interval_overlaps(spark, d):
+    """Ship days with the customer of the shortest span of orders that holds them: spans of all lengths that overlap."""
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+    days = _t(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n_lines"))
+    span = o.withColumn("key", F.struct(F.datediff("hi", "lo"), "o_custkey"))
+    return K.interval_lookup(days, "day", span, "lo", "hi", ["o_custkey"], order="key").select("day", "o_custkey", "n_lines")
+
+
+@query("asof_by_user", """
+SELECT e.event_id, CASE WHEN e.ts - p.ts <= INTERVAL 6 HOURS THEN p.event_id END AS seen FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def asof_by_user(spark, d):
+    """Each event with the user's latest view at or before it, six hours back at most."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("seen"))
+    return K.asof_lookup(e, "ts", views, "at", ["seen"], by=["user_id"], within=6 * 3_600_000_000).select("event_id", "seen")
+
+
+@query("asof_table", """
+WITH o AS (SELECT o_orderdate::DATE AS day, max(struct_pack(p := o_totalprice, k := o_orderkey)) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT l_orderkey, l_linenumber, CASE WHEN l.l_shipdate::DATE - o.day <= 30 THEN v.k END AS latest FROM lineitem l ASOF LEFT JOIN o ON l.l_shipdate::DATE >= o.day""")
+def asof_table(spark, d):
+    """Each order line with the dearest of the latest pending orders up to its ship day, thirty days back at most, over all rows."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    o = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("at"), "o_totalprice", F.col("o_orderkey").alias("latest"))
+    return K.asof_lookup(li, "day", o, "at", ["o_totalprice", "latest"], within=30).select("l_orderkey", "l_linenumber", "latest")
+
+
 ROLES = ("PRESIDENT OF THE UNITED STATES", "VICE PRESIDENT OF THE UNITED STATES", "WHITE HOUSE PRESS SECRETARY", "U.S. SECRETARY OF STATE", "U.S. SENATE MEMBER", "SENATOR (D-CA)", "REP. (R-TX)", "SENATOR, I-VT", "D-CALIF.", "DEMOCRAT (R-XX)", "REPUBLICAN STRATEGIST", "DEMOCRATIC POLLSTER", "BRITISH PRIME MINISTER", "ACTOR", "HOSTAGE NEGOTIATOR", "(D) NEW YORK", "EYEWITNESS", "CHIEF ANALYST", "")
 
 
@@ -355,6 +411,25 @@ def built_turns(spark, d):
     return P.build_turns(_segments(spark, d)).select("url", "turn_index", "char_start", "char_end", "speaker_raw", "name_norm", "staff_flag", "source_mode", "canonical_id", "office", "party", "is_president", "air_date")
 
 
+def _table_files(spark) -> dict[str, DataFrame]:
+    """Eras, presidents and offices as files that are read at run time."""
+    path = tables.scratch(spark, "lookup")
+    spark.createDataFrame(list(L.ERAS), "era_id string, first date").write.csv(f"{path}/eras", header=True)
+    _presidents(spark).write.csv(f"{path}/presidents", header=True)
+    spark.createDataFrame(list(L.OFFICES), "keyword string, office string").coalesce(1).write.csv(f"{path}/offices", header=True)
+    return {
+        "eras": spark.read.csv(f"{path}/eras", header=True, schema="era_id string, first date"),
+        "presidents": spark.read.csv(f"{path}/presidents", header=True, schema="ord int, person string, first date, after date"),
+        "offices": G.read_lexicon(spark, f"{path}/offices", ["keyword", "office"]),
+    }
+
+
+@query("build_turns_tables", WHO_SQL + " SELECT url, turn_index, canonical_id, office, party, is_president, era_id FROM who JOIN (SELECT seg_id, url, era_id FROM corpus) USING (seg_id)")
+def built_turns_by_tables(spark, d):
+    """build_turns with eras, presidents and offices from tables."""
+    return P.build_turns(_segments(spark, d), **_table_files(spark)).select("url", "turn_index", "canonical_id", "office", "party", "is_president", "era_id")
+
+
 def _speakers_sql(flags: str, mode: str, base: str = "") -> str:
     where = f"staff_flag IN ({flags}) AND year IS NOT NULL AND canonical_id <> '' AND NOT starts_with(canonical_id, 'ambiguous:')" + (f" AND source_mode = '{mode}'" if mode else "")
     label = ("external" if flags == "'guest'" else "all") + (f"-{mode}" if mode else "")
