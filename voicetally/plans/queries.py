@@ -543,10 +543,16 @@ def stream_turns(spark, d):
     from ..streaming import turn_counts as T
 
     names = spark.createDataFrame([("jane doe", "doe, jane")], "name string, canonical_id string")
-    counted, table = T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names), f"turns_{tables.fresh_name()}"
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).option("checkpointLocation", tables.scratch(spark, "stream")).start()
-    q.awaitTermination()
-    return spark.table(table)
+    return T.run_available(T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names))
+
+
+@query("stream_resolved", WHO_SQL + " SELECT year, source_mode AS mode, canonical_id, count(*) AS n FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL AND canonical_id <> '' GROUP BY 1, 2, 3")
+def stream_resolved(spark, d):
+    """A stream over the segment files, one file at a time, with surnames resolved by what has come so far and corrected later."""
+    from ..streaming import resolved_counts as R
+    from ..streaming import turn_counts as T
+
+    return R.run_available(T.read_stream(spark, _as_csv(spark, d)))
 
 
 @query("series_round_trip", "SELECT year, measure, variant, hhi, n_distinct, n_events FROM (" + _speakers_sql("'guest'", "") + ")")
