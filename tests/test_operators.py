@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -65,15 +66,51 @@ def test_turn_aggregate_counts_all_once_more(spark):
     assert abs(q["all"]["R_share"] - 2 / 3) < 1e-12 and q["clip"]["party_coverage"] == 0
 
 
+def uniforms(key, draws):
+    """The counter's values, by hand."""
+    x = [(int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + k * 0x9E3779B1) % 2**32 for k in range(draws)]
+    for _ in range(2):
+        x = [((v ^ v >> 16) * 0x45D9F3B) % 2**32 for v in x]
+    return np.array([v ^ v >> 16 for v in x])
+
+
 def test_bootstrap(spark):
     x = np.arange(30, dtype=float)
-    means = U.resampled_means(x, 4000, 1, room=3000)
-    assert len(means) == 4000 and abs(means.mean() - x.mean()) < 0.2 and abs(means.std() - x.std() / math.sqrt(30)) < 0.1
-    df = spark.createDataFrame([(1, float(v)) for v in x] + [(2, None)], "k int, v double")
-    a, b = (sorted(map(repr, U.bootstrap_ci(d, ["k"], "v", 500).collect())) for d in (df, df.repartition(5)))
-    wide = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", 500, alpha=0.01).collect()}
-    one = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", 500).collect()}
+    df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)] + [(2, 0, None)], "k int, i int, v double")
+    a, b = (sorted(map(repr, U.bootstrap_ci(d, ["k"], "v", ["i"], 500).collect())) for d in (df, df.repartition(5)))
+    wide = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", ["i"], 500, alpha=0.01).collect()}
+    one = {r["k"]: r for r in U.bootstrap_ci(df, ["k"], "v", ["i"], 500).collect()}
     assert a == b and wide[1]["lo"] <= one[1]["lo"] < x.mean() < one[1]["hi"] <= wide[1]["hi"] and one[2]["lo"] is None
+    # by hand: weights are Poisson draws of mean 1, and resampled means spread as means do
+    w = np.array([[sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32 <= u for k in range(11)] for i in range(30) for u in uniforms(f"0|1|{i}", 4000)]).sum(axis=1).reshape(30, 4000)
+    means = (w * x[:, None]).sum(axis=0) / w.sum(axis=0)
+    assert np.allclose((one[1]["lo"], one[1]["hi"]), np.quantile(means[:500], [0.025, 0.975]))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs(means.mean() - x.mean()) < 0.2 and abs(means.std() - x.std() / math.sqrt(30)) < 0.15
+    assert U.bootstrap_ci(df.where("false"), ["k"], "v", ["i"], 5).count() == 0
+    sums = U.resample_sums(df, ["k"], "v", ["i"], 50)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in sums and "Pandas" not in sums and "Arrow" not in sums
+
+
+def test_draws_are_even():
+    u = np.concatenate([uniforms(f"key{k}", 2000) for k in range(50)])
+    assert abs(u.mean() / 2**32 - 0.5) < 0.003 and (np.abs(np.bincount(u >> 27, minlength=32) / len(u) - 1 / 32) < 0.003).all()
+    lag = np.corrcoef(u[:-1], u[1:])[0, 1]
+    between = np.corrcoef(uniforms("a|1", 5000), uniforms("a|2", 5000))[0, 1]
+    assert abs(lag) < 0.01 and abs(between) < 0.05
+
+
+@pytest.mark.parametrize("count,recall,precision", [(1, 0.7, 0.9), (7, 0.7, 0.9), (80, 0.4, 0.5), (30, 1.0, 0.8), (30, 0.6, 1.0), (5, 1.0, 1.0), (4000, 0.7, 0.9), (9, 0.7, 0.0)])
+def test_quantiles_of_a_true_count(count, recall, precision):
+    """Against many draws of the model itself."""
+    rng = np.random.default_rng(1)
+    kept = rng.binomial(count, precision, 400_000)
+    true = kept + (rng.poisson(kept * (1 - recall) / recall) if recall < 1 else 0)
+    q = U.quantiles(count, recall, precision)
+    spread = true.std() + 1e-9
+    assert len(q) == U.VALUES and (np.diff(q) >= 0).all()
+    assert abs(q.mean() - true.mean()) < 0.02 * spread + 1e-9 and abs(q.std() - true.std()) < 0.03 * spread + 1e-9
+    for p in (0.05, 0.5, 0.95):
+        assert abs(np.quantile(q, p) - np.quantile(true, p)) <= 0.06 * spread + 1
 
 
 def test_error_adjusted_hhi(spark):
@@ -82,7 +119,7 @@ def test_error_adjusted_hhi(spark):
     a, b = (sorted(map(tuple, U.simulate_hhi_ci(d, ["y"], "who", 0.7, 0.9, 300).collect())) for d in (df, df.repartition(5)))
     assert a == b and [r[0] for r in a] == [1, 2] and all(lo < mid < hi for _, mid, lo, hi in a)
     # by hand: the same sources' draws
-    rows = np.stack([U.corrupted(c, f"1|s{i}", 0.7, 0.9, 300, 0) for i, c in enumerate(counts)])
+    rows = np.stack([U.quantiles(c, 0.7, 0.9)[uniforms(f"0|1|s{i}", 300) * U.VALUES >> 32] for i, c in enumerate(counts)])
     hhi = (rows.astype(float) ** 2).sum(axis=0) / rows.sum(axis=0) ** 2
     assert np.allclose(a[0][1:], np.quantile(hhi, [0.5, 0.025, 0.975]))
     assert abs(rows.sum(axis=0).mean() - 100 * 0.9 / 0.7) < 3

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import market as M
 from ..functions import text as X
+from ..operators import draws as D
 from ..operators import lookups as K
 from ..operators import shares as S
 from ..operators import uncertainty as U
@@ -626,15 +627,44 @@ def prf_scores(spark, d):
     return _round(c.select(X.prf("tp", "fp", "fn").alias("s")).select("s.*"), "precision", "recall", "f1")
 
 
-@query("bootstrap_ci")
+def _bootstrap_sql(rows: str, by: str, draws: int) -> str:
+    """lo and hi of the mean of x over resamples of rows (by, x, key)."""
+    times = " + ".join(f"(u >= {limit})::INT" for limit in U.POISSON_LIMITS)
+    return f"""WITH r AS ({rows}), d AS (SELECT {by}, x, {D.base_sql("'0|' || key")} AS b, i AS draw FROM r, range({draws}) AS t(i)),
+u AS (SELECT *, {D.uniform_sql('b', 'draw')} AS u FROM d), w AS (SELECT {by}, draw, sum(w) AS n, sum(w * x) AS s FROM (SELECT *, {times} AS w FROM u) GROUP BY ALL)
+SELECT {by}, round(quantile_cont(s / n, 0.025), 6) AS lo, round(quantile_cont(s / n, 0.975), 6) AS hi FROM w WHERE n > 0 GROUP BY ALL"""
+
+
+@query("bootstrap_ci", _bootstrap_sql(f"SELECT 'orders' AS k, hhi AS x, 'orders|' || year AS key FROM ({_metrics_sql(ORDERS_BY_YEAR, 'year')})", "k", 1000))
 def bootstrap_ci(spark, d):
-    year = concentration(_orders(spark, d), ["year"], "o_custkey").withColumn("k", F.lit("orders"))
-    return U.bootstrap_ci(year, ["k"], "hhi")
+    year = concentration(_orders(spark, d), ["year"], "o_custkey").select("year", F.round("hhi", 9).alias("hhi"), F.lit("orders").alias("k"))
+    return _round(U.bootstrap_ci(year, ["k"], "hhi", ["year"]), "lo", "hi", digits=6)
+
+
+@query("bootstrap_prices", _bootstrap_sql("SELECT o_orderpriority, o_totalprice AS x, o_orderpriority || '|' || o_orderkey AS key FROM orders", "o_orderpriority", 200))
+def bootstrap_prices(spark, d):
+    """The mean price per priority, resampled over all orders."""
+    return _round(U.bootstrap_ci(_t(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"], 200), "lo", "hi", digits=6)
+
+
+def _simulate_sql(counts: str, by: str, recall: float, precision: float, draws: int) -> str:
+    """The error-adjusted HHI of counts (by, e, c): the distribution of a true count as a sum over how many events are true."""
+    lam = (1 - recall) / recall
+    return f"""WITH c AS MATERIALIZED ({counts}), n AS (SELECT DISTINCT c FROM c),
+k AS (SELECT c, k, exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + k * ln({precision}) + (c - k) * ln({1 - precision})) AS w FROM n, unnest(range(0, c + 1)) AS u(k)),
+p AS (SELECT c, k + m AS t, sum(w * CASE WHEN k = 0 THEN (m = 0)::INT ELSE exp(m * ln(k * {lam}) - k * {lam} - lgamma(m + 1)) END) AS p FROM k, unnest(range(0, 3 * c + 60)) AS u(m) GROUP BY 1, 2),
+q AS (SELECT c, t, sum(p) OVER (PARTITION BY c ORDER BY t) / sum(p) OVER (PARTITION BY c) AS upto FROM p),
+v AS MATERIALIZED (SELECT c, i, min(t) AS t FROM (SELECT c, t, coalesce(lag(upto) OVER (PARTITION BY c ORDER BY t), 0) AS since, upto FROM q) AS q, unnest(range(ceil(since * {U.VALUES} - 0.5)::BIGINT, least({U.VALUES}, ceil(upto * {U.VALUES} - 0.5)::BIGINT + 1))) AS u(i) WHERE upto >= (i + 0.5) / {U.VALUES} GROUP BY 1, 2),
+d AS (SELECT {by}, c, {D.base_sql(f"'0|' || {by} || '|' || e")} AS b, i AS draw FROM c, range({draws}) AS t(i)),
+s AS (SELECT {by}, draw, sum(t)::DOUBLE AS one, sum(t * t)::DOUBLE AS two FROM (SELECT {by}, c, draw, {D.uniform_sql('b', 'draw')} // {D.SIZE // U.VALUES} AS i FROM d) JOIN v USING (c, i) GROUP BY 1, 2),
+h AS (SELECT {by}, two / (one * one) AS h FROM s WHERE one > 0)
+SELECT {by}, round(quantile_cont(h, 0.5), 9) AS median, round(quantile_cont(h, 0.025), 9) AS lo, round(quantile_cont(h, 0.975), 9) AS hi FROM h GROUP BY 1"""
 
 
-@query("simulate_hhi_ci")
+@query("simulate_hhi_ci", _simulate_sql(ORDERS_BY_YEAR, "year", 0.7, 0.9, 1000))
 def simulate_hhi_ci(spark, d):
-    return U.simulate_hhi_ci(market_counts(_orders(spark, d), ["year"], "o_custkey"), ["year"], "o_custkey", 0.7, 0.9)
+    ends = U.simulate_hhi_ci(market_counts(_orders(spark, d), ["year"], "o_custkey"), ["year"], "o_custkey", 0.7, 0.9)
+    return _round(ends, "median", "lo", "hi")
 
 
 _PARTS = ("year(l_shipdate) + CASE WHEN l_linenumber = 7 THEN 1000 ELSE 0 END", "l_linenumber * 2", "l_suppkey % 40", "l_orderkey - 1000")
