@@ -643,11 +643,13 @@ def expected_lm(tokens, out):
             triples.update(zip(s, s[1:], s[2:]))
     starts = words.pop("<", 0)
     base = sum(words.values()) + 0.1 * (len(words) + 1)
+    every = [words, pairs, triples]
+    pair_prior, triple_prior = lm_score.priors(lm_score.histogram(np.array([n for c in every for n in c.values()], np.int64), np.repeat([0, 1, 2], [len(c) for c in every])))
 
     def p(g):
         if len(g) == 1:
             return (words[g[0]] + 0.1) / base
-        prior, seen, n = (lm_score.PAIR_PRIOR, starts if g[0] == "<" else words[g[0]], pairs[g]) if len(g) == 2 else (lm_score.TRIPLE_PRIOR, pairs[g[:2]], triples[g])
+        prior, seen, n = (pair_prior, starts if g[0] == "<" else words[g[0]], pairs[g]) if len(g) == 2 else (triple_prior, pairs[g[:2]], triples[g])
         return (n + prior * p(g[1:])) / (seen + prior)
 
     whole = lambda t, k: sum(math.log10(p(tuple(["<", *t][max(0, j + 1 - k) : j + 2]) if k else (t[j],))) for j in range(len(t)))
@@ -672,6 +674,18 @@ def test_lm_score(spark, docs, monkeypatch, parts, size):
         assert len(none) == len(rows) and all(r["n_known"] == r["train_tokens"] == 0 and abs(r["score"] - r["base_score"]) < 1e-6 for r in none)
 
 
+def test_lm_priors_leave_to_new_words_what_comes_once():
+    """Of texts with contexts of one size the share is plain: k / (size - 1 + k) of each context's tokens come once."""
+    rng = np.random.default_rng(3)
+    for size, once in ((10, 3), (40, 8), (7, 1)):
+        contexts, n = np.full(500, size), 500 * once
+        pairs = np.concatenate([np.ones(n, np.int64), np.full(200, 5)])
+        k, _ = lm_score.priors(lm_score.histogram(np.concatenate([contexts, pairs]), np.repeat([0, 1], [500, len(pairs)])))
+        assert abs(size * k / (size - 1 + k) - once) < 1e-6
+    c = rng.zipf(1.5, 5000)
+    assert abs((np.array([lm_score._bin_values()[b] for b in lm_score._bin(c[c < 65536])]) / c[c < 65536] - 1)).max() < 0.1
+
+
 def test_lm_probabilities_sum_to_one():
     texts = ["a b c a b d", "a b c", "b c a b c", "c c a b d"] * 5
     word = lambda text: W.scan(pa.array([text], pa.large_string()), W.space_words(True)).hash
@@ -684,7 +698,7 @@ def test_lm_probabilities_sum_to_one():
             return 1.0
         every = [t, *trained]
         g = lm_score.Grams(np.concatenate(every), np.cumsum([0, *map(len, every)]), np.arange(len(t) + total) >= len(t))
-        return 10 ** lm_score.Automaton(g, g.trained, total, 5).score()[0]
+        return 10 ** lm_score.Automaton(g, g.trained, total, 5, (7.0, 3.0)).score()[0]
 
     for before in ("", "a", "a b", "d", "c c", "zz"):
         nexts = [*word("a b c d"), lm_score.END, np.uint64(12345)]  # the last one stands for all unknown words
@@ -737,11 +751,17 @@ def expected_languages(rows, share=0.3, least=2):
     return out
 
 
-def test_lang_id_against_exact_sets(spark, docs):
-    """Repeated rows count each; where one language is ahead, it is predicted with its share of hits."""
+@pytest.mark.parametrize("room", [None, 8 << 10])
+def test_lang_id_against_exact_sets(spark, docs, monkeypatch, room):
+    """Repeated rows count each; where one language is ahead, it is predicted with its share of hits. With all cells at once, and
+    in slices of 1,024 cells."""
+    if room:
+        monkeypatch.setattr(lang_id, "LEAST_LOG2", 8)
+        _, log2, slices, cells_of = lang_id.learn(docs.where("lang is not null and text is not null"), max_bytes=room)
+        assert log2 == 10 and slices > 4 and all(c.nbytes == room and 0 < (c != 0).mean() < 0.7 for c in map(cells_of, range(slices)))
     rows = documents()
     got = defaultdict(list)
-    for r in lang_id.identify(docs, fold(3, 1)).collect():
+    for r in lang_id.identify(docs, fold(3, 1), max_bytes=room).collect():
         got[r["doc_id"]].append((r["lang_pred"], r["score"]))
     want = expected_languages([r[:3] for r in rows])
     clear = {k: w for k, w in want.items() if w[2] >= 3}

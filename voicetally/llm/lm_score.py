@@ -6,6 +6,10 @@ state's arcs and its failure arc give sums to 1. A context that was seen is a st
 their whole probability; its failure arc has the weight K / (c(h) + K) and leads to the shorter context. A text is scored in
 one traversal from left to right, which carries the state: per token an arc of the state, or failure arcs to one that has it.
 
+The weights K of the lower order come from the training documents alone, by leaving each token out: of the tokens, a share comes
+once only in its context and would be new to the model without it, and K is chosen such that the contexts, each less that
+token, leave just that share of their probability to the lower order. It is worked out from how often counts occur.
+
 All n-grams of the training documents are in the model, whatever their counts. Texts are packed into chunks of about
 `CHUNK_WORDS` tokens; a chunk asks once for each of its distinct n-grams and tells how often it trains them. Parts, by hash of
 the n-gram, sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can
@@ -32,8 +36,8 @@ from ._io import cell_values, lean, materialize, text_chunks
 
 BEGIN, END = np.uint64(0x7B1E2C4D5A697887), np.uint64(0x3C6EF372FE94F82B)
 ADD = 0.1
-#: Weights of the lower order in the probabilities of pairs and triples.
-PAIR_PRIOR, TRIPLE_PRIOR = 50.0, 20.0
+#: Steps of counts in a histogram: eight for each doubling.
+BINS = 512
 CHUNK_WORDS = 750_000
 #: N-grams per part of the exchange of counts.
 PART_GRAMS = 2_000_000
@@ -44,6 +48,38 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return np.minimum((8 * np.log2(counts)).astype(np.int64), BINS - 1)
+
+
+def _bin_values() -> np.ndarray:
+    """A count for each bin: the mean of those that fall into it, or its middle where they are many."""
+    c = np.arange(1, 1 << 16)
+    n = np.bincount(_bin(c), minlength=BINS)
+    return np.where(n > 0, np.bincount(_bin(c), c, BINS) / np.maximum(n, 1), 2 ** ((np.arange(BINS) + 0.5) / 8))
+
+
+def histogram(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many n-grams of each order (0, 1, 2) have a count of each bin; bin 0 has those that come once."""
+    seen = counts > 0
+    return np.bincount(order[seen] * BINS + _bin(counts[seen]), minlength=3 * BINS).reshape(3, BINS)
+
+
+def priors(hist: np.ndarray) -> tuple[float, float]:
+    """The weights of the lower order for pairs and triples, from the histogram of all training counts."""
+    value = _bin_values()
+
+    def solved(contexts: np.ndarray, singles: int) -> float:
+        lo, hi = np.log(1e-3), np.log(1e6)
+        for _ in range(60):
+            k = np.exp((lo + hi) / 2)
+            left = (contexts * value * k / (value - 1 + k)).sum()
+            lo, hi = ((lo + hi) / 2, hi) if left < singles else (lo, (lo + hi) / 2)
+        return float(np.exp((lo + hi) / 2))
+
+    return solved(hist[0], hist[1][0]), solved(hist[1], hist[2][0])
+
+
 class Grams:
     """The distinct n-grams of a chunk, ordered by hash; which of them ends at each token; what they go back to."""
 
@@ -87,24 +123,24 @@ class Grams:
 class Automaton:
     """States are n-grams by their number in Grams, then ROOT and BEGIN; arcs are n-grams too."""
 
-    def __init__(self, grams: Grams, count: np.ndarray, total: int, distinct: int):
-        """count: of each of the n-grams in all training texts; total and distinct: of training tokens."""
+    def __init__(self, grams: Grams, count: np.ndarray, total: int, distinct: int, prior: tuple[float, float]):
+        """count: of each of the n-grams in all training texts; total and distinct: of training tokens; prior: as by priors()."""
         g, n = grams, len(grams.key)
         self.grams, self.count, self.root, self.begin = g, np.append(count, 0), n, n + 1
         self.denominator = total + ADD * (distinct + 1)
         p = (count + ADD) / self.denominator
-        for order, prior in ((1, PAIR_PRIOR), (2, TRIPLE_PRIOR)):
+        for order, k in enumerate(prior, 1):
             own = np.flatnonzero(g.order == order)
-            p[own] = (count[own] + prior * p[g.lower[own]]) / (count[g.context[own]] + prior)
+            p[own] = (count[own] + k * p[g.lower[own]]) / (count[g.context[own]] + k)
         self.weight = np.log10(p)
         known = count > 0
         itself = np.where(known, np.arange(n), n)
         #: the state after an arc, each state's failure arc, and its order (of the arcs that leave it)
         self.next = np.where(g.order == 2, g.lower, itself)
         self.fail = np.concatenate([np.where(g.order == 1, itself[g.lower] if n else itself, n), [n, n]])
-        prior = np.where(g.order == 1, TRIPLE_PRIOR, PAIR_PRIOR)
+        k = np.where(g.order == 1, prior[1], prior[0])
         end = count[g.at[0, -1]] if n else 0
-        self.fail_weight = np.concatenate([np.log10(prior / (count + prior)), [0.0, np.log10(PAIR_PRIOR / (end + PAIR_PRIOR))]])
+        self.fail_weight = np.concatenate([np.log10(k / (count + k)), [0.0, np.log10(prior[0] / (end + prior[0]))]])
         self.depth = np.concatenate([g.order + 1, [0, 1]]).astype(np.int64)
 
     @cached_property
@@ -205,23 +241,23 @@ def _keys(n: int, steps: bytes) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-ASK = "part long, chunk long, n long, keys binary, words binary, small binary, large binary"
-ANSWER = "part long, chunk long, n long, small binary, large binary, words long"
+ASK = "part long, chunk long, n long, keys binary, words binary, pairs binary, small binary, large binary"
+ANSWER = "part long, chunk long, n long, small binary, large binary, words long, hist binary"
 _ASK, _ANSWER = ([f.split()[0] for f in x.split(", ")] for x in (ASK, ANSWER))
 
 
 def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
     """Per chunk and part, in the order of the chunk's n-grams: their counts in all training texts; and per part (without a
-    chunk) how many words it holds that are trained."""
+    chunk) how many words it holds that are trained, and the histogram of its counts."""
 
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 g = _grams(row)
-                part, word = g.part(parts), g.order == 0
+                part, word, pair = g.part(parts), g.order == 0, g.order == 1
                 edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
-                cells = [(_steps(g.key[a:z]), np.packbits(word[a:z]).tobytes(), *_squeezed(g.trained[a:z])) for a, z in zip(edge[:-1], edge[1:])]
+                cells = [(_steps(g.key[a:z]), np.packbits(word[a:z]).tobytes(), np.packbits(pair[a:z]).tobytes(), *_squeezed(g.trained[a:z])) for a, z in zip(edge[:-1], edge[1:])]
                 part = part[edge[:-1]]
                 del g
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row["chunk"])), pa.array(np.diff(edge)), *[pa.array(c, pa.binary()) for c in zip(*cells)]], _ASK)
@@ -230,7 +266,8 @@ def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
         rows = table.to_pylist()
         key = np.concatenate([_keys(r["n"], r["keys"]) for r in rows])
         count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in rows])
-        word = np.concatenate([np.unpackbits(np.frombuffer(r["words"], np.uint8))[: r["n"]] for r in rows]).astype(bool)
+        bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(r[c], np.uint8))[: r["n"]] for r in rows]).astype(np.int64)
+        kind = 2 - 2 * bits("words") - bits("pairs")
         order = np.argsort(key)
         new = np.ones(len(key), bool)
         new[1:] = np.diff(key[order]) != 0
@@ -240,14 +277,31 @@ def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
         edge = np.cumsum([0, *[r["n"] for r in rows]]).tolist()
         cells = [_squeezed(count[a:z]) for a, z in zip(edge[:-1], edge[1:])]
         part = rows[0]["part"]
-        out = [(part, r["chunk"], r["n"], *c, 0) for r, c in zip(rows, cells)] + [(part, None, 0, b"", b"", int((word[order[first]] & (sums > 0)).sum()))]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        hist = histogram(sums, kind[order[first]])
+        out = [(part, r["chunk"], r["n"], *c, 0, None) for r, c in zip(rows, cells)] + [(part, None, 0, b"", b"", int(hist[0].sum()), hist.astype("<i8").tobytes())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_ANSWER)
 
     asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, ASK)
     return materialize(asked.groupBy("part").applyInArrow(lambda t: lean(answer, t), ANSWER), "lm-answers")
 
 
+def _histogram(answers: DataFrame) -> np.ndarray:
+    """The parts' histograms, added up: a fixed number of sums, whatever the number of parts."""
+
+    def add(batches):
+        total = np.zeros(3 * BINS, np.int64)
+        for b in batches:
+            total += sum((np.frombuffer(h, "<i8") for h in b.column(0).to_pylist()), np.zeros(3 * BINS, np.int64))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
+
+    out = np.zeros(3 * BINS, np.int64)
+    for i, n in answers.where("chunk is null").select("hist").mapInArrow(add, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[i] = n
+    return out.reshape(3, BINS)
+
+
 def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """All documents scored by the model of those that are not held out (a boolean column expression)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
@@ -255,13 +309,14 @@ def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFram
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
     answers = _exchange(chunks, max(1, -(-2 * tokens // PART_GRAMS)))
     distinct = int(answers.agg(F.sum("words")).first()[0] or 0)
+    prior = priors(_histogram(answers))
     total = int(_trained(chunks).agg(F.sum("trained")).first()[0] or 0)
 
     def walk(chunk, replies):
         row = chunk.to_pylist()[0]
         g = _grams(row)
         count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in replies.sort_by("part").to_pylist()])
-        model = Automaton(g, count, total, distinct)
+        model = Automaton(g, count, total, distinct, prior)
         cut = g.bounds[:-1]
         known = (model.count[g.at[0]] > 0).astype(np.int64)
         sums = [np.diff(g.bounds), np.add.reduceat(known, cut), np.full(len(cut), total), np.add.reduceat(model.base, cut), model.score()]
