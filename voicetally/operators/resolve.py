@@ -13,23 +13,32 @@ from ..functions.text import normalize_name, surname
 SALTS = 16
 
 
-def alias_table(spark: SparkSession, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """(alias, person): written forms normalized as mentions are."""
-    rows = spark.createDataFrame(list((ALIASES if aliases is None else aliases).items()), "surface string, person string")
-    return rows.select(normalize_name("surface").alias("alias"), F.lower(F.trim("person")).alias("person")).where("alias <> '' and person <> ''").dropDuplicates(["alias"])
+def alias_table(spark: SparkSession, aliases: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
+    """(alias, person) of a map or a table (surface, person): written forms normalized as mentions are. Of the people of one form
+    the first by name counts."""
+    if not isinstance(aliases, DataFrame):
+        aliases = spark.createDataFrame(list((ALIASES if aliases is None else aliases).items()), "surface string, person string")
+    rows = aliases.select(normalize_name("surface").alias("alias"), F.lower(F.trim("person")).alias("person")).where("alias <> '' and person <> ''")
+    return rows.groupBy("alias").agg(F.min("person").alias("person"))
 
 
-def resolve_mentions(df: DataFrame, name: str, scope: Sequence[str] = (), aliases: Mapping[str, str] | None = None, out: str = "canonical_id") -> DataFrame:
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(surface, person) of a CSV with a header; lines that begin with # are notes."""
+    return spark.read.csv(path, header=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema="surface string, person string")
+
+
+def resolve_mentions(df: DataFrame, name: str, scope: Sequence[str] = (), aliases: Mapping[str, str] | DataFrame | None = None, out: str = "canonical_id") -> DataFrame:
     """df with a column `out`: the person of an alias; a full name itself; a bare surname's only full name in the scope, or
     `ambiguous:<surname>` for several, or itself for none; '' for an empty name.
 
-    Full names that an alias stands for are no candidates. Distinct full names are combined before the shuffle, and a surname's
+    aliases: a map or a table of any size; Spark broadcasts it only if it is small. Full names that an alias stands for are no
+    candidates. Distinct full names are combined before the shuffle, and a surname's
     candidates reduce to a count and one name, so a frequent surname is a single small row. The other side is dealt out by a
     salt as well, so neither a frequent bare surname nor the names that look for none meet in one task.
     """
     scope = list(scope)
     table = alias_table(df.sparkSession, aliases)
-    d = df.withColumn("_n", normalize_name(name)).join(F.broadcast(table.withColumnRenamed("alias", "_n").withColumnRenamed("person", "_alias")), "_n", "left")
+    d = df.withColumn("_n", normalize_name(name)).join(table.withColumnRenamed("alias", "_n").withColumnRenamed("person", "_alias"), "_n", "left")
     d = d.withColumns({"_full": F.col("_n").contains(" "), "_sn": surname("_n")})
     full = d.where("_full and _alias is null").select(*scope, "_sn", "_n").distinct()
     one = full.groupBy(*scope, "_sn").agg(F.count("*").alias("_many"), F.min("_n").alias("_only")).withColumnRenamed("_sn", "_key")

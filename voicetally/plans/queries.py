@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,14 +15,16 @@ from ..operators import draws as D
 from ..operators import lookups as K
 from ..operators import shares as S
 from ..operators import uncertainty as U
-from ..operators.concentration import METRICS, concentration, market_counts
+from ..operators.attribution import extract_with_model
+from ..operators.concentration import METRICS, concentration, concentration_of_counts, market_counts
 from ..operators.lexicon import first_match
-from ..operators.resolve import resolve_mentions
+from ..operators.resolve import read_aliases, resolve_mentions
 from ..operators.sampling import stratified_sample, yearly_sample
 from ..operators.turns import clip_spans, names_on_air, parse_turns
 from ..sources import segments as G
 from ..sources import tables
 from . import corpus as C
+from . import incremental as I
 from . import pipeline as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +348,85 @@ def resolve(spark, d):
     return resolve_mentions(m, "n", ["scope"]).select("c_custkey", "canonical_id")
 
 
+@query("custom_aliases", """
+WITH m AS (SELECT c_custkey, trim(lower('Customer ' || (c_custkey % 9) || ' ' || c_mktsegment)) AS n FROM customer),
+a AS (SELECT DISTINCT lower('Customer ' || (c_custkey % 9) || ' ' || c_mktsegment) AS alias, lower(c_mktsegment) || ' house' AS person FROM customer WHERE c_custkey % 9 < 4)
+SELECT c_custkey, coalesce(person, n) AS canonical_id FROM m LEFT JOIN a ON n = alias""")
+def custom_aliases(spark, d):
+    """Names resolved with an alias map of the caller's, read from a file: forms in any case, with notes and blanks around them."""
+    c = _t(spark, d, "customer").withColumn("name", F.concat(F.lit("Customer "), F.expr("c_custkey % 9"), F.lit(" "), "c_mktsegment"))
+    path = tables.scratch(spark, "aliases")
+    rows = c.where("c_custkey % 9 < 4").select(F.concat(F.lit(" "), F.upper("name"), F.lit(" ")).alias("surface"), F.concat(F.initcap("c_mktsegment"), F.lit(" House")).alias("person")).distinct()
+    rows.write.csv(path, header=True)
+    return resolve_mentions(c, "name", aliases=read_aliases(spark, path)).select("c_custkey", "canonical_id")
+
+
+@query("word_list", """
+WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+SELECT doc_id, count(*) AS n_listed FROM w JOIN b USING (word) GROUP BY 1""")
+def word_list(spark, d):
+    """Words of a list read from a file (all words of the benchmark, some in capitals, with notes), counted per document."""
+    words = lambda t: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    path = tables.scratch(spark, "words")
+    listed = _t(spark, d, "benchmark").select(words("text")).distinct().select(F.when(F.length("word") % 2 == 0, F.concat(F.lit("  "), F.upper("word"))).otherwise(F.concat("word", F.lit(" "))).alias("value"))
+    listed.unionByName(spark.createDataFrame([("# a note",), ("",), ("   ",)], "value string")).write.text(path)
+    return _t(spark, d, "documents").select("doc_id", words("text")).join(G.read_word_list(spark, path), "word").groupBy("doc_id").agg(F.count("*").alias("n_listed"))
+
+
+def refused(df: DataFrame) -> str:
+    """What Spark says when it refuses to run df; an empty text if it does not."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as e:  # noqa: BLE001
+        found = re.search(r"counts must be non-negative|schema violation: [a-z_,]+|is before the corpus start", str(e))
+        return found[0] if found else "another error"
+    return ""
+
+
+@query("refusals", """
+SELECT 'negative counts' AS what, CASE WHEN count(*) FILTER (l_orderkey - 1000 < 0) > 0 THEN 'counts must be non-negative' ELSE '' END AS said FROM lineitem
+UNION ALL SELECT 'no negative counts', '' UNION ALL
+SELECT 'violations', CASE WHEN count(*) FILTER (l_orderkey - 1000 < 0 AND l_suppkey % 9 <> 0) > 0 THEN 'schema violation: wordcount_negative' ELSE '' END FROM lineitem
+UNION ALL SELECT 'no violations', '' UNION ALL
+SELECT 'early days', CASE WHEN count(*) FILTER (o_orderdate < DATE '2000-01-01') > 0 THEN 'is before the corpus start' ELSE '' END FROM orders
+UNION ALL SELECT 'early days, lenient', ''""")
+def refusals(spark, d):
+    """What is refused, and that the same rows pass without what is wrong with them: each check runs over its whole table."""
+    li = _t(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("e"), (F.col("l_orderkey") - 1000).alias("c"))
+    text = F.when(F.col("l_suppkey") % 9 == 0, "x").otherwise((F.col("l_orderkey") - 1000).cast("string"))
+    raw = lambda w: _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("url"), *[F.lit("1").alias(c) for c in ("year", "month", "date")], w.alias("wordcount"))
+    day = _t(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    said = {
+        "negative counts": refused(concentration_of_counts(li, ["year"], "e")),
+        "no negative counts": refused(concentration_of_counts(li.withColumn("c", F.abs("c")), ["year"], "e")),
+        "violations": refused(G.validate(raw(text))),
+        "no violations": refused(G.validate(raw(F.when(~text.startswith("-"), text)))),
+        "early days": refused(day.select(X.era_of("day"))),
+        "early days, lenient": refused(day.select(X.era_of("day", strict=False))),
+    }
+    return spark.createDataFrame(list(said.items()), "what string, said string")
+
+
+def _deterministic_model():
+    """A stand-in for a language model: a sentence's first two capitalized words, if `said` follows them at once."""
+    pattern = re.compile(r"(?:^|(?<=[.!?] ))([A-Z][a-z]+ [A-Z][a-z]+) said\b")
+
+    def extract(text: str) -> list[dict]:
+        ends = [m.end() for m in re.finditer(r"[.!?] ", text)]
+        return [{"sentence_index": sum(e <= m.start() for e in ends), "char_start": m.start(1), "char_end": m.end(1), "source_span": m[1], "entity_type": "PERSON", "cue_verb": "say", "pattern_id": "subj_cue", "sentence_text": m[0]} for m in pattern.finditer(text)]
+
+    return extract
+
+
+@query("attributions_by_model", C.within("WITH " + C.SEGMENTS) + r""",
+m AS (SELECT seg_id, string_split_regex(text, '[.!?] [A-Z][a-z]+ [A-Z][a-z]+ said\b') AS g, regexp_extract_all(text, '[.!?] ([A-Z][a-z]+ [A-Z][a-z]+) said\b') AS r0, regexp_extract_all(text, '[.!?] ([A-Z][a-z]+ [A-Z][a-z]+) said\b', 1) AS r1 FROM corpus)
+SELECT seg_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(r0[1:i - 1], lambda x: length(x))), 0) + 2)::INT AS char_start, r1[i] AS source_span, 'say' AS cue_verb FROM m, unnest(range(1, len(r0) + 1)) AS u(i)""")
+def attributions_by_model(spark, d):
+    """The model hook over all segments, with a model that is a fixed rule, so that SQL can tell what it finds."""
+    return extract_with_model(_keep(spark, d), "seg_id", "text", _deterministic_model).select("seg_id", "char_start", "source_span", "cue_verb")
+
+
 # --- the corpus of labelled segments, through the stages from a scanned row to the yearly tables ---
 
 
@@ -538,6 +620,19 @@ def _as_csv(spark, d) -> str:
     return f"{path}/*.csv.gz"
 
 
+@query("incremental_series", _speakers_sql("'guest'", ""))
+def incremental_series(spark, d):
+    """The yearly series from kept counts: first over some files and one that goes later, then over the whole set of files."""
+    path, state = tables.scratch(spark, "files"), tables.scratch(spark, "state")
+    names = {G.internal(c): c for c in G.RAW}
+    raw, old = C.raw_segments(spark, d), F.pmod(F.col("seg_id"), F.lit(3))
+    for folder, rows in (("stale", raw.where(old == 1).withColumn("text", F.concat(F.lit("JOHN STALE, GUEST: "), "text"))), ("a", raw.where(old == 0)), ("b", raw.where(old > 0))):
+        rows.select(*[F.col(k).alias(v) for k, v in names.items()]).repartition(2, "url").write.csv(f"{path}/{folder}", header=True, quote='"', escape='"')
+    I.update(spark, state, f"{path}/{{stale,a}}/*.csv")
+    I.update(spark, state, f"{path}/{{a,b}}/*.csv")
+    return _round(P.annual_hhi_speakers(I.turns(spark, state)), *RATIOS)
+
+
 @query("stream_turns", WHO_SQL + " SELECT year, source_mode AS mode, CASE n WHEN 'jane doe' THEN 'doe, jane' ELSE n END AS canonical_id, count(*) AS n FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL GROUP BY 1, 2, 3")
 def stream_turns(spark, d):
     """The counts of a stream over the segment files, once all are read."""

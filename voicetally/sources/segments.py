@@ -16,13 +16,19 @@ def internal(name: str) -> str:
     return name.replace(".", "_")
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
-    """All columns as strings, dots in names as underscores, empty fields as ''. Compressed files are not splittable, so
-    rows are dealt out again where partitions is given."""
+def read_csv(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None, file: str | None = None) -> DataFrame:
+    """All columns as strings, dots in names as underscores, empty fields as ''. No paths give no rows.
+
+    Texts hold line ends (multiLine), so a file is one task, compressed or not; rows are dealt out again where partitions is
+    given. file: a column that gets the path of a row's file in place of what it holds.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in RAW])
-    reader = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
-    df = reader.csv([paths] if isinstance(paths, str) else list(paths))
-    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(internal(c)) for c in RAW])
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        return spark.createDataFrame([], schema).toDF(*map(internal, RAW))
+    df = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True).csv(paths)
+    value = lambda c: F.col("_metadata.file_path") if internal(c) == file else F.coalesce(F.col(f"`{c}`"), F.lit(""))
+    df = df.select(*[value(c).alias(internal(c)) for c in RAW])
     return df.repartition(partitions) if partitions else df
 
 
