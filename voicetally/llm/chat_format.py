@@ -301,19 +301,28 @@ def _rows(done: list[tuple], schema: str) -> pa.RecordBatch:
 STYLES = [{"system": "System: ", "user": "User: ", "assistant": "Assistant: "}, {"system": "### Context: ", "user": "### Human: ", "assistant": "### Assistant: "}, {"system": "[sys] ", "user": "Q: ", "assistant": "A: "}, {"system": "<|system|> ", "user": "<|user|> ", "assistant": "<|bot|> "}]
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
+def transcripts(conversations: DataFrame, plain: bool = False) -> DataFrame:
     """Raw transcript lines of a table of turns: a marker in the conversation's style, or, for a tenth of the turns (by a
-    hash), none but a blank line before. Lines keep their turn's role for training and comparison, that blank line has none."""
+    hash), none. Half of those without a marker have a blank line before them, the others follow the line before at once. A
+    fifth of the turns hold a blank line of their own after their first line, if they have several, so a blank line does not
+    tell where a turn starts. Lines keep their turn's role for training and comparison; a blank line between turns has none.
+    `kind` tells the lines apart that are of interest: hidden (first of a turn without a marker, after a blank line), silent
+    (without one), inner (after a blank line of the turn itself), other. plain: markers at all turns, and texts as they are."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
     mark = F.lit("")
     for i, s in enumerate(STYLES):
         for role, text in s.items():
             mark = F.when((style == i) & (F.col("role") == role), text).otherwise(mark)
-    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10)) == 0
-    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.concat(F.when(bare, "\n").otherwise(mark), F.coalesce("text", F.lit(""))).alias("t"), bare.alias("bare"))
-    each = c.select("conv_id", "turn", "role", "bare", F.posexplode(F.split("t", "\n")).alias("k", "line"))
-    k = F.col("k") - F.col("bare").cast("int")
-    return each.select("conv_id", "turn", k.alias("k"), "line", F.when(k >= 0, F.col("role")).alias("role"))
+    h = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(20))
+    text = F.coalesce("text", F.lit(""))
+    inner = h.between(2, 5) & text.contains("\n") & F.lit(not plain)
+    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text"), mark.alias("mark"), ((h == 0) & F.lit(not plain)).alias("hidden"), ((h == 1) & F.lit(not plain)).alias("silent"), inner.alias("inner"))
+    own = F.when(F.col("inner"), F.regexp_replace("text", r"^([^\n]*)\n", "$1\n\n")).otherwise(F.col("text"))
+    c = c.withColumn("t", F.concat(F.when(F.col("hidden"), "\n").when(F.col("silent"), "").otherwise(F.col("mark")), own))
+    each = c.select("conv_id", "turn", "role", "hidden", "silent", "inner", F.posexplode(F.split("t", "\n")).alias("k", "line"))
+    k = F.col("k") - F.col("hidden").cast("int")
+    kind = F.when(F.col("hidden") & (k == 0), "hidden").when(F.col("silent") & (k == 0), "silent").when(F.col("inner") & (k == 2), "inner").otherwise("other")
+    return each.select("conv_id", "turn", k.alias("k"), "line", F.when(k >= 0, F.col("role")).alias("role"), kind.alias("kind"))
 
 
 def recover(spark: SparkSession, conversations: DataFrame, held_out: Column) -> DataFrame:
