@@ -563,8 +563,10 @@ def test_toxicity_scores_by_plain_rules(spark):
             n += len(words)
             weights = [weight(w) for w in words]
             sums[:-1] += plain_matches([T.INS if x > 0 else classes.get(w, T.OTHER) for w, x in zip(words, weights)], weights)
-        sums[-1] = 100 * sums.sum() / max(n, 20)
-        return 1 / (1 + math.exp(-(grammar.coefficients[0] + np.log1p(sums) @ grammar.coefficients[1:])))
+        counted = [1.0, 1.3, 0.2, 0.12, 1.5]
+        density = 100 * sum(a * b for a, b in zip(sums, counted)) / max(n, 20)
+        b = grammar.coefficients
+        return 1 / (1 + math.exp(-(b[0] + b[1] * sum(math.log1p(a) * c for a, c in zip(sums, counted)) + b[2] * math.log1p(density))))
 
     got = {r["doc_id"]: r["score"] for r in T.score(docs, labels, fold(5, 0)).collect()}
     assert len(got) == 202
@@ -585,6 +587,39 @@ def test_toxicity_grammar_tells_settings():
     assert abs(strong - 1.5 * one) < 1e-12 and twice == one
 
 
+def test_toxicity_by_the_setting_of_the_same_words(spark, monkeypatch):
+    """Pairs that words alone cannot tell: direct against negated and reported insults, and threats against the same verbs in
+    other clauses. The grammar tells them; with the largest insult weight of a clause in its place half are wrong."""
+    rng = random.Random(4)
+    names = ["blorker", "snizzle", "grumwit"]
+    filler = lambda: " ".join(rng.choice("the river runs down past old mills and green fields in spring".split()) for _ in range(rng.randint(6, 14)))
+    direct = ["you are such a {}", "you {}", "he is a total {}", "a {} he is"]
+    soft = ["you are not a {}", "they said a {}", "nobody wrote that {}", "she is never a {}"]
+    threats, calm = ["i will kill you", "we are going to hurt you", "i shall be beating you"], ["i will not kill time", "they said we will hurt", "the fires destroy mills", "we will not be beating you"]
+    around = lambda clause: f"{filler()}. {rng.choice(direct + soft).format('friend')}. {clause}. {rng.choice(threats + calm).replace('kill', 'help').replace('hurt', 'meet').replace('beating', 'calling')}."
+    insult = lambda forms: around(rng.choice(forms).format(rng.choice(names)))
+    rows = [(insult(direct), 1) for _ in range(300)] + [(around(rng.choice(threats)), 1) for _ in range(60)] + [(insult(soft), 0) for _ in range(25)] + [(around(rng.choice(calm)), 0) for _ in range(25)] + [(around(filler()), 0) for _ in range(3000)]
+    docs, labels = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels, F.lit(False))
+    pairs = [(insult(f), y) for f, y in ((direct, 1), (soft, 0)) for _ in range(100)] + [(around(rng.choice(f)), y) for f, y in ((threats, 1), (calm, 0)) for _ in range(30)]
+    texts, y = pa.array([t for t, _ in pairs], pa.large_string()), np.array([y for _, y in pairs])
+    right = lambda: ((grammar.probability(grammar.matches(texts)) >= 0.5) == y).mean()
+    by_grammar = right()
+    alone = lambda symbols, weights: [max([w for s, w in zip(symbols, weights) if s == toxicity.INS], default=0.0), 0.0, 0.0, 0.0, 0.0]
+    monkeypatch.setattr(toxicity, "clause_matches", alone)
+    truth = np.array([y for _, y in rows])
+    grammar.fit(grammar.matches(pa.array([t for t, _ in rows], pa.large_string()), truth), truth)
+    by_words = right()
+    assert by_grammar > 0.95 and by_words < 0.65, (by_grammar, by_words)
+
+
+def test_threat_verbs_are_inflected():
+    assert {"kill", "kills", "killed", "killing", "destroys", "burning", "hanged", "punishes", "strangling", "shot"} <= set(toxicity.THREAT)
+    g = toxicity.Grammar(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), 1, 1)
+    m = g.matches(pa.array(["We are going to kill him", "I want to be killing", "I will help", "they kill"], pa.large_string()))
+    assert [np.flatnonzero(r[:-1]).tolist() for r in m] == [[toxicity.MENACE], [], [], []]
+
+
 def plain_matches(symbols, weights):
     """The grammar's rules one by one, each looking back from its word."""
     T, best = toxicity, [0.0] * 5

@@ -7,8 +7,12 @@ before or after), and threat finds a speaker's intent to harm. Weights on the ar
 intensifier raises the phrase it opens, a further insult in a phrase counts as part of it. A clause counts once per setting
 (plain, at a target, negated, reported, menace), with its strongest match, so isolated repeated words do not add up.
 
-Insults are words and word stems whose log likelihood ratio in labelled rows is large; it is their weight. The settings'
-weights are a logistic regression on the same rows. Both come from at most `max_rows` rows, and nothing else is capped.
+Insults are words and word stems whose log likelihood ratio in labelled rows is large; it is their weight. What a match counts
+in its setting is part of the grammar (`FACTORS`): a menace counts most, an insult at a target more than a plain one, a negated
+one a fifth, and a reported one an eighth. Labelled rows only tell how the sums of matches turn into a probability: an
+intercept and two slopes that are not negative (of all matches, and of their density), by logistic regression. So the setting
+of the same words decides between texts, whatever the rows happen to hold. Both come from at most `max_rows` rows, and nothing
+else is capped.
 
 Null, empty and wordless texts match nothing and get the intercept's score; repeated rows count each; of several labels of
 one id the largest counts; a label other than 0 or 1, or none, is not learned from; with no labelled rows every score is 0.
@@ -30,8 +34,17 @@ NEGATION = "not no never nobody nothing isn aren wasn weren don doesn didn won n
 REPORTED = "said says told wrote claimed quoted called reported sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split()
 TARGET = "you your yours he she him her they them their people du dich dir ihr euch sie vous toi tu te ils elles ellos usted ustedes ella".split()
 SPEAKER = "i we ich wir je nous yo nosotros".split()
-INTENT = "will shall gonna must should werde werden vais allons voy vamos".split()
-THREAT = "kill hurt beat destroy burn shoot stab hang strangle töten schlagen verbrennen tuer frapper brûler matar golpear quemar".split()
+INTENT = "will shall gonna wanna want going must should werde werden vais allons voy vamos".split()
+_THREAT = "kill hurt beat destroy burn shoot stab hang strangle punish crush".split()
+_THREAT_FORMS = "shot hung beaten stabbing stabbed töten töte schlagen schlage verbrennen verbrenne tuer frapper brûler tuerai frapperai matar golpear quemar mataré golpearé".split()
+
+
+def inflected(verb: str) -> list[str]:
+    stem = verb.removesuffix("e")
+    return [verb, f"{verb}{'es' if verb.endswith('sh') else 's'}", f"{stem}ed", f"{stem}ing"]
+
+
+THREAT = [f for v in _THREAT for f in inflected(v)] + _THREAT_FORMS
 
 COPULA = "is are am was were be being re bist ist sind seid est es sont son eres".split()
 DETERMINER = "a an the this that these ein eine der die das dieser un une le la les ce cet cette una el los las este esta".split()
@@ -41,10 +54,12 @@ OTHER, BREAK, NEG, REP, TGT, SPK, INT, THR, INS, COP, DET, MOD = range(12)
 BASES = 12
 #: Settings in which a match stands. A symbol of a tape is its class and its setting; the input's settings are plain.
 PLAIN, AT_TARGET, NEGATED, REPORT, MENACE = range(5)
+#: What a match counts in its setting.
+FACTORS = np.array([1.0, 1.3, 0.2, 0.12, 1.5])
 SYMBOLS = BASES * 5
 #: Of what the grammar writes besides unmatched symbols: the insult before has its target behind it.
 TARGET_AFTER = SYMBOLS
-#: Of a text: one sum per setting, and the density of all.
+#: Of a text: one sum per setting, and the density of all as they count.
 FEATURES = 6
 STEMS = (4, 5, 6, 7, 8)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -200,7 +215,7 @@ class Grammar:
         self.key, self.toxic, self.clean, self.n = key, toxic, clean, (n_toxic, n_clean)
         self.least, self.ratio = least, ratio
         self.classes = _classes()
-        self.coefficients = np.zeros(1 + FEATURES)
+        self.coefficients = np.zeros(3)
 
     def weight(self, at, toxic_less=0, clean_less=0):
         """Log likelihood ratio of features; the training document itself can be left out of the counts."""
@@ -209,7 +224,7 @@ class Grammar:
         return np.where((t >= self.least) & (w >= np.log(self.ratio)), w, 0.0)
 
     def matches(self, texts: pa.Array, labels=None) -> np.ndarray:
-        """Per text the sums over its clauses' matches by setting, and their sum per hundred words (of 20 at least).
+        """Per text the sums over its clauses' matches by setting, and what they count per hundred words (of 20 at least).
 
         labels: of training texts, which leave themselves out of the counts.
         """
@@ -241,21 +256,32 @@ class Grammar:
         for c in np.unique(clause[(symbol == INS) | (symbol == THR)]).tolist():
             lo, hi = first[c], last[c]
             out[s.doc[lo], :-1] += clause_matches(symbol[lo:hi].tolist(), weight[lo:hi].tolist())
-        out[:, -1] = 100 * out.sum(axis=1) / np.maximum(np.diff(s.at), 20)
+        out[:, -1] = 100 * (out[:, :-1] @ FACTORS) / np.maximum(np.diff(s.at), 20)
         return out
 
+    @staticmethod
+    def counted(sums: np.ndarray) -> np.ndarray:
+        """1, the matches as they count in their settings, and their density."""
+        logs = np.log1p(sums)
+        return np.column_stack([np.ones(len(sums)), logs[:, :-1] @ FACTORS, logs[:, -1]])
+
     def probability(self, sums: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.coefficients[0] + np.log1p(sums) @ self.coefficients[1:])))
+        return 1 / (1 + np.exp(-np.clip(self.counted(sums) @ self.coefficients, -700, 700)))
 
-    def fit(self, sums: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 30) -> None:
-        """Ridge logistic regression by Newton steps; the intercept is hardly held back."""
-        x = np.column_stack([np.ones(len(y)), np.log1p(sums)])
-        b = np.zeros(x.shape[1])
+    def fit(self, sums: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 60) -> None:
+        """Ridge logistic regression by Newton steps, slopes held at 0 and above; the intercept is hardly held back."""
+        x, b = self.counted(sums), np.zeros(3)
+        penal = ridge * np.diag([1e-3, 1.0, 1.0]) * max(1, len(y) ** 0.5)
+        free = np.ones(3, bool)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            penal = ridge * np.diag([1e-3] + [1.0] * FEATURES)
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penal * max(1, len(y) ** 0.5) + 1e-9 * np.eye(1 + FEATURES), x.T @ (y - p) - penal @ b * max(1, len(y) ** 0.5))
+            slope = x.T @ (y - p) - penal @ b
+            free = (b > 0) | (slope > 0) | [True, False, False]
+            curve = (x * (p * (1 - p))[:, None]).T @ x + penal + 1e-9 * np.eye(3)
+            step = np.zeros(3)
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
             b = b + np.clip(step, -2, 2)
+            b[1:] = np.maximum(b[1:], 0)
         self.coefficients = b
 
 
