@@ -693,10 +693,11 @@ def expected_lm(tokens, out):
     return [(whole(t, 0), whole(t, 2)) for t in tokens], words
 
 
-@pytest.mark.parametrize("parts,size", [(1, 1_000_000), (23, 300), (40, 1)])
-def test_lm_score(spark, docs, monkeypatch, parts, size):
-    """All n-grams are counted exactly, whatever the partitioning, with repeated rows and null text."""
+@pytest.mark.parametrize("parts,size,cells", [(1, 1_000_000, 10**9), (23, 300, 10**9), (40, 1, 10**9), (1, 1_000_000, 0), (23, 300, 0)])
+def test_lm_score(spark, docs, monkeypatch, parts, size, cells):
+    """All n-grams are counted exactly, whatever the partitioning, in packs and singly, with repeated rows and null text."""
     monkeypatch.setattr(lm_score, "PART_GRAMS", 2000)
+    monkeypatch.setattr(lm_score, "MOST_CELLS", cells)
     rows = documents()
     tokens = [[*SPACED.findall(low(r[1])), None] for r in rows]
     out = [zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]

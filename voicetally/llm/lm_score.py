@@ -15,7 +15,8 @@ All n-grams of the training documents are in the model, whatever their counts. T
 the n-gram, sum the counts exactly and answer each chunk, which builds the automaton of just the arcs that its texts can
 walk. A part gets at most one row of an n-gram from a chunk, so frequent n-grams need no care; memory depends on the sizes
 of chunks and parts alone, nothing is broadcast, and counts do not depend on the partitioning. N-grams are named by 56 bits
-of a hash.
+of a hash. The rows that chunks and parts exchange are as many as both numbers' product; where these would be more than
+`MOST_CELLS`, n-grams are counted and joined back singly, in proportion to the input, with the same counts.
 
 Null text is empty: its only token is the end. Repeated rows are trained on and scored each, rows without an id too (the fold
 expression says whether they train); extra columns are not read; an empty table gives an empty result.
@@ -41,6 +42,8 @@ BINS = 512
 CHUNK_WORDS = 750_000
 #: N-grams per part of the exchange of counts.
 PART_GRAMS = 2_000_000
+#: Cells of chunks and parts up to which n-grams are exchanged in packs.
+MOST_CELLS = 200_000_000
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -242,13 +245,13 @@ def _keys(n: int, steps: bytes) -> np.ndarray:
 
 
 ASK = "part long, chunk long, n long, keys binary, words binary, pairs binary, small binary, large binary"
-ANSWER = "part long, chunk long, n long, small binary, large binary, words long, hist binary"
+ANSWER = "part long, chunk long, n long, small binary, large binary, hist binary"
 _ASK, _ANSWER = ([f.split()[0] for f in x.split(", ")] for x in (ASK, ANSWER))
 
 
 def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
     """Per chunk and part, in the order of the chunk's n-grams: their counts in all training texts; and per part (without a
-    chunk) how many words it holds that are trained, and the histogram of its counts."""
+    chunk) the histogram of its counts."""
 
     def ask(batches):
         for b in batches:
@@ -278,14 +281,40 @@ def _exchange(chunks: DataFrame, parts: int) -> DataFrame:
         cells = [_squeezed(count[a:z]) for a, z in zip(edge[:-1], edge[1:])]
         part = rows[0]["part"]
         hist = histogram(sums, kind[order[first]])
-        out = [(part, r["chunk"], r["n"], *c, 0, None) for r, c in zip(rows, cells)] + [(part, None, 0, b"", b"", int(hist[0].sum()), hist.astype("<i8").tobytes())]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        out = [(part, r["chunk"], r["n"], *c, None) for r, c in zip(rows, cells)] + [(part, None, 0, b"", b"", hist.astype("<i8").tobytes())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_ANSWER)
 
     asked = chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, ASK)
     return materialize(asked.groupBy("part").applyInArrow(lambda t: lean(answer, t), ANSWER), "lm-answers")
 
 
+def _singly(chunks: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(chunk, key, count) of each chunk's n-grams, and the histogram of all counts: the exchange by rows. Counts are combined
+    before they are shuffled, and the join back may split an n-gram that very many chunks hold."""
+
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                g = _grams(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g.key.view(np.int64)), pa.array(np.full(len(g.key), row["chunk"])), pa.array(g.order.astype(np.int32)), pa.array(g.trained.astype(np.int64))], ["key", "chunk", "order", "n"])
+
+    asked = materialize(chunks.select("chunk", "n", "held", "lens", "words", "tokens").mapInArrow(ask, "key long, chunk long, order int, n long"), "lm-grams")
+    counts = materialize(asked.groupBy("key").agg(F.sum("n").alias("count"), F.max("order").alias("order")), "lm-counts")
+
+    def bins(batches):
+        for b in batches:
+            h = histogram(b.column(0).to_numpy(), b.column(1).to_numpy()).ravel()
+            at = np.flatnonzero(h)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(h[at])], ["i", "n"])
+
+    hist = np.zeros(3 * BINS, np.int64)
+    for i, n in counts.select("count", "order").mapInArrow(bins, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        hist[i] = n
+    return asked.select("chunk", "key").join(counts.select("key", "count"), "key"), hist.reshape(3, BINS)
+
+
 def _histogram(answers: DataFrame) -> np.ndarray:
     """The parts' histograms, added up: a fixed number of sums, whatever the number of parts."""
 
@@ -307,15 +336,24 @@ def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     chunks = _chunks(rows, chunk_words)
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    answers = _exchange(chunks, max(1, -(-2 * tokens // PART_GRAMS)))
-    distinct = int(answers.agg(F.sum("words")).first()[0] or 0)
-    prior = priors(_histogram(answers))
+    parts = max(1, -(-2 * tokens // PART_GRAMS))
+    packs = parts * chunks.count() <= MOST_CELLS
+    if packs:
+        answers = _exchange(chunks, parts)
+        hist = _histogram(answers)
+        asked = answers.where("chunk is not null").select("chunk", "part", "n", "small", "large")
+    else:
+        asked, hist = _singly(chunks)
+    distinct, prior = int(hist[0].sum()), priors(hist)
     total = int(_trained(chunks).agg(F.sum("trained")).first()[0] or 0)
 
     def walk(chunk, replies):
         row = chunk.to_pylist()[0]
         g = _grams(row)
-        count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in replies.sort_by("part").to_pylist()])
+        if packs:
+            count = np.concatenate([_counts(r["n"], r["small"], r["large"]) for r in replies.sort_by("part").to_pylist()])
+        else:  # keys have 56 bits, so their order as numbers with a sign is the same
+            count = replies.sort_by("key").column("count").to_numpy()
         model = Automaton(g, count, total, distinct, prior)
         cut = g.bounds[:-1]
         known = (model.count[g.at[0]] > 0).astype(np.int64)
@@ -323,7 +361,6 @@ def score(docs: DataFrame, held_out, chunk_words: int = CHUNK_WORDS) -> DataFram
         return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *[pa.array(x) for x in sums]], names=RESULT)
 
     packed = chunks.select("chunk", "n", "ids", "held", "lens", "words", "tokens")
-    asked = answers.where("chunk is not null").select("chunk", "part", "n", "small", "large")
     return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda a, b: lean(walk, a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
