@@ -31,7 +31,9 @@ def raw_segments(spark: SparkSession, d: str) -> DataFrame:
     clip = F.expr("turn % 3 = 1")
     end = F.when(clip & F.expr("conv_id % 7 <> 0"), " (END VIDEO CLIP)").otherwise("")
     line = F.concat(F.when(clip, "(BEGIN VIDEO CLIP) ").otherwise(""), _at(LABELS, "(2 * conv_id + turn) % 9"), F.lit(": "), "text", _at(CITES, f"(conv_id + 2 * turn) % {len(CITES)}"), end)
-    s = c.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("q"))
+    # dealt out by number, so that small tables are parsed by all cores too
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = c.select("conv_id", "turn", line.alias("line")).repartition(parts, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("q"))
     year = F.expr("if(conv_id % 13 = 5, 3007, 2000 + conv_id % 26)").cast("string")
     month, day = F.expr("1 + conv_id % 12").cast("string"), F.expr("if(conv_id % 11 = 3, 31, 1 + conv_id % 28)").cast("string")
     uid = F.concat(_at(SHOWS, "conv_id % 4"), F.lit("."), F.expr("lpad(cast(conv_id % 7 as string), 2, '0')"))
