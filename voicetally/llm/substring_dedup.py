@@ -111,10 +111,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     per = stretches.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum(F.col("n") + window - 1).alias("words"))
     # written before the join, which then has exchanges of its own and can split an anchor of many stretches
     stretches = stretches.join(materialize(per, "dedup-anchor-sizes"), "anchor")
-    # the only stretch of its anchor, at several places, matches itself as a whole; one at one place may hold a window twice
-    only = F.expr("stretches = 1 and places > 1")
-    alone = stretches.where(only).select("run", F.lit(0).alias("at"), "n")
-    several = stretches.where(~only).select("anchor", "run", "places", (F.expr(f"words div {BLOCK_WORDS}") + 1).cast("int").alias("blocks"))
+    # also the only stretch of an anchor: its automaton knows its places, and a stretch at one place may hold a window twice
+    several = stretches.select("anchor", "run", "places", (F.expr(f"words div {BLOCK_WORDS}") + 1).cast("int").alias("blocks"))
 
     def contents(b, s, first, n, anchor, digest):
         _, at = np.unique(digest, return_index=True)
@@ -129,7 +127,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     # windows that stand once in their block, of anchors in several blocks: counts of all blocks together
     parted = settled.where("win is not null")
     again = materialize(parted.groupBy("win").agg(F.sum("places").alias("places")).where("places > 1").select("win"), "dedup-again")
-    repeats = alone.unionByName(settled.where("win is null").select("run", "at", "n")).unionByName(parted.where("run is not null").join(again, "win", "left_semi").select("run", "at", "n"))
+    repeats = settled.where("win is null").select("run", "at", "n").unionByName(parted.where("run is not null").join(again, "win", "left_semi").select("run", "at", "n"))
     # written first, so that the join has exchanges of its own and a run of many places can be split
     repeats = materialize(repeats, "dedup-spans")
     return found.join(repeats.withColumnRenamed("n", "len"), "run").select("row", (F.col("first") + F.col("at")).alias("first"), F.col("len").alias("n"))
