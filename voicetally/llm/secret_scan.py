@@ -162,7 +162,8 @@ def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(term, key): every document that holds a term."""
     d = _texts(docs).select(_key().alias("key"), F.lower("t").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(x)), F.lit(x)) for x in terms])) if terms else F.array().cast("array<string>")
-    return d.select("key", held.alias("held")).where(F.size("held") > 0).select(F.explode("held").alias("term"), "key")
+    # an outer generator: before an inner one Spark puts a filter that looks for all terms a second time
+    return d.select("key", F.explode_outer(held).alias("term")).where("term is not null").select("term", "key")
 
 
 def candidates(index: DataFrame, rules) -> DataFrame:
