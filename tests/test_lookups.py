@@ -90,3 +90,40 @@ def test_runs_over_ranges(spark, by, parts):
     got = islands(df, "o", "v", by, parts=parts)
     assert sorted(((r["k"] if by else None, r["v"], r["first"], r["last"], r["n"]) for r in got.collect()), key=repr) == runs(rows)
     assert islands(df.where("false"), "o", "v", by, parts=parts).count() == 0
+
+
+@pytest.mark.parametrize("by", [(), ("k",), ("k", "n")])
+@pytest.mark.parametrize("rows", [1, 7, 60])
+def test_intervals_over_ranges(spark, by, rows):
+    """Intervals over many ranges, over one, and ends at an edge: the smallest that holds a point, whatever the ranges."""
+    p, t, _ = frames(spark, "number")
+    p, t = p.withColumn("n", F.col("p") % 2), t.withColumn("n", F.col("v") % 2)
+    want = {}
+    spans = [r for r in t.collect() if r["lo"] is not None]
+    for x in p.collect():
+        fit = [r["v"] for r in spans if x["p"] is not None and r["lo"] <= x["p"] and (r["hi"] is None or x["p"] < r["hi"]) and all(x[b] is not None and x[b] == r[b] for b in by)]
+        want[x["i"]] = min(fit, default=None)
+    got = interval_lookup(p, "p", t.select("k", "n", "lo", "hi", "v"), "lo", "hi", ["v"], by=by, order="v", rows=rows)
+    assert {r["i"]: r["v"] for r in got.select("i", p["p"], got["v"]).collect()} == want
+
+
+def most_rows(spark, first):
+    """The most rows that a step of the SQL executions from number `first` on made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = 0
+    for e in range(first, store.executionsCount()):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for m in (nodes.apply(i).metrics().apply(j) for i in range(nodes.size()) for j in range(nodes.apply(i).metrics().size())):
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                out = max(out, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out
+
+
+def test_intervals_that_all_overlap(spark):
+    """Each of 2,000 intervals holds most of 3,000 points: no step makes the six million pairs of them."""
+    t = spark.range(2000).selectExpr("id % 50 as lo", "3000 - id % 70 as hi", "id as v")
+    p = spark.range(3000).selectExpr("id as p")
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r["p"]: r["v"] for r in interval_lookup(p, "p", t, "lo", "hi", ["v"], order="v").collect()}
+    assert got == {i: min((v for v in range(350) if v % 50 <= i < 3000 - v % 70), default=None) for i in range(3000)}
+    assert most_rows(spark, first) <= 8000
