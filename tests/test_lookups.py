@@ -127,3 +127,13 @@ def test_intervals_that_all_overlap(spark):
     got = {r["p"]: r["v"] for r in interval_lookup(p, "p", t, "lo", "hi", ["v"], order="v").collect()}
     assert got == {i: min((v for v in range(350) if v % 50 <= i < 3000 - v % 70), default=None) for i in range(3000)}
     assert most_rows(spark, first) <= 8000
+
+
+def test_intervals_of_all_lengths(spark):
+    """Points are not repeated for each length that intervals have."""
+    t = spark.range(30).selectExpr("shiftleft(1L, int(id)) as lo", "shiftleft(1L, int(id) + 1) as hi", "id as v")
+    p = spark.range(3000).selectExpr("id * 300001 as p")
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r["p"]: r["v"] for r in interval_lookup(p, "p", t, "lo", "hi", ["v"]).collect()}
+    assert got == {i * 300001: (i * 300001).bit_length() - 1 if 0 < i * 300001 < 1 << 30 else None for i in range(3000)}
+    assert most_rows(spark, first) <= 4000
