@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicetally.plans import pipeline as P
+from voicetally.plans import queries as Q
 from voicetally.sources import segments as G
 from voicetally.streaming import resolved_counts as R
 from voicetally.streaming import turn_counts as T
@@ -60,3 +61,17 @@ def test_fixed_names(spark, tmp_path):
     got = T.run_available(T.count_turns(T.read_stream(spark, str(tmp_path)), names))
     assert {(r["canonical_id"], r["n"]) for r in got.where("canonical_id like '% roe'").collect()} == {("ann roe", 1)}
     assert got.agg(F.sum("n")).first()[0] == sum(r[3] for r in batch(spark, tmp_path))
+
+
+def test_files_grow_in_number_not_in_size(spark, tmp_path):
+    """A file is one task's work: of 5,000 segments each file holds some thousand, and a stream takes a third of the files at once."""
+    spark.range(5000).selectExpr("id as conv_id", "0L as turn", "'user' as role", "'Hello.' as text").write.parquet(f"{tmp_path}/conversations.parquet")
+    taken = []
+    files = T.read_stream
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(T, "read_stream", lambda spark, path, n=1: taken.append((path, n)) or files(spark, path, n))
+        got = Q.QUERIES["stream_resolved"](spark, str(tmp_path))
+    ((path, n),) = taken
+    per = [r["n"] for r in G.read_csv(spark, path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(per) == 5 and sum(per) == 5000 and max(per) < 1300 and n == 2
+    assert got.agg(F.sum("n")).first()[0] > 0

@@ -609,14 +609,19 @@ def president_share(spark, d):
 @query("csv_scan", WITH_SEGMENTS + " SELECT url, year, length(text) AS n FROM corpus")
 def csv_scan(spark, d):
     """Segments written as compressed CSV in the scratch folder and scanned from there."""
-    return P.provenance(G.validate(G.read_csv(spark, _as_csv(spark, d), 4))).select("url", "year", F.length("text").cast("bigint").alias("n"))
+    return P.provenance(G.validate(G.read_csv(spark, _as_csv(spark, d, _files(spark, d))))).select("url", "year", F.length("text").cast("bigint").alias("n"))
 
 
-def _as_csv(spark, d) -> str:
+def _files(spark, d) -> int:
+    """How many files the segments go to: a file is one task's work, so it holds some 1,000 segments, however many there are."""
+    return max(3, -(-_t(spark, d, "conversations").select("conv_id").distinct().count() // 1000))
+
+
+def _as_csv(spark, d, files: int) -> str:
     path = tables.scratch(spark, "segments")
     names = {G.internal(c): c for c in G.RAW}
-    raw = C.raw_segments(spark, d).select(*[F.col(k).alias(v) for k, v in names.items()])
-    raw.repartition(3, "url").write.csv(path, header=True, quote='"', escape='"', compression="gzip")
+    raw = C.raw_segments(spark, d).repartition(files, "seg_id").select(*[F.col(k).alias(v) for k, v in names.items()])
+    raw.write.csv(path, header=True, quote='"', escape='"', compression="gzip")
     return f"{path}/*.csv.gz"
 
 
@@ -627,7 +632,7 @@ def incremental_series(spark, d):
     names = {G.internal(c): c for c in G.RAW}
     raw, old = C.raw_segments(spark, d), F.pmod(F.col("seg_id"), F.lit(3))
     for folder, rows in (("stale", raw.where(old == 1).withColumn("text", F.concat(F.lit("JOHN STALE, GUEST: "), "text"))), ("a", raw.where(old == 0)), ("b", raw.where(old > 0))):
-        rows.select(*[F.col(k).alias(v) for k, v in names.items()]).repartition(2, "url").write.csv(f"{path}/{folder}", header=True, quote='"', escape='"')
+        rows.repartition(max(2, _files(spark, d) // 3), "seg_id").select(*[F.col(k).alias(v) for k, v in names.items()]).write.csv(f"{path}/{folder}", header=True, quote='"', escape='"')
     I.update(spark, state, f"{path}/{{stale,a}}/*.csv")
     I.update(spark, state, f"{path}/{{a,b}}/*.csv")
     return _round(P.annual_hhi_speakers(I.turns(spark, state)), *RATIOS)
@@ -635,20 +640,23 @@ def incremental_series(spark, d):
 
 @query("stream_turns", WHO_SQL + " SELECT year, source_mode AS mode, CASE n WHEN 'jane doe' THEN 'doe, jane' ELSE n END AS canonical_id, count(*) AS n FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL GROUP BY 1, 2, 3")
 def stream_turns(spark, d):
-    """The counts of a stream over the segment files, once all are read."""
+    """The counts of a stream over the segment files, a third of them at a time, once all are read."""
     from ..streaming import turn_counts as T
 
+    files = _files(spark, d)
     names = spark.createDataFrame([("jane doe", "doe, jane")], "name string, canonical_id string")
-    return T.run_available(T.count_turns(T.read_stream(spark, _as_csv(spark, d)), names))
+    return T.run_available(T.count_turns(T.read_stream(spark, _as_csv(spark, d, files), -(-files // 3)), names))
 
 
 @query("stream_resolved", WHO_SQL + " SELECT year, source_mode AS mode, canonical_id, count(*) AS n FROM who WHERE staff_flag = 'guest' AND year IS NOT NULL AND canonical_id <> '' GROUP BY 1, 2, 3")
 def stream_resolved(spark, d):
-    """A stream over the segment files, one file at a time, with surnames resolved by what has come so far and corrected later."""
+    """A stream over the segment files, a third of them at a time, with surnames resolved by what has come so far and corrected
+    later."""
     from ..streaming import resolved_counts as R
     from ..streaming import turn_counts as T
 
-    return R.run_available(T.read_stream(spark, _as_csv(spark, d)))
+    files = _files(spark, d)
+    return R.run_available(T.read_stream(spark, _as_csv(spark, d, files), -(-files // 3)))
 
 
 @query("series_round_trip", "SELECT year, measure, variant, hhi, n_distinct, n_events FROM (" + _speakers_sql("'guest'", "") + ")")
