@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from voicetally.functions.text import surname
+from voicetally.operators import draws as D
 from voicetally.operators import shares as S
 from voicetally.operators import uncertainty as U
 from voicetally.operators.attribution import extract_attributions, extract_with_model
@@ -127,6 +128,18 @@ def test_error_adjusted_hhi(spark):
     assert abs(sure["lo"] - (80**2 + 20) / 100**2) < 1e-12 and sure["lo"] == sure["hi"]
 
 
+def test_draws_are_made_in_blocks(spark):
+    """No step makes a row for each source and draw; blocks are the draws by counter, nulls and several groups included."""
+    base = np.array([0, 1, 2**31, 2**32 - 1], np.int64)
+    x = spark.createDataFrame([(int(b), d) for b in base for d in range(70)], "b bigint, d bigint").select("b", "d", D.uniform("b", "d").alias("u"))
+    got = D.block(base.astype(np.uint32), np.arange(70, dtype=np.uint32) * np.uint32(D.STEP))
+    assert {(r["b"], r["d"]): r["u"] for r in x.collect()} == {(int(b), d): int(got[i, d]) for i, b in enumerate(base) for d in range(70)}
+    df = spark.createDataFrame([(y, z, f"s{i}", 1 + i % 3) for y in (1, None) for z in ("a", "b") for i in range(20)], "y int, z string, who string, c bigint")
+    out = U.simulate_hhi_ci(df, ["y", "z"], "who", 0.7, 0.9, 40)
+    assert len(out.collect()) == 4
+    assert "Generate explode" not in out._jdf.queryExecution().toString()
+
+
 def test_large_counts_do_not_overflow(spark):
     df = spark.createDataFrame([(1, "a", 4 * 10**9), (1, "b", 4 * 10**9)], "y int, who string, c bigint")
     assert abs(concentration_of_counts(df, ["y"], "who").first()["hhi"] - 0.5) < 1e-12

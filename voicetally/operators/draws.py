@@ -3,6 +3,7 @@ any engine with whole numbers of 64 bits can make the same ones."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ def uniform(of: str, draw: str) -> Column:
     return F.expr(f"({x} ^ shiftright({x}, 16))")
 
 
+def block(of: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """uniform() of each of the bases (rows) and draws (columns), whose steps, draw * STEP, are given; 32 bits wrap by themselves."""
+    x = of[:, None] + steps[None, :]
+    for _ in range(2):
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIX)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def base_sql(key: str) -> str:
     return f"('0x' || md5({key})[1:8])::BIGINT"
 
