@@ -349,6 +349,20 @@ def test_pieces_are_split_as_the_library_splits_them():
         assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
 
 
+def test_frequent_pieces_stay_when_the_cache_is_full():
+    """Pieces of every text are learned once, though new ones fill the cache again and again."""
+    import public_tokenizers
+
+    ours, learned = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=100), []
+    learn = ours._learn
+    ours._learn = lambda pieces: learned.extend(pieces) or learn(pieces)
+    for i in range(40):
+        often, new = "".join(f" often{chr(97 + k)}" for k in range(20)), "".join(f" new{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(20))
+        ids, _ = ours.encode([often * 3 + new])
+        assert ids.tolist() == ours.lib.encode(often * 3 + new, add_special_tokens=False).ids
+    assert len(learned) == len(set(learned)) == 20 + 40 * 20
+
+
 def test_perfect_hash():
     keys = W.mix(np.arange(5000, dtype=np.uint64))
     h = token_store.PerfectHash.build(keys)

@@ -54,7 +54,7 @@ class _Known(dict):
 
 
 class Encoder:
-    """tokenizers' byte-level BPE with its results kept per piece (a bounded cache)."""
+    """tokenizers' byte-level BPE with its results kept per piece. Of more than `keep` pieces the half that is used most stays."""
 
     def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
@@ -69,8 +69,20 @@ class Encoder:
     def _empty(self):
         self.known = _Known()
         self.flat, self.begin, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int32)
+        self.uses = np.zeros(0, np.int64)
         self.used = self.done = 0
 
+    def _shrink(self):
+        """Leave the pieces that are used most; their uses count half from now on, so that what was frequent once goes in the end."""
+        stay = np.sort(np.argpartition(-self.uses, self.keep // 2)[: self.keep // 2])
+        pieces, begin, size, uses = list(self.known), self.begin[stay], self.size[stay], self.uses[stay] // 2
+        flat = self.flat[runs_to_index(begin, size)]
+        self._empty()
+        self.known.update((pieces[i], n) for n, i in enumerate(stay.tolist()))
+        self.done, self.used, self.uses = len(stay), len(flat), uses
+        self.flat = np.concatenate([flat, np.zeros(1 << 20, np.uint32)])
+        self.begin, self.size = (np.concatenate([x, np.zeros(len(stay) + 1, x.dtype)]) for x in (np.cumsum(size) - size, size))
+
     def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and lengths of pieces that begin with a space, in one call: the library splits their joint text back."""
         e = self.lib.encode("".join(pieces), add_special_tokens=False)
@@ -101,7 +113,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, bounds by text)."""
         if len(self.known) > self.keep:
-            self._empty()
+            self._shrink()
         whole = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.special) or (not t.isascii() and UNUSUAL.search(t)) or (t.isascii() and not t.isprintable() and UNUSUAL.search(t))]
         apart = {i: e.ids for i, e in zip(whole, self.lib.encode_batch([texts[i] for i in whole], add_special_tokens=False))}
         split = PIECES.findall
@@ -111,6 +123,7 @@ class Encoder:
         if self.known.new:
             new, self.known.new = self.known.new, []
             self._learn(new)
+        self.uses = np.bincount(index, minlength=self.done) + np.pad(self.uses, (0, self.done - len(self.uses)))
         lens = self.size[index]
         ids = self.flat[runs_to_index(self.begin[index], lens)]
         per_piece = np.concatenate([[0], np.cumsum(lens)])
@@ -122,8 +135,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, keep: int) -> Encoder:
+    return Encoder(path, keep)
 
 
 def key_hash(ids: np.ndarray, null: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
@@ -216,11 +229,12 @@ class Shard:
             return np.frombuffer(f.read_at(n * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, width: int = 2, shard_tokens: int = 1 << 25, partitions: int | None = None) -> tuple[str, DataFrame]:
+def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, width: int = 2, shard_tokens: int = 1 << 25, partitions: int | None = None, keep: int = 200_000) -> tuple[str, DataFrame]:
     """Encode every document and write the shards; returns (folder, manifest).
 
     Range partitions keep doc_id order; each task streams its sorted rows, closing a shard every shard_tokens ids. A retried
-    task writes shards of new names; the manifest, committed by Spark, lists those of the attempt that counts.
+    task writes shards of new names; the manifest, committed by Spark, lists those of the attempt that counts. keep: how many
+    encoded pieces a worker keeps.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
@@ -228,7 +242,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         fs.create_dir(f"{root}/shards", recursive=True)
-        encoder, shard, last, occurrence = _encoder(tokenizer), None, object(), 0
+        encoder, shard, last, occurrence = _encoder(tokenizer, keep), None, object(), 0
 
         def close(s):
             s["sink"].close()
