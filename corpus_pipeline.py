@@ -31,7 +31,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path, _ = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    path, _ = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), hold=False)
     return token_store.read_store(docs, path)
 
 

@@ -1,9 +1,11 @@
+import shutil
 import sys
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -11,7 +13,7 @@ from llm_data import documents, frame  # noqa: E402
 from test_llm_operators import bench_rows, expected_components, expected_hits, water  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
-from voicetally.llm import toxicity  # noqa: E402
+from voicetally.llm import token_store, toxicity  # noqa: E402
 from voicetally.llm._io import materialize  # noqa: E402
 from voicetally.llm.queries import fold  # noqa: E402
 
@@ -76,3 +78,22 @@ def test_stages_of_an_empty_table(spark, sf_dir):
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0 and (name == "token_output" or set(out.columns) == set(docs.columns))
+
+
+def test_token_stage_leaves_no_pieces_in_workers(spark, monkeypatch, tmp_path):
+    """What the token stage's encoders learn goes with each task, so that later stages have the workers' memory."""
+    path = str(shutil.copy(pipeline.public_tokenizers.path("byte_bpe_50k.json"), tmp_path / "own.json"))
+    monkeypatch.setattr(pipeline.public_tokenizers, "path", lambda name: path)
+    docs = frame(spark, documents())
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_store._encoder(path, 200_000).known)])], ["n"])
+
+    def most():
+        return max(r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect())
+
+    assert pipeline.token_stage(spark, docs, "").count() == docs.count()
+    assert most() == 0
+    folder, _ = token_store.write_store(docs, path)
+    assert most() > 0 and token_store.read_store(docs, folder).count() == docs.count()

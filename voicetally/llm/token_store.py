@@ -16,6 +16,8 @@ import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import fresh_dir, runs_to_index, shuffle_parts, text_chunks
+from ._io import fresh_dir, give_back, runs_to_index, shuffle_parts, text_chunks
 from ._words import mix
 
 END_ID = 2
@@ -64,9 +66,10 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
-        self._empty()
+        self.forget()
 
-    def _empty(self):
+    def forget(self):
+        """Leave only the library's tokenizer."""
         self.known = _Known()
         self.flat, self.begin, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int32)
         self.uses = np.zeros(0, np.int64)
@@ -77,7 +80,7 @@ class Encoder:
         stay = np.sort(np.argpartition(-self.uses, self.keep // 2)[: self.keep // 2])
         pieces, begin, size, uses = list(self.known), self.begin[stay], self.size[stay], self.uses[stay] // 2
         flat = self.flat[runs_to_index(begin, size)]
-        self._empty()
+        self.forget()
         self.known.update((pieces[i], n) for n, i in enumerate(stay.tolist()))
         self.done, self.used, self.uses = len(stay), len(flat), uses
         self.flat = np.concatenate([flat, np.zeros(1 << 20, np.uint32)])
@@ -139,6 +142,18 @@ def _encoder(path: str, keep: int) -> Encoder:
     return Encoder(path, keep)
 
 
+@contextmanager
+def _encoding(path: str, keep: int, hold: bool) -> Iterator[Encoder]:
+    """The worker's encoder; unless it may hold them, its pieces go with the task."""
+    encoder = _encoder(path, keep)
+    try:
+        yield encoder
+    finally:
+        if not hold:
+            encoder.forget()
+            give_back()
+
+
 def key_hash(ids: np.ndarray, null: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
     h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
     return mix(np.where(null, np.uint64(0x14057B7EF767814F), h) + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -229,20 +244,25 @@ class Shard:
             return np.frombuffer(f.read_at(n * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, width: int = 2, shard_tokens: int = 1 << 25, partitions: int | None = None, keep: int = 200_000) -> tuple[str, DataFrame]:
+def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, width: int = 2, shard_tokens: int = 1 << 25, partitions: int | None = None, keep: int = 200_000, hold: bool = True) -> tuple[str, DataFrame]:
     """Encode every document and write the shards; returns (folder, manifest).
 
     Range partitions keep doc_id order; each task streams its sorted rows, closing a shard every shard_tokens ids. A retried
     task writes shards of new names; the manifest, committed by Spark, lists those of the attempt that counts. keep: how many
-    encoded pieces a worker keeps.
+    encoded pieces a worker keeps; hold: whether it keeps them for the next task, which saves time but takes memory (some 170 MB
+    for 200,000) from whatever runs on the worker later.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
 
     def write(batches):
+        with _encoding(tokenizer, keep, hold) as encoder:
+            yield from written(batches, encoder)
+
+    def written(batches, encoder):
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
         fs.create_dir(f"{root}/shards", recursive=True)
-        encoder, shard, last, occurrence = _encoder(tokenizer, keep), None, object(), 0
+        shard, last, occurrence = None, object(), 0
 
         def close(s):
             s["sink"].close()
