@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from voicetally.operators import lookups
 from voicetally.operators.lookups import asof_lookup, interval_lookup
+from voicetally.sources.tables import stored as lookups_stored
 from voicetally.operators.shares import islands
 
 RNG = random.Random(4)
@@ -137,3 +139,13 @@ def test_intervals_of_all_lengths(spark):
     got = {r["p"]: r["v"] for r in interval_lookup(p, "p", t, "lo", "hi", ["v"]).collect()}
     assert got == {i * 300001: (i * 300001).bit_length() - 1 if 0 < i * 300001 < 1 << 30 else None for i in range(3000)}
     assert most_rows(spark, first) <= 4000
+
+
+def test_what_an_interval_lookup_stores(spark, monkeypatch):
+    """Tables between the steps hold keys, places and values only: no hashes, and of what is found not its interval."""
+    seen = {}
+    monkeypatch.setattr(lookups, "stored", lambda df, name: (seen.setdefault(name, df.schema), lookups_stored(df, name))[1])
+    p, t, _ = frames(spark, "number")
+    assert interval_lookup(p, "p", t, "lo", "hi", ["v"], by=["k"], order="v").count() == len(POINTS)
+    assert seen["spans"].names == ["_k0", "_lo", "_hi", "_v"] and seen["points"].names == ["_k0", "_p"]
+    assert seen["intervals"].names == ["_k0", "_p", "_v"] and seen["intervals"]["_v"].dataType.names == ["v"]

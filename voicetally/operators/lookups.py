@@ -62,15 +62,17 @@ def interval_lookup(df: DataFrame, point: str, table: DataFrame, lo: str, hi: st
     t = table.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], axis(table, lo).alias("_lo"), end.alias("_hi"), F.struct(*([F.col(order).alias("_o")] if order else []), axis(table, lo).alias("_l"), end.alias("_h"), *values).alias("_v"))
     # where a key stands in the order of the ranges does not matter, so keys of any type are dealt by a hash
     place = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
-    t, spans = stored(t.where(f"{known} and _lo < _hi").withColumn("_at", place), "spans")
-    p, points = stored(_points(df, point, by).where(known).withColumn("_at", place), "points")
+    # places in the order, of 8 bytes that do not compress, are made again rather than stored
+    t, spans = stored(t.where(f"{known} and _lo < _hi"), "spans")
+    p, points = stored(_points(df, point, by).where(known), "points")
+    t, p = t.withColumn("_at", place), p.withColumn("_at", place)
     cuts = _cuts(p.select("_at", "_p").unionByName(t.select("_at", F.col("_lo").alias("_p"))).unionByName(t.select("_at", (F.col("_hi") - 1).alias("_p"))), rows)
     parted = t.mapInArrow(_parted(cuts), _schema(t, PART, "_a", "_b", "_many")).groupBy(PART, "_many", *keys, "_a", "_b").agg(F.min("_v").alias("_v"))
     parted = parted.withColumn(PART, F.explode(F.sequence(F.col(PART), F.col(PART) + F.col("_many") - 1))).select(PART, *keys, "_a", "_b", "_v")
     dealt = p.mapInArrow(_dealt(cuts), _schema(p, PART)).select(PART, *keys, F.col("_p").alias("_a"))
     both = parted.unionByName(dealt, allowMissingColumns=True).repartition(PART).sortWithinPartitions(PART, F.col("_v").isNull(), "_v")
     found = both.mapInArrow(_smallest(keys), _schema(both.select(*keys, F.col("_a").alias("_p"), "_v")))
-    done, _ = stored(found, "intervals")
+    done, _ = stored(found.withColumn("_v", F.struct(*[F.col(f"_v.{c}").alias(c) for c in values])), "intervals")
     discard(spark, spans, points)
     return _back(df, done, point, by, values)
 
